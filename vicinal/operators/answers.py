@@ -46,18 +46,25 @@ def required_votes(minimum: int, variants: int) -> int:
     return min(max(1, minimum), variants)
 
 
-def vote_consensus(answers: DataFrame, *, minimum: int = 2, variants: int = 3, query_id: str = "query_id") -> DataFrame:
+def vote_consensus(
+    answers: DataFrame, *, minimum: int = 2, variants: int = 3, query_id: str = "query_id", tokens: str | None = None
+) -> DataFrame:
     """Per query: votes per class, the winner if it is unique and has enough votes, unanimity.
 
     ``answers`` is (query_id, variant_no, variant, raw). One row per variant, so groups are tiny.
+    With ``tokens`` the map of that column by variant is returned as well.
     """
     need = required_votes(minimum, variants)
     vote = parse_answer(F.col("raw"))
+    extra = []
+    if tokens is not None:
+        extra.append(F.map_from_entries(F.collect_list(F.struct("variant", tokens))).alias(tokens))
     grouped = answers.withColumn("vote", vote).groupBy(query_id).agg(
         F.count("vote").cast("int").alias("valid_votes"),
         F.count_if(F.col("vote") == 0).cast("int").alias("goodware_votes"),
         F.count_if(F.col("vote") == 1).cast("int").alias("malware_votes"),
         F.array_sort(F.collect_list(F.struct("variant_no", "variant", "raw", "vote"))).alias("answers"),
+        *extra,
     )
     top = F.greatest("goodware_votes", "malware_votes")
     winner = F.when(F.col("goodware_votes") > F.col("malware_votes"), 0).when(

@@ -92,13 +92,13 @@ def embed_with(
             parts = []
             for start in range(0, len(texts), batch_rows):
                 values = texts.iloc[start : start + batch_rows].tolist()
-                vectors = np.asarray(encoder(values), dtype=np.float32)
+                vectors = np.asarray(encoder(values), dtype=np.float64)
                 if vectors.ndim != 2 or len(vectors) != len(values):
                     raise RuntimeError("the model returned a matrix of the wrong shape")
                 if not np.isfinite(vectors).all():
                     raise RuntimeError("the model returned NaN or infinite values")
                 length = np.linalg.norm(vectors, axis=1, keepdims=True)
-                parts += list(vectors / np.where(length > 0, length, 1))
+                parts += list((vectors / np.where(length > 0, length, 1)).astype(np.float32))
             yield pd.Series(parts)
 
     return df.withColumn(out, encode(F.col(text)))
