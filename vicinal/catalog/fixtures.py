@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinal.functions.vectors import let
+from vicinal.session import spread
 from vicinal.sources.dictionary import feature_names
 
 VECTOR_DIM = 64
@@ -29,7 +31,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(train, test) of the vector table."""
-    rows = vectors(spark, sf_dir)
+    rows = spread(vectors(spark, sf_dir))
     return tuple(rows.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
 
 
@@ -50,18 +52,21 @@ def words(text: Column) -> Column:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with five counted features; unbalanced and full of ties."""
     text = F.col("text")
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    counted = rows.withColumn("w", words(text)).withColumn("n_words", F.size("w"))
-    letters = F.aggregate("w", F.lit(0), lambda a, x: a + F.length(x))
-    return counted.select(
-        F.col("doc_id").alias("sample_id"),
-        F.array(
+    rows = spread(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id")
+
+    def counted(w: Column) -> Column:
+        letters = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
+        return F.array(
             F.col("n_chars").cast("double"),
-            F.col("n_words").cast("double"),
+            F.size(w).cast("double"),
             F.length(F.regexp_replace(text, "[^0-9]", "")).cast("double"),
-            F.size(F.array_distinct("w")).cast("double"),
-            F.coalesce(letters / F.nullif(F.col("n_words"), F.lit(0)), F.lit(0.0)),
-        ).alias("features"),
+            F.size(F.array_distinct(w)).cast("double"),
+            F.coalesce(letters / F.nullif(F.size(w), F.lit(0)), F.lit(0.0)),
+        )
+
+    return rows.select(
+        F.col("doc_id").alias("sample_id"),
+        let(words(text), counted).alias("features"),
         F.col("quality").alias("label"),
         "text",
     )

@@ -29,7 +29,7 @@ from vicinal.plans.classify import vote_classification
 from vicinal.plans.fused import budgeted_prompts, fused_classification, prompt_cases
 from vicinal.plans.sweep import sweep_k
 from vicinal.plans.text_index import build_text_index, search_text_index
-from vicinal.session import scratch_path
+from vicinal.session import scratch_path, spread
 from vicinal.sources import labelled as CSV
 from vicinal.sources import sinks as SK
 from vicinal.sources import store as ST
@@ -57,7 +57,7 @@ def r6(c: Column | str, name: str) -> Column:
 
 def long_form(df: DataFrame, key: str, array: str) -> DataFrame:
     """(key, pos, value) of an array column, values to six decimals."""
-    entries = df.select(key, F.posexplode(array).alias("pos", "v"))
+    entries = df.select(key, F.posexplode_outer(array).alias("pos", "v"))
     return entries.select(key, "pos", r6(F.col("v").cast("double"), "value"))
 
 
@@ -96,14 +96,14 @@ def q_rename_positional(spark, sf):
     wide = CSV.unpack(rows, [f"c{i}" for i in range(X.VECTOR_DIM)], [])
     named = CSV.rename_positional(wide, X.VECTOR_NAMES)
     means = named.groupBy("label").agg(*[F.avg(n).alias(n) for n in X.VECTOR_NAMES])
-    entries = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("v")) for n in X.VECTOR_NAMES]))
+    entries = F.explode_outer(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("v")) for n in X.VECTOR_NAMES]))
     return means.select("label", entries.alias("e")).select("label", "e.feature", r6("e.v", "mean"))
 
 
 def _feature_stats(spark, sf):
     return (
         X.vectors(spark, sf)
-        .select(F.posexplode("features").alias("pos", "v"))
+        .select(F.posexplode_outer("features").alias("pos", "v"))
         .groupBy("pos")
         .agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.max(F.abs("v")).alias("largest"))
     )
@@ -307,7 +307,7 @@ def q_top10_features(spark, sf):
 
 @query
 def q_top_abs_features(spark, sf):
-    picked = F.posexplode(TX.top_abs(F.col("features"), 10)).alias("slot", "e")
+    picked = F.posexplode_outer(TX.top_abs(F.col("features"), 10)).alias("slot", "e")
     rows = X.vectors(spark, sf).select("sample_id", picked)
     return rows.select("sample_id", "slot", F.col("e.pos").alias("pos"), r6(F.col("e.value").cast("double"), "value"))
 
@@ -320,7 +320,7 @@ def q_mutual_info_knn(spark, sf):
 
 @query
 def q_mutual_info_binned(spark, sf):
-    scores = MI.mutual_info_binned(X.lines(spark, sf), X.LINE_NAMES, bins=10)
+    scores = MI.mutual_info_binned(spread(X.lines(spark, sf)), X.LINE_NAMES, bins=10)
     return scores.select("feature", r6("score", "score"))
 
 
@@ -429,7 +429,7 @@ def q_decision_distribution(spark, sf):
 def q_feature_statements(spark, sf):
     selected = TX.top_abs(F.col("features"), 10)
     parts = TX.feature_statements(selected, F.lit(X.VECTOR_NAMES))
-    return X.vectors(spark, sf).select("sample_id", F.posexplode(parts).alias("slot", "statement"))
+    return X.vectors(spark, sf).select("sample_id", F.posexplode_outer(parts).alias("slot", "statement"))
 
 
 @query
@@ -452,7 +452,7 @@ def q_l2_normalize(spark, sf):
 
 @query
 def q_embed_hashing(spark, sf):
-    return long_form(E.embed_hashing(X.table(spark, sf, "documents"), "text", ["doc_id"], 64), "doc_id", "vec")
+    return long_form(E.embed_hashing(spread(X.table(spark, sf, "documents")), "text", ["doc_id"], 64), "doc_id", "vec")
 
 
 def letter_encoder() -> E.Encoder:
@@ -466,7 +466,7 @@ def letter_encoder() -> E.Encoder:
 
 @query
 def q_embed_callback(spark, sf):
-    return long_form(E.embed_with(X.table(spark, sf, "documents"), "text", letter_encoder), "doc_id", "vec")
+    return long_form(E.embed_with(spread(X.table(spark, sf, "documents")), "text", letter_encoder), "doc_id", "vec")
 
 
 @query
@@ -479,7 +479,7 @@ def q_mean_pool(spark, sf):
 
 @query
 def q_prompt_examples(spark, sf):
-    rows = cases(spark, sf, k=5).select("query_id", F.explode("examples").alias("e"))
+    rows = cases(spark, sf, k=5).select("query_id", F.explode_outer("examples").alias("e"))
     return rows.select(
         "query_id", F.col("e.rank").alias("rank"), F.col("e.head").alias("head"),
         F.array_join("e.items", P.ITEM_SEPARATOR).alias("items"),

@@ -10,11 +10,9 @@ SCORE_CELLS = 8_000_000
 EXACT_CELLS = 4_000_000
 
 
-def as_matrix(column: pa.ChunkedArray, what: str) -> np.ndarray:
+def as_matrix(column: pa.Array | pa.ChunkedArray, what: str) -> np.ndarray:
     """Arrow list column to a dense float32 matrix; ragged or null vectors are an error."""
-    values = column.combine_chunks()
-    if isinstance(values, pa.ChunkedArray):  # no chunk at all
-        values = pa.concat_arrays(values.chunks)
+    values = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     if values.null_count:
         raise ValueError(f"null vector in {what}")
     lengths = np.unique(np.diff(values.offsets.to_numpy()))
@@ -118,3 +116,52 @@ def best_in_block(
         out_x.append(cols[keep])
         out_s.append(scores[keep])
     return np.concatenate(out_q), kept[np.concatenate(out_x)], np.concatenate(out_s)
+
+
+def in_space(matrix: np.ndarray, metric: str) -> np.ndarray:
+    """Rows as points whose distances bound the scores: unit vectors for cosine, else as they are."""
+    points = matrix.astype(np.float64)
+    if metric != "cosine":
+        return points
+    length = norms(matrix)
+    return points / np.where(length > 0, length, 1.0)[:, None]
+
+
+def distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    squares = np.square(points).sum(axis=1)[:, None] + np.square(pivots).sum(axis=1)[None, :]
+    return np.sqrt(np.maximum(squares - 2 * (points @ pivots.T), 0.0))
+
+
+def nearest_cells(points: np.ndarray, pivots: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndarray]:
+    """Per point the closest cells that together hold at least ``k`` index rows."""
+    order = np.argsort(distances(points, pivots), axis=1, kind="stable")
+    enough = np.cumsum(counts[order], axis=1) >= k
+    need = np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, order.shape[1])
+    return [row[:n][counts[row[:n]] > 0] for row, n in zip(order, need)]
+
+
+def reachable_cells(
+    points: np.ndarray,
+    pivots: np.ndarray,
+    low: np.ndarray,
+    high: np.ndarray,
+    kth: np.ndarray,
+    metric: str,
+) -> np.ndarray:
+    """Mask of (point, cell): False only if no row of the cell can score as well as ``kth``.
+
+    ``low`` and ``high`` are the smallest and largest distance of a cell's rows to its pivot, hence by
+    the triangle inequality no row is closer to the point than ``nearest``. All comparisons leave room
+    for rounding; an infinite ``kth`` keeps every cell.
+    """
+    d = distances(points, pivots)
+    size = np.sqrt(np.square(points).sum(axis=1))[:, None] + np.sqrt(np.square(pivots).sum(axis=1))[None, :]
+    room = 1e-6 * (size + high[None, :])
+    nearest = np.maximum(np.maximum(d - high[None, :], low[None, :] - d) - room, 0.0)
+    if metric == "l2":
+        return nearest <= np.sqrt(np.maximum(-kth, 0.0))[:, None] * (1 + 1e-9)
+    if metric == "cosine":
+        return 1.0 - np.square(nearest) / 2 >= kth[:, None] - 1e-9
+    length = np.sqrt(np.square(points).sum(axis=1))[:, None]
+    best = points @ pivots.T + length * (high[None, :] + room)
+    return best + 1e-9 * (1 + np.abs(best)) >= kth[:, None]

@@ -29,7 +29,7 @@ def row_chunks(
     selected = X.top_abs(F.col(features), top_features)
     statements = X.feature_statements(selected, F.lit(list(names)))
     chunks = X.text_chunks(statements, per_chunk)
-    return df.select(id_col, F.posexplode(chunks).alias("chunk_no", "chunk"))
+    return df.select(id_col, F.posexplode_outer(chunks).alias("chunk_no", "chunk"))
 
 
 def _dense(df: DataFrame, keys: Sequence[str], dim: int, out: str) -> DataFrame:
@@ -116,7 +116,7 @@ def _checked_unit(v: Column) -> Column:
 def mean_pool(df: DataFrame, key: str, vec: str = "vec", out: str = "vec") -> DataFrame:
     """Mean of all vectors of a key, rescaled to length one. Adds up before the shuffle."""
     means = (
-        df.select(key, F.posexplode(F.col(vec)).alias("bucket", "x"))
+        df.select(key, F.posexplode_outer(F.col(vec)).alias("bucket", "x"))
         .groupBy(key, "bucket")
         .agg(F.avg("x").alias("s"))
         .groupBy(key)

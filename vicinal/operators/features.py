@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,25 +44,29 @@ def select_features(df: DataFrame, names: Sequence[str], wanted: Sequence[str],
     return df.withColumn(features, pick_positions(F.col(features), [at[n] for n in wanted]))
 
 
-def fit_scaler(df: DataFrame, features: str = "features") -> DataFrame:
-    """One row: arrays of means and population deviations per position."""
+@dataclass(frozen=True)
+class Scaler:
+    """Mean and population deviation per feature position."""
+
+    means: list[float]
+    stds: list[float]
+
+
+def fit_scaler(df: DataFrame, features: str = "features") -> Scaler:
+    """Two numbers per feature come back to the driver, however many rows there are."""
     stats = (
-        df.select(F.posexplode(features).alias("pos", "value"))
+        df.select(F.posexplode_outer(features).alias("pos", "value"))
         .groupBy("pos")
         .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+        .orderBy("pos")
+        .collect()
     )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "mean", "std")))
-    return stats.agg(ordered.alias("s")).select(
-        F.transform("s", lambda x: x["mean"]).alias("means"),
-        F.transform("s", lambda x: x["std"]).alias("stds"),
-    )
-
+    return Scaler([r["mean"] for r in stats], [r["std"] for r in stats])
 
-def standardize(df: DataFrame, scaler: DataFrame, features: str = "features") -> DataFrame:
-    """Z-scores with fitted statistics; a constant feature is only centred.
 
-    The scaler is a single row of two arrays as long as the feature list, hence safe to broadcast.
-    """
-    centred = F.zip_with(F.col(features), F.col("means"), lambda x, m: x - m)
-    scaled = F.zip_with(centred, F.col("stds"), lambda x, s: F.when(s > 0, x / s).otherwise(x))
-    return df.join(F.broadcast(scaler)).withColumn(features, scaled).drop("means", "stds")
+def standardize(df: DataFrame, scaler: Scaler, features: str = "features") -> DataFrame:
+    """Z-scores with fitted statistics; a constant feature is only centred."""
+    centred = F.zip_with(F.col(features), F.lit(scaler.means), lambda x, m: x - m)
+    return df.withColumn(
+        features, F.zip_with(centred, F.lit([s if s > 0 else 1.0 for s in scaler.stds]), lambda x, s: x / s)
+    )

@@ -42,9 +42,9 @@ def check_search(k: int, metric: str) -> None:
 
 
 def side_size(df: DataFrame, vec: str) -> tuple[int, int]:
-    """(rows, longest vector)."""
-    row = df.agg(F.count("*").alias("n"), F.max(F.size(vec)).alias("dim")).first()
-    return int(row["n"]), int(row["dim"] or 0)
+    """(rows, vector length). Neither reads the vectors of the whole table; lengths are checked later."""
+    first = df.select(F.size(vec).alias("dim")).first()
+    return (df.count(), int(first["dim"])) if first else (0, 0)
 
 
 def _blocks(rows: int, dim: int, block_bytes: int) -> int:

@@ -23,7 +23,7 @@ def per_class(counts: DataFrame, *keys: str) -> DataFrame:
     sides = counts.select(
         *keys,
         "n",
-        F.explode(
+        F.explode_outer(
             F.array(
                 F.struct(F.col("truth").alias("label"), F.lit(1).alias("is_truth")),
                 F.struct(F.col("prediction").alias("label"), F.lit(0).alias("is_truth")),
@@ -60,7 +60,7 @@ def metrics_summary(df: DataFrame, *keys: str, truth: str = "label", prediction:
 
 
 def confusion_from_counts(counts: DataFrame, classes: tuple[int, ...] = (0, 1)) -> DataFrame:
-    cells = F.explode(F.array(*[F.lit(c) for c in classes])).alias("truth")
+    cells = F.explode_outer(F.array(*[F.lit(c) for c in classes])).alias("truth")
     frame = counts.sparkSession.range(1).select(cells)
     pivoted = counts.groupBy("truth").agg(
         *[F.sum(F.when(F.col("prediction") == c, F.col("n"))).alias(f"predicted_{c}") for c in classes]
@@ -77,7 +77,7 @@ def confusion_matrix(
 
 def report_from_counts(counts: DataFrame, classes: tuple[int, ...] = (0, 1)) -> DataFrame:
     names = counts.sparkSession.range(1).select(
-        F.explode(
+        F.explode_outer(
             F.array(*[F.struct(F.lit(c).alias("label"), F.lit(CLASS_NAMES.get(c, str(c))).alias("entry")) for c in classes])
         ).alias("c")
     ).select("c.*")
@@ -106,7 +106,7 @@ def report_from_counts(counts: DataFrame, classes: tuple[int, ...] = (0, 1)) ->
             F.struct(F.lit("weighted avg").alias("entry"), weighted("precision").alias("precision"),
                      weighted("recall").alias("recall"), weighted("f1").alias("f1"), n.alias("support")),
         ).alias("s")
-    ).select(F.explode("s").alias("s")).select("s.*")
+    ).select(F.explode_outer("s").alias("s")).select("s.*")
     return rows.select("entry", "precision", "recall", "f1", "support").unionByName(summary)
 
 
@@ -119,7 +119,7 @@ def classification_report(
 
 def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
     """Value counts of several columns in one pass, largest first per column."""
-    entry = F.explode(
+    entry = F.explode_outer(
         F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])
     )
     return (

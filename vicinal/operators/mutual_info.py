@@ -25,7 +25,7 @@ RUN_ROWS = 2_000_000  # rows of one feature that a single task may walk through
 
 def value_counts(df: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
     """(pos, v, y, c): how often each class has each value of each feature."""
-    long = df.select(F.col(label).alias("y"), F.posexplode(features).alias("pos", "v"))
+    long = df.select(F.col(label).alias("y"), F.posexplode_outer(features).alias("pos", "v"))
     # +0.0 turns a negative zero into zero
     return long.groupBy("pos", (F.col("v") + F.lit(0.0)).alias("v"), "y").agg(F.count("*").alias("c"))
 
@@ -71,7 +71,7 @@ def _with_neighbors(counts: DataFrame, kk: int, runs: int, run_rows: int) -> Dat
         copies = F.array_compact(
             F.array(run, F.when(place < kk, run - 1), F.when(place >= run_rows - kk, run + 1))
         )
-        counts = numbered.withColumn("home", run).withColumn("run", F.explode(copies))
+        counts = numbered.withColumn("home", run).withColumn("run", F.explode_outer(copies))
         keys.append("run")
     window = Window.partitionBy(*keys).orderBy("v")
     for i in range(1, kk + 1):
@@ -148,7 +148,7 @@ def mutual_info(
     # positions the order of events says whether the end itself counts: it does not for an open
     # interval; for radius zero the interval is the value itself.
     none = F.lit(None)
-    event = F.explode(
+    event = F.explode_outer(
         F.array(
             F.struct(F.col("v").alias("x"), F.lit(1).alias("kind"), F.col("c").alias("w"), F.lit(0).alias("sign")),
             F.struct(F.col("hi").alias("x"), F.when(F.col("open"), 0).otherwise(2).alias("kind"),
@@ -194,7 +194,7 @@ def mutual_info_binned(
     ranked = running_total(values, ["pos"], ["v"], F.col("c"), "upto", runs)
     bin_no = F.floor((F.col("upto") - F.col("c")) * bins / n)
     cells = (
-        ranked.select("pos", bin_no.alias("bin"), F.explode("classes").alias("k"))
+        ranked.select("pos", bin_no.alias("bin"), F.explode_outer("classes").alias("k"))
         .groupBy("pos", "bin", F.col("k.y").alias("y"))
         .agg(F.sum("k.c").alias("c"))
     )

@@ -248,7 +248,7 @@ def fit_budget_by_text(
             ),
         )
     )
-    options = cases.select("*", F.posexplode(grid).alias("__no", "__pair"))
+    options = cases.select("*", F.posexplode_outer(grid).alias("__no", "__pair"))
     options = options.withColumn("n_examples", _limits(compact, F.col("__pair.e"))).withColumn(
         "n_features", _limits(compact, F.col("__pair.f"))
     )

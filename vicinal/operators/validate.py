@@ -68,7 +68,7 @@ def validation_report(
     for name, count in (("empty_table", "rows"), ("class_0_absent", "zeros"), ("class_1_absent", "ones")):
         missing = F.when(F.col(count) == 0, F.lit(1)).otherwise(0).cast("bigint")
         entries.append(F.struct(F.lit(name).alias("check"), missing.alias("n"), F.lit(None).cast("string").alias("sample")))
-    return totals.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    return totals.select(F.explode_outer(F.array(*entries)).alias("e")).select("e.*")
 
 
 def require(report: DataFrame) -> None:
@@ -86,7 +86,7 @@ def require_two_classes(df: DataFrame, label: str = "label") -> None:
 
 def cast_report(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:
     """(feature, n_bad, first_bad): values of text columns that are not numbers."""
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("raw")) for c in columns]))
+    cells = F.explode_outer(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("raw")) for c in columns]))
     long = df.select(F.col(id_col), cells.alias("c")).select(id_col, "c.*")
     bad = F.col("raw").isNotNull() & F.expr("try_cast(raw AS DOUBLE)").isNull()
     return (

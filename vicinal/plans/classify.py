@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from vicinal.config import RunConfig
 from vicinal.operators.embed import Encoder, embed_rows
 from vicinal.operators.features import fit_scaler, select_features, selected_names, standardize
-from vicinal.operators.knn import knn_join
 from vicinal.operators.mutual_info import mutual_info
+from vicinal.operators.search import nearest
 from vicinal.operators.vote import majority_vote
 from vicinal.session import materialize
 
@@ -36,7 +36,7 @@ def prepare(
     chosen = choose_features(train, names, config, scores)
     train, test = select_features(train, names, chosen), select_features(test, names, chosen)
     if config.standardize:
-        scaler = materialize(fit_scaler(train))
+        scaler = fit_scaler(train)
         train, test = standardize(train, scaler), standardize(test, scaler)
     return train, test, chosen
 
@@ -82,5 +82,5 @@ def vote_classification(
     train, test, chosen = prepare(train, test, names, config, scores)
     index = with_vectors(train, chosen, config, make_encoder)
     queries = as_queries(with_vectors(test, chosen, config, make_encoder))
-    votes = majority_vote(knn_join(queries, index, config.k))
+    votes = majority_vote(nearest(queries, index, config.k))
     return votes.join(queries.select("query_id", "true_label"), "query_id")

@@ -12,8 +12,8 @@ from vicinal.functions.text import display_labels
 from vicinal.operators.answers import Generator, answer_with, vote_consensus
 from vicinal.operators.evidence import neighbor_evidence, prompt_examples, with_distance
 from vicinal.operators.fusion import fuse, result_rows
-from vicinal.operators.knn import knn_join
 from vicinal.operators.prompts import fit_budget, with_variants
+from vicinal.operators.search import nearest
 from vicinal.operators.vote import neighbor_lists
 from vicinal.plans.classify import as_queries, prepare, with_vectors
 from vicinal.session import materialize
@@ -62,7 +62,7 @@ def fused_classification(
     index = with_vectors(train, chosen, config)
     queries = as_queries(with_vectors(test, chosen, config))
     # narrow and read four times below
-    neighbors = materialize(knn_join(queries, index, config.k))
+    neighbors = materialize(nearest(queries, index, config.k))
     cases = prompt_cases(neighbors, queries, index, chosen, descriptions or {}, config)
     prompts = budgeted_prompts(cases, config)
     kept = prompts.select("query_id", "variant_no", "variant", "prompt", "prompt_tokens")

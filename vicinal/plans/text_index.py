@@ -8,20 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.operators.embed import Encoder, embed_hashing, embed_with
-from vicinal.operators.knn import knn_join, neighbor_metadata
+from vicinal.operators.knn import neighbor_metadata
+from vicinal.operators.search import nearest
+from vicinal.session import materialize
 
 
 def build_text_index(
     texts: DataFrame, *, dim: int = 64, make_encoder: Callable[[], Encoder] | None = None
 ) -> DataFrame:
-    """``texts`` is (sample_id, text, label); adds ``vec``. The id is the caller's original index."""
+    """``texts`` is (sample_id, text, label); adds ``vec``. The id is the caller's original index.
+
+    The result is computed once and kept, because sizing and every search read the vectors.
+    """
     if make_encoder is not None:
-        return embed_with(texts, "text", make_encoder)
+        return materialize(embed_with(texts, "text", make_encoder))
     vectors = embed_hashing(texts, "text", ["sample_id"], dim)
-    return texts.join(vectors, "sample_id")
+    return materialize(texts.join(vectors, "sample_id"))
 
 
 def search_text_index(queries: DataFrame, index: DataFrame, k: int = 5, metric: str = "l2") -> DataFrame:
     """Neighbours with the stored text and label. ``queries`` is (query_id, vec)."""
-    found = knn_join(queries, index, k, metric, carry=())
+    found = nearest(queries, index, k, metric, carry=())
     return neighbor_metadata(found, index.select("sample_id", "text", F.col("label")))

@@ -52,5 +52,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: columnar, so later reads take what they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan out to all cores.
+
+    A file with one row group is read by one task, which then does all the work per row. A large scan
+    has more partitions than there are cores and is left alone, so nothing is shuffled at scale.
+    For plain scans only: counting the partitions of a longer plan would run part of it.
+    """
+    cores = parallelism(scan.sparkSession)
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

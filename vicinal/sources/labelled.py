@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from vicinal.operators.labels import normalise_labels
 from vicinal.operators.sample import sample_rows
 from vicinal.operators.validate import require, require_two_classes, validation_report
+from vicinal.session import stored
 
 LABEL_COLUMN = "label"
 
@@ -77,11 +78,15 @@ def load_csv(
     balanced: bool = False,
     id_column: str | None = None,
 ) -> LabelledTable:
-    """Scan, refuse anything missing, infinite or unlabelled in one pass, then sample."""
+    """Parse once into a stored table, refuse anything missing, infinite or unlabelled in one pass, sample.
+
+    Storing also fixes the generated row ids for good.
+    """
     data = scan_csv(spark, path, target, id_column)
-    require(validation_report(data.rows, len(data.names)))
-    rows = sample_rows(data.rows, limit, seed, balanced)
-    if rows is not data.rows:
+    parsed = stored(data.rows, "labelled")
+    require(validation_report(parsed, len(data.names)))
+    rows = sample_rows(parsed, limit, seed, balanced)
+    if rows is not parsed:
         require_two_classes(rows)
     return LabelledTable(rows, data.names)
 
