@@ -266,7 +266,7 @@ mi_d AS (SELECT a.pos, a.v, a.y, a.kk, abs(b.v - a.v) AS d, CASE WHEN a.v = b.v
 mi_s AS (SELECT *, sum(n) OVER (PARTITION BY pos, v, y ORDER BY d) AS seen FROM mi_d),
 mi_r AS (SELECT pos, v, y, min(d) AS r FROM mi_s WHERE seen >= kk GROUP BY pos, v, y),
 mi_m AS (SELECT a.pos, a.v, a.y, r, sum(b.c) AS m FROM mi_r a JOIN mi_h b
-           ON a.pos = b.pos AND CASE WHEN r > 0 THEN abs(b.v - a.v) < r ELSE b.v = a.v END GROUP BY a.pos, a.v, a.y, r),
+           ON a.pos = b.pos AND CASE WHEN r > 0 THEN abs(b.v - a.v) < greatest(r - (r * 1e-9 + abs(a.v) * 1e-15), r / 2) ELSE b.v = a.v END GROUP BY a.pos, a.v, a.y, r),
 mi_n AS (SELECT CAST(sum(ny) AS DOUBLE) AS n FROM mi_size),
 mi_t AS (SELECT pos, sum(c * ({digamma_sql(f"CAST({near} AS DOUBLE)")} - {digamma_sql("CAST(m AS DOUBLE)")}
                   - {digamma_sql("CAST(ny AS DOUBLE)")})) AS total FROM mi_m JOIN mi_h USING (pos, v, y) GROUP BY pos),
@@ -307,6 +307,10 @@ _nn_similarity = "SELECT query_id, rank, sample_id, label, round(s, 6) AS simila
 put("knn_cosine", SIDES, knn(Q.K_NEAREST), _nn_similarity)
 put("knn_inner_product", SIDES, knn(Q.K_NEAREST, "ip"), _nn_similarity)
 put("knn_l2", SIDES, knn(Q.K_NEAREST, "l2"), _nn_similarity.replace("similarity", "distance"))
+put("knn_pruned", DOCUMENTS, """
+f AS (SELECT sample_id, label, list_transform(features, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE)) AS v FROM docs),
+q AS (SELECT sample_id AS query_id, v FROM f),
+i AS (SELECT sample_id, v, label FROM f)""", knn(Q.K_NEAREST, "l2"), _nn_similarity.replace("similarity", "distance"))
 put("knn_single", VECTORS, """
 first AS (SELECT features AS f FROM vectors ORDER BY sample_id LIMIT 1),
 scored AS (SELECT sample_id, label, list_cosine_similarity(features, f) AS s FROM vectors, first)""",

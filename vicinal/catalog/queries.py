@@ -25,11 +25,12 @@ from vicinal.operators import prompts as P
 from vicinal.operators import sample as S
 from vicinal.operators import validate as VD
 from vicinal.operators import vote as VT
+from vicinal.operators.pruned import knn_join_pruned
 from vicinal.plans.classify import vote_classification
 from vicinal.plans.fused import budgeted_prompts, fused_classification, prompt_cases
 from vicinal.plans.sweep import sweep_k
 from vicinal.plans.text_index import build_text_index, search_text_index
-from vicinal.session import scratch_path, spread
+from vicinal.session import materialize, scratch_path, spread
 from vicinal.sources import labelled as CSV
 from vicinal.sources import sinks as SK
 from vicinal.sources import store as ST
@@ -350,6 +351,15 @@ def q_knn_l2(spark, sf):
     return found.select("query_id", "rank", "sample_id", "label", r6("distance", "distance"))
 
 
+@query
+def q_knn_pruned(spark, sf):
+    rows = X.documents(spark, sf).select("sample_id", "label", F.col("features").cast("array<float>").alias("vec"))
+    index = materialize(rows)
+    queries = index.select(F.col("sample_id").alias("query_id"), "vec")
+    found = knn_join_pruned(queries, index, K_NEAREST, "l2", cells=16)
+    return found.select("query_id", "rank", "sample_id", "label", r6("distance", "distance"))
+
+
 @query
 def q_knn_single(spark, sf):
     rows = X.vectors(spark, sf)

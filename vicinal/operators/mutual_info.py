@@ -20,6 +20,7 @@ from vicinal.functions.digamma import digamma
 from vicinal.session import materialize
 
 NEIGHBORS = 3
+RADIUS_ROUNDING, VALUE_ROUNDING = 1e-9, 1e-15
 RUN_ROWS = 2_000_000  # rows of one feature that a single task may walk through
 
 
@@ -101,15 +102,14 @@ def _radius(kk: int) -> Column:
     return F.aggregate(present, start, step, lambda acc: acc["r"])
 
 
-def _bound(kk: int, side: str) -> Column:
-    """Open end of the interval of that radius. Where a row of the class lies exactly on it, its value
-    is used, so rounding of v +- r cannot move it."""
-    sign = 1 if side == "hi" else -1
-    on_it = [
-        F.when(sign * (F.col(f"v_{side}{i}") - F.col("v")) == F.col("r"), F.col(f"v_{side}{i}"))
-        for i in range(1, kk + 1)
-    ]
-    return F.coalesce(*on_it, F.col("v") + sign * F.col("r"))
+def _half_width() -> Column:
+    """How far the open interval of radius r reaches.
+
+    Rows exactly at the radius do not count. On a lattice such as 0.1, 0.2, 0.3 equal distances come out
+    of the subtraction unequal in the last bits, so the interval ends a rounding error short of r.
+    """
+    r = F.col("r")
+    return F.greatest(r - (r * RADIUS_ROUNDING + F.abs("v") * VALUE_ROUNDING), r / 2)
 
 
 def mutual_info(
@@ -140,8 +140,8 @@ def mutual_info(
         "y",
         "c",
         F.when(alone, F.col("kk")).otherwise(F.col("c")).alias("near"),
-        F.when(alone, _bound(neighbors, "lo")).otherwise(F.col("v")).alias("lo"),
-        F.when(alone, _bound(neighbors, "hi")).otherwise(F.col("v")).alias("hi"),
+        F.when(alone, F.col("v") - _half_width()).otherwise(F.col("v")).alias("lo"),
+        F.when(alone, F.col("v") + _half_width()).otherwise(F.col("v")).alias("hi"),
         alone.alias("open"),
     )
     # Rows strictly between lo and hi: the running count of rows read off at both ends. At equal
