@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-# Largest intermediate score matrix and largest re-computed slice of one task, in numbers.
-SCORE_CELLS = 8_000_000
+# One tile of scores, small enough to stay in a core's cache, and the largest slice scored exactly.
+QUERY_TILE, INDEX_TILE = 256, 4096
 EXACT_CELLS = 4_000_000
 
 
@@ -29,39 +29,93 @@ def norms(matrix: np.ndarray) -> np.ndarray:
     return np.sqrt(np.square(matrix.astype(np.float64)).sum(axis=1))
 
 
-def unit(matrix: np.ndarray, length: np.ndarray) -> np.ndarray:
-    safe = np.where(length > 0, length, 1.0)
-    return (matrix / safe[:, None]).astype(np.float32)
-
-
 def surplus_copies(ids: np.ndarray, matrix: np.ndarray, k: int) -> np.ndarray:
     """Positions left after keeping, of equal vectors, the ``k`` with the smallest ids.
 
     Equal vectors score equally, and ties go to the smaller id, so no other copy can be among the
     ``k`` best of any query. The result is unchanged, however many copies a block holds.
     """
-    by_id = np.argsort(ids, kind="stable")
-    rows = np.ascontiguousarray(matrix[by_id])
+    words = np.ascontiguousarray(matrix).view(np.uint32)
+    factors = np.random.default_rng(0).integers(1, 2**63, words.shape[1], dtype=np.uint64)
+    digest = np.zeros(len(words), dtype=np.uint64)
+    for column, factor in zip(words.T, factors):
+        digest += column * factor
+    _, group, sizes = np.unique(digest, return_inverse=True, return_counts=True)
+    many = np.flatnonzero(sizes[group] > k)
+    if not len(many):
+        return np.arange(len(ids))
+    # equal digests are only a hint: among those rows compare the vectors themselves
+    many = many[np.argsort(ids[many], kind="stable")]
+    rows = np.ascontiguousarray(matrix[many])
     keys = rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
-    _, group = np.unique(keys, return_inverse=True)
-    grouped = np.argsort(group, kind="stable")
-    sizes = np.bincount(group)
-    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    nth = np.empty(len(ids), dtype=np.int64)
-    nth[grouped] = np.arange(len(ids)) - starts
-    return by_id[nth < k]
-
-
-def _exact(metric: str, q: np.ndarray, x: np.ndarray, qn: np.ndarray, xn: np.ndarray) -> np.ndarray:
-    """Scores of matched rows in float64. The order of additions depends on the width only, so equal
-    vectors get equal scores in every block."""
+    _, same, copies = np.unique(keys, return_inverse=True, return_counts=True)
+    grouped = np.argsort(same, kind="stable")
+    starts = np.repeat(np.cumsum(copies) - copies, copies)
+    nth = np.empty(len(many), dtype=np.int64)
+    nth[grouped] = np.arange(len(many)) - starts
+    keep = np.ones(len(ids), dtype=bool)
+    keep[many[nth >= k]] = False
+    return np.flatnonzero(keep)
+
+
+def _scaled(matrix: np.ndarray, by: np.ndarray | float) -> np.ndarray:
+    by = np.asarray(by, dtype=np.float64)
+    return (matrix / np.where(by > 0, by, 1.0).reshape(-1, 1)).astype(np.float32)
+
+
+def operands(q: np.ndarray, x: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Two single-precision matrices with rows of length at most one, whose products order the index
+    rows of every query as the metric does.
+
+    Inner products keep their order when a query is scaled and when the index is scaled as a whole. For
+    L2 the order is that of q.x - |x|^2 / 2: one more column, after moving the index to its mean.
+    """
+    if metric == "cosine":
+        return _scaled(q, norms(q)), _scaled(x, norms(x))
+    if metric == "l2":
+        centre = x.mean(axis=0, dtype=np.float64)
+        q, x = q - centre, x - centre
+        radius = float(norms(x).max()) or 1.0
+        q = np.column_stack([q, np.full(len(q), radius)])
+        x = np.column_stack([x, -np.square(x).sum(axis=1) / (2 * radius)])
+    return _scaled(q, norms(q)), _scaled(x, norms(x).max())
+
+
+def _candidates(a: np.ndarray, b: np.ndarray, k: int, room: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of every product within ``room`` of the k-th largest of its row, and some more.
+
+    Tiles of columns pass by; a row remembers its k largest products so far, and later tiles only yield
+    what reaches them.
+    """
+    top = np.full((len(a), k), -np.inf, dtype=np.float32)
+    rows, cols, values = [], [], []
+    for start in range(0, len(b), INDEX_TILE):
+        s = a @ b[start : start + INDEX_TILE].T
+        hit = np.flatnonzero((s >= (top.min(axis=1) - room)[:, None]).any(axis=1))
+        if not len(hit):
+            continue
+        s = s[hit]
+        merged = np.concatenate([top[hit], s], axis=1)
+        top[hit] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
+        r, c = np.nonzero(s >= (top[hit].min(axis=1) - room)[:, None])
+        rows.append(hit[r])
+        cols.append(c + start)
+        values.append(s[r, c])
+    row, col, value = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+    last = value >= top.min(axis=1)[row] - room
+    return row[last], col[last]
+
+
+def _exact(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Scores of matched rows in double precision. The order of additions depends on the width only, so
+    equal vectors get equal scores in every block."""
     a, b = q.astype(np.float64), x.astype(np.float64)
     if metric == "l2":
         return -np.square(a - b).sum(axis=1)
     inner = (a * b).sum(axis=1)
     if metric == "ip":
         return inner
-    scale = qn * xn
+    scale = norms(a) * norms(b)
     return np.divide(inner, scale, out=np.zeros_like(inner), where=scale > 0)
 
 
@@ -70,52 +124,31 @@ def best_in_block(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, index row, score), score descending then id ascending, at most k per query row.
 
-    Single-precision products choose candidates; their rounding error is bounded, every row that could
-    be among the k best given that bound is scored again in double precision.
+    Single-precision products choose candidates. Their rounding error is bounded by the width, and every
+    row that could be among the k best given that bound is scored again in double precision.
     """
     kept = surplus_copies(ids, x, k) if len(ids) > k else np.arange(len(ids))
     x, ids = x[kept], ids[kept]
     k = min(k, len(ids))
-    qn, xn = norms(q), norms(x)
-    qu, xu = unit(q, qn), unit(x, xn)
-    slack = (q.shape[1] + 8) * 2.0**-23
-    step = max(1, SCORE_CELLS // max(1, len(ids)))
-    exact_step = max(1, EXACT_CELLS // max(1, q.shape[1]))
-    out_q, out_x, out_s = [], [], []
-    for start in range(0, len(q), step):
-        stop = min(start + step, len(q))
-        approx = qu[start:stop] @ xu.T
-        if metric == "cosine":
-            margin: np.ndarray | float = np.float32(slack)
-        else:
-            scale = qn[start:stop, None] * xn[None, :]
-            approx = approx * scale
-            margin = slack * scale
-            if metric == "l2":
-                squares = np.square(qn[start:stop])[:, None] + np.square(xn)[None, :]
-                approx = 2 * approx - squares
-                margin = 2 * margin + 1e-14 * squares
-        low = approx - margin
-        cut = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
-        rows, cols = np.nonzero(approx + margin >= cut[:, None])
+    a, b = operands(q, x, metric)
+    room = 2 * (a.shape[1] + 8) * 2.0**-23
+    exact_step = max(1, EXACT_CELLS // q.shape[1])
+    out = []
+    for start in range(0, len(q), QUERY_TILE):
+        rows, cols = _candidates(a[start : start + QUERY_TILE], b, k, room)
         rows = rows + start
         scores = np.concatenate(
             [
-                _exact(metric, q[r], x[c], qn[r], xn[c])
-                for r, c in (
-                    (rows[i : i + exact_step], cols[i : i + exact_step])
-                    for i in range(0, len(rows), exact_step)
-                )
+                _exact(metric, q[rows[i : i + exact_step]], x[cols[i : i + exact_step]])
+                for i in range(0, len(rows), exact_step)
             ]
         )
         order = np.lexsort((ids[cols], -scores, rows))
         rows, cols, scores = rows[order], cols[order], scores[order]
-        first = np.searchsorted(rows, rows, side="left")
-        keep = np.arange(len(rows)) - first < k
-        out_q.append(rows[keep])
-        out_x.append(cols[keep])
-        out_s.append(scores[keep])
-    return np.concatenate(out_q), kept[np.concatenate(out_x)], np.concatenate(out_s)
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+        out.append((rows[keep], cols[keep], scores[keep]))
+    rows, cols, scores = (np.concatenate(part) for part in zip(*out))
+    return rows, kept[cols], scores
 
 
 def in_space(matrix: np.ndarray, metric: str) -> np.ndarray:
