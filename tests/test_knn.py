@@ -135,9 +135,11 @@ def test_guards(spark):
 
 def test_grid_shape():
     assert grid_shape(100, 400, 64, 8) == (1, 1)
-    assert grid_shape(27035, 134435, 2381, 8) == (4, 20)
-    q, i = grid_shape(10**6, 10**3, 64, 64)
-    assert (q, i) == (64, 1)
+    assert grid_shape(27035, 134435, 256, 8) == (3, 13)
+    q, i = grid_shape(27035, 134435, 2381, 1000)
+    assert q * i >= 4000 and 27035 / q > 256 and 134435 / i > 1024
+    assert grid_shape(10**9, 10**9, 1000, 8) == (59605, 59605)  # no smaller than the block size asks for
+    assert grid_shape(0, 10, 4, 8) == (1, 1)
 
 
 def test_vote_tie_goes_to_the_nearest(spark):

@@ -580,6 +580,29 @@ put("sweep_k", SIDES, knn(max(Q.SWEEP)), _per_k,
     "round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1 "
     "FROM rates GROUP BY k")
 
+ALL_VOTED = "SELECT query_id, prediction, true_label FROM votes JOIN q USING (query_id)"
+put("_all_features", SIDES, knn(Q.K_NEAREST), VOTES, ALL_VOTED)
+_runs = " UNION ALL ".join(
+    f"SELECT '{mode}' AS mode, {n} AS top_k_features, prediction, true_label FROM ({ORACLES[run]})"
+    for mode, n, run in (
+        ("original", X.VECTOR_DIM, "_all_features"),
+        ("original", Q.TOP_FEATURES, "classify_vote_original"),
+        ("embedding", X.VECTOR_DIM, "classify_vote_embedding"),
+    )
+)
+del ORACLES["_all_features"]
+put("sweep_settings", f"runs AS ({_runs})", """
+rates0 AS (
+  SELECT mode, top_k_features, c, count(*) FILTER (true_label = c AND prediction = c) AS tp,
+         count(*) FILTER (true_label = c) AS support, count(*) FILTER (prediction = c) AS predicted
+  FROM runs, (SELECT unnest([0, 1]) AS c) GROUP BY mode, top_k_features, c),
+rates AS (
+  SELECT *, coalesce(tp / nullif(predicted, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall,
+         coalesce(2 * tp / nullif(predicted + support, 0), 0) AS f1 FROM rates0)""",
+    f"SELECT mode, top_k_features, {Q.K_NEAREST} AS k, CAST(sum(support) AS BIGINT) AS n, round(sum(tp) / sum(support), 6) AS accuracy, "
+    "round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1 "
+    "FROM rates GROUP BY mode, top_k_features")
+
 _payload = {
     "balance_training": CONFIG.balance_train,
     "embedding_model": CONFIG.embedding_model,

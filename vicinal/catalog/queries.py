@@ -28,7 +28,7 @@ from vicinal.operators import vote as VT
 from vicinal.operators.pruned import knn_join_pruned
 from vicinal.plans.classify import vote_classification
 from vicinal.plans.fused import budgeted_prompts, fused_classification, prompt_cases
-from vicinal.plans.sweep import sweep_k
+from vicinal.plans.sweep import sweep_k, sweep_settings
 from vicinal.plans.text_index import build_text_index, search_text_index
 from vicinal.session import materialize, scratch_path, spread
 from vicinal.sources import labelled as CSV
@@ -622,6 +622,15 @@ def q_sweep_k(spark, sf):
     return out.select("k", "n", *[r6(c, c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1")])
 
 
+@query
+def q_sweep_settings(spark, sf):
+    train, test = X.vector_split(spark, sf)
+    configs = [CONFIG, RunConfig(top_k_features=TOP_FEATURES), RunConfig(mode="embedding")]
+    out = sweep_settings(train, test, X.VECTOR_NAMES, configs, [K_NEAREST])
+    numbers = [r6(c, c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1")]
+    return out.select("mode", "top_k_features", "k", "n", *numbers)
+
+
 @query
 def q_stream_score(spark, sf):
     _, index = X.vector_sides(spark, sf)

@@ -27,7 +27,9 @@ from vicinal.operators.blocks import as_matrix, best_in_block
 from vicinal.session import parallelism
 
 BLOCK_BYTES = 64 * 1024 * 1024
-MIN_QUERY_BLOCK = 256
+MIN_QUERY_BLOCK, MIN_INDEX_BLOCK = 256, 2048  # no smaller blocks just to have more of them
+PAIRS_PER_CORE = 4
+MOST_PARTITIONS = 20_000
 
 
 def score_name(metric: str) -> str:
@@ -54,10 +56,17 @@ def _blocks(rows: int, dim: int, block_bytes: int) -> int:
 def grid_shape(
     n_query: int, n_index: int, dim: int, cores: int, block_bytes: int = BLOCK_BYTES
 ) -> tuple[int, int]:
-    """Blocks per side: as few as the block size allows, but enough pairs to keep all cores busy."""
+    """(query blocks, index blocks): what the block size asks for, or more to give every core work.
+
+    A query is sent to every index block and an index row to every query block, so extra blocks go to
+    the longer side, which keeps the number of rows sent small.
+    """
     q, i = _blocks(n_query, dim, block_bytes), _blocks(n_index, dim, block_bytes)
-    most = max(q, math.ceil(n_query / MIN_QUERY_BLOCK))
-    return min(most, max(q, math.ceil(cores / i))), i
+    pairs = PAIRS_PER_CORE * cores
+    if q * i < pairs and n_query and n_index:
+        i = max(i, min(math.ceil(math.sqrt(pairs * n_index / n_query)), math.ceil(n_index / MIN_INDEX_BLOCK)))
+        q = max(q, min(math.ceil(pairs / i), math.ceil(n_query / MIN_QUERY_BLOCK)))
+    return q, i
 
 
 def block_of(id_column: Column, blocks: int) -> Column:
@@ -104,12 +113,20 @@ def match_blocks(
     query_id: str,
     index_id: str,
     carry: Sequence[str],
+    groups: int,
 ) -> DataFrame:
-    """Cogroup both sides on ``keys`` and keep the k best per query and group."""
+    """Cogroup both sides on ``keys`` and keep the k best per query and group.
+
+    ``groups`` is the number of key values. Each is heavy to compute but small in bytes, so they get
+    twice as many partitions as there are groups instead of sharing few: tasks then hold one group each
+    and the scheduler balances them.
+    """
     schema, arrow = _output(queries, index, query_id, index_id, carry, metric)
     kernel = pair_kernel(k, metric, query_id, index_id, carry, arrow)
-    left = queries.select(*keys, query_id, "vec").groupBy(*keys)
-    right = index.select(*keys, index_id, *carry, "vec").groupBy(*keys)
+    left = queries.select(*keys, query_id, "vec")
+    right = index.select(*keys, index_id, *carry, "vec")
+    partitions = min(2 * groups, MOST_PARTITIONS)
+    left, right = (side.repartition(partitions, *keys).groupBy(*keys) for side in (left, right))
     return left.cogroup(right).applyInArrow(kernel, schema)
 
 
@@ -153,7 +170,7 @@ def knn_join(
     right = index.withColumn("ib", block_of(F.col(index_id), i_blocks)).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
     )
-    matches = match_blocks(left, right, ["qb", "ib"], k, metric, query_id, index_id, carry)
+    matches = match_blocks(left, right, ["qb", "ib"], k, metric, query_id, index_id, carry, q_blocks * i_blocks)
     return best_per_query(matches, k, metric, query_id, index_id)
 
 

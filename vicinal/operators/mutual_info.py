@@ -74,6 +74,9 @@ def _with_neighbors(counts: DataFrame, kk: int, runs: int, run_rows: int) -> Dat
         )
         counts = numbered.withColumn("home", run).withColumn("run", F.explode_outer(copies))
         keys.append("run")
+    else:
+        # every later step groups by feature and something else, so this is the last shuffle
+        counts = counts.repartition("pos")
     window = Window.partitionBy(*keys).orderBy("v")
     for i in range(1, kk + 1):
         counts = (

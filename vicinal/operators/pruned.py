@@ -97,10 +97,9 @@ def _search_cells(
     visited = visits.select(F.explode_outer("cells").alias("cell")).filter("cell IS NOT NULL")
     asked = {r["cell"]: r["n"] for r in visited.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     # one row per cell, and the number of cells is bounded with the pivots
-    plan = spark.createDataFrame(
-        [(c, int(index_blocks[c]), math.ceil(n / query_rows)) for c, n in asked.items()],
-        "cell int, index_blocks int, query_blocks int",
-    )
+    blocks = [(c, int(index_blocks[c]), math.ceil(n / query_rows)) for c, n in asked.items()]
+    plan = spark.createDataFrame(blocks, "cell int, index_blocks int, query_blocks int")
+    groups = max(1, sum(i * q for _, i, q in blocks))
 
     def every(count: str):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -119,7 +118,7 @@ def _search_cells(
         .withColumn("ib", hashed(index_id, "index_blocks"))
         .withColumn("qb", every("query_blocks"))
     )
-    return match_blocks(left, right, ["cell", "ib", "qb"], k, metric, query_id, index_id, carry)
+    return match_blocks(left, right, ["cell", "ib", "qb"], k, metric, query_id, index_id, carry, groups)
 
 
 def knn_join_pruned(

@@ -7,8 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinal.config import RunConfig
 from vicinal.operators.metrics import metrics_summary
+from vicinal.operators.mutual_info import mutual_info
+from vicinal.operators.search import nearest
 from vicinal.operators.vote import vote_columns, vote_prediction
+from vicinal.plans.classify import as_queries, prepare, with_vectors
+from vicinal.session import materialize
 
 
 def sweep_k(neighbors: DataFrame, truth: DataFrame, ks: Sequence[int]) -> DataFrame:
@@ -24,3 +29,29 @@ def sweep_k(neighbors: DataFrame, truth: DataFrame, ks: Sequence[int]) -> DataFr
         .withColumn("prediction", vote_prediction())
     )
     return metrics_summary(votes.join(truth, "query_id"), "k", truth="true_label")
+
+
+def sweep_settings(
+    train: DataFrame, test: DataFrame, names: Sequence[str], configs: Sequence[RunConfig], ks: Sequence[int]
+) -> DataFrame:
+    """(mode, top_k_features, k, metrics): one neighbour search per setting, all k from each.
+
+    Feature scores are the same for every setting and computed once. ``top_k_features`` is the number of
+    features a run used.
+    """
+    cuts = any(c.top_k_features is not None and c.top_k_features < len(names) for c in configs)
+    scores = materialize(mutual_info(train, names)) if cuts else None
+    parts = []
+    for config in configs:
+        left, right, chosen = prepare(train, test, names, config, scores)
+        index = with_vectors(left, chosen, config)
+        queries = as_queries(with_vectors(right, chosen, config))
+        found = nearest(queries, index, max(ks))
+        metrics = sweep_k(found, queries.select("query_id", "true_label"), ks)
+        parts.append(
+            metrics.select(F.lit(config.mode).alias("mode"), F.lit(len(chosen)).alias("top_k_features"), *metrics.columns)
+        )
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
