@@ -33,17 +33,30 @@ def fixed(x: Column, digits: int, signed: bool = False) -> Column:
 
 
 def top_abs(values: Column, n: int) -> Column:
-    """The ``n`` entries of largest absolute value as (pos, value), in position order."""
+    """The ``n`` entries of largest absolute value as (pos, value), in position order.
+
+    Ties go to the smaller position. Only the plain numbers are sorted, to find the n-th largest size;
+    the entries are then filtered in place.
+    """
     typed = as_float(values)
-    pairs = F.transform(
-        typed, lambda v, p: F.struct((-F.abs(v)).alias("order_key"), p.alias("pos"), v.alias("value"))
-    )
-    kept = F.slice(F.array_sort(pairs), 1, n)
-    chosen = F.array_sort(
-        F.transform(kept, lambda s: F.struct(s["pos"].alias("pos"), s["value"].alias("value")))
-    )
-    everything = F.transform(typed, lambda v, p: F.struct(p.alias("pos"), v.alias("value")))
-    return F.when(F.size(values) <= n, everything).otherwise(chosen)
+    entries = F.transform(typed, lambda v, p: F.struct(p.alias("pos"), v.alias("value")))
+    sizes = F.transform(typed, lambda v: F.coalesce(F.abs(v), F.lit(0.0).cast("float")))
+
+    def choose(a: Column) -> Column:
+        return let(F.get(F.sort_array(a), F.size(a) - n), lambda least: cut(a, least))
+
+    def cut(a: Column, least: Column) -> Column:
+        room = n - F.size(F.filter(a, lambda x: x > least))
+        ties = F.filter(F.transform(a, lambda x, p: F.when(x == least, p).otherwise(-1)), lambda p: p >= 0)
+        return let(
+            F.get(ties, room - 1),
+            lambda last: F.filter(
+                entries,
+                lambda e: (F.abs(e["value"]) > least) | ((F.abs(e["value"]) == least) & (e["pos"] <= last)),
+            ),
+        )
+
+    return F.when(F.size(values) <= n, entries).otherwise(let(sizes, choose))
 
 
 def feature_statements(selected: Column, names: Column) -> Column:

@@ -61,7 +61,7 @@ def running_total(
 
 
 def _with_neighbors(counts: DataFrame, kk: int, runs: int, run_rows: int) -> DataFrame:
-    """Add the ``kk`` preceding and following values of the same class, with their counts."""
+    """Add distances to the ``kk`` preceding and following values of the same class, and their counts."""
     keys = ["pos", "y"]
     if runs > 1:
         # consecutive numbers cut each feature into runs of equal length; rows next to a cut are also
@@ -78,31 +78,35 @@ def _with_neighbors(counts: DataFrame, kk: int, runs: int, run_rows: int) -> Dat
         # every later step groups by feature and something else, so this is the last shuffle
         counts = counts.repartition("pos")
     window = Window.partitionBy(*keys).orderBy("v")
+    own = F.col("v")
     for i in range(1, kk + 1):
         counts = (
-            counts.withColumn(f"v_lo{i}", F.lag("v", i).over(window))
-            .withColumn(f"c_lo{i}", F.lag("c", i).over(window))
-            .withColumn(f"v_hi{i}", F.lead("v", i).over(window))
-            .withColumn(f"c_hi{i}", F.lead("c", i).over(window))
+            counts.withColumn(f"d_lo{i}", F.coalesce(own - F.lag("v", i).over(window), F.lit(math.inf)))
+            .withColumn(f"c_lo{i}", F.lag("c", i, 0).over(window))
+            .withColumn(f"d_hi{i}", F.coalesce(F.lead("v", i).over(window) - own, F.lit(math.inf)))
+            .withColumn(f"c_hi{i}", F.lead("c", i, 0).over(window))
         )
     return counts.filter(F.col("run") == F.col("home")).drop("run", "home", "nth") if runs > 1 else counts
 
 
 def _radius(kk: int) -> Column:
-    """Distance to the kk-th other row of the class; zero if enough rows share the value."""
-    near = []
-    for i in range(1, kk + 1):
-        near.append(F.struct((F.col("v") - F.col(f"v_lo{i}")).alias("d"), F.col(f"c_lo{i}").alias("n")))
-        near.append(F.struct((F.col(f"v_hi{i}") - F.col("v")).alias("d"), F.col(f"c_hi{i}").alias("n")))
-    present = F.array_sort(F.filter(F.array(*near), lambda s: s["d"].isNotNull()))
-    start = F.struct((F.col("c") - 1).alias("seen"), F.lit(0.0).alias("r"))
-
-    def step(acc: Column, s: Column) -> Column:
-        return F.when(acc["seen"] >= F.col("kk"), acc).otherwise(
-            F.struct((acc["seen"] + s["n"]).alias("seen"), s["d"].alias("r"))
-        )
+    """Distance to the kk-th other row of the class; zero if enough rows share the value.
 
-    return F.aggregate(present, start, step, lambda acc: acc["r"])
+    The smallest of the neighbouring distances within which enough rows lie: on the same side these are
+    the rows up to the neighbour, on the other side those that are not farther away.
+    """
+    same = F.col("c") - 1
+    reaching = []
+    for side, other in (("lo", "hi"), ("hi", "lo")):
+        rows = same
+        for i in range(1, kk + 1):
+            d = F.col(f"d_{side}{i}")
+            rows = rows + F.col(f"c_{side}{i}")
+            across = rows
+            for j in range(1, kk + 1):
+                across = across + F.when(F.col(f"d_{other}{j}") <= d, F.col(f"c_{other}{j}")).otherwise(0)
+            reaching.append(F.when(across >= F.col("kk"), d).otherwise(F.lit(math.inf)))
+    return F.when(same >= F.col("kk"), 0.0).otherwise(F.least(*reaching))
 
 
 def _half_width() -> Column:
