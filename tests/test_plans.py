@@ -31,6 +31,11 @@ def test_answers_or_model(split):
         fused_classification(*split, X.VECTOR_NAMES, RunConfig())
 
 
+def test_too_many_neighbors(split):
+    with pytest.raises(ValueError, match="training rows"):
+        vote_classification(*split, X.VECTOR_NAMES, RunConfig(k=401))
+
+
 def test_standardised_run(split):
     out = vote_classification(*split, X.VECTOR_NAMES, RunConfig(standardize=True, k=5))
     assert out.count() == 100 and out.filter("votes_0 + votes_1 <> 5").count() == 0

@@ -110,6 +110,17 @@ def test_index_cache_rules(spark, sf_dir):
         ST.load_index(spark, path, "embedding")
 
 
+def test_broken_build_leaves_the_old_index(spark, sf_dir):
+    _, index = X.vector_sides(spark, sf_dir)
+    path, config = scratch_path(spark, "index"), RunConfig()
+    ST.save_index(index, path, names=X.VECTOR_NAMES, config=config, signature="old")
+    broken = index.withColumn("label", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        ST.save_index(broken, path, names=X.VECTOR_NAMES, config=config, signature="new")
+    rows, meta = ST.load_index(spark, path)
+    assert meta["signature"] == "old" and rows.count() == index.count()
+
+
 def test_fingerprints_follow_settings(spark, sf_dir, tmp_path):
     parts = ST.file_parts(spark, f"{sf_dir}/embeddings.parquet")
     base = ST.vote_fingerprint(parts, RunConfig(), ["a", "b"])

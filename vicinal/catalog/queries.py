@@ -74,7 +74,7 @@ def votes(spark: SparkSession, sf: str) -> DataFrame:
 
 def cases(spark: SparkSession, sf: str, k: int = K_NEAREST) -> DataFrame:
     queries, index = X.vector_sides(spark, sf)
-    found = K.knn_join(queries, index, k)
+    found = materialize(K.knn_join(queries, index, k))  # read for the evidence and for the examples
     return prompt_cases(found, queries, index, X.VECTOR_NAMES, feature_descriptions(), CONFIG)
 
 

@@ -46,9 +46,3 @@ def neighbor_lists(neighbors: DataFrame, query_id: str = "query_id") -> DataFram
             F.transform("__n", lambda n: n["similarity"]).alias("neighbor_similarities"),
         )
     )
-
-
-def require_voted(queries: DataFrame, votes: DataFrame, query_id: str = "query_id") -> None:
-    """Every query must have got at least one neighbour."""
-    if not queries.join(votes, query_id, "left_anti").isEmpty():
-        raise RuntimeError("no neighbour found for some rows")

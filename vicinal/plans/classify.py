@@ -66,6 +66,12 @@ def as_queries(vectors: DataFrame) -> DataFrame:
     )
 
 
+def require_neighbors(index: DataFrame, k: int) -> None:
+    """Every query needs k neighbours, so the training side must have that many rows."""
+    if index.count() < k:
+        raise ValueError("k exceeds the number of training rows")
+
+
 def vote_classification(
     train: DataFrame,
     test: DataFrame,
@@ -81,6 +87,7 @@ def vote_classification(
     """
     train, test, chosen = prepare(train, test, names, config, scores)
     index = with_vectors(train, chosen, config, make_encoder)
+    require_neighbors(index, config.k)
     queries = as_queries(with_vectors(test, chosen, config, make_encoder))
     votes = majority_vote(nearest(queries, index, config.k))
     return votes.join(queries.select("query_id", "true_label"), "query_id")

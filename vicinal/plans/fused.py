@@ -15,7 +15,7 @@ from vicinal.operators.fusion import fuse, result_rows
 from vicinal.operators.prompts import fit_budget, with_variants
 from vicinal.operators.search import nearest
 from vicinal.operators.vote import neighbor_lists
-from vicinal.plans.classify import as_queries, prepare, with_vectors
+from vicinal.plans.classify import as_queries, prepare, require_neighbors, with_vectors
 from vicinal.session import materialize
 
 
@@ -60,6 +60,7 @@ def fused_classification(
         raise ValueError("give either answers or make_generator")
     train, test, chosen = prepare(train, test, names, config, scores)
     index = with_vectors(train, chosen, config)
+    require_neighbors(index, config.k)
     queries = as_queries(with_vectors(test, chosen, config))
     # narrow and read four times below
     neighbors = materialize(nearest(queries, index, config.k))

@@ -84,15 +84,23 @@ def _readable(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def _rows_path(path: str, signature: str) -> str:
+    return f"{path}/rows/{signature}"
+
+
 def index_exists(spark: SparkSession, path: str) -> bool:
-    """Both the rows and the metadata must be there; metadata is written last."""
-    return _readable(spark, f"{path}/rows") and _readable(spark, f"{path}/meta")
+    """Both the metadata and the rows it names must be there."""
+    return _readable(spark, f"{path}/meta") and _readable(spark, _rows_path(path, index_meta(spark, path)["signature"]))
 
 
 def save_index(rows: DataFrame, path: str, *, names: Sequence[str], config: RunConfig, signature: str) -> None:
-    """Write (sample_id, vec, raw, label) and one row of metadata."""
+    """Write (sample_id, vec, raw, label) and one row of metadata.
+
+    Each fingerprint has its own folder of rows and the metadata is written last, so a build that breaks
+    off never leaves new rows under an old fingerprint.
+    """
     spark = rows.sparkSession
-    rows.select(*INDEX_COLUMNS).write.mode("overwrite").parquet(f"{path}/rows")
+    rows.select(*INDEX_COLUMNS).write.mode("overwrite").parquet(_rows_path(path, signature))
     meta = spark.range(1).select(
         F.lit(signature).alias("signature"),
         F.lit(config.mode).alias("retrieval_mode"),
@@ -106,7 +114,8 @@ def save_index(rows: DataFrame, path: str, *, names: Sequence[str], config: RunC
 
 def append_index(rows: DataFrame, path: str) -> None:
     """Add another batch of rows to a stored index. The order of batches does not matter."""
-    rows.select(*INDEX_COLUMNS).write.mode("append").parquet(f"{path}/rows")
+    signature = index_meta(rows.sparkSession, path)["signature"]
+    rows.select(*INDEX_COLUMNS).write.mode("append").parquet(_rows_path(path, signature))
 
 
 def index_meta(spark: SparkSession, path: str) -> dict:
@@ -118,7 +127,7 @@ def load_index(spark: SparkSession, path: str, mode: str | None = None) -> tuple
     meta = index_meta(spark, path)
     if mode is not None and meta["retrieval_mode"] != mode:
         raise ValueError(f"index was built for mode {meta['retrieval_mode']!r}, not {mode!r}")
-    return spark.read.parquet(f"{path}/rows"), meta
+    return spark.read.parquet(_rows_path(path, meta["signature"])), meta
 
 
 def cached_index(
