@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from vicinal.llm.bytepairs import decode, encode, read_ranks
+from vicinal.llm.contamination import contamination
 from vicinal.llm.exact import exact_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +40,41 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d
 """
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    found = contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    found = found.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
+    names = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", names, "contaminated")
+
+
+SQL["op2_decontaminate"] = r"""
+WITH norm AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+gram AS (
+  SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[s:s + least(len(w), 13) - 1], ' ') AS g
+  FROM item, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS t(s) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM gram),
+win AS (
+  SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS g FROM norm, lengths, unnest(range(1, len(w) - n + 2)) AS t(s) WHERE len(w) >= n),
+hit AS (SELECT doc_id, s, n, item FROM win JOIN gram USING (n, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(s, s + n)) AS t(p) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM norm LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query
+def op7_byte_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    ranks = read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coded = decode(encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    hashes = [F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    return coded.select(F.col("id").alias("doc_id"), "n_tokens", *hashes)
