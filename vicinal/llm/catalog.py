@@ -12,6 +12,7 @@ import public_tokenizers
 from vicinal.llm.bytepairs import decode, encode, read_ranks
 from vicinal.llm.contamination import contamination
 from vicinal.llm.exact import exact_dedup
+from vicinal.llm.neardup import near_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +79,10 @@ def op7_byte_pairs(spark: SparkSession, sf: str) -> DataFrame:
     coded = decode(encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN), ranks)
     hashes = [F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
     return coded.select(F.col("id").alias("doc_id"), "n_tokens", *hashes)
+
+
+@query
+def op3_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = near_components(table(spark, sf, "documents"))
+    kept = F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept)
