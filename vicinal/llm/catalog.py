@@ -13,6 +13,7 @@ from vicinal.llm.bytepairs import decode, encode, read_ranks
 from vicinal.llm.contamination import contamination
 from vicinal.llm.exact import exact_dedup
 from vicinal.llm.neardup import near_components
+from vicinal.llm.repeats import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +87,22 @@ def op3_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = near_components(table(spark, sf, "documents"))
     kept = F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept)
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf, "documents"))
+    kept = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", kept)
+
+
+SQL["op5_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 34], ' ') AS g FROM d, unnest(range(1, len(w) - 33)) AS t(s) WHERE len(w) >= 35),
+twice AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM win SEMI JOIN twice USING (g), unnest(range(s, s + 35)) AS t(p)),
+lists AS (SELECT doc_id, list(p) AS p FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(p, []), i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN lists USING (doc_id)
+"""
