@@ -12,8 +12,11 @@ import public_tokenizers
 from vicinal.llm.bytepairs import decode, encode, read_ranks
 from vicinal.llm.contamination import contamination
 from vicinal.llm.exact import exact_dedup
+from vicinal.llm.licenses import license_matches
 from vicinal.llm.neardup import near_components
 from vicinal.llm.repeats import remove_repeats
+from vicinal.llm.tokencount import sentencepiece_vocabulary, token_counts
+from vicinal.llm.urlfilter import LABELLED, RULES, train, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,3 +109,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BI
   sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(p, []), i)), ' ')) AS kept_sha256
 FROM d LEFT JOIN lists USING (doc_id)
 """
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    weights = train(spark.createDataFrame(LABELLED, "url string, label int"))
+    found = url_verdicts(table(spark, sf, "pages").select("page_id", "url"), weights, RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = license_matches(table(spark, sf, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "license", "matched", F.round("coverage", 6).alias("coverage"), "first_word", "end_word", "first_byte", "end_byte")
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(table(spark, sf, "documents"), pieces).select(F.col("id").alias("doc_id"), "n_words", "n_tokens")
