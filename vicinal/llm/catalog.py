@@ -12,11 +12,13 @@ import public_tokenizers
 from vicinal.llm.bytepairs import decode, encode, read_ranks
 from vicinal.llm.contamination import contamination
 from vicinal.llm.exact import exact_dedup
+from vicinal.llm.langid import fit, identify, page_evidence
 from vicinal.llm.licenses import license_matches
 from vicinal.llm.neardup import near_components
 from vicinal.llm.repeats import remove_repeats
 from vicinal.llm.tokencount import sentencepiece_vocabulary, token_counts
 from vicinal.llm.urlfilter import LABELLED, RULES, train, url_verdicts
+from vicinal.llm.wrappers import extract
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,3 +130,24 @@ def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     pieces = sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts(table(spark, sf, "documents"), pieces).select(F.col("id").alias("doc_id"), "n_words", "n_tokens")
+
+
+@query
+def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = identify(docs, fit(docs), declared=F.col("lang"), host=F.col("source"))
+    return found.select(F.col("id").alias("doc_id"), "language", F.round("probability", 6).alias("probability"), "accepted")
+
+
+@query
+def language_id_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The same operator on raw pages, which have markup and addresses. The character model comes from the documents."""
+    pages = page_evidence(table(spark, sf, "pages"))
+    evidence = {"declared": F.col("declared"), "host": F.col("host"), "suffix": F.col("suffix")}
+    found = identify(pages, fit(table(spark, sf, "documents")), "page_id", **evidence)
+    return found.select(F.col("id").alias("page_id"), "language", F.round("probability", 6).alias("probability"), "accepted")
+
+
+@query
+def op4_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return extract(table(spark, sf, "pages")).withColumnRenamed("id", "page_id")
