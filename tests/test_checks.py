@@ -139,3 +139,31 @@ def test_impossible_samples(spark):
         sample_rows(population(spark), 1, 42, balanced=True)
     with pytest.raises(ValueError):
         sample_rows(population(spark).filter("label = 0"), None, 42, balanced=True)
+
+
+def test_scores_and_scaler_refuse_what_is_not_finite(spark):
+    from vicinal.operators.features import fit_scaler
+    from vicinal.operators.mutual_info import mutual_info, mutual_info_binned
+
+    good = [([float(i), float(i % 3)], i % 2) for i in range(20)]
+    for bad in ([float("nan"), 1.0], [None, 1.0], [float("inf"), 1.0], None):
+        df = spark.createDataFrame([*good, (bad, 1)], "features array<double>, label int")
+        for run in (lambda: mutual_info(df, ["a", "b"]).collect(), lambda: mutual_info_binned(df, ["a", "b"]).collect(), lambda: fit_scaler(df)):
+            with pytest.raises(Exception, match="null, NaN or infinite"):
+                run()
+
+
+def test_scaler_length(spark):
+    from vicinal.operators.features import Scaler, standardize
+
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],)], "features array<double>")
+    with pytest.raises(Exception, match="length"):
+        standardize(df, Scaler([0.0, 0.0], [1.0, 1.0])).collect()
+
+
+def test_class_sizes(spark):
+    from vicinal.operators import labels as L
+
+    assert L.class_sizes(spark.createDataFrame([(0,), (1,), (1,)], "label int")) == {0: 1, 1: 2}
+    with pytest.raises(ValueError, match="no class label"):
+        L.class_sizes(spark.range(L.MOST_CLASSES + 1).withColumnRenamed("id", "label"))

@@ -4,8 +4,10 @@ import pytest
 from compare import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from vicinal.catalog.oracles import ORACLES
+from vicinal.catalog.queries import REGISTRY
 
-QUERIES, SQL = queries(), oracle_sql()
+QUERIES, SQL = REGISTRY, ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +22,7 @@ def test_query_equals_sql(spark, con, sf_dir, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
 
 
 def test_entry(spark):

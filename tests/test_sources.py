@@ -121,18 +121,73 @@ def test_broken_build_leaves_the_old_index(spark, sf_dir):
     assert meta["signature"] == "old" and rows.count() == index.count()
 
 
-def test_fingerprints_follow_settings(spark, sf_dir, tmp_path):
+def test_fingerprints_follow_settings(spark, sf_dir):
     parts = ST.file_parts(spark, f"{sf_dir}/embeddings.parquet")
-    base = ST.vote_fingerprint(parts, RunConfig(), ["a", "b"])
-    assert base == ST.vote_fingerprint(parts, RunConfig(), ["a", "b"])
-    others = [
-        ST.vote_fingerprint(parts, RunConfig(seed=1), ["a", "b"]),
-        ST.vote_fingerprint(parts, RunConfig(mode="embedding"), ["a", "b"]),
-        ST.vote_fingerprint(parts, RunConfig(), ["b", "a"]),
-        ST.vote_fingerprint(ST.file_parts(spark, f"{sf_dir}/part.parquet"), RunConfig(), ["a", "b"]),
-        ST.scores_fingerprint(parts, RunConfig()),
+    base = ST.fingerprint(parts, RunConfig(), ["a", "b"])
+    assert base == ST.fingerprint(parts, RunConfig(), ["a", "b"])
+    changed = dict(
+        target_column="y", seed=1, train_limit=5, balance_train=True, cache_version=2, top_k_features=3, feature_order="score", mode="embedding",
+        standardize=True, embedding_model="other", embedding_dim=8, top_features_per_row=4, features_per_chunk=2,
+    )
+    assert set(changed) == set(ST.SHAPING)
+    others = [ST.fingerprint(parts, RunConfig(**{k: v}), ["a", "b"]) for k, v in changed.items()]
+    others += [
+        ST.fingerprint(parts, RunConfig(), ["b", "a"]),
+        ST.fingerprint(ST.file_parts(spark, f"{sf_dir}/part.parquet"), RunConfig(), ["a", "b"]),
+        ST.fingerprint(parts, RunConfig(), ["a", "b"], scores_only=True),
+        ST.fingerprint(parts, RunConfig(), ["a", "b"], classes={0: 1, 1: 2}),
+        ST.fingerprint(parts, RunConfig(), ["a", "b"], encoder="mine"),
     ]
-    assert len({base, *others}) == 6
+    assert len({base, *others}) == len(others) + 1
+
+
+def test_append_is_repeatable_and_changes_the_fingerprint(spark, sf_dir):
+    _, index = X.vector_sides(spark, sf_dir)
+    path, config = scratch_path(spark, "index"), RunConfig()
+    common = dict(names=X.VECTOR_NAMES, config=config)
+    ST.save_index(index.where("sample_id < 100"), path, signature="s", **common)
+    first = ST.append_index(index.where("sample_id >= 100"), path, "rest")
+    assert first == ST.append_index(index.where("sample_id >= 100"), path, "rest") != "s"
+    assert ST.load_index(spark, path)[0].count() == index.count()
+    assert not ST.cached_index(spark, path, first, lambda: index, **common)[1]
+    assert ST.cached_index(spark, path, "s", lambda: index.limit(7), **common) [1]
+    assert ST.load_index(spark, path)[0].count() == 7
+    with pytest.raises(ValueError):
+        ST.append_index(index, path, "../x")
+
+
+def test_unfinished_scores_are_not_used(spark):
+    root = scratch_path(spark, "scores")
+    scores = spark.createDataFrame([("a", 1.0)], "feature string, score double")
+    scores.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{root}/signature=s")
+    again = ST.cached_scores(spark, root, "s", lambda: scores.withColumn("score", F.lit(2.0)))
+    assert again.first()["score"] == 2.0
+
+
+def test_headers_of_all_files(spark, tmp_path):
+    for n, header in enumerate((["id", "a", "b", "label"], ["id", "b", "a", "label"])):
+        write(tmp_path, header, [[str(10 * n + i), "1", "2", str(i % 2)] for i in range(4)], f"{n}.csv")
+    with pytest.raises(Exception, match="header"):
+        CSV.load_csv(spark, str(tmp_path), id_column="id")
+
+
+def test_numeric_labels(spark, tmp_path):
+    rows = [["1", "0.0"], ["2", "1.0"], ["3", "1"]]
+    data = CSV.load_csv(spark, write(tmp_path, ["a", "y"], rows))
+    assert sorted((r["features"][0], r["label"]) for r in data.rows.collect()) == [(1.0, 0), (2.0, 1), (3.0, 1)]
+    with pytest.raises(ValueError, match="label_not_binary: 1"):
+        CSV.load_csv(spark, write(tmp_path, ["a", "y"], [*rows, ["4", "2.0"]], "three.csv"))
+    with pytest.raises(ValueError, match="missing_label: 2"):  # words: 0.0 and 1.0 are no words for a class
+        CSV.load_csv(spark, write(tmp_path, ["a", "y"], [*rows, ["4", "benign"]], "words.csv"))
+
+
+def test_same_names(spark, tmp_path):
+    train = CSV.load_csv(spark, write(tmp_path, ["a", "b", "y"], ROWS, "train.csv"))
+    test = CSV.load_csv(spark, write(tmp_path, ["b", "a", "y"], [[r[1], r[0], r[2]] for r in ROWS], "test.csv"))
+    fitted = CSV.same_names(train, test)
+    assert sorted(r["features"] for r in fitted.rows.collect()) == sorted(r["features"] for r in train.rows.collect())
+    with pytest.raises(ValueError, match="missing features"):
+        CSV.same_names(train, CSV.LabelledTable(test.rows, ["b", "c"]))
 
 
 def test_dataset_lengths(spark, tmp_path):

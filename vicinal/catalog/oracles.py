@@ -12,6 +12,7 @@ from vicinal.functions.text import CHUNK_PREFIX, display_labels
 from vicinal.operators import fusion as FU
 from vicinal.operators import prompts as P
 from vicinal.sources.dictionary import FEATURE_GROUPS, feature_descriptions
+from vicinal.sources.store import payload
 
 ORACLES: dict[str, str] = {}
 CONFIG = RunConfig()
@@ -193,7 +194,7 @@ put("invalid_labels", MESSY, """
 SELECT raw_label, count(*) AS n FROM messy
 WHERE raw_label IS NOT NULL AND lower(trim(raw_label)) NOT IN
   ('0', 'goodware', 'benign', 'safe', 'clean', 'false', '1', 'malware', 'malicious', 'threat', 'true')
-GROUP BY raw_label ORDER BY raw_label LIMIT 10""")
+GROUP BY raw_label""")
 put("cast_report", """
 raw AS (SELECT unnest(['p_name', 'p_brand', 'p_size', 'p_retailprice']) AS feature,
           unnest([p_name, p_brand, CAST(p_size AS VARCHAR), CAST(p_retailprice AS VARCHAR)]) AS raw FROM part)""",
@@ -235,7 +236,7 @@ put("schema_diff", HEADERS,
     "SELECT coalesce(l.pos, r.pos) AS pos, l.name AS left_name, r.name AS right_name FROM l FULL JOIN r ON l.pos = r.pos "
     "WHERE l.name IS DISTINCT FROM r.name")
 put("missing_features", HEADERS,
-    "SELECT pos, name FROM l WHERE name NOT IN (SELECT name FROM r) ORDER BY pos LIMIT 10")
+    "SELECT pos, name FROM l WHERE name NOT IN (SELECT name FROM r)")
 put("select_features", VECTORS,
     "SELECT sample_id, CAST(p AS INT) AS pos, round(features[[5, 0, 63, 17][p + 1] + 1], 6) AS value "
     "FROM vectors, (SELECT unnest(range(4)) AS p)")
@@ -603,18 +604,9 @@ rates AS (
     "round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1 "
     "FROM rates GROUP BY mode, top_k_features")
 
-_payload = {
-    "balance_training": CONFIG.balance_train,
-    "embedding_model": CONFIG.embedding_model,
-    "features": X.DOCUMENT_NAMES,
-    "features_per_chunk": CONFIG.features_per_chunk,
-    "seed": CONFIG.seed,
-    "top_features_per_sample": CONFIG.top_features_per_row,
-    "train_file": ["documents"],
-}
-_tail = {"training_limit": CONFIG.train_limit}
-_head_json = json.dumps(_payload, sort_keys=True)[:-1]
+_rest = json.loads(payload(["documents"], CONFIG, X.DOCUMENT_NAMES))
+del _rest["classes"]
 put("fingerprint", DOCUMENTS, """
 t AS (SELECT count(*) AS n, count(*) FILTER (label = 0) AS a, count(*) FILTER (label = 1) AS b FROM docs)""",
-    f"SELECT n AS training_rows, sha256({text(_head_json)} || ', \"training_classes\": {{\"0\": ' || a || ', \"1\": ' || b || '}}, "
-    f"\"training_limit\": null, \"training_rows\": ' || n || ', \"version\": {CONFIG.cache_version}}}') AS signature FROM t")
+    "SELECT n AS training_rows, sha256('{\"classes\": {\"0\": ' || a || ', \"1\": ' || b || '}, ' || "
+    f"{text(json.dumps(_rest, sort_keys=True)[1:])}) AS signature FROM t")

@@ -167,7 +167,7 @@ def q_results_full(spark, sf):
 def q_mi_cache_roundtrip(spark, sf):
     rows = X.documents(spark, sf).drop("text")
     root = scratch_path(spark, "scores")
-    signature = ST.scores_fingerprint(ST.file_parts(spark, f"{sf}/documents.parquet"), CONFIG)
+    signature = ST.fingerprint(ST.file_parts(spark, f"{sf}/documents.parquet"), CONFIG, X.DOCUMENT_NAMES, scores_only=True)
     ST.cached_scores(spark, root, signature, lambda: MI.mutual_info(rows, X.DOCUMENT_NAMES))
 
     def unused() -> DataFrame:
@@ -179,7 +179,7 @@ def q_mi_cache_roundtrip(spark, sf):
 def _stored_index(spark, sf):
     queries, index = X.vector_sides(spark, sf)
     path = scratch_path(spark, "index")
-    signature = ST.vote_fingerprint(ST.file_parts(spark, f"{sf}/embeddings.parquet"), CONFIG, X.VECTOR_NAMES)
+    signature = ST.fingerprint(ST.file_parts(spark, f"{sf}/embeddings.parquet"), CONFIG, X.VECTOR_NAMES)
     return queries, index, path, signature
 
 
@@ -201,7 +201,8 @@ def q_index_append(spark, sf):
     queries, index, path, signature = _stored_index(spark, sf)
     half = F.col("sample_id") % 2 == 0
     ST.save_index(index.filter(half), path, names=X.VECTOR_NAMES, config=CONFIG, signature=signature)
-    ST.append_index(index.filter(~half), path)
+    for _ in range(2):  # a batch that is sent twice is stored once
+        ST.append_index(index.filter(~half), path, "odd")
     stored, _ = ST.load_index(spark, path, CONFIG.mode)
     found = K.knn_join(queries, stored, K_NEAREST)
     return found.select("query_id", "rank", "sample_id", r6("similarity", "similarity"))
@@ -210,7 +211,7 @@ def q_index_append(spark, sf):
 @query
 def q_fingerprint(spark, sf):
     rows = X.documents(spark, sf).drop("text")
-    signature = ST.fused_fingerprint(["documents"], CONFIG, X.DOCUMENT_NAMES, rows)
+    signature = ST.fingerprint(["documents"], CONFIG, X.DOCUMENT_NAMES, classes=L.class_sizes(rows))
     return rows.agg(F.count("*").alias("training_rows")).withColumn("signature", F.lit(signature))
 
 

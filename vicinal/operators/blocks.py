@@ -81,28 +81,42 @@ def operands(q: np.ndarray, x: np.ndarray, metric: str) -> tuple[np.ndarray, np.
     return _scaled(q, norms(q)), _scaled(x, norms(x).max())
 
 
-def _candidates(a: np.ndarray, b: np.ndarray, k: int, room: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of every product within ``room`` of the k-th largest of its row, and some more.
+def _error(a: np.ndarray, b: np.ndarray, room: float, last_apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, w): the rounding error of product (i, j) is at most u_i * v_j + w_j.
 
-    Tiles of columns pass by; a row remembers its k largest products so far, and later tiles only yield
-    what reaches them.
+    The bound follows the length of each row, so one long row does not widen it for the others. The last column of L2
+    is counted apart, because it is 1 for every query and tiny for most index rows.
     """
+    if not last_apart:
+        return norms(a) * room, norms(b), np.zeros(len(b))
+    return norms(a[:, :-1]) * room, norms(b[:, :-1]), np.abs(b[:, -1].astype(np.float64)) * room
+
+
+def _candidates(a: np.ndarray, b: np.ndarray, k: int, room: float, last_apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of every product that could be among the k largest of its row, given its rounding error.
+
+    Tiles of columns pass by; a row remembers the k largest values that are certainly reached so far, and later tiles
+    only yield what may reach them.
+    """
+    u, v, w = (e.astype(np.float32) for e in _error(a, b, room, last_apart))
     top = np.full((len(a), k), -np.inf, dtype=np.float32)
     rows, cols, values = [], [], []
     for start in range(0, len(b), INDEX_TILE):
         s = a @ b[start : start + INDEX_TILE].T
-        hit = np.flatnonzero((s >= (top.min(axis=1) - room)[:, None]).any(axis=1))
+        error = np.multiply.outer(u, v[start : start + INDEX_TILE]) + w[start : start + INDEX_TILE]
+        high = s + error
+        hit = np.flatnonzero((high >= top.min(axis=1)[:, None]).any(axis=1))
         if not len(hit):
             continue
-        s = s[hit]
-        merged = np.concatenate([top[hit], s], axis=1)
+        high = high[hit]
+        merged = np.concatenate([top[hit], s[hit] - error[hit]], axis=1)
         top[hit] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
-        r, c = np.nonzero(s >= (top[hit].min(axis=1) - room)[:, None])
+        r, c = np.nonzero(high >= top[hit].min(axis=1)[:, None])
         rows.append(hit[r])
         cols.append(c + start)
-        values.append(s[r, c])
+        values.append(high[r, c])
     row, col, value = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
-    last = value >= top.min(axis=1)[row] - room
+    last = value >= top.min(axis=1)[row]
     return row[last], col[last]
 
 
@@ -131,11 +145,11 @@ def best_in_block(
     x, ids = x[kept], ids[kept]
     k = min(k, len(ids))
     a, b = operands(q, x, metric)
-    room = 2 * (a.shape[1] + 8) * 2.0**-23
+    room = (a.shape[1] + 16) * 2.0**-23
     exact_step = max(1, EXACT_CELLS // q.shape[1])
     out = []
     for start in range(0, len(q), QUERY_TILE):
-        rows, cols = _candidates(a[start : start + QUERY_TILE], b, k, room)
+        rows, cols = _candidates(a[start : start + QUERY_TILE], b, k, room, metric == "l2")
         rows = rows + start
         scores = np.concatenate(
             [

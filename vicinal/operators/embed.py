@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,6 +15,9 @@ from pyspark.sql import types as T
 from vicinal.functions import text as X
 from vicinal.functions import vectors as V
 
+BLANKS = re.compile("[ \\t\\r\\n]+")
+#: Words whose place a task remembers.
+WORDS_HELD = 500_000
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -32,40 +37,65 @@ def row_chunks(
     return df.select(id_col, F.posexplode_outer(chunks).alias("chunk_no", "chunk"))
 
 
-def _dense(df: DataFrame, keys: Sequence[str], dim: int, out: str) -> DataFrame:
-    """(keys, bucket, s) rows to one array of ``dim`` numbers per key; at most ``dim`` rows per key."""
-    grouped = df.groupBy(*keys).agg(
-        F.map_from_entries(F.filter(F.collect_list(F.struct("bucket", "s")), lambda e: e["bucket"].isNotNull())).alias("__m")
-    )
-    every = F.sequence(F.lit(0), F.lit(dim - 1))
-    filled = V.let(
-        F.col("__m"),
-        lambda m: F.transform(every, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))),
-    )
-    return grouped.select(*keys, filled.alias(out))
+def _hashing_encoder(dim: int) -> Callable[[list[str]], np.ndarray]:
+    """Signed feature hashing of words between blanks, tabs and line ends; one row per text, not scaled."""
+    known: dict[str, tuple[int, float]] = {}
+
+    def place(word: str) -> tuple[int, float]:
+        found = known.get(word)
+        if found is None:
+            if len(known) >= WORDS_HELD:
+                known.clear()
+            h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+            found = known[word] = h % dim, 1.0 - 2.0 * (h // dim % 2)
+        return found
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim))
+        for row, text in zip(out, texts):
+            for word in BLANKS.split(text):
+                if word:
+                    at, sign = place(word)
+                    row[at] += sign
+        return out
+
+    return encode
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(length > 0, length, 1)
 
 
 def embed_hashing(df: DataFrame, text: str, keys: Sequence[str], dim: int = 64, out: str = "vec") -> DataFrame:
-    """Signed feature hashing of whitespace-separated words, as unit vectors. Runs without a model.
+    """(keys, vector): signed feature hashing of whitespace-separated words, as unit vectors. Runs without a model.
 
-    Words are added up per bucket on the map side, so at most ``dim`` numbers per text are shuffled,
-    however long the text is. A text without words gives the zero vector.
+    Texts are embedded where they lie; nothing is shuffled. A text without words, or a null, gives the zero vector.
     """
-    words = F.filter(F.split(F.col(text), "[ \\t\\r\\n]+"), lambda w: w != "")
-    hashed = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("bigint")
-    counted = (
-        df.select(*keys, F.explode_outer(words).alias("word"))
-        .select(*keys, hashed.alias("h"))
-        .select(
-            *keys,
-            (F.col("h") % dim).cast("int").alias("bucket"),
-            (1.0 - 2.0 * (F.floor(F.col("h") / dim) % 2)).alias("sign"),
-        )
-        .groupBy(*keys, "bucket")
-        .agg(F.sum("sign").alias("s"))
-    )
-    dense = _dense(counted, keys, dim, "__v")
-    return dense.select(*keys, V.l2_normalize(F.col("__v")).alias(out))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = _hashing_encoder(dim)
+        for texts in batches:
+            yield pd.Series(list(_units(encode(texts.fillna("").tolist()))))
+
+    return df.select(*keys, hashed(F.col(text)).alias(out))
+
+
+def _called(encoder: Encoder, texts: list[str], batch_rows: int) -> np.ndarray:
+    """Unit vectors from a caller's model, ``batch_rows`` texts at a time; malformed answers raise."""
+    parts = []
+    for start in range(0, len(texts), batch_rows):
+        values = texts[start : start + batch_rows]
+        if any(t is None or not t.strip() for t in values):
+            raise ValueError("blank text")
+        vectors = np.asarray(encoder(values), dtype=np.float64)
+        if vectors.ndim != 2 or len(vectors) != len(values):
+            raise RuntimeError("the model returned a matrix of the wrong shape")
+        if not np.isfinite(vectors).all():
+            raise RuntimeError("the model returned NaN or infinite values")
+        parts.append(_units(vectors).astype(np.float32))
+    return np.concatenate(parts) if parts else np.zeros((0, 0), np.float32)
 
 
 def embed_with(
@@ -87,19 +117,7 @@ def embed_with(
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make_encoder()
         for texts in batches:
-            if texts.isna().any() or (texts.str.strip() == "").any():
-                raise ValueError("blank text")
-            parts = []
-            for start in range(0, len(texts), batch_rows):
-                values = texts.iloc[start : start + batch_rows].tolist()
-                vectors = np.asarray(encoder(values), dtype=np.float64)
-                if vectors.ndim != 2 or len(vectors) != len(values):
-                    raise RuntimeError("the model returned a matrix of the wrong shape")
-                if not np.isfinite(vectors).all():
-                    raise RuntimeError("the model returned NaN or infinite values")
-                length = np.linalg.norm(vectors, axis=1, keepdims=True)
-                parts += list((vectors / np.where(length > 0, length, 1)).astype(np.float32))
-            yield pd.Series(parts)
+            yield pd.Series(list(_called(encoder, texts.tolist(), batch_rows)))
 
     return df.withColumn(out, encode(F.col(text)))
 
@@ -125,6 +143,27 @@ def mean_pool(df: DataFrame, key: str, vec: str = "vec", out: str = "vec") -> Da
     return means.select(key, _checked_unit(F.col("__m")).alias(out))
 
 
+def pooled(texts: Column, dim: int, make_encoder: Callable[[], Encoder] | None = None, batch_rows: int = 128) -> Column:
+    """Mean of the unit vectors of an array of texts, rescaled to length one."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def pool(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = _hashing_encoder(dim) if make_encoder is None else make_encoder()
+        for lists in batches:
+            flat = [t for texts in lists for t in texts]
+            if make_encoder is None:
+                vectors = _units(encoder(flat))
+            else:
+                vectors = _called(encoder, flat, batch_rows).astype(np.float64)
+            ends = np.cumsum([len(texts) for texts in lists])
+            means = [part.mean(axis=0) if len(part) else np.zeros(dim) for part in np.split(vectors, ends[:-1])]
+            if any(not 0 < np.linalg.norm(m) < np.inf for m in means):
+                raise ValueError("mean embedding has no direction")
+            yield pd.Series([m / np.linalg.norm(m) for m in means])
+
+    return pool(texts)
+
+
 def embed_rows(
     df: DataFrame,
     names: Sequence[str],
@@ -134,11 +173,14 @@ def embed_rows(
     per_chunk: int = 8,
     make_encoder: Callable[[], Encoder] | None = None,
     id_col: str = "sample_id",
+    features: str = "features",
+    keep: Sequence[str | Column] = (),
+    batch_rows: int = 128,
 ) -> DataFrame:
-    """(id, vec): chunk vectors of the row, averaged. Uses the hashing embedder unless a model is given."""
-    chunks = row_chunks(df, names, top_features=top_features, per_chunk=per_chunk, id_col=id_col)
-    if make_encoder is None:
-        vectors = embed_hashing(chunks, "chunk", [id_col, "chunk_no"], dim)
-    else:
-        vectors = embed_with(chunks, "chunk", make_encoder)
-    return mean_pool(vectors, id_col)
+    """(id, vec): chunk vectors of the row, averaged and rescaled. Uses the hashing embedder unless a model is given.
+
+    A row's chunks stay in the row: they are written, embedded and pooled without a shuffle.
+    """
+    selected = X.top_abs(F.col(features), top_features)
+    chunks = X.text_chunks(X.feature_statements(selected, F.lit(list(names))), per_chunk)
+    return df.select(*(keep or [id_col]), pooled(chunks, dim, make_encoder, batch_rows).alias("vec"))

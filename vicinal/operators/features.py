@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions.vectors import pick_positions
-from vicinal.operators.validate import require_features
+from vicinal.operators.validate import finite, require_features
 
 
 def rank_features(scores: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ class Scaler:
 def fit_scaler(df: DataFrame, features: str = "features") -> Scaler:
     """Two numbers per feature come back to the driver, however many rows there are."""
     stats = (
-        df.select(F.posexplode_outer(features).alias("pos", "value"))
+        df.select(F.posexplode_outer(finite(F.col(features))).alias("pos", "value"))
         .groupBy("pos")
         .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
         .orderBy("pos")
@@ -66,7 +66,9 @@ def fit_scaler(df: DataFrame, features: str = "features") -> Scaler:
 
 def standardize(df: DataFrame, scaler: Scaler, features: str = "features") -> DataFrame:
     """Z-scores with fitted statistics; a constant feature is only centred."""
-    centred = F.zip_with(F.col(features), F.lit(scaler.means), lambda x, m: x - m)
+    width = F.assert_true(F.size(features) == len(scaler.means), F.lit("vector length differs from the fitted one"))
+    values = F.when(width.isNull(), F.col(features))
+    centred = F.zip_with(values, F.lit(scaler.means), lambda x, m: x - m)
     return df.withColumn(
         features, F.zip_with(centred, F.lit([s if s > 0 else 1.0 for s in scaler.stds]), lambda x, s: x / s)
     )

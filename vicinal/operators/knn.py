@@ -4,14 +4,14 @@ Both sides are cut into blocks of bounded size; a task gets one pair of blocks,
 matrices and returns only the ``k`` best index rows of each query row. A window per query merges the
 blocks. Results are exact and totally ordered by (score, index id), so the block layout never shows.
 
-``knn_join`` compares every pair of blocks. ``knn_join_pruned`` groups the index around pivot vectors
+``knn_few`` sends a small query side to the index instead. ``knn_join`` compares every pair of blocks. ``knn_join_pruned`` groups the index around pivot vectors
 first and skips every group that the triangle inequality proves too far away.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +24,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from vicinal.functions import vectors as V
 from vicinal.config import METRICS
 from vicinal.operators.blocks import as_matrix, best_in_block
+from vicinal.operators.validate import finite
 from vicinal.session import parallelism
 
 BLOCK_BYTES = 64 * 1024 * 1024
 MIN_QUERY_BLOCK, MIN_INDEX_BLOCK = 256, 2048  # no smaller blocks just to have more of them
 PAIRS_PER_CORE = 4
 MOST_PARTITIONS = 20_000
+FEW_BYTES = 64 * 1024 * 1024  # of query vectors that every task may hold
 
 
 def score_name(metric: str) -> str:
@@ -45,7 +47,7 @@ def check_search(k: int, metric: str) -> None:
 
 def side_size(df: DataFrame, vec: str) -> tuple[int, int]:
     """(rows, vector length). Neither reads the vectors of the whole table; lengths are checked later."""
-    first = df.select(F.size(vec).alias("dim")).first()
+    first = df.where(F.col(vec).isNotNull()).select(F.size(vec).alias("dim")).first()
     return (df.count(), int(first["dim"])) if first else (0, 0)
 
 
@@ -174,6 +176,50 @@ def knn_join(
     return best_per_query(matches, k, metric, query_id, index_id)
 
 
+def knn_few(
+    queries: DataFrame,
+    index: DataFrame,
+    k: int,
+    metric: str = "cosine",
+    *,
+    query_id: str = "query_id",
+    index_id: str = "sample_id",
+    vec: str = "vec",
+    carry: Sequence[str] = ("label",),
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """As ``knn_join``, for queries of at most ``FEW_BYTES``: they travel to the index, which is read where it lies.
+
+    Only the best k rows of each query and block are shuffled. More queries than that are refused.
+    """
+    check_search(k, metric)
+    spark = queries.sparkSession
+    queries = queries.select(query_id, V.as_float(F.col(vec)).alias("vec"))
+    index = index.select(index_id, *carry, V.as_float(F.col(vec)).alias("vec"))
+    rows, dim = side_size(queries, "vec")
+    if rows * dim * 4 > FEW_BYTES:
+        raise ValueError(f"{rows} queries of length {dim} are too many to be sent to every task")
+    schema, arrow = _output(queries, index, query_id, index_id, carry, metric)
+    kernel = pair_kernel(k, metric, query_id, index_id, carry, arrow)
+    sent = spark.sparkContext.broadcast(queries.toArrow())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def block() -> Iterator[pa.RecordBatch]:
+            yield from kernel(sent.value, pa.Table.from_batches(held)).to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= block_bytes:
+                yield from block()
+                held = []
+        if held:
+            yield from block()
+
+    return best_per_query(index.mapInArrow(scan, schema), k, metric, query_id, index_id)
+
+
 def knn_single(
     index: DataFrame,
     vector: Sequence[float],
@@ -186,8 +232,12 @@ def knn_single(
 ) -> DataFrame:
     """Best k index rows for one vector: a scan with one expression and a bounded top-k."""
     check_search(k, metric)
+    if not np.isfinite(np.asarray(vector, dtype=np.float64)).all():
+        raise ValueError("null, NaN or infinite value in the query")
     query = V.as_float(F.lit([float(x) for x in vector]))
-    stored = V.as_float(F.col(vec))
+    stored = finite(V.as_float(F.col(vec)), "index")
+    same = F.assert_true(F.size(stored) == len(vector), F.lit(f"query length {len(vector)} differs from index length"))
+    stored = F.when(same.isNull(), stored)
     score = {"cosine": V.cosine, "ip": V.dot, "l2": V.squared_distance}[metric](stored, query)
     name = score_name(metric)
     by = F.col(name).asc() if metric == "l2" else F.col(name).desc()

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from vicinal.config import CLASS_NAMES
 
+MOST_CLASSES = 1000
+
 # Accepted label spellings, compared after trimming and lower-casing.
 LABEL_WORDS = {
     "0": 0,
@@ -51,18 +53,24 @@ def normalise_labels(df: DataFrame, raw: str, out: str = "label", strict: bool =
     return df.withColumn(out, value)
 
 
-def invalid_labels(df: DataFrame, raw: str, limit: int = 10) -> DataFrame:
-    """Distinct unknown spellings with their counts, the first ``limit`` in name order."""
+def invalid_labels(df: DataFrame, raw: str) -> DataFrame:
+    """Distinct unknown spellings with their counts."""
     checked = normalise_labels(df, raw, "__label")
     return (
         checked.filter(F.col("__label").isNull() & F.col(raw).isNotNull())
         .groupBy(F.col(raw).cast("string").alias("raw_label"))
         .agg(F.count("*").alias("n"))
-        .orderBy("raw_label")
-        .limit(limit)
     )
 
 
+def class_sizes(df: DataFrame, label: str = "label") -> dict:
+    """Rows per class, in the driver. A column that is no class label is refused rather than collected."""
+    rows = df.groupBy(label).count().limit(MOST_CLASSES + 1).collect()
+    if len(rows) > MOST_CLASSES:
+        raise ValueError(f"column {label!r} has more than {MOST_CLASSES} values and is no class label")
+    return {r[0]: r[1] for r in rows}
+
+
 def label_name(label: Column) -> Column:
     result = None
     for value, name in CLASS_NAMES.items():

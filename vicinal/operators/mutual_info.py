@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions.digamma import digamma
+from vicinal.operators.labels import class_sizes
+from vicinal.operators.validate import finite
 from vicinal.session import materialize
 
 NEIGHBORS = 3
@@ -26,7 +28,7 @@ RUN_ROWS = 2_000_000  # rows of one feature that a single task may walk through
 
 def value_counts(df: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
     """(pos, v, y, c): how often each class has each value of each feature."""
-    long = df.select(F.col(label).alias("y"), F.posexplode_outer(features).alias("pos", "v"))
+    long = df.select(F.col(label).alias("y"), F.posexplode_outer(finite(F.col(features))).alias("pos", "v"))
     # +0.0 turns a negative zero into zero
     return long.groupBy("pos", (F.col("v") + F.lit(0.0)).alias("v"), "y").agg(F.count("*").alias("c"))
 
@@ -129,7 +131,7 @@ def mutual_info(
     run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """(feature, score) in nats, clipped at 0. Classes with a single row are left out."""
-    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect() if r[1] > 1}
+    sizes = {y: size for y, size in class_sizes(df, label).items() if size > 1}
     n = sum(sizes.values())
     if not n:
         raise ValueError("no class has two rows")

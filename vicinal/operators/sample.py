@@ -71,7 +71,8 @@ def sample_rows(
     counts = _prefix_counts(keyed, group).cache()
     try:
         if balanced:
-            totals = {r[label]: r["n"] for r in counts.groupBy(label).agg(F.sum("n").alias("n")).collect()}
+            sums = counts.where(F.col(label).isin(0, 1)).groupBy(label).agg(F.sum("n").alias("n"))
+            totals = {r[label]: r["n"] for r in sums.collect()}
             size = min(totals.get(0, 0), totals.get(1, 0))
             if limit is not None:
                 size = min(size, int(limit) // 2)

@@ -18,6 +18,12 @@ def has_infinite(v: Column) -> Column:
     return F.coalesce(F.exists(v, lambda x: F.abs(x) == F.lit(float("inf"))), F.lit(False))
 
 
+def finite(v: Column, what: str = "features") -> Column:
+    """``v`` itself; a null array, or a null, NaN or infinite value in it, stops the job that reads it."""
+    bad = has_missing(v) | has_infinite(v)
+    return F.when(bad, F.raise_error(F.lit(f"null, NaN or infinite value in {what}"))).otherwise(v)
+
+
 def row_checks(
     n_features: int,
     features: str = "features",
@@ -108,13 +114,13 @@ def schema_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "pos", "full_outer").filter(~F.col("left_name").eqNullSafe(F.col("right_name")))
 
 
-def missing_features(required: DataFrame, present: DataFrame, limit: int = SAMPLE_NAMES) -> DataFrame:
-    """The first ``limit`` required (pos, name) that are not present, in position order."""
-    return required.join(present.select("name"), "name", "left_anti").orderBy("pos").select("pos", "name").limit(limit)
+def missing_features(required: DataFrame, present: DataFrame) -> DataFrame:
+    """Required (pos, name) that are not present."""
+    return required.join(present.select("name"), "name", "left_anti").select("pos", "name")
 
 
 def require_features(required: Sequence[str], present: Sequence[str]) -> None:
     have = set(present)
     missing = [name for name in required if name not in have]
     if missing:
-        raise ValueError(f"missing features: {missing[:SAMPLE_NAMES]}")
+        raise ValueError(f"{len(missing)} missing features: {missing[:SAMPLE_NAMES]}")

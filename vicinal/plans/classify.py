@@ -12,8 +12,9 @@ from vicinal.operators.embed import Encoder, embed_rows
 from vicinal.operators.features import fit_scaler, select_features, selected_names, standardize
 from vicinal.operators.mutual_info import mutual_info
 from vicinal.operators.search import nearest
+from vicinal.operators.validate import require_two_classes
 from vicinal.operators.vote import majority_vote
-from vicinal.session import materialize
+from vicinal.session import stored
 
 
 def choose_features(
@@ -33,6 +34,7 @@ def prepare(
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides with the chosen features, standardised with training statistics if asked for."""
     config.check()
+    require_two_classes(train)
     chosen = choose_features(train, names, config, scores)
     train, test = select_features(train, names, chosen), select_features(test, names, chosen)
     if config.standardize:
@@ -45,19 +47,20 @@ def with_vectors(
     df: DataFrame, names: Sequence[str], config: RunConfig, make_encoder: Callable[[], Encoder] | None = None
 ) -> DataFrame:
     """(sample_id, vec, raw, label). ``raw`` are the features, ``vec`` what is compared."""
-    rows = df.select("sample_id", F.col("features").cast("array<float>").alias("raw"), "label")
+    columns = ["sample_id", F.col("features").cast("array<float>").alias("raw"), "label"]
     if config.mode == "original":
-        return rows.withColumn("vec", F.col("raw"))
+        return df.select(*columns).withColumn("vec", F.col("raw"))
     vectors = embed_rows(
-        df.select("sample_id", "features"),
+        df,
         names,
+        keep=columns,
         dim=config.embedding_dim,
         top_features=config.top_features_per_row,
         per_chunk=config.features_per_chunk,
         make_encoder=make_encoder,
     )
     # text vectors are expensive, and sizing, search and reuse all read them
-    return materialize(rows.join(vectors, "sample_id"))
+    return stored(vectors, "vectors")
 
 
 def as_queries(vectors: DataFrame) -> DataFrame:

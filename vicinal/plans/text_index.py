@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vicinal.operators.embed import Encoder, embed_hashing, embed_with
 from vicinal.operators.knn import neighbor_metadata
 from vicinal.operators.search import nearest
-from vicinal.session import materialize
+from vicinal.session import stored
 
 
 def build_text_index(
@@ -18,12 +18,11 @@ def build_text_index(
 ) -> DataFrame:
     """``texts`` is (sample_id, text, label); adds ``vec``. The id is the caller's original index.
 
-    The result is computed once and kept, because sizing and every search read the vectors.
+    The result is computed once and kept by columns, so that sizing and search read the vectors alone.
     """
     if make_encoder is not None:
-        return materialize(embed_with(texts, "text", make_encoder))
-    vectors = embed_hashing(texts, "text", ["sample_id"], dim)
-    return materialize(texts.join(vectors, "sample_id"))
+        return stored(embed_with(texts, "text", make_encoder), "texts")
+    return stored(embed_hashing(texts, "text", texts.columns, dim), "texts")
 
 
 def search_text_index(queries: DataFrame, index: DataFrame, k: int = 5, metric: str = "l2") -> DataFrame:

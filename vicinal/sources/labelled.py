@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vicinal.operators.features import select_features
 from vicinal.operators.labels import normalise_labels
 from vicinal.operators.sample import sample_rows
 from vicinal.operators.validate import require, require_two_classes, validation_report
@@ -59,16 +60,29 @@ def pack(df: DataFrame, names: list[str], target: str, id_column: str | None) ->
 def scan_csv(
     spark: SparkSession, path: str, target: str | None = None, id_column: str | None = None
 ) -> LabelledTable:
-    """Labelled rows without checks of the values; what is not a number becomes null."""
+    """Labelled rows without checks of the values; what is not a number becomes null.
+
+    Every file of a folder must have the same header in the same order; another one stops the job that reads it. A label
+    column of numbers only is read as numbers, any other as words.
+    """
     header = csv_header(spark, path)
     target = check_header(header, target, id_column)
     names = [c for c in header if c not in (target, id_column)]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.csv(path, header=True, schema=schema)
+    raw = spark.read.option("enforceSchema", "false").csv(path, header=True, schema=schema)
     packed = pack(raw, names, target, id_column)
+    said = raw.select(F.col(f"`{target}`").alias("y"))
+    words = said.where(F.col("y").isNotNull() & F.col("y").try_cast("double").isNull())
+    if words.isEmpty():
+        packed = packed.withColumn("raw_label", F.col("raw_label").cast("double"))
     return LabelledTable(normalise_labels(packed, "raw_label").drop("raw_label"), names)
 
 
+def same_names(left: LabelledTable, right: LabelledTable) -> LabelledTable:
+    """``right`` with the features of ``left`` in its order; raises if one is missing."""
+    return LabelledTable(select_features(right.rows, right.names, left.names), left.names)
+
+
 def load_csv(
     spark: SparkSession,
     path: str,

@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.config import RunConfig
 
 INDEX_COLUMNS = ("sample_id", "vec", "raw", "label")
+FIRST_BATCH = "first"
+
+# Settings that decide the scores, and those that decide what an index holds.
+SCORING = ("target_column", "seed", "train_limit", "balance_train", "cache_version")
+SHAPING = SCORING + (
+    "top_k_features", "feature_order", "mode", "standardize",
+    "embedding_model", "embedding_dim", "top_features_per_row", "features_per_chunk",
+)
 
 
 # --- fingerprints ---------------------------------------------------------------------------------
@@ -28,69 +36,51 @@ def file_parts(spark: SparkSession, path: str) -> list[str]:
     return [str(digest["n"]), str(digest["x"]), str(digest["s"])]
 
 
-def vote_fingerprint(parts: Sequence[str], config: RunConfig, names: Sequence[str]) -> str:
-    values = [
-        *parts,
-        str(config.train_limit),
-        str(config.balance_train),
-        str(config.seed),
-        str(config.top_k_features),
-        config.embedding_model,
-        str(config.top_features_per_row),
-        str(config.features_per_chunk),
-        config.mode,
-        *names,
-    ]
-    return hashlib.sha256("\n".join(values).encode("utf-8")).hexdigest()
-
-
-def scores_fingerprint(parts: Sequence[str], config: RunConfig) -> str:
-    values = [*parts, str(config.train_limit), str(config.balance_train), str(config.seed), str(config.target_column)]
-    return hashlib.sha256("\n".join(values).encode("utf-8")).hexdigest()
-
-
-def fused_payload(parts: Sequence[str], config: RunConfig, names: Sequence[str], counts: dict[int, int]) -> str:
-    return json.dumps(
-        {
-            "version": config.cache_version,
-            "train_file": list(parts),
-            "training_rows": sum(counts.values()),
-            "training_classes": {str(k): v for k, v in counts.items()},
-            "training_limit": config.train_limit,
-            "balance_training": config.balance_train,
-            "features": list(names),
-            "seed": config.seed,
-            "embedding_model": config.embedding_model,
-            "top_features_per_sample": config.top_features_per_row,
-            "features_per_chunk": config.features_per_chunk,
-        },
-        sort_keys=True,
-    )
+def payload(
+    files: Sequence[str], config: RunConfig, names: Sequence[str], *, scores_only: bool = False, classes: dict | None = None, encoder: str = ""
+) -> str:
+    """Canonical JSON of everything that decides what is stored: inputs, names, settings, class sizes, the caller's encoder."""
+    settings = config.as_dict()
+    fields = SCORING if scores_only else SHAPING
+    content = {
+        "classes": None if classes is None else {str(k): v for k, v in classes.items()},
+        "encoder": encoder,
+        "files": list(files),
+        "names": list(names),
+        "purpose": "scores" if scores_only else "index",
+        "settings": {name: settings[name] for name in fields},
+    }
+    return json.dumps(content, sort_keys=True)
 
 
-def fused_fingerprint(parts: Sequence[str], config: RunConfig, names: Sequence[str], train: DataFrame) -> str:
-    counts = {int(r["label"]): int(r["n"]) for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    return hashlib.sha256(fused_payload(parts, config, names, counts).encode("utf-8")).hexdigest()
+def fingerprint(files: Sequence[str], config: RunConfig, names: Sequence[str], **more) -> str:
+    return hashlib.sha256(payload(files, config, names, **more).encode("utf-8")).hexdigest()
 
 
 # --- index tables ---------------------------------------------------------------------------------
 
 
-def _readable(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+def _finished(spark: SparkSession, path: str) -> bool:
+    """A table whose writer has left its success marker."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
-def _rows_path(path: str, signature: str) -> str:
-    return f"{path}/rows/{signature}"
+def _batch_path(path: str, build: str, batch: str) -> str:
+    return f"{path}/rows/{build}/{batch}"
 
 
 def index_exists(spark: SparkSession, path: str) -> bool:
-    """Both the metadata and the rows it names must be there."""
-    return _readable(spark, f"{path}/meta") and _readable(spark, _rows_path(path, index_meta(spark, path)["signature"]))
+    """Both the metadata and all batches of rows that it names must be complete."""
+    if not _finished(spark, f"{path}/meta"):
+        return False
+    meta = index_meta(spark, path)
+    return all(_finished(spark, _batch_path(path, meta["build"], b)) for b in meta["batches"])
+
+
+def _write_meta(spark: SparkSession, path: str, **values) -> None:
+    row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+    row.write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def save_index(rows: DataFrame, path: str, *, names: Sequence[str], config: RunConfig, signature: str) -> None:
@@ -99,23 +89,36 @@ def save_index(rows: DataFrame, path: str, *, names: Sequence[str], config: RunC
     Each fingerprint has its own folder of rows and the metadata is written last, so a build that breaks
     off never leaves new rows under an old fingerprint.
     """
-    spark = rows.sparkSession
-    rows.select(*INDEX_COLUMNS).write.mode("overwrite").parquet(_rows_path(path, signature))
-    meta = spark.range(1).select(
-        F.lit(signature).alias("signature"),
-        F.lit(config.mode).alias("retrieval_mode"),
-        F.lit(config.embedding_model).alias("model_name"),
-        F.lit(config.top_features_per_row).alias("top_features_per_row"),
-        F.lit(config.features_per_chunk).alias("features_per_chunk"),
-        F.lit(list(names)).alias("feature_names"),
+    rows.select(*INDEX_COLUMNS).write.mode("overwrite").parquet(_batch_path(path, signature, FIRST_BATCH))
+    _write_meta(
+        rows.sparkSession,
+        path,
+        signature=signature,
+        build=signature,
+        batches=[FIRST_BATCH],
+        retrieval_mode=config.mode,
+        model_name=config.embedding_model,
+        top_features_per_row=config.top_features_per_row,
+        features_per_chunk=config.features_per_chunk,
+        feature_names=list(names),
     )
-    meta.write.mode("overwrite").parquet(f"{path}/meta")
 
 
-def append_index(rows: DataFrame, path: str) -> None:
-    """Add another batch of rows to a stored index. The order of batches does not matter."""
-    signature = index_meta(rows.sparkSession, path)["signature"]
-    rows.select(*INDEX_COLUMNS).write.mode("append").parquet(_rows_path(path, signature))
+def append_index(rows: DataFrame, path: str, batch: str) -> str:
+    """Add a named batch of rows to a stored index and return its new fingerprint.
+
+    A batch that is sent again replaces itself, so a retry repeats no row. The fingerprint goes on with the names of the
+    batches: whoever asks for the index without them does not get it.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9.-]+", batch) or batch == FIRST_BATCH:
+        raise ValueError(f"{batch!r} is no name for a batch")
+    spark = rows.sparkSession
+    meta = index_meta(spark, path)
+    rows.select(*INDEX_COLUMNS).write.mode("overwrite").parquet(_batch_path(path, meta["build"], batch))
+    batches = sorted({*meta["batches"]} - {FIRST_BATCH} | {batch})
+    signature = hashlib.sha256("\n".join([meta["build"], *batches]).encode("utf-8")).hexdigest()
+    _write_meta(spark, path, **meta | {"batches": [FIRST_BATCH, *batches], "signature": signature})
+    return signature
 
 
 def index_meta(spark: SparkSession, path: str) -> dict:
@@ -127,7 +130,7 @@ def load_index(spark: SparkSession, path: str, mode: str | None = None) -> tuple
     meta = index_meta(spark, path)
     if mode is not None and meta["retrieval_mode"] != mode:
         raise ValueError(f"index was built for mode {meta['retrieval_mode']!r}, not {mode!r}")
-    return spark.read.parquet(_rows_path(path, meta["signature"])), meta
+    return spark.read.parquet(*[_batch_path(path, meta["build"], b) for b in meta["batches"]]), meta
 
 
 def cached_index(
@@ -153,7 +156,7 @@ def cached_index(
 def cached_scores(spark: SparkSession, root: str, signature: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """(feature, score) for a fingerprint, computed and stored on first use."""
     path = f"{root}/signature={signature}"
-    if not _readable(spark, path):
+    if not _finished(spark, path):
         compute().select("feature", "score").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

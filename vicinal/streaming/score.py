@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vicinal.operators.knn import grid_shape, knn_join, side_size
+from vicinal.operators.search import nearest
 from vicinal.operators.vote import majority_vote
-from vicinal.session import parallelism
 
 
 def score_stream(
@@ -17,14 +16,11 @@ def score_stream(
     """Vote for every arriving (query_id, vec) and write the votes as Parquet below ``sink``.
 
     Each micro-batch writes its own folder and replaces it if the batch is repeated, so a restart
-    leaves no duplicates. The stream processes what is available and stops.
+    leaves no duplicates. A batch travels to the index, which is not shuffled. The stream processes what is available and stops.
     """
-    n_index, dim = side_size(index, "vec")
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        grid = grid_shape(batch.count(), n_index, dim, parallelism(spark))
-        votes = majority_vote(knn_join(batch, index, k, metric, grid=grid))
+        votes = majority_vote(nearest(batch, index, k, metric))
         votes.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return (
