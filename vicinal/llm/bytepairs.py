@@ -9,7 +9,6 @@ way.
 from __future__ import annotations
 
 import base64
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -17,16 +16,19 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinal.llm.rows import keyed
-from vicinal.session import stored
 
 #: Bytes of text that a block holds at least before it is closed; larger blocks send fewer words, but need more memory.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Words whose ids a task remembers. Beyond that it starts anew, so a later copy of a word is encoded again.
-WORDS_HELD = 2_000_000
+WORDS_HELD = 400_000
+#: Pre-tokens that are put together at once.
+TEXT_WORDS = 500_000
 #: White space that does not stand alone between two other characters.
 GAPS = regex.compile(r"\s\s|^\s|\s$")
 
@@ -112,35 +114,35 @@ def _split(raw: bytes) -> tuple[bytes, np.ndarray]:
 def _explode(pattern: str, buckets: int, block_bytes: int):
     """A block is a row with its texts as numbers, and for each bucket a row with its words of that bucket.
 
-    A word's number in the texts is (place in its bucket) * buckets + bucket: known at the other end without being sent,
-    and small for words that come early, which are the frequent ones.
+    A word's number in the texts is (place in its bucket) * buckets + bucket: known at the other end without being sent, and
+    small for frequent words, which come first in their bucket. A block is named by its task and its place in the task's
+    output, so a task that runs again gives its blocks the same names.
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = regex.compile(pattern)
+        name = TaskContext.get().partitionId() << 32
         words, rows, held = _Words(cut), [], 0
 
         def close() -> pa.RecordBatch:
             encoded = [w.encode() for w in words.number]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in encoded), np.int32, len(encoded))
-            order = np.argsort(bucket, kind="stable")
+            flat = np.concatenate([numbers for _, _, numbers in rows])
+            order = np.lexsort((-np.bincount(flat, minlength=len(encoded)), bucket))
             present, begin = np.unique(bucket[order], return_index=True)
             ends = np.append(begin[1:], len(order))
             renamed = np.empty(len(order), np.uint32)
             renamed[order] = (np.arange(len(order)) - np.repeat(begin, ends - begin)) * buckets + bucket[order]
-            packed = [_pack(renamed[numbers]) for _, _, numbers in rows]
+            sizes = _pack(np.fromiter((len(numbers) for _, _, numbers in rows), np.uint32, len(rows)))
             sent = [_strings([encoded[i] for i in order[a:b]]) for a, b in zip(begin, ends)]
-            ids = pa.concat_arrays([r[0] for r in rows])
-            keys = pa.array([r[1] for r in rows], pa.int64())
-            docs = pa.StructArray.from_arrays([ids, keys], names=["id", "__fp"])
+            docs = pa.StructArray.from_arrays([pa.concat_arrays([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())], names=["id", "__fp"])
             n = len(sent)
-            docs = pa.ListArray.from_arrays(pa.array([0, len(rows)] + [len(rows)] * n, pa.int32()), docs)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([uuid.uuid4().bytes] * (n + 1), pa.binary()),
+                    pa.array([name] * (n + 1), pa.int64()),
                     pa.array([-1, *present.tolist()], pa.int32()),
-                    docs,
-                    pa.array([_strings(packed), *sent], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(rows)] + [len(rows)] * n, pa.int32()), docs),
+                    pa.array([_strings([sizes, _pack(renamed[flat])]), *sent], pa.binary()),
                 ],
                 names=["block", "bucket", "docs", "data"],
             )
@@ -153,7 +155,7 @@ def _explode(pattern: str, buckets: int, block_bytes: int):
                 held += len(text)
                 if held >= block_bytes:
                     yield close()
-                    words, rows, held = _Words(cut), [], 0
+                    name, words, rows, held = name + 1, _Words(cut), [], 0
         if rows:
             yield close()
 
@@ -166,7 +168,10 @@ def _encode_words(ranks: dict[bytes, int], pattern: str):
         known: dict[bytes, bytes] = {}
         for batch in batches:
             answers = []
-            for raw in batch.column("data").to_pylist():
+            for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
+                if bucket < 0:
+                    answers.append(raw)
+                    continue
                 joined, ends = _split(raw)
                 begin, found = 0, []
                 for end in ends.tolist():
@@ -177,7 +182,8 @@ def _encode_words(ranks: dict[bytes, int], pattern: str):
                         ids = known[word] = np.array(coder.encode_ordinary(word.decode()), "<u4").tobytes()
                     found.append(ids)
                     begin = end
-                answers.append(_strings(found))
+                counts = np.fromiter(map(len, found), np.uint32, len(found)) // 4
+                answers.append(_strings([_pack(counts), _pack(np.frombuffer(b"".join(found), "<u4"))]))
                 if len(known) > WORDS_HELD:
                     known.clear()
             yield batch.set_column(batch.schema.get_field_index("data"), "data", pa.array(answers, pa.binary()))
@@ -200,32 +206,37 @@ def _assemble(buckets: int):
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).sort_by("bucket")
-        data = table.column("data").to_pylist()
-        joined, ends, before, words = [], [], 0, 0
-        first = np.zeros(buckets, np.int64)
+        data, parts, first, words = table.column("data").to_pylist(), [], np.zeros(buckets, np.int64), 0
+        sizes = []
         for bucket, raw in zip(table.column("bucket").to_pylist()[1:], data[1:]):
-            values, at = _split(raw)
-            first[bucket], words = words, words + len(at)
-            joined.append(values)
-            ends.append(at + before)
-            before += len(values)
-        joined, ends = b"".join(joined), np.concatenate(ends) if ends else np.zeros(0, np.int64)
-        packed, until = _split(data[0])
+            values, (middle, _) = _split(raw)
+            counts = _unpack(values[:middle]).astype(np.int64)
+            parts.append(_unpack(values[middle:]))
+            sizes.append(counts)
+            first[bucket], words = words, words + len(counts)
+        joined = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        ends = np.cumsum(np.concatenate(sizes)) * 4 if sizes else np.zeros(0, np.int64)
+        both, (middle, _) = _split(data[0])
+        counts, numbers = _unpack(both[:middle]).astype(np.int64), _unpack(both[middle:]).astype(np.int64)
         docs = table.column("docs")[0].values
+        upto = np.concatenate(([0], np.cumsum(counts)))
         begin = 0
-        for row, end in enumerate(until.tolist()):
-            numbers = _unpack(packed[begin:end])
-            ids, _ = _gather(joined, ends, first[numbers % buckets] + numbers // buckets, 4)
-            begin = end
+        while begin < len(counts):  # some texts at a time
+            end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + TEXT_WORDS, "right")) - 1)
+            part = numbers[upto[begin] : upto[end]]
+            ids, n = _gather(joined.tobytes(), ends, first[part % buckets] + part // buckets, 4)
+            tokens = np.concatenate(([0], np.cumsum(n)))[upto[begin : end + 1] - upto[begin]]
+            column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - begin, [None, pa.py_buffer((tokens * 4).astype(np.int64)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    docs.field("id").slice(row, 1),
-                    docs.field("__fp").slice(row, 1),
-                    pa.array([len(ids)], pa.int64()),
-                    pa.array([ids.tobytes()], pa.binary()),
+                    docs.field("id").slice(begin, end - begin),
+                    docs.field("__fp").slice(begin, end - begin),
+                    pa.array(np.diff(tokens)),
+                    column.cast(pa.binary()),
                 ],
                 names=["id", "__fp", "n_tokens", "ids"],
             )
+            begin = end
 
     return assemble
 
@@ -239,12 +250,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema["id"].dataType.simpleString()
-    schema = f"block binary, bucket int, docs array<struct<id:{id_type},__fp:bigint>>, data binary"
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = stored(rows.mapInArrow(_explode(pattern, buckets, block_bytes), schema), "pieces")
-    words = parts.where("bucket >= 0").repartition("bucket")
-    answers = words.mapInArrow(_encode_words(ranks, pattern), schema)
-    whole = parts.where("bucket < 0").unionByName(answers)
+    schema = f"block bigint, bucket int, docs array<struct<id:{id_type},__fp:bigint>>, data binary"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.mapInArrow(_explode(pattern, buckets, block_bytes), schema)
+    # words meet by bucket; texts go along, spread by block, so that both are made in one pass
+    parts = parts.repartition(F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("block")))
+    whole = parts.mapInArrow(_encode_words(ranks, pattern), schema)
     return whole.groupBy("block").applyInArrow(_assemble(buckets), f"id {id_type}, __fp bigint, n_tokens bigint, ids binary")
 
 
