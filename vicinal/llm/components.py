@@ -11,26 +11,21 @@ from vicinal.session import stored
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that can be reached, for every node that has a link.
 
-    ``links`` has columns a and b. Each round, every node hangs its larger neighbours below its smallest one, then its
-    smaller ones; paths at least halve, so the rounds grow with the logarithm of the longest path. A node's neighbours are
-    never gathered: all steps are minima, which are taken before the shuffle. Each round is written to the shared folder,
-    and only its count comes to the driver.
+    ``links`` has columns a and b. In each round, every node hangs its larger neighbours below its smallest one (large
+    star), then its smaller ones (small star); paths at least halve, so the rounds grow with the logarithm of the longest
+    path, and links never multiply. A node's neighbours are never gathered: all steps are minima, which are taken before
+    the shuffle. Each round is written to the shared folder, and only whether it has changed anything comes to the driver.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        # large star done; small star: the smaller neighbours of a node hang below the smallest of them
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = stored(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
-        # order does not matter to a sum of hashes: equal sums mean that no link has moved
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before is not None and tuple(now) == tuple(before):
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("u")).alias("moved"))
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.max("moved").alias("moved"))
+        others = large.join(lowest.select("u", "m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved"))
+        edges = stored(others.unionByName(lowest.select("u", F.col("m").alias("v"), "moved")), "links")
+        if not edges.agg(F.max("moved")).first()[0]:
             break
-        before = now
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
+        edges = edges.drop("moved")
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

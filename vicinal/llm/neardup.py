@@ -195,7 +195,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = stored(signed, "signatures")
     nodes = signed.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("id", KEY)).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = nodes.select("cls", "n", F.explode("bands").alias("bucket"))
-    buckets = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("cls", "n")).alias("pivot")).where("count > 1"), "buckets")
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("cls", "n")).alias("pivot")).where("count > 1")
     held = stored(members.join(buckets, "bucket"), "members")
 
     # every member of a bucket against its pivot
@@ -225,7 +225,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = rest.groupBy("bucket", "i", "j").applyInArrow(_chunk_links(percent), "a binary, b binary")
     more = stored(more, "more")
     if not more.isEmpty():
-        found = components(stored(links.unionByName(more), "all"))
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     per_row = signed.select("id", KEY, "n_shingles", "cls").join(found, F.col("cls") == F.col("node"), "left")
     per_row = stored(per_row.select("id", KEY, "n_shingles", F.coalesce("component", "cls").alias("component")), "labelled")

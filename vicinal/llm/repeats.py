@@ -3,18 +3,20 @@
 A window of 35 words can only occur twice if the shorter windows inside it do. So windows are compared at 9 words, those
 that repeat are extended to 18, and what is left to 35. At every length a window of 35 is looked up by one shorter window
 in it, the one with the smallest number, so that equal windows are looked up by the same. Neighbouring windows with the
-same look-up form a run; a group whose runs are all equal is settled, a look-up that occurs once is dropped, and only
-groups of different runs go on to the next length, until no candidates survive.
+same look-up form a run. A look-up that occurs once is dropped and equal runs are settled. Where one look-up has different
+runs, one run of each kind goes on to the next length, as a candidate and as a witness for the others, until no candidates
+survive.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.llm import words as W
@@ -24,7 +26,7 @@ from vicinal.session import stored
 WINDOW = 35
 SHORTEST = 9
 #: Runs of all documents (24 bytes each) below which they are broadcast to the scan of the texts; else texts are shuffled.
-BROADCAST_RUNS = 3_000_000
+BROADCAST_RUNS = 1_000_000
 FACTOR = 0x2545F4914F6CDD1D
 
 
@@ -115,25 +117,41 @@ def _with_runs(rows: DataFrame, runs: DataFrame, name: str, how: str) -> DataFra
     return rows.join(lists, rows["id"].eqNullSafe(lists["__lid"]) & (rows[KEY] == lists["__lfp"]), how).drop("__lid", "__lfp")
 
 
+def _merged(runs: DataFrame) -> DataFrame:
+    """Runs of a text that touch or overlap as one."""
+    by_start = Window.partitionBy("id", KEY).orderBy("start")
+    before = F.max(F.col("start") + F.col("count")).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
+    no = F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0))
+    joined = runs.withColumn("new", new).withColumn("no", no).groupBy("id", KEY, "no")
+    joined = joined.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("count")).alias("end"))
+    return joined.select("id", KEY, "start", (F.col("end") - F.col("start")).alias("count"))
+
+
 def repeated_windows(rows: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
-    """(id, __fp, start, count): runs of window starts whose windows occur elsewhere. ``rows`` as from ``rows.keyed``."""
+    """(id, __fp, start, count): runs of window starts whose windows occur elsewhere. ``rows`` as from ``rows.keyed``.
+
+    The runs of a level are computed twice rather than stored, which takes less disk than reading the texts takes time.
+    """
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"gram bigint, content bigint, id {id_type}, {KEY} bigint, start int, count int"
-    settled, source, open_only = None, rows.select("id", KEY, "text"), False
+    settled, source, open_only = [], rows.select("id", KEY, "text"), False
     for length in lengths(window, shortest):
-        found = stored(source.mapInArrow(_level(length, window, open_only), schema), f"windows{length}")
+        found = source.mapInArrow(_level(length, window, open_only), schema)
         # at full length a window is its own look-up, and both numbers, 128 bits, must agree
         by = ["gram", "content"] if length == window else ["gram"]
         groups = found.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("x"), F.max("content").alias("y"))
         groups = groups.where("n > 1").select(*by, (F.col("x") == F.col("y")).alias("same"))
-        level = stored(found.join(groups, by).select("id", KEY, "start", "count", "same"), f"repeats{length}")
-        done = level.where("same").select("id", KEY, "start", "count")
-        settled = done if settled is None else settled.unionByName(done)
-        rest = level.where(~F.col("same"))
-        if rest.isEmpty():
+        level = stored(found.join(groups, by), f"repeats{length}")
+        settled.append(level.where("same"))
+        mixed = level.where(~F.col("same"))
+        one = F.min(F.struct("id", KEY, "start", "count")).alias("one")
+        kinds = stored(mixed.groupBy("gram", "content").agg(F.count(F.lit(1)).alias("n"), one), f"kinds{length}")
+        if kinds.isEmpty():
             break
-        source, open_only = _with_runs(rows, rest.distinct(), "open", "inner").select("id", KEY, "text", "open"), True
-    return settled
+        settled.append(mixed.join(kinds.where("n > 1").select("gram", "content"), ["gram", "content"]))
+        source, open_only = _with_runs(rows, kinds.select("one.*"), "open", "inner").select("id", KEY, "text", "open"), True
+    return reduce(DataFrame.unionByName, [part.select("id", KEY, "start", "count") for part in settled])
 
 
 def _remove(window: int):
@@ -173,6 +191,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema["id"].dataType.simpleString()
-    with_runs = _with_runs(rows, repeated_windows(rows, window, shortest).distinct(), "repeats", "left")
+    runs = stored(_merged(repeated_windows(rows, window, shortest)), "repeats")
+    with_runs = _with_runs(rows, runs, "repeats", "left")
     out = f"id {id_type}, {KEY} bigint, n_words bigint, n_removed bigint, kept_text string"
     return with_runs.select("id", KEY, "text", "repeats").mapInArrow(_remove(window), out)
