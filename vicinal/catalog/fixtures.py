@@ -49,10 +49,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, "[ \\t\\r\\n]+"), lambda w: w != "")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents with five counted features; unbalanced and full of ties."""
+def documents(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
+    """Documents with five counted features; unbalanced and full of ties. All of them, or those with a label."""
     text = F.col("text")
-    rows = spread(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id")
+    rows = spread(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id", "inner" if labelled else "left")
 
     def counted(w: Column) -> Column:
         letters = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))

@@ -60,6 +60,7 @@ docs AS (
           CAST(list_unique(w) AS DOUBLE),
           coalesce(CAST(list_sum(list_transform(w, lambda x: length(x))) AS DOUBLE) / nullif(len(w), 0), 0)] AS features
   FROM docs0)"""
+ALL_DOCUMENTS = DOCUMENTS.replace("JOIN labels", "LEFT JOIN labels")
 LINES = """
 lines AS (
   SELECT [l_quantity, l_extendedprice, l_discount, l_tax, CAST(l_linenumber AS DOUBLE)] AS features,
@@ -125,9 +126,9 @@ dim AS (SELECT CAST(row_number() OVER (ORDER BY g, ord) - 1 AS INT) AS pos, feat
                feature_group, CAST(ord AS INT) AS ord, description FROM dim0)"""
 STATS = "stats AS (SELECT pos, count(*) AS n, avg(v) AS mean, max(abs(v)) AS largest FROM long GROUP BY pos)"
 put("feature_dim", VECTORS, LONG, STATS, DIM,
-    "SELECT dim.pos, name, feature_group, ord, n, round(mean, 6) AS mean FROM stats JOIN dim ON stats.pos = dim.pos")
+    "SELECT dim.pos, name, feature_group, ord, n, round(mean, 6) AS mean FROM dim LEFT JOIN stats ON stats.pos = dim.pos")
 put("feature_descriptions", VECTORS, LONG, STATS, DIM,
-    "SELECT name, description, round(largest, 6) AS largest FROM stats JOIN dim ON stats.pos = dim.pos")
+    "SELECT name, description, round(largest, 6) AS largest FROM dim LEFT JOIN stats ON stats.pos = dim.pos")
 
 put("predictions_vote", SIDES, knn(Q.K_NEAREST), VOTES,
     f"SELECT query_id, {NAME_OF.format('prediction')} AS prediction, {NAME_OF.format('true_label')} AS true_label, "
@@ -296,7 +297,7 @@ put("top_abs_features", VECTORS, LONG, """
 ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY abs(CAST(v AS FLOAT)) DESC, pos) AS r FROM long),
 kept AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY pos) - 1 AS slot FROM ranked WHERE r <= 10)""",
     "SELECT sample_id, CAST(slot AS INT) AS slot, CAST(pos AS INT) AS pos, round(v, 6) AS value FROM kept")
-put("standardize", DOCUMENTS, """
+put("standardize", ALL_DOCUMENTS, """
 d_long AS (SELECT sample_id, unnest(features) AS v, unnest(range(len(features))) AS pos FROM docs),
 d_fit AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS s FROM d_long GROUP BY pos)""",
     "SELECT sample_id, CAST(pos AS INT) AS pos, round((v - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 6) AS value "
@@ -308,7 +309,7 @@ _nn_similarity = "SELECT query_id, rank, sample_id, label, round(s, 6) AS simila
 put("knn_cosine", SIDES, knn(Q.K_NEAREST), _nn_similarity)
 put("knn_inner_product", SIDES, knn(Q.K_NEAREST, "ip"), _nn_similarity)
 put("knn_l2", SIDES, knn(Q.K_NEAREST, "l2"), _nn_similarity.replace("similarity", "distance"))
-put("knn_pruned", DOCUMENTS, """
+put("knn_pruned", ALL_DOCUMENTS, """
 f AS (SELECT sample_id, label, list_transform(features, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE)) AS v FROM docs),
 q AS (SELECT sample_id AS query_id, v FROM f),
 i AS (SELECT sample_id, v, label FROM f)""", knn(Q.K_NEAREST, "l2"), _nn_similarity.replace("similarity", "distance"))
@@ -398,7 +399,7 @@ def items(v: str, n: str) -> str:
 
 put("display_vector", VECTORS,
     f"SELECT sample_id, array_to_string({items('features', '5')}, ', ') AS displayed FROM vectors")
-put("l2_normalize", DOCUMENTS,
+put("l2_normalize", ALL_DOCUMENTS,
     "n AS (SELECT sample_id, features, sqrt(list_sum(list_transform(features, lambda x: x * x))) AS s FROM docs), "
     "u AS (SELECT sample_id, s, unnest(features) AS v, unnest(range(len(features))) AS pos FROM n)",
     "SELECT sample_id, CAST(pos AS INT) AS pos, round(CASE WHEN s > 0 THEN v / s ELSE v END, 6) AS value FROM u")
@@ -556,7 +557,13 @@ dense AS (SELECT id AS sample_id, list(coalesce(x, 0) ORDER BY b) AS v
 q AS (SELECT sample_id AS query_id, v, label AS true_label FROM dense JOIN vectors USING (sample_id) WHERE split = 'test'),
 i AS (SELECT sample_id, v, label FROM dense JOIN vectors USING (sample_id) WHERE split = 'train')""", knn(Q.K_NEAREST), VOTES,
     "SELECT query_id, prediction, true_label, votes_0, votes_1 FROM votes JOIN q USING (query_id)")
-put("text_index_search", DOCUMENTS, hashing("docs", "sample_id", "text", "hv"), """
+put("run_vote", ORACLES["classify_vote_original"].removeprefix("WITH ").rsplit("SELECT query_id, prediction", 1)[0],
+    f"SELECT query_id, {NAME_OF.format('prediction')} AS written, true_label, votes_0, votes_1 FROM votes JOIN q USING (query_id)")
+ORACLES["run_fused"] = ORACLES["classify_fused"]
+put("prompt_hooks", "SELECT query_id, variant, true AS fits FROM "
+    "(SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 5 = 0), (SELECT unnest(['normal', 'reversed', 'compact']) AS variant)")
+put("dataset_roundtrip", DOCUMENTS, "SELECT sample_id, md5(text) AS text_md5, label FROM docs")
+put("text_index_search", ALL_DOCUMENTS, hashing("docs", "sample_id", "text", "hv"), """
 dense AS (SELECT id AS sample_id, list(CAST(CAST(coalesce(x, 0) AS FLOAT) AS DOUBLE) ORDER BY b) AS v
           FROM (SELECT sample_id AS id, unnest(range(64)) AS b FROM docs) g LEFT JOIN hv ON id = sample_id AND b = bucket
           GROUP BY id),

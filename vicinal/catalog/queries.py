@@ -28,6 +28,7 @@ from vicinal.operators import vote as VT
 from vicinal.operators.pruned import knn_join_pruned
 from vicinal.plans.classify import vote_classification
 from vicinal.plans.fused import budgeted_prompts, fused_classification, prompt_cases
+from vicinal.plans import runs as R
 from vicinal.plans.sweep import sweep_k, sweep_settings
 from vicinal.plans.text_index import build_text_index, search_text_index
 from vicinal.session import materialize, scratch_path, spread
@@ -112,13 +113,13 @@ def _feature_stats(spark, sf):
 
 @query
 def q_feature_dim(spark, sf):
-    named = _feature_stats(spark, sf).join(feature_dim(spark), "pos")
+    named = feature_dim(spark).join(_feature_stats(spark, sf), "pos", "left")
     return named.select("pos", "name", F.col("group").alias("feature_group"), "ord", "n", r6("mean", "mean"))
 
 
 @query
 def q_feature_descriptions(spark, sf):
-    named = _feature_stats(spark, sf).join(feature_dim(spark), "pos", "left")
+    named = feature_dim(spark).join(_feature_stats(spark, sf), "pos", "left")
     return named.select("name", F.coalesce("description", "name").alias("description"), r6("largest", "largest"))
 
 
@@ -208,6 +209,14 @@ def q_index_append(spark, sf):
     return found.select("query_id", "rank", "sample_id", r6("similarity", "similarity"))
 
 
+@query
+def q_dataset_roundtrip(spark, sf):
+    path = scratch_path(spark, "dataset")
+    ST.save_dataset(X.documents(spark, sf).select("sample_id", "text", "label"), path)
+    stored = ST.load_dataset(spark, path, "text")
+    return stored.select("sample_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "label")
+
+
 @query
 def q_fingerprint(spark, sf):
     rows = X.documents(spark, sf).drop("text")
@@ -328,7 +337,7 @@ def q_mutual_info_binned(spark, sf):
 
 @query
 def q_standardize(spark, sf):
-    rows = X.documents(spark, sf).drop("text")
+    rows = X.documents(spark, sf, labelled=False).drop("text")
     return long_form(FT.standardize(rows, FT.fit_scaler(rows)), "sample_id", "features")
 
 
@@ -354,7 +363,7 @@ def q_knn_l2(spark, sf):
 
 @query
 def q_knn_pruned(spark, sf):
-    rows = X.documents(spark, sf).select("sample_id", "label", F.col("features").cast("array<float>").alias("vec"))
+    rows = X.documents(spark, sf, labelled=False).select("sample_id", "label", F.col("features").cast("array<float>").alias("vec"))
     index = materialize(rows)
     queries = index.select(F.col("sample_id").alias("query_id"), "vec")
     found = knn_join_pruned(queries, index, K_NEAREST, "l2", cells=16)
@@ -457,7 +466,7 @@ def q_display_vector(spark, sf):
 
 @query
 def q_l2_normalize(spark, sf):
-    rows = X.documents(spark, sf).withColumn("features", V.l2_normalize(F.col("features")))
+    rows = X.documents(spark, sf, labelled=False).withColumn("features", V.l2_normalize(F.col("features")))
     return long_form(rows, "sample_id", "features")
 
 
@@ -603,9 +612,59 @@ def q_classify_fused(spark, sf):
     return results.select("query_id", "prediction", "true_label", "pred_type", "decision_source", "mv_margin")
 
 
+def _csv_sides(spark, sf):
+    """Train and test as CSV; the test file has its columns in another order."""
+    paths = []
+    for side, names in zip(X.vector_split(spark, sf), (X.VECTOR_NAMES, X.VECTOR_NAMES[::-1])):
+        path = scratch_path(spark, "side-csv")
+        rows = FT.select_features(side, X.VECTOR_NAMES, names).withColumn("label", L.label_name(F.col("label")))
+        CSV.write_csv(CSV.unpack(rows, names, ["sample_id"]), path)
+        paths.append(path)
+    return paths
+
+
+@query
+def q_run_vote(spark, sf):
+    paths, store, out = _csv_sides(spark, sf), scratch_path(spark, "run"), scratch_path(spark, "run-out")
+    config = RunConfig(k=K_NEAREST, top_k_features=TOP_FEATURES)
+    for _ in range(2):  # the second run finds scores and index
+        votes, report = R.run_vote(spark, *paths, config, store, out, id_column="sample_id")
+    written = spark.read.parquet(out).select("query_id", F.col("prediction").alias("written"))
+    return written.join(votes, "query_id").select("query_id", "written", "true_label", "votes_0", "votes_1")
+
+
+@query
+def q_run_fused(spark, sf):
+    store, out = scratch_path(spark, "run"), scratch_path(spark, "run-out")
+    config = RunConfig(k=K_NEAREST)
+    results = R.run_fused(
+        spark, *_csv_sides(spark, sf), config, store, out, id_column="sample_id", answers=X.answers(spark, sf), descriptions=feature_descriptions()
+    )
+    return results.select("query_id", "prediction", "true_label", "pred_type", "decision_source", "mv_margin")
+
+
+def chat_template(chat: Column) -> Column:
+    """A caller's template: every turn between marks."""
+    turns = F.transform(chat, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>"), m["content"], F.lit("<|end|>")))
+    return F.concat(F.array_join(turns, ""), F.lit("<|assistant|>"))
+
+
+def letter_count(text: Column) -> Column:
+    """A caller's token counter: four characters are a token."""
+    return F.ceil(F.length(text) / 4).cast("int")
+
+
+@query
+def q_prompt_hooks(spark, sf):
+    found = budgeted_prompts(cases(spark, sf), RunConfig(k=K_NEAREST, max_prompt_tokens=2 * TIGHT_BUDGET), letter_count, chat_template)
+    shape = F.col("prompt").startswith("<|system|>") & F.col("prompt").endswith("<|end|><|assistant|>")
+    right = shape & (F.col("prompt_tokens") == letter_count(F.col("prompt"))) & (F.col("prompt_tokens") <= 2 * TIGHT_BUDGET)
+    return found.select("query_id", "variant", right.alias("fits"))
+
+
 @query
 def q_text_index_search(spark, sf):
-    texts = X.documents(spark, sf).select("sample_id", "text", "label")
+    texts = X.documents(spark, sf, labelled=False).select("sample_id", "text", "label")
     index = build_text_index(texts)
     queries = index.select(F.col("sample_id").alias("query_id"), "vec")
     found = search_text_index(queries, index, k=3)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,25 +144,24 @@ def mean_pool(df: DataFrame, key: str, vec: str = "vec", out: str = "vec") -> Da
     return means.select(key, _checked_unit(F.col("__m")).alias(out))
 
 
-def pooled(texts: Column, dim: int, make_encoder: Callable[[], Encoder] | None = None, batch_rows: int = 128) -> Column:
-    """Mean of the unit vectors of an array of texts, rescaled to length one."""
+def pooled(df: DataFrame, texts: str, dim: int, make_encoder: Callable[[], Encoder] | None = None, batch_rows: int = 128, out: str = "vec") -> DataFrame:
+    """Adds the mean of the unit vectors of an array of texts, rescaled to length one, and drops the texts."""
+    kept = df.drop(texts)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def pool(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _hashing_encoder(dim) if make_encoder is None else make_encoder()
-        for lists in batches:
-            flat = [t for texts in lists for t in texts]
-            if make_encoder is None:
-                vectors = _units(encoder(flat))
-            else:
-                vectors = _called(encoder, flat, batch_rows).astype(np.float64)
-            ends = np.cumsum([len(texts) for texts in lists])
+        for batch in batches:
+            lists = batch.column(texts).to_pylist()
+            flat = [t for parts in lists for t in parts]
+            vectors = _units(encoder(flat)) if make_encoder is None else _called(encoder, flat, batch_rows).astype(np.float64)
+            ends = np.cumsum([len(parts) for parts in lists])
             means = [part.mean(axis=0) if len(part) else np.zeros(dim) for part in np.split(vectors, ends[:-1])]
             if any(not 0 < np.linalg.norm(m) < np.inf for m in means):
                 raise ValueError("mean embedding has no direction")
-            yield pd.Series([m / np.linalg.norm(m) for m in means])
+            column = pa.array([m / np.linalg.norm(m) for m in means], pa.list_(pa.float64()))
+            yield batch.drop_columns([texts]).append_column(out, column)
 
-    return pool(texts)
+    return df.mapInArrow(pool, T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
 def embed_rows(
@@ -183,4 +183,5 @@ def embed_rows(
     """
     selected = X.top_abs(F.col(features), top_features)
     chunks = X.text_chunks(X.feature_statements(selected, F.lit(list(names))), per_chunk)
-    return df.select(*(keep or [id_col]), pooled(chunks, dim, make_encoder, batch_rows).alias("vec"))
+    rows = df.select(*(keep or [id_col]), chunks.alias("__chunks"))
+    return pooled(rows, "__chunks", dim, make_encoder, batch_rows)

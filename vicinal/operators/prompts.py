@@ -47,6 +47,8 @@ CLOSING_TEXT = "Classify the query from the retrieved evidence.\nAnswer with exa
 ITEM_SEPARATOR = ", "
 
 Counter = Callable[[Column], Column]
+#: A chat template: from an array of (role, content) to the text the model reads.
+Template = Callable[[Column], Column]
 
 
 def variant_rows(count: int) -> Column:
@@ -232,8 +234,9 @@ def fit_budget_by_text(
     max_features: int = 20,
     min_features: int = 3,
     query_id: str = "query_id",
+    template: Template = render,
 ) -> DataFrame:
-    """The same choice with any counter, a pandas UDF around a tokenizer for instance.
+    """The same choice with any counter, a pandas UDF around a tokenizer for instance, and any chat template.
 
     Builds the text of every combination of examples and features, so it costs more by that factor.
     (query_id, variant_no, variant, n_examples, n_features, prompt, prompt_tokens)
@@ -252,7 +255,7 @@ def fit_budget_by_text(
     options = options.withColumn("n_examples", _limits(compact, F.col("__pair.e"))).withColumn(
         "n_features", _limits(compact, F.col("__pair.f"))
     )
-    texts = options.withColumn("prompt", render(messages(user_text(F.col("n_examples"), F.col("n_features")))))
+    texts = options.withColumn("prompt", template(messages(user_text(F.col("n_examples"), F.col("n_features")))))
     counted = texts.select(
         query_id, "variant_no", "variant", "__no", "n_examples", "n_features", "prompt",
         count(F.col("prompt")).alias("prompt_tokens"),

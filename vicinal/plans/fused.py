@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.config import RunConfig
-from vicinal.functions.text import display_labels
+from vicinal.functions.text import display_labels, token_count
 from vicinal.operators.answers import Generator, answer_with, vote_consensus
+from vicinal.operators.embed import Encoder
 from vicinal.operators.evidence import neighbor_evidence, prompt_examples, with_distance
 from vicinal.operators.fusion import fuse, result_rows
-from vicinal.operators.prompts import fit_budget, with_variants
+from vicinal.operators.prompts import Counter, Template, fit_budget, fit_budget_by_text, render, with_variants
 from vicinal.operators.search import nearest
 from vicinal.operators.vote import neighbor_lists
 from vicinal.plans.classify import as_queries, prepare, require_neighbors, with_vectors
@@ -34,14 +35,20 @@ def prompt_cases(
     return neighbor_evidence(neighbors).join(examples, "query_id")
 
 
-def budgeted_prompts(cases: DataFrame, config: RunConfig) -> DataFrame:
-    return fit_budget(
-        with_variants(cases, config.prompt_variants),
+def budgeted_prompts(
+    cases: DataFrame, config: RunConfig, count: Counter | None = None, template: Template | None = None
+) -> DataFrame:
+    """The largest prompts that fit. A caller's token counter or chat template prices whole texts."""
+    limits = dict(
         budget=config.max_prompt_tokens,
         max_examples=config.max_examples,
         max_features=config.max_features,
         min_features=config.min_features,
     )
+    variants = with_variants(cases, config.prompt_variants)
+    if count is None and template is None:
+        return fit_budget(variants, **limits)
+    return fit_budget_by_text(variants, count or token_count, template=template or render, **limits)
 
 
 def fused_classification(
@@ -51,24 +58,50 @@ def fused_classification(
     config: RunConfig,
     *,
     answers: DataFrame | None = None,
-    make_generator: Callable[[], Generator] | None = None,
+    make_generator: Callable[[int], Generator] | None = None,
     descriptions: dict[str, str] | None = None,
     scores: DataFrame | None = None,
+    make_encoder: Callable[[], Encoder] | None = None,
+    count: Counter | None = None,
+    template: Template | None = None,
 ) -> DataFrame:
-    """Full result rows. Give either ``answers`` (query_id, variant, raw) or a model."""
-    if (answers is None) == (make_generator is None):
-        raise ValueError("give either answers or make_generator")
+    """Full result rows. Give either ``answers`` (query_id, variant, raw) or a model.
+
+    ``make_encoder``, ``count`` and ``template`` are the caller's text encoder, token counter and chat template;
+    ``make_generator`` is called with ``max_new_tokens`` and returns the function that answers prompts.
+    """
     train, test, chosen = prepare(train, test, names, config, scores)
-    index = with_vectors(train, chosen, config)
+    index = with_vectors(train, chosen, config, make_encoder)
     require_neighbors(index, config.k)
-    queries = as_queries(with_vectors(test, chosen, config))
+    queries = as_queries(with_vectors(test, chosen, config, make_encoder))
+    return fused_from_sides(
+        index, queries, chosen, config, answers=answers, make_generator=make_generator, descriptions=descriptions, count=count, template=template
+    )
+
+
+def fused_from_sides(
+    index: DataFrame,
+    queries: DataFrame,
+    chosen: Sequence[str],
+    config: RunConfig,
+    *,
+    answers: DataFrame | None = None,
+    make_generator: Callable[[int], Generator] | None = None,
+    descriptions: dict[str, str] | None = None,
+    count: Counter | None = None,
+    template: Template | None = None,
+) -> DataFrame:
+    """The same from an index (sample_id, vec, raw, label) and queries (query_id, vec, raw, true_label)."""
+    if (answers is None) == (make_generator is None):
+        raise ValueError("give either answers or make_generator")
     # narrow and read four times below
     neighbors = materialize(nearest(queries, index, config.k))
     cases = prompt_cases(neighbors, queries, index, chosen, descriptions or {}, config)
-    prompts = budgeted_prompts(cases, config)
+    prompts = budgeted_prompts(cases, config, count, template)
     kept = prompts.select("query_id", "variant_no", "variant", "prompt", "prompt_tokens")
     if make_generator is not None:
-        answered = answer_with(kept, make_generator)
+        longest = config.max_new_tokens
+        answered = answer_with(kept, lambda: make_generator(longest))
     else:
         answered = kept.join(answers.select("query_id", "variant", "raw"), ["query_id", "variant"], "left")
     variants = max(1, min(config.prompt_variants, 3))
