@@ -179,8 +179,10 @@ def main_text(page: str, wrapper: list | None, pages: int) -> str:
         if words:
             blocks.append(words)
 
+    tops = _tagged(root, "article") or _tagged(root, "main")
+
     def walk(node: Node, pattern: list | None, top: bool) -> None:
-        if node.outside and not top:
+        if (node.outside or not tops and node.tag == "header") and not top:
             flush()
             return
         block = node.tag in BLOCK
@@ -201,7 +203,6 @@ def main_text(page: str, wrapper: list | None, pages: int) -> str:
         if block:
             flush()
 
-    tops = _tagged(root, "article") or _tagged(root, "main")
     for top in tops:  # inside an article nothing but outside elements is left out
         walk(top, None, True)
         flush()
