@@ -551,7 +551,7 @@ def q_answers_join(spark, sf):
     return answered.select("query_id", "variant", "raw", "prompt_tokens")
 
 
-def majority_reader() -> A.Generator:
+def majority_reader(max_new_tokens: int = CONFIG.max_new_tokens) -> A.Generator:
     """Stand-in for a caller's model: repeats the majority stated in the prompt."""
 
     def generate(prompts: list[str]) -> list[str]:
