@@ -50,13 +50,18 @@ def _grams(raw: np.ndarray, at: np.ndarray, gram: int, buckets: int) -> tuple[np
     return (code % np.uint32(buckets)).astype(np.int32)[inside], owner[inside]
 
 
+def _framed(text: Column) -> Column:
+    """With a blank at both ends, so that a single letter is a gram too."""
+    return F.concat(F.lit(" "), text, F.lit(" "))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", languages: Sequence[str] = LANGUAGES, fit_rows: int = FIT_ROWS, gram: int = GRAM, buckets: int = BUCKETS) -> np.ndarray:
     """Log probabilities (language, bucket) of character grams, from about ``fit_rows`` labelled texts of each language.
 
     A language without a labelled text gets even probabilities. Rows without a label or with one that is not asked for
     are left out.
     """
-    labelled = docs.where(F.col(label_col).isin(*languages)).select(F.col(label_col).alias("lang"), text_of(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
+    labelled = docs.where(F.col(label_col).isin(*languages)).select(F.col(label_col).alias("lang"), _framed(text_of(text_col)).alias("text"), F.xxhash64(id_col).alias("h"))
     rows = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     unit = 1_000_000
     share = F.lit(0.0)
@@ -135,7 +140,7 @@ def identify(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_co
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.xxhash64(text).alias(KEY),
-        text.alias("text"),
+        _framed(text).alias("text"),
         said.cast("string").alias("said"),
         (host if host is not None else F.lit(None)).cast("string").alias("host"),
         (suffix if suffix is not None else F.lit(None)).cast("string").alias("suffix"),
