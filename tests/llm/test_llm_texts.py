@@ -281,6 +281,33 @@ def test_frames_without_article(spark):
     assert X.extract(pages.limit(0)).collect() == []
 
 
+def test_frames_inside_articles(spark):
+    """Template text in an article goes by the wrapper alone: tags and classes do not tell it from the story."""
+
+    def page(i):
+        table = "".join(f"<tr><td>Yes<td>{k * i}" for k in range(2 + i % 2))
+        return f"<article><h1>Head {i}</h1><p>story {i}</p><p>Share this with friends</p>{'<p>Rare</p>' * (i == 0)}<table>{table}</table><div>Copyright</div><p>by <b>N{i}</b></p>{'<ul><li>Half</ul>' * (i % 2)}</article>"
+
+    rows = [(i, "http://h.test/p", page(i)) for i in range(8)] + [(20, "http://few.test/", page(1)), (21, "http://few.test/", page(2))]
+    rows += [(30 + i, "http://copies.test/", page(1)) for i in range(6)] + [(40, "http://h.test/none", "")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.id: r.text for r in X.extract(frame).collect()}
+    for i, _, text in rows[:8]:
+        bare = X.main_text(text, None, 0)
+        assert "Share this with friends" in bare and "Copyright" in bare
+        assert got[i] == bare.replace("\n\nShare this with friends", "").replace("\n\nCopyright", "")
+    for i, _, text in rows[8:]:
+        assert got[i] == X.main_text(text, None, 0)
+
+
+def test_text_of_one_page_is_no_frame():
+    pages = [f"<body><p>Welcome</p><div>story {i}</div>{'<h2>Only here</h2>' * (i == 3)}</body>" for i in range(6)]
+    wrapper = X.wrapper_of(X.parse(pages[0]))
+    for p in pages[1:]:
+        wrapper = X._merged(wrapper, X.wrapper_of(X.parse(p)))
+    assert [X.main_text(p, wrapper, 6) for p in (pages[0], pages[3])] == ["story 0", "story 3\n\nOnly here"]
+
+
 def test_odd_markup():
     deep = "<div>" * 3000 + "in" + "</div>" * 3000
     assert X.main_text(f"<article>{deep}</article>", None, 0) == "in"

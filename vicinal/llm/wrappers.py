@@ -3,7 +3,8 @@
 A wrapper is a union-free regular expression over tags and texts, kept as a tree: every element has its symbol, whether it may
 be missing, whether it may repeat, and for texts whether it is the same on every page or a slot. It starts as the token
 stream of one page; every other page of the host is aligned with it, and a mismatch makes an element optional, a run of
-equal elements a repeated group, and different strings a text slot.
+equal elements a repeated group, and different strings a text slot. Every element knows on how many pages it stands, and every
+slot which strings stand in it on all of them, so the frame of a host is found inside its articles too.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ BROADCAST_BYTES = 32 << 20
 SALTS = 64
 #: Without an article element, text that is the same on all of so many pages of a host is part of its frame.
 FRAME_PAGES = 3
+#: Inside an article, which is content unless shown otherwise, text is template text if all of so many articles of a host hold it.
+ARTICLE_PAGES = 5
 #: Elements nested deeper are read as part of their parent.
 DEPTH = 100
 
@@ -53,6 +56,8 @@ WORDS = frozenset(
     " breadcrumb breadcrumbs cookie cookies consent notice notices gdpr comment comments disqus respond share sharing social related recommended"
     " newsletter subscribe popup modal complementary contentinfo search login pagination pager widget toolbar".split()
 )
+# Inside an article their parts explain each other, so they are template text as a whole or not at all.
+UNITS = frozenset("table dl ul ol".split())
 
 
 class Node:
@@ -106,40 +111,52 @@ def parse(page: str) -> Node:
     return root
 
 
-# A wrapper node is [symbol, optional, repeated, text, children]; a text has the symbol "#" and as text the digest of its
-# only value, or null for a slot.
+# A wrapper node is [symbol, optional, repeated, text, children, pages, strings]; a text has the symbol "#" and as text the digest
+# of its only value, or null for a slot. ``strings`` has the digests that stand in it on each of its pages and how often at most.
 
 
-def _text(value: str) -> list | None:
+def _digest(value: str) -> str | None:
     words = " ".join(value.split())
-    return ["#", False, False, hashlib.blake2b(words.encode(), digest_size=8).hexdigest(), []] if words else None
+    return hashlib.blake2b(words.encode(), digest_size=8).hexdigest() if words else None
+
+
+def _text(value: str) -> list | None:
+    digest = _digest(value)
+    return ["#", False, False, digest, [], 1, {digest: 1}] if digest else None
 
 
 def wrapper_of(node: Node) -> list:
     """The token stream of one page, runs of equal neighbours folded to repeated groups."""
     children = [_text(c) if isinstance(c, str) else wrapper_of(c) for c in node.children]
-    return [node.symbol, False, False, None, _folded([c for c in children if c])]
+    return [node.symbol, False, False, None, _folded([c for c in children if c]), 1, {}]
 
 
 def _folded(children: list[list]) -> list[list]:
     out: list[list] = []
     for child in children:
         if out and out[-1][0] == child[0]:
-            out[-1] = _merged(out[-1], child)
+            out[-1] = _merged(out[-1], child, True)
             out[-1][2] = True
         else:
             out.append(child)
     return out
 
 
-def _merged(a: list, b: list) -> list:
-    return [a[0], a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else None, align(a[4], b[4])]
+def _merged(a: list, b: list, same_pages: bool = False) -> list:
+    """One element for two of the same symbol, of different pages or, in a repeated group, of the same ones."""
+    if not same_pages:
+        pages, strings = a[5] + b[5], {k: max(a[6][k], b[6][k]) for k in a[6] if k in b[6]}
+    elif a[5] == b[5]:
+        pages, strings = a[5], {k: a[6].get(k, 0) + b[6].get(k, 0) for k in sorted({*a[6], *b[6]})}
+    else:
+        pages, strings = max((a[5], a[6]), (b[5], b[6]), key=lambda x: x[0])
+    return [a[0], a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else None, align(a[4], b[4], same_pages), pages, strings]
 
 
-def align(a: list[list], b: list[list]) -> list[list]:
+def align(a: list[list], b: list[list], same_pages: bool = False) -> list[list]:
     """Longest common subsequence of two runs of elements; what is in one of them only becomes optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [_merged(x, y) for x, y in zip(a, b)]
+        return [_merged(x, y, same_pages) for x, y in zip(a, b)]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -147,7 +164,7 @@ def align(a: list[list], b: list[list]) -> list[list]:
     out, i, j = [], 0, 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i][0] == b[j][0]:
-            out.append(_merged(a[i], b[j]))
+            out.append(_merged(a[i], b[j], same_pages))
             i, j = i + 1, j + 1
         elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
             out.append([a[i][0], True, *a[i][2:]])
@@ -167,48 +184,82 @@ def _tagged(node: Node, tag: str) -> list[Node]:
     return [x for c in node.children if isinstance(c, Node) for x in _tagged(c, tag)]
 
 
+def _placed(node: Node, pattern: list | None) -> Iterator[tuple[Node | str, list | None]]:
+    """Children with their places in the wrapper."""
+    at = 0
+    for child in node.children:
+        symbol, found = "#" if isinstance(child, str) else child.symbol, None
+        if pattern is not None and (symbol != "#" or child.strip()):
+            place = next((k for k in (*range(at, len(pattern[4])), *range(at)) if pattern[4][k][0] == symbol), None)
+            if place is not None:
+                at, found = place, pattern[4][place]
+        yield child, found
+
+
 def main_text(page: str, wrapper: list | None, pages: int) -> str:
     """Blocks of the article, in page order."""
     root = parse(page)
+    wrapper = wrapper if pages >= FRAME_PAGES else None
     blocks: list[str] = []
     held: list[str] = []
 
+    told: list[bool] = []
+
     def flush() -> None:
+        """Ends a block. Inside an article, it is left out if all of its text is template text."""
         words = " ".join("".join(held).split())
-        held.clear()
-        if words:
+        if words and not (tops and all(told)):
             blocks.append(words)
+        held.clear()
+        told.clear()
 
     tops = _tagged(root, "article") or _tagged(root, "main")
 
-    def walk(node: Node, pattern: list | None, top: bool) -> None:
+    def frame(value: str, found: list | None, least: int) -> bool:
+        """Is this the same on each of the pages that hold its element, and are those at least so many?"""
+        if found is None or found[5] < least or not (found[3] or found[6]):
+            return False
+        digest = _digest(value)
+        return digest is not None and (found[3] == digest or found[6].get(digest) == 1)
+
+    def all_frame(node: Node, found: list | None, least: int) -> bool:
+        return all((not c.strip() or frame(c, f, least)) if isinstance(c, str) else all_frame(c, f, least) for c, f in _placed(node, found))
+
+    def walk(node: Node, pattern: list | None, least: int, top: bool = False) -> None:
         if (node.outside or not tops and node.tag == "header") and not top:
             flush()
             return
         block = node.tag in BLOCK
         if block:
             flush()
-        at = 0
-        for child in node.children:
-            symbol = "#" if isinstance(child, str) else child.symbol
-            found = None
-            if pattern is not None and (symbol != "#" or child.strip()):
-                places = [k for k in (*range(at, len(pattern[4])), *range(at)) if pattern[4][k][0] == symbol]
-                if places:
-                    at, found = places[0], pattern[4][places[0]]
-            if symbol != "#":
-                walk(child, found, False)
-            elif found is None or found[3] is None or pages < FRAME_PAGES:
+        if tops and node.tag in UNITS and not all_frame(node, pattern, least):
+            pattern = None
+        for child, found in _placed(node, pattern):
+            if not isinstance(child, str):
+                walk(child, found, least)
+            elif tops or not frame(child, found, least):
                 held.append(child)
+                if child.strip():
+                    told.append(frame(child, found, least))
         if block:
             flush()
 
-    for top in tops:  # inside an article nothing but outside elements is left out
-        walk(top, None, True)
-        flush()
+    def articles(node: Node, pattern: list | None) -> None:
+        if any(node is top for top in tops):
+            walk(node, pattern, max(ARTICLE_PAGES, pattern[5]) if pattern else ARTICLE_PAGES, True)
+            flush()
+            return
+        for child, found in _placed(node, pattern):
+            if not isinstance(child, str):
+                articles(child, found)
+
     if not tops:
-        walk(root, wrapper, True)
+        walk(root, wrapper, FRAME_PAGES, True)
         flush()
+        return "\n\n".join(blocks)
+    articles(root, wrapper)
+    if not blocks and wrapper is not None:  # copies of one article: nothing tells its text from the template
+        articles(root, None)
     return "\n\n".join(blocks)
 
 
@@ -265,8 +316,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars), one row per row of ``pages``.
 
-    The article is what stands in ``article`` elements, else in ``main``, else on the page, without outside elements and,
-    in the last case, without text that is the same on every page of the host. Null and empty pages have an empty text;
+    The article is what stands in ``article`` elements, else in ``main``, else on the page, without outside elements and
+    without template text of the host: text that stands once in its place of the wrapper and is the same on each of the pages
+    that have the place, at least FRAME_PAGES of them. Inside an article element the place has to be in every such article
+    of the host, at least ARTICLE_PAGES; only whole blocks, lists and tables go, and if nothing else is in the article, its
+    text stays. Null and empty pages have an empty text;
     pages without a host share the wrapper of the empty host. Repeated rows come back as often as they came; an empty
     table gives an empty result; other columns are not needed.
     """
