@@ -308,6 +308,23 @@ def test_text_of_one_page_is_no_frame():
     assert [X.main_text(p, wrapper, 6) for p in (pages[0], pages[3])] == ["story 0", "story 3\n\nOnly here"]
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<article class="post category-social"><p>a</p><div class="share">b</div></article>', "a"),
+        ('<article class="social"><p>a</p></article>', "a"),
+        ('<div class="site has-sidebar"><article><p>a</p></article></div><div class="sidebar">b</div>', "a"),
+        ('<div class="site sidebar"><article><p>a</p></article></div>', "a"),
+        ('<main class="no-sidebar"><p>a</p><div id="cookie-notice">b</div></main>', "a"),
+        ('<article><div class="article-header"><h1>T</h1></div><p>a</p></article>', "T\n\na"),
+        ('<article><div class="header"><div><h1>T</h1>by b</div></div><p>a</p><div class="site-footer"><h2>b</h2></div></article>', "T\n\na"),
+        ('<article><p>a</p></article><div class="related"><article>b</article></div>', "a"),
+    ],
+)
+def test_names_outside(page, want):
+    assert X.main_text(page, None, 0) == want
+
+
 def test_odd_markup():
     deep = "<div>" * 3000 + "in" + "</div>" * 3000
     assert X.main_text(f"<article>{deep}</article>", None, 0) == "in"

@@ -49,34 +49,47 @@ BLOCK = frozenset(
 )
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-# Elements and words of class, id and role that mark what does not belong to an article.
+# Elements and names in class, id and role that mark what does not belong to an article. A name of several words counts if all
+# of them do, but for PLAIN ones: "cookie-notice" and "site-footer", not "has-sidebar" or "category-social".
 OUTSIDE = frozenset("nav footer aside form head button select dialog menu object".split())
 WORDS = frozenset(
     "ad ads advert advertisement adverts adsense banner sponsor sponsored promo promotion nav navbar navigation menu sidebar footer header masthead"
     " breadcrumb breadcrumbs cookie cookies consent notice notices gdpr comment comments disqus respond share sharing social related recommended"
     " newsletter subscribe popup modal complementary contentinfo search login pagination pager widget toolbar".split()
 )
+PLAIN = frozenset("site page main global top bottom left right primary secondary box bar block list area container wrapper section inner outer".split())
 # Inside an article their parts explain each other, so they are template text as a whole or not at all.
 UNITS = frozenset("table dl ul ol".split())
+HEADERS = frozenset("header masthead banner".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "symbol", "outside", "children")
+    """``outside`` by its tag, ``named`` so by class, id or role; ``header``: all such names are those of headers."""
 
-    def __init__(self, tag: str, symbol: str, outside: bool):
-        self.tag, self.symbol, self.outside, self.children = tag, symbol, outside, []
+    __slots__ = ("tag", "symbol", "outside", "named", "header", "children")
+
+    def __init__(self, tag: str, symbol: str, names: list[set[str]]):
+        self.tag, self.symbol, self.children = tag, symbol, []
+        self.outside, self.named = tag in OUTSIDE, bool(names) and tag not in ("html", "body", "article", "main")
+        self.header = self.named and all(n <= HEADERS | PLAIN for n in names)
+
+
+def _outside_names(values: list[str]) -> list[set[str]]:
+    """Words of each whole name that marks what is outside."""
+    names = [set(re.split(r"[^a-z]+", name)) - {""} for value in values for name in value.split()]
+    return [n for n in names if n and n <= WORDS | PLAIN and not n <= PLAIN]
 
 
 def _element(tag: str, attributes: str) -> Node:
     named = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
-    words = {w for v in named.values() for w in re.split(r"[^a-z]+", v)}
     symbol = tag + "".join(f"[{k}={v}]" for k, v in sorted(named.items()) if k != "id")
-    return Node(tag, symbol, tag in OUTSIDE or (tag not in ("html", "body") and not WORDS.isdisjoint(words)))
+    return Node(tag, symbol, _outside_names(list(named.values())))
 
 
 def parse(page: str) -> Node:
     """Tree of elements and strings. End tags that are left out are supplied; stray ones are ignored."""
-    root = Node("", "", False)
+    root = Node("", "", [])
     stack = [root]
     for token in TOKEN.finditer(page):
         raw, slash, tag, attributes, slash2, tag2, attributes2, text = token.groups()
@@ -175,13 +188,13 @@ def align(a: list[list], b: list[list], same_pages: bool = False) -> list[list]:
     return _folded(out)
 
 
-def _tagged(node: Node, tag: str) -> list[Node]:
-    """Outermost elements of that name that lie in no outside element."""
-    if node.outside:
+def _tagged(node: Node, tag: str, named: bool) -> list[Node]:
+    """Outermost elements of that name that lie in no outside element; with ``named``, not in one that is so by its names either."""
+    if node.outside or (named and node.named):
         return []
     if node.tag == tag:
         return [node]
-    return [x for c in node.children if isinstance(c, Node) for x in _tagged(c, tag)]
+    return [x for c in node.children if isinstance(c, Node) for x in _tagged(c, tag, named)]
 
 
 def _placed(node: Node, pattern: list | None) -> Iterator[tuple[Node | str, list | None]]:
@@ -213,7 +226,8 @@ def main_text(page: str, wrapper: list | None, pages: int) -> str:
         held.clear()
         told.clear()
 
-    tops = _tagged(root, "article") or _tagged(root, "main")
+    # an element that is outside by its names only is looked into if there is no article or main element elsewhere
+    tops = next((found for named in (True, False) for tag in ("article", "main") if (found := _tagged(root, tag, named))), [])
 
     def frame(value: str, found: list | None, least: int) -> bool:
         """Is this the same on each of the pages that hold its element, and are those at least so many?"""
@@ -225,9 +239,16 @@ def main_text(page: str, wrapper: list | None, pages: int) -> str:
     def all_frame(node: Node, found: list | None, least: int) -> bool:
         return all((not c.strip() or frame(c, f, least)) if isinstance(c, str) else all_frame(c, f, least) for c, f in _placed(node, found))
 
+    def headings(node: Node, pattern: list | None, least: int) -> None:
+        for child, found in _placed(node, pattern):
+            if not isinstance(child, str) and not child.outside and (child.header or not child.named):
+                (walk if child.tag in HEADINGS else headings)(child, found, least)
+
     def walk(node: Node, pattern: list | None, least: int, top: bool = False) -> None:
-        if (node.outside or not tops and node.tag == "header") and not top:
+        if (node.outside or node.named or not tops and node.tag == "header") and not top:
             flush()
+            if tops and node.header and not node.outside:
+                headings(node, pattern, least)
             return
         block = node.tag in BLOCK
         if block:
