@@ -63,6 +63,26 @@ def test_exact_rows_that_repeat(odd_docs):
     assert Counter(r.text or "" for r in kept.collect()) == Counter({t or "": 1 for t in {r.text or "" for r in odd_docs.collect()}})
 
 
+@pytest.fixture
+def shared_ids(spark):
+    """Two repeated texts under one id and under null, and near copies that share an id or have none."""
+    story = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "a"), (None, "a"), (None, "b"), (None, "b"), (5, "c"), (5, "c"), (5, "d"), (5, "d"), (6, None), (6, ""), (7, " ")]
+    rows += [(None, story), (None, story + " x"), (None, story + " x"), (8, story.upper() + " Y W1"), (8, story + " z"), (None, "n " + story[::-1]), (None, "m " + story[::-1])]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_exact_keeps_each_text_of_an_id(shared_ids):
+    kept = single_rows(exact_dedup(shared_ids).where("kept"), "doc_id", "repeats")
+    assert Counter(r.text or "" for r in kept.collect()) == Counter({r.text or "": 1 for r in shared_ids.collect()})
+
+
+def test_near_keeps_one_row_of_shared_and_missing_ids(shared_ids):
+    got = [(r.doc_id, r.text or "") for r in near_dedup(shared_ids).collect()]
+    assert sorted(t for _, t in got if len(t) < 2) == ["", " ", "a", "b", "c", "d"]
+    assert sorted((i is None, len(t) > 100) for i, t in got if len(t) > 1) == [(False, True), (True, True)]
+
+
 def test_exact_empty(no_docs):
     assert exact_dedup(no_docs).collect() == []
 

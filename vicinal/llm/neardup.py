@@ -181,13 +181,13 @@ def _chosen(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE, bands: int = BANDS, values: int = BAND_VALUES) -> DataFrame:
-    """(id, __fp, n_shingles, component_id), one row per row of ``docs``.
+    """(id, __fp, n_shingles, component_id, first), one row per row of ``docs``.
 
     Texts are linked if their sets of distinct shingles (``size`` words at white space, A-Z as a-z) have a Jaccard
     similarity of at least ``percent`` in a hundred. A component is named by its smallest id. Texts with equal sets are
     one node of the graph, so copies never meet in pairs. A text without words (also null) has no shingles and is its own
-    component. Rows that repeat an id have equal results; null ids never name a component unless it has no other. An
-    empty table gives an empty result; other columns are not needed.
+    component. Rows that repeat an id have equal results; null ids never name a component unless it has no other.
+    ``first`` marks the row of smallest id, then smallest ``__fp``; only rows that repeat both share it. An empty table gives an empty result; other columns are not needed.
     """
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema["id"].dataType.simpleString()
@@ -229,17 +229,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     per_row = signed.select("id", KEY, "n_shingles", "cls").join(found, F.col("cls") == F.col("node"), "left")
     per_row = stored(per_row.select("id", KEY, "n_shingles", F.coalesce("component", "cls").alias("component")), "labelled")
-    names = stored(per_row.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id")), "names")
+    smallest = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", KEY)).alias("first")
+    names = stored(per_row.where("component is not null").groupBy("component").agg(smallest), "names")
     named = per_row.join(names, "component", "left")
-    return named.select("id", KEY, "n_shingles", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    alone = F.col("component").isNull()
+    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col(KEY) == F.col("first")[KEY])
+    component_id = F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("component_id")
+    return named.select("id", KEY, "n_shingles", component_id, (alone | own).alias("first"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
-    """One row of each component of ``docs``, the one with the smallest id, with all columns."""
+    """One row of each component of ``docs``, with all columns: the one with the smallest id, if that is null or shared with the smallest key."""
     from vicinal.llm.rows import attach, single_rows
 
     found = near_components(docs, id_col, text_col, **settings)
-    kept = F.max(F.col("id").eqNullSafe(F.col("component_id"))).alias("__kept")
-    decided = found.groupBy("id", KEY).agg(kept, F.count(F.lit(1)).alias("__repeats"))
+    decided = found.groupBy("id", KEY).agg(F.max("first").alias("__kept"), F.count(F.lit(1)).alias("__repeats"))
     rows = attach(docs, decided, id_col, text_col).where("__kept").drop("__kept")
-    return single_rows(rows, id_col, "__repeats")
+    return single_rows(rows, id_col, "__repeats", text_col)

@@ -42,14 +42,14 @@ def attach(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str) ->
     return joined.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"__d_{c}").alias(c) for c in names])
 
 
-def single_rows(docs: DataFrame, id_col: str, repeats: str) -> DataFrame:
+def single_rows(docs: DataFrame, id_col: str, repeats: str, text_col: str = "text") -> DataFrame:
     """Rows whose ``repeats`` is over 1 stand several times under one id and text; one of them is returned.
 
     Only those rows are shuffled.
     """
     once = docs.where(F.col(repeats) <= 1)
-    again = docs.where(F.col(repeats) > 1).dropDuplicates([id_col])
-    return once.unionByName(again).drop(repeats)
+    again = docs.where(F.col(repeats) > 1).withColumn(KEY, F.xxhash64(text_of(text_col))).dropDuplicates([id_col, KEY])
+    return once.unionByName(again.drop(KEY)).drop(repeats)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
