@@ -227,6 +227,20 @@ def test_language_odd(spark, sf_dir, odd_docs, no_docs):
     assert L.identify(no_docs, L.fit(no_docs)).collect() == []
 
 
+def test_language_of_none(spark):
+    """Foreign and junk texts are rejected, also when their own language is declared; short clean texts stay."""
+    model = L.fit(table(spark, "/root/testdata/sf0.1", "documents"))
+    bad = [("съешь ещё этих мягких французских булок", None), ("wszyscy ludzie rodzą się wolni i równi pod względem swej godności", None), ("zxq qzx jjk vvw", None), ("q", None)]
+    bad += [("съешь ещё этих мягких французских булок " * 20, "en"), ("kaikki ihmiset syntyvät vapaina", "fi-FI"), ("tutti gli esseri umani nascono liberi ed eguali", "it"), ("q", "pl")]
+    good = [("the and", "en", None), ("and that", "en", None), ("und die nicht", "de", None), ("dans la", "fr", None), ("que las", "es", None), ("x", "de", "de"), ("this is the and that", "en", "it"), ("die und der", "de", "deu")]
+    rows = [(i, t, d, "en") for i, (t, d) in enumerate(bad)] + [(100 + i, t, d, want) for i, (t, want, d) in enumerate(good)]
+    usual = ["the and of that is", "the and the that", "und die nicht der ist", "dans les des une que la", "que las los por una para"]
+    rows += [(1000 + i, usual[i % 5], None, "") for i in range(60)]
+    got = {r.id: r for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, d string, want string"), model, declared=F.col("d")).collect()}
+    assert [got[i].language for i in range(len(bad))] == ["und"] * len(bad)
+    assert [got[100 + i].language for i in range(len(good))] == [want for _, want, _ in good]
+
+
 def test_language_of_pages(spark, sf_dir):
     said = {r.page_id: re.search(r'lang="(\w+)"', r.html)[1] for r in table(spark, sf_dir, "pages").collect()}
     got = QUERIES["language_id_pages"](spark, sf_dir).collect()

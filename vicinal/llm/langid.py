@@ -2,7 +2,8 @@
 
 Four kinds of evidence are combined for every text: character statistics, the language its markup declares, the suffix of its
 address, and what is usual on its host. The last two are counted over the whole collection by grouped aggregation and
-smoothed from the collection to the suffix to the host.
+smoothed from the collection to the suffix to the host. Next to the languages stands the hypothesis that the text is of none
+of them (another language, or no language at all): under it every gram is as likely as any other.
 """
 
 from __future__ import annotations
@@ -30,6 +31,12 @@ DEPENDENCE = 8.0
 DECLARED = 0.9
 #: Strength of the coarser level in a prior, in texts.
 SUFFIX_STRENGTH, HOST_STRENGTH = 50.0, 20.0
+#: Share of texts that are of none of the languages, before anything is known. It is not counted, so that it holds for each host.
+OTHER = 0.2
+#: However long a text is, its evidence for none of the languages is that of so many grams: a model of 1,000 texts has not seen all.
+OTHER_GRAMS = 64
+#: Declarations of a language that is not asked for: on texts of none of the languages, on others. And of a certain one that is, on the former.
+UNLISTED, UNLISTED_WRONG, LISTED_WRONG = 0.9, 0.05, 0.0025
 #: Below this posterior no language is named.
 LEAST = 0.5
 
@@ -88,13 +95,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
 def _likelihoods(model: np.ndarray, gram: int):
     table = np.ascontiguousarray(model.T.astype(np.float32))
-    table -= table.mean(axis=1, keepdims=True)
+    mean = table.mean(axis=1, keepdims=True)
+    table = np.hstack([table - mean, np.float32(-np.log(len(table))) - mean])  # the last column is none of the languages
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             raw, at = W.buffers(batch.column("text"))
             code, owner = _grams(raw, at, gram, len(table))
             sums = np.stack([np.bincount(owner, table[code, k], batch.num_rows) for k in range(table.shape[1])], axis=1)
+            best, n = sums[:, :-1].max(axis=1), np.maximum(1, np.bincount(owner, minlength=batch.num_rows))
+            sums[:, -1] = best + (sums[:, -1] - best) * np.minimum(1, OTHER_GRAMS / n)
             ends = np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)
             fields = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
             names = [n for n in batch.schema.names if n != "text"]
@@ -129,9 +139,11 @@ def _smoothed(counts: Column, coarser: Column, strength: float) -> Column:
 def identify(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, languages: Sequence[str] = LANGUAGES, gram: int = GRAM, least: float = LEAST) -> DataFrame:
     """(id, __fp, language, probability, n_grams, accepted), one row per row of ``docs``.
 
-    ``declared``, ``host`` and ``suffix`` are expressions over ``docs``; a missing one, a null and a declaration of an
-    unknown language are no evidence. ``en-GB`` declares ``en``. A text without letters is rejected with language ``und``,
-    as is one whose best posterior is below ``least``; a null text is an empty text. Ties go to the language named first.
+    ``declared``, ``host`` and ``suffix`` are expressions over ``docs``; a missing one and a null are no evidence. ``en-GB``
+    declares ``en``. A declared code of two letters that is not in ``languages`` is evidence for none of them; other words are
+    no evidence. ``probability`` is the best posterior of ``languages``. A text without letters is rejected with language
+    ``und``, as is one that is more likely of none of them, by its posterior or by text and declaration alone, or has a
+    probability below ``least``; a null text is an empty text. Ties go to the language named first.
     Rows that repeat an id are judged one by one; an empty table gives an empty result; other columns are not needed.
     """
     n = len(languages)
@@ -151,7 +163,10 @@ def identify(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_co
 
     names = F.array(*[F.lit(x) for x in languages])
     wrong = (1 - DECLARED) / max(1, n - 1)
-    hint = F.transform(names, lambda x: F.when(F.array_contains(names, F.col("said")), F.log(F.when(x == F.col("said"), DECLARED).otherwise(wrong))).otherwise(0.0))
+    listed, unlisted = F.array_contains(names, F.col("said")), F.length("said") == 2
+    hint = F.transform(names, lambda x: F.when(listed, F.log(F.when(x == F.col("said"), DECLARED).otherwise(wrong))).when(unlisted, float(np.log(UNLISTED_WRONG))).otherwise(0.0))
+    none = F.when(listed, float(np.log(LISTED_WRONG))).when(unlisted, float(np.log(UNLISTED))).otherwise(0.0)
+    hint = F.concat(hint, F.array(none))
     own = F.zip_with(F.transform("ll", lambda x: x / DEPENDENCE), hint, lambda a, b: a + b)
     single = scored.where("n_grams > 0").select("host", "suffix", _softmax(own).alias("p"))
 
@@ -166,12 +181,15 @@ def identify(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_co
     priors = stored(priors.select(F.col("host").alias("__h"), F.col("suffix").alias("__s"), prior.alias("prior")), "priors")
 
     joined = scored.join(priors, F.col("host").eqNullSafe(F.col("__h")) & F.col("suffix").eqNullSafe(F.col("__s")), "left")
-    logs = F.transform(F.coalesce("prior", base), lambda q: F.log(q))
+    logs = F.concat(F.transform(F.coalesce("prior", base), lambda q: F.log(q * (1 - OTHER))), F.array(F.lit(float(np.log(OTHER)))))
     posterior = _softmax(F.zip_with(own, logs, lambda a, b: a + b))
-    judged = joined.select("id", KEY, "n_grams", posterior.alias("post"))
-    best = F.array_max("post")
-    accepted = (F.col("n_grams") > 0) & (best >= least)
-    named = F.when(accepted, F.element_at(names, F.array_position("post", best).cast("int"))).otherwise("und")
+    judged = joined.select("id", KEY, "n_grams", own.alias("own"), posterior.alias("post"))
+    best = F.array_max(F.slice("post", 1, n))
+    place = F.array_position("post", best).cast("int")
+    # what is usual settles between languages, but does not outweigh a text that speaks for none of them
+    spoken = F.element_at("own", place) >= F.element_at("own", -1) - 1e-3
+    accepted = (F.col("n_grams") > 0) & (best >= least) & (best > F.element_at("post", -1)) & spoken
+    named = F.when(accepted, F.element_at(names, place)).otherwise("und")
     return judged.select("id", KEY, named.alias("language"), best.alias("probability"), "n_grams", accepted.alias("accepted"))
 
 
