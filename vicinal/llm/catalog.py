@@ -12,10 +12,13 @@ import public_tokenizers
 from vicinal.llm.bytepairs import decode, encode, read_ranks
 from vicinal.llm.contamination import contamination
 from vicinal.llm.exact import exact_dedup
+from vicinal.llm.importance import importance
 from vicinal.llm.langid import fit, identify, page_evidence
 from vicinal.llm.licenses import license_matches
 from vicinal.llm.neardup import near_components
+from vicinal.llm.quantize import ENTRIES, PARTS, ROUNDS, compress
 from vicinal.llm.repeats import remove_repeats
+from vicinal.llm.shuffled import sharded
 from vicinal.llm.tokencount import sentencepiece_vocabulary, token_counts
 from vicinal.llm.urlfilter import LABELLED, RULES, train, url_verdicts
 from vicinal.llm.wrappers import extract
@@ -151,3 +154,88 @@ def language_id_pages(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return extract(table(spark, sf, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query
+def op11_importance(spark: SparkSession, sf: str) -> DataFrame:
+    found = importance(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+SQL["op11_importance"] = r"""
+WITH bits AS (
+  SELECT list(list_reduce(list_concat([b], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM (SELECT CAST(range AS BIGINT) AS b FROM range(256))),
+docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+items AS (
+  SELECT list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+used AS (
+  SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM docs) GROUP BY ALL),
+target AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM items) GROUP BY word),
+words AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM (SELECT word FROM used UNION ALL SELECT word FROM target)),
+hashed AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM words, bits),
+source AS (SELECT bucket, sum(n) AS s FROM used JOIN hashed USING (word) GROUP BY bucket),
+wanted AS (SELECT bucket, sum(n) AS t FROM target JOIN hashed USING (word) GROUP BY bucket),
+gain AS (
+  SELECT b.bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (coalesce((SELECT sum(s) FROM source), 0) + 10000)
+    / ((coalesce(s, 0) + 1.0::DOUBLE) * (coalesce((SELECT sum(t) FROM wanted), 0) + 10000)))) AS g
+  FROM (SELECT range AS bucket FROM range(10000)) b LEFT JOIN source USING (bucket) LEFT JOIN wanted USING (bucket)),
+weights AS (SELECT doc_id, CAST(sum(n * g) AS BIGINT) AS weight FROM used JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+    (CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weights USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN rank <= (SELECT count(*) FROM placed) * 10 // 100 THEN rank END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+
+@query
+def op12_shards(spark: SparkSession, sf: str) -> DataFrame:
+    found = sharded(table(spark, sf, "documents"), ["doc_id"])
+    return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return compress(table(spark, sf, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _rounds_sql() -> str:
+    """Assignments a0, a1, ... to the codebooks b0, b1, ..., each made from the assignments before it."""
+    steps = []
+    for r in range(ROUNDS + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, p, arg_min(e, d2 * {ENTRIES} + e) AS e, CAST(min(d2) AS BIGINT) AS d2
+  FROM (SELECT vec_id, part.p, e, list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c) AS d2 FROM part JOIN b{r} ON part.p = b{r}.p)
+  GROUP BY vec_id, p)""")
+        if r < ROUNDS:
+            steps.append(f"""m{r} AS (
+  SELECT p, e, list(m ORDER BY i) AS c
+  FROM (SELECT p, e, i, floor(sum(x[i]) / count(*)) AS m FROM a{r} JOIN part USING (vec_id, p), unnest(range(1, len(x) + 1)) AS t(i) GROUP BY p, e, i) GROUP BY p, e),
+b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (p, e))""")
+    return ",\n".join(steps)
+
+
+SQL["op13_vector_codes"] = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (
+  SELECT vec_id, p, v[p * len(v) // {PARTS} + 1:(p + 1) * len(v) // {PARTS}] AS x FROM kept, unnest(range({PARTS})) AS t(p)),
+b0 AS MATERIALIZED (
+  SELECT p, e, x AS c FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM part) WHERE e < {ENTRIES}),
+{_rounds_sql()},
+book AS (SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+  FROM b{ROUNDS}, unnest(range(1, len(c) + 1)) AS t(i)),
+coded AS (SELECT vec_id, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d2) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), book
+"""
