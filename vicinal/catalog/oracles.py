@@ -313,6 +313,22 @@ put("knn_pruned", ALL_DOCUMENTS, """
 f AS (SELECT sample_id, label, list_transform(features, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE)) AS v FROM docs),
 q AS (SELECT sample_id AS query_id, v FROM f),
 i AS (SELECT sample_id, v, label FROM f)""", knn(Q.K_NEAREST, "l2"), _nn_similarity.replace("similarity", "distance"))
+
+
+def knn_by_prefix(k: int, prefixes, metric: str = "cosine") -> str:
+    """As ``knn`` for every prefix p of the vectors."""
+    one = knn(k, metric).replace("q.v", "q.v[1:p]").replace("i.v", "i.v[1:p]").replace("PARTITION BY query_id", "PARTITION BY query_id, p")
+    one = one.replace("FROM q, i)", f"FROM q, i, (SELECT unnest({lst(prefixes)}) AS p))")
+    return one.replace("SELECT query_id, sample_id, i.label", "SELECT query_id, p, sample_id, i.label").replace("SELECT query_id, sample_id, label", "SELECT query_id, p, sample_id, label")
+
+
+put("knn_prefixes", SIDES, knn_by_prefix(Q.K_NEAREST, Q.PREFIXES),
+    "SELECT query_id, CAST(p AS INT) AS prefix, rank, sample_id, label, round(s, 6) AS similarity FROM nn")
+put("knn_prefixes_l2", ALL_DOCUMENTS, """
+f AS (SELECT sample_id, CAST(CAST(features AS FLOAT[]) AS DOUBLE[]) AS v, label FROM docs),
+q AS (SELECT sample_id AS query_id, v FROM f),
+i AS (SELECT sample_id, v, label FROM f)""", knn_by_prefix(Q.K_NEAREST, (2, 5), "l2"),
+    "SELECT query_id, CAST(p AS INT) AS prefix, rank, sample_id, round(s, 6) AS distance FROM nn")
 put("knn_single", VECTORS, """
 first AS (SELECT features AS f FROM vectors ORDER BY sample_id LIMIT 1),
 scored AS (SELECT sample_id, label, list_cosine_similarity(features, f) AS s FROM vectors, first)""",
@@ -323,6 +339,9 @@ put("neighbor_metadata", SIDES, knn(Q.K_NEAREST),
 put("index_roundtrip", SIDES, knn(Q.K_NEAREST),
     "SELECT query_id, rank, sample_id, label, round(s, 6) AS similarity, true AS built, false AS rebuilt FROM nn")
 put("index_append", SIDES, knn(Q.K_NEAREST), "SELECT query_id, rank, sample_id, round(s, 6) AS similarity FROM nn")
+ORACLES["index_cells"] = ORACLES["index_append"]
+put("index_cells_append", SIDES, knn(Q.K_NEAREST, "l2"), "SELECT query_id, rank, sample_id, round(s, 6) AS distance FROM nn")
+ORACLES["knn_tree"] = ORACLES["knn_pruned"]
 put("majority_vote", SIDES, knn(Q.K_NEAREST), VOTES,
     "SELECT query_id, votes_0, votes_1, nearest_label, prediction, margin FROM votes")
 put("stream_score", SIDES, knn(Q.K_NEAREST), VOTES,
@@ -588,6 +607,27 @@ put("sweep_k", SIDES, knn(max(Q.SWEEP)), _per_k,
     "round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1 "
     "FROM rates GROUP BY k")
 
+put("sweep_prefixes", VECTORS, TRAIN, mutual_info("train", NAMES), """
+picked AS (SELECT list(pos ORDER BY score DESC, feature) AS places FROM scores),
+ordered AS (SELECT sample_id, label, split, list_transform(places, lambda p: features[p + 1]) AS v FROM vectors, picked),
+q AS (SELECT sample_id AS query_id, v, label AS true_label FROM ordered WHERE split = 'test'),
+i AS (SELECT sample_id, v, label FROM ordered WHERE split = 'train')""", knn_by_prefix(max(Q.SWEEP), Q.PREFIXES), f"""
+nnk AS (SELECT nn.*, k FROM nn, (SELECT unnest({list(Q.SWEEP)}) AS k) WHERE rank <= k),
+voted AS (
+  SELECT query_id, p, k, CASE WHEN count(*) FILTER (label = 0) > count(*) FILTER (label = 1) THEN 0
+       WHEN count(*) FILTER (label = 0) < count(*) FILTER (label = 1) THEN 1 ELSE min_by(label, rank) END AS prediction
+  FROM nnk GROUP BY query_id, p, k),
+judged AS (SELECT voted.*, true_label AS label FROM voted JOIN q USING (query_id)),
+rates0 AS (
+  SELECT p, k, c, count(*) FILTER (label = c AND prediction = c) AS tp, count(*) FILTER (label = c) AS support,
+         count(*) FILTER (prediction = c) AS predicted FROM judged, (SELECT unnest([0, 1]) AS c) GROUP BY p, k, c),
+rates AS (
+  SELECT *, coalesce(tp / nullif(predicted, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall,
+         coalesce(2 * tp / nullif(predicted + support, 0), 0) AS f1 FROM rates0)""",
+    "SELECT CAST(p AS INT) AS top_k_features, CAST(k AS INT) AS k, CAST(sum(support) AS BIGINT) AS n, round(sum(tp) / sum(support), 6) AS accuracy, "
+    "round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1 "
+    "FROM rates GROUP BY p, k")
+
 ALL_VOTED = "SELECT query_id, prediction, true_label FROM votes JOIN q USING (query_id)"
 put("_all_features", SIDES, knn(Q.K_NEAREST), VOTES, ALL_VOTED)
 _runs = " UNION ALL ".join(

@@ -25,13 +25,16 @@ from vicinal.operators import prompts as P
 from vicinal.operators import sample as S
 from vicinal.operators import validate as VD
 from vicinal.operators import vote as VT
+from vicinal.operators.prefixes import prefix_join
 from vicinal.operators.pruned import knn_join_pruned
 from vicinal.plans.classify import vote_classification
 from vicinal.plans.fused import budgeted_prompts, fused_classification, prompt_cases
 from vicinal.plans import runs as R
-from vicinal.plans.sweep import sweep_k, sweep_settings
+from vicinal.plans.sweep import sweep_k, sweep_prefixes, sweep_settings
 from vicinal.plans.text_index import build_text_index, search_text_index
+from vicinal.operators.tree import knn_join_tree, search_cells
 from vicinal.session import materialize, scratch_path, spread
+from vicinal.sources import cells as CL
 from vicinal.sources import labelled as CSV
 from vicinal.sources import sinks as SK
 from vicinal.sources import store as ST
@@ -45,6 +48,7 @@ K_NEAREST = 3
 TOP_FEATURES = 32
 TIGHT_BUDGET = 620
 SWEEP = (1, 3, 5, 7, 9)
+PREFIXES = (8, 16, 32, 64)
 CONFIG = RunConfig()
 
 
@@ -209,6 +213,30 @@ def q_index_append(spark, sf):
     return found.select("query_id", "rank", "sample_id", r6("similarity", "similarity"))
 
 
+CELL_ROWS = 16  # the given tables are small; production cells hold thousands of rows
+
+
+@query
+def q_index_cells(spark, sf):
+    queries, index, path, signature = _stored_index(spark, sf)
+    CL.save_cells(index, path, signature=signature, cell_rows=CELL_ROWS)
+    cells, _ = CL.open_cells(spark, path)
+    found = search_cells(queries, cells, K_NEAREST)
+    return found.select("query_id", "rank", "sample_id", r6("similarity", "similarity"))
+
+
+@query
+def q_index_cells_append(spark, sf):
+    queries, index, path, signature = _stored_index(spark, sf)
+    half = F.col("sample_id") % 2 == 0
+    CL.save_cells(index.filter(half), path, signature=signature, metric="l2", cell_rows=CELL_ROWS)
+    for _ in range(2):  # a batch that is sent twice is stored once
+        CL.append_cells(index.filter(~half), path, "odd")
+    cells, _ = CL.open_cells(spark, path)
+    found = search_cells(queries, cells, K_NEAREST)
+    return found.select("query_id", "rank", "sample_id", r6("distance", "distance"))
+
+
 @query
 def q_dataset_roundtrip(spark, sf):
     path = scratch_path(spark, "dataset")
@@ -370,6 +398,33 @@ def q_knn_pruned(spark, sf):
     return found.select("query_id", "rank", "sample_id", "label", r6("distance", "distance"))
 
 
+@query
+def q_knn_tree(spark, sf):
+    """All documents against all, through pivots of pivots."""
+    rows = X.documents(spark, sf, labelled=False).select("sample_id", "label", F.col("features").cast("array<float>").alias("vec"))
+    index = materialize(rows)
+    queries = index.select(F.col("sample_id").alias("query_id"), "vec")
+    found = knn_join_tree(queries, index, K_NEAREST, "l2", cell_rows=CELL_ROWS)
+    return found.select("query_id", "rank", "sample_id", "label", r6("distance", "distance"))
+
+
+@query
+def q_knn_prefixes(spark, sf):
+    queries, index = X.vector_sides(spark, sf)
+    found = prefix_join(queries, index, K_NEAREST, PREFIXES)
+    return found.select("query_id", "prefix", "rank", "sample_id", "label", r6("similarity", "similarity"))
+
+
+@query
+def q_knn_prefixes_l2(spark, sf):
+    """All documents against all, in a grid of blocks."""
+    rows = X.documents(spark, sf, labelled=False).select("sample_id", "label", F.col("features").cast("array<float>").alias("vec"))
+    index = materialize(rows)
+    queries = index.select(F.col("sample_id").alias("query_id"), "vec")
+    found = prefix_join(queries, index, K_NEAREST, (2, 5), "l2", few_bytes=0)
+    return found.select("query_id", "prefix", "rank", "sample_id", r6("distance", "distance"))
+
+
 @query
 def q_knn_single(spark, sf):
     rows = X.vectors(spark, sf)
@@ -691,6 +746,14 @@ def q_sweep_settings(spark, sf):
     return out.select("mode", "top_k_features", "k", "n", *numbers)
 
 
+@query
+def q_sweep_prefixes(spark, sf):
+    train, test = X.vector_split(spark, sf)
+    out = sweep_prefixes(train, test, X.VECTOR_NAMES, PREFIXES, SWEEP)
+    numbers = [r6(c, c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1")]
+    return out.select("top_k_features", "k", "n", *numbers)
+
+
 @query
 def q_stream_score(spark, sf):
     _, index = X.vector_sides(spark, sf)

@@ -120,7 +120,7 @@ def _candidates(a: np.ndarray, b: np.ndarray, k: int, room: float, last_apart: b
     return row[last], col[last]
 
 
-def _exact(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+def exact_scores(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Scores of matched rows in double precision. The order of additions depends on the width only, so
     equal vectors get equal scores in every block."""
     a, b = q.astype(np.float64), x.astype(np.float64)
@@ -153,7 +153,7 @@ def best_in_block(
         rows = rows + start
         scores = np.concatenate(
             [
-                _exact(metric, q[rows[i : i + exact_step]], x[cols[i : i + exact_step]])
+                exact_scores(metric, q[rows[i : i + exact_step]], x[cols[i : i + exact_step]])
                 for i in range(0, len(rows), exact_step)
             ]
         )

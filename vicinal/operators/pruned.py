@@ -51,7 +51,7 @@ def choose_pivots(index: DataFrame, index_id: str, cells: int, metric: str) -> n
     return np.unique(in_space(as_matrix(table["vec"], "index"), metric), axis=0)
 
 
-def _map_vectors(
+def map_vectors(
     df: DataFrame, metric: str, add: Callable[[pa.RecordBatch, np.ndarray], list[pa.Array]], fields: list[T.StructField]
 ) -> DataFrame:
     """Append columns computed from the vectors of an Arrow batch."""
@@ -76,7 +76,7 @@ def assign_cells(index: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame
         cell = d.argmin(axis=1)
         return [pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])]
 
-    return _map_vectors(
+    return map_vectors(
         index, metric, add, [T.StructField("cell", T.IntegerType()), T.StructField("pivot_distance", T.DoubleType())]
     )
 
@@ -161,7 +161,7 @@ def knn_join_pruned(
         p, n, _low, _high = shared.value
         return [pa.array([c.astype(np.int32) for c in nearest_cells(points, p, n, k)], type=list_type)]
 
-    home = materialize(_map_vectors(queries, metric, near, cells_field))
+    home = materialize(map_vectors(queries, metric, near, cells_field))
     search = dict(
         k=k, metric=metric, query_id=query_id, index_id=index_id, carry=carry, query_rows=query_rows
     )
@@ -184,6 +184,6 @@ def knn_join_pruned(
         return [pa.array([np.flatnonzero(m).astype(np.int32) for m in mask], type=list_type)]
 
     bounded = home.withColumnRenamed("cells", "home").join(kth, query_id, "left").select(query_id, *names)
-    more = materialize(_map_vectors(bounded, metric, rest, cells_field).select(query_id, "vec", "cells"))
+    more = materialize(map_vectors(bounded, metric, rest, cells_field).select(query_id, "vec", "cells"))
     second = _search_cells(more, placed, index_blocks, **search)
     return best_per_query(first.drop("rank").unionByName(second), k, metric, query_id, index_id)

@@ -60,7 +60,7 @@ def fingerprint(files: Sequence[str], config: RunConfig, names: Sequence[str], *
 # --- index tables ---------------------------------------------------------------------------------
 
 
-def _finished(spark: SparkSession, path: str) -> bool:
+def finished(spark: SparkSession, path: str) -> bool:
     """A table whose writer has left its success marker."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
@@ -70,15 +70,20 @@ def _batch_path(path: str, build: str, batch: str) -> str:
     return f"{path}/rows/{build}/{batch}"
 
 
+def named_batch(batch: str) -> None:
+    if not re.fullmatch(r"[A-Za-z0-9.-]+", batch) or batch == FIRST_BATCH:
+        raise ValueError(f"{batch!r} is no name for a batch")
+
+
 def index_exists(spark: SparkSession, path: str) -> bool:
     """Both the metadata and all batches of rows that it names must be complete."""
-    if not _finished(spark, f"{path}/meta"):
+    if not finished(spark, f"{path}/meta"):
         return False
     meta = index_meta(spark, path)
-    return all(_finished(spark, _batch_path(path, meta["build"], b)) for b in meta["batches"])
+    return all(finished(spark, _batch_path(path, meta["build"], b)) for b in meta["batches"])
 
 
-def _write_meta(spark: SparkSession, path: str, **values) -> None:
+def write_meta(spark: SparkSession, path: str, **values) -> None:
     row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
     row.write.mode("overwrite").parquet(f"{path}/meta")
 
@@ -90,7 +95,7 @@ def save_index(rows: DataFrame, path: str, *, names: Sequence[str], config: RunC
     off never leaves new rows under an old fingerprint.
     """
     rows.select(*INDEX_COLUMNS).write.mode("overwrite").parquet(_batch_path(path, signature, FIRST_BATCH))
-    _write_meta(
+    write_meta(
         rows.sparkSession,
         path,
         signature=signature,
@@ -110,14 +115,13 @@ def append_index(rows: DataFrame, path: str, batch: str) -> str:
     A batch that is sent again replaces itself, so a retry repeats no row. The fingerprint goes on with the names of the
     batches: whoever asks for the index without them does not get it.
     """
-    if not re.fullmatch(r"[A-Za-z0-9.-]+", batch) or batch == FIRST_BATCH:
-        raise ValueError(f"{batch!r} is no name for a batch")
+    named_batch(batch)
     spark = rows.sparkSession
     meta = index_meta(spark, path)
     rows.select(*INDEX_COLUMNS).write.mode("overwrite").parquet(_batch_path(path, meta["build"], batch))
     batches = sorted({*meta["batches"]} - {FIRST_BATCH} | {batch})
     signature = hashlib.sha256("\n".join([meta["build"], *batches]).encode("utf-8")).hexdigest()
-    _write_meta(spark, path, **meta | {"batches": [FIRST_BATCH, *batches], "signature": signature})
+    write_meta(spark, path, **meta | {"batches": [FIRST_BATCH, *batches], "signature": signature})
     return signature
 
 
@@ -156,7 +160,7 @@ def cached_index(
 def cached_scores(spark: SparkSession, root: str, signature: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """(feature, score) for a fingerprint, computed and stored on first use."""
     path = f"{root}/signature={signature}"
-    if not _finished(spark, path):
+    if not finished(spark, path):
         compute().select("feature", "score").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
