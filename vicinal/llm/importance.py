@@ -4,8 +4,8 @@ Words are found by an automaton whose entries are distinct words with a delimite
 of the word and its length, and a scan emits these payloads only. The CRC of a run of words is composed from the payloads
 of neighbours: a CRC is linear, so appending n bytes maps the CRC so far by a fixed 32 x 32 bit matrix per n.
 
-A task starts without entries and takes up the words that no entry covers, from slice to slice, up to ``DICTIONARY_WORDS``.
-Words that are not taken up are computed one by one, so the dictionary changes the speed and never the result.
+A task starts without entries and takes up words that no entry covers and that a slice of texts holds more than once, up to
+``DICTIONARY_WORDS``. Words that are not taken up are computed one by one, so the dictionary changes the speed and never the result.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -100,7 +101,7 @@ class Dictionary:
         crc, length = np.zeros(len(ends), np.uint32), np.zeros(len(ends), np.int64)
         open_ = np.ones(len(ends), bool)
         if self.ready:
-            found = np.array(list(self.automaton.iter(raw.decode("latin-1"))), np.int64).reshape(-1, 2)
+            found = np.fromiter(chain.from_iterable(self.automaton.iter(raw.decode("latin-1"))), np.int64).reshape(-1, 2)
             at = np.searchsorted(ends, found[:, 0])
             crc[at], length[at], open_[at] = self.crc[found[:, 1]], self.length[found[:, 1]], False
         if open_.any():
@@ -111,7 +112,8 @@ class Dictionary:
             sizes = np.array([len(w) for w in new], np.int64)
             which = np.array([new[w] for w in left])
             crc[open_], length[open_] = sums[which], sizes[which]
-            self.learn(list(new), sums, sizes)
+            again = np.bincount(which) > 1
+            self.learn([w for w, twice in zip(new, again.tolist()) if twice], sums[again], sizes[again])
         return ends, crc, length
 
 
