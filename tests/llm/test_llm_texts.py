@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import html
+import itertools
+import random
 import re
 
 import numpy as np
@@ -295,23 +297,85 @@ def test_frames_without_article(spark):
     assert X.extract(pages.limit(0)).collect() == []
 
 
-def test_frames_inside_articles(spark):
-    """Template text in an article goes by the wrapper alone: tags and classes do not tell it from the story."""
+def together(pages):
+    """Texts of pages of one host."""
+    made = [X.wrapper_of(X.parse(p)) for p in pages]
+    wrapper = made[0]
+    for one in made[1:]:
+        wrapper = X._merged(wrapper, one)
+    wrapper = X.loaded(X.dumped(wrapper))
+    return [X.main_text(p, wrapper, len(pages)) for p in pages]
+
+
+@pytest.mark.parametrize("count", [1, 2, 4, 5, 9])
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><h1>Bridge closed</h1><p>The bridge is closed.</p><p>Use the ferry.</p><p>Update {n}.</p></article>",
+        "<article><h1>Daily weather report</h1><p>Rain {n} mm in town.</p></article>",
+        "<nav><a>Home</a></nav><h1>Bridge closed</h1><p>The bridge is closed.</p><p>Update {n}.</p><footer>c</footer>",
+        "<div><div class=x><p>The bridge is closed.</p><p>Use the ferry.</p></div><div class=y>Update {n}.</div></div>",
+        "<div><div><p>The bridge is closed.</p></div><div><p>Update {n}.</p></div></div>",
+        "<article><h1>Same</h1><table><tr><td>Yes<td>{n}</table><p>Share this</p></article>",
+    ],
+)
+def test_what_pages_share_stays_in_the_article(count, page):
+    pages = [page.format(n=n) for n in range(count)]
+    assert together(pages) == [X.main_text(p, None, 0) for p in pages]
+    assert all(t.count("\n\n") >= 1 and (str(n) in t) for n, t in enumerate(together(pages)))
+
+
+def test_frames_of_a_host_go(spark):
+    """A host without article elements and names: only the wrapper tells its frame from the story."""
 
     def page(i):
-        table = "".join(f"<tr><td>Yes<td>{k * i}" for k in range(2 + i % 2))
-        return f"<article><h1>Head {i}</h1><p>story {i}</p><p>Share this with friends</p>{'<p>Rare</p>' * (i == 0)}<table>{table}</table><div>Copyright</div><p>by <b>N{i}</b></p>{'<ul><li>Half</ul>' * (i % 2)}</article>"
+        extra = f"<h2>More {i}</h2>" * (i % 2)
+        return f"<body><div><b>The Town Paper</b></div><h1>Head {i}</h1><div><p>Story {i}</p>{extra}<p>It is over</p></div><div class='legal'><i>All rights</i> reserved</div></body>"
 
-    rows = [(i, "http://h.test/p", page(i)) for i in range(8)] + [(20, "http://few.test/", page(1)), (21, "http://few.test/", page(2))]
-    rows += [(30 + i, "http://copies.test/", page(1)) for i in range(6)] + [(40, "http://h.test/none", "")]
+    rows = [(i, "http://h.test/p", page(i)) for i in range(8)] + [(20, "http://one.test/", page(1))]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = {r.id: r.text for r in X.extract(frame).collect()}
-    for i, _, text in rows[:8]:
-        bare = X.main_text(text, None, 0)
-        assert "Share this with friends" in bare and "Copyright" in bare
-        assert got[i] == bare.replace("\n\nShare this with friends", "").replace("\n\nCopyright", "")
-    for i, _, text in rows[8:]:
-        assert got[i] == X.main_text(text, None, 0)
+    for i in range(8):
+        assert got[i] == "\n\n".join([f"Head {i}", f"Story {i}", *[f"More {i}"] * (i % 2), "It is over"])
+    assert got[20] == X.main_text(page(1), None, 0) != got[1]
+
+
+def test_repeated_articles_are_comments_or_teasers():
+    story = "<article><h1>Story {n}</h1><p>Text {n}</p>{more}</article>{after}"
+    one, two = "<section><article>first {n}</article></section>", "<section><article>first</article><article>second</article></section>"
+    pages = [story.format(n=n, more=m.format(n=n), after=a) for n, (m, a) in enumerate([(one, ""), (two, ""), ("", ""), ("", "<div><article>t</article><article>u</article></div>")])]
+    assert together(pages) == [f"Story {n}\n\nText {n}" for n in range(4)]
+    assert X.main_text(pages[0], None, 0) == "Story 0\n\nText 0\n\nfirst 0"  # one page alone cannot tell
+    assert X.main_text("<article>a</article><article>b</article>", None, 0) == "a\n\nb"  # a list of stories
+
+
+def regular(pattern, run):
+    """Can the wrapper's elements, some optional and some repeated, give this run of symbols?"""
+    reach = {0}
+    for one in pattern:
+        after = set(reach) if one[1] else set()
+        for at in reach:
+            while at < len(run) and run[at] == one[0]:
+                at += 1
+                after.add(at)
+                if not one[2]:
+                    break
+        reach = after
+    return len(run) in reach
+
+
+def test_alignment_against_brute_force():
+    draw = random.Random(4)
+    for _ in range(300):
+        runs = [[draw.choice("abc") for _ in range(draw.randint(0, 6))] for _ in range(2)]
+        a, b = ([n for n in X._folded([[c, False, False, None, [], 1, {}] for c in run])] for run in runs)
+        common = max(
+            k for k in range(min(len(a), len(b)) + 1)
+            if {tuple(x[0] for x in c) for c in itertools.combinations(a, k)} & {tuple(x[0] for x in c) for c in itertools.combinations(b, k)}
+        )
+        made = X.align(a, b)
+        assert all(regular(made, run) for run in runs)
+        assert len(made) <= len(a) + len(b) - common and sum(n[5] == 2 for n in made) >= min(common, 1)
 
 
 def test_text_of_one_page_is_no_frame():
@@ -333,6 +397,13 @@ def test_text_of_one_page_is_no_frame():
         ('<article><div class="article-header"><h1>T</h1></div><p>a</p></article>', "T\n\na"),
         ('<article><div class="header"><div><h1>T</h1>by b</div></div><p>a</p><div class="site-footer"><h2>b</h2></div></article>', "T\n\na"),
         ('<article><p>a</p></article><div class="related"><article>b</article></div>', "a"),
+        ('<article><p>a</p></article><section class="related-posts"><article>b</article></section>', "a"),
+        ('<article><p>a</p><div class="post-comments">b</div><div class="user-comments">c</div></article>', "a"),
+        ('<article><p>a</p><div class="ad-slot">b</div><div id="ad-300x250">c</div><div class="google-ad">d</div></article>', "a"),
+        ('<article class="comment">c</article><div class="content"><p>real text</p></div>', "real text"),
+        ('<main><article>A1</article><p>lead para</p></main>', "A1\n\nlead para"),
+        ('<div class="content"><p>a</p></div><div class="related"><article>b</article></div>', "a"),
+        ('<article class="post-entry"><div class="entry-content"><p>a</p></div></article>', "a"),
     ],
 )
 def test_names_outside(page, want):
@@ -342,6 +413,11 @@ def test_names_outside(page, want):
 def test_odd_markup():
     deep = "<div>" * 3000 + "in" + "</div>" * 3000
     assert X.main_text(f"<article>{deep}</article>", None, 0) == "in"
+    far = "<div>" * 120
+    assert X.main_text(f"<body>{far}<nav>menu</nav><p>deep text</p>", None, 0) == "deep text"
+    assert X.main_text(f"<article>{far}<p>one</p><div class='ad'>buy</div><p>two</p></article>", None, 0) == "one\n\ntwo"
+    open_ = ["<b>" * 20_000 + f"in {n}" for n in range(2)]
+    assert together(open_) == ["in 0", "in 1"]
     assert X.main_text("<article><p title='a>b\" c=\"d>'>x</p></b><p>y", None, 0) == "x\n\ny"
     assert X.main_text("a < b <> c </ d", None, 0) == "a < b <> c </ d"
 

@@ -4,7 +4,11 @@ A wrapper is a union-free regular expression over tags and texts, kept as a tree
 be missing, whether it may repeat, and for texts whether it is the same on every page or a slot. It starts as the token
 stream of one page; every other page of the host is aligned with it, and a mismatch makes an element optional, a run of
 equal elements a repeated group, and different strings a text slot. Every element knows on how many pages it stands, and every
-slot which strings stand in it on all of them, so the frame of a host is found inside its articles too.
+slot which strings stand in it on all of them.
+
+The wrapper locates the article and takes nothing out of it. Where pages have ``main`` or ``article`` elements, repeated groups of
+articles beside or inside a single one are its comments or teasers. Where they have none, the article is the element around
+all text that differs from page to page, and what is the same on all pages around that is the frame of the host.
 """
 
 from __future__ import annotations
@@ -13,8 +17,11 @@ import hashlib
 import html
 import json
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +34,10 @@ from vicinal.session import stored
 BROADCAST_BYTES = 32 << 20
 #: Groups that the wrappers of one host are merged in before they meet.
 SALTS = 64
-#: Without an article element, text that is the same on all of so many pages of a host is part of its frame.
-FRAME_PAGES = 3
-#: Inside an article, which is content unless shown otherwise, text is template text if all of so many articles of a host hold it.
-ARTICLE_PAGES = 5
-#: Elements nested deeper are read as part of their parent.
-DEPTH = 100
+#: Hosts whose wrappers a task holds before it sends them on.
+HOSTS_HELD = 1000
+#: Wrappers are merged by functions that call themselves once per level of nesting; such calls take memory, not stack.
+LEVELS = 10_000_000
 
 RAW = "script|style|noscript|template|iframe|textarea|svg|title"
 TOKEN = re.compile(
@@ -57,27 +62,36 @@ WORDS = frozenset(
     " breadcrumb breadcrumbs cookie cookies consent notice notices gdpr comment comments disqus respond share sharing social related recommended"
     " newsletter subscribe popup modal complementary contentinfo search login pagination pager widget toolbar".split()
 )
-PLAIN = frozenset("site page main global top bottom left right primary secondary box bar block list area container wrapper section inner outer".split())
-# Inside an article their parts explain each other, so they are template text as a whole or not at all.
-UNITS = frozenset("table dl ul ol".split())
+PLAIN = frozenset(
+    "site page main global top bottom left right primary secondary box bar block list area container wrapper section inner outer post posts article"
+    " articles story stories user users reader readers visitor slot unit space google content entry item items link links wp".split()
+)
+# Elements that hold blocks rather than being one.
+HOLDERS = frozenset(" html body div section center td th article main".split(" "))
 HEADERS = frozenset("header masthead banner".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    """``outside`` by its tag, ``named`` so by class, id or role; ``header``: all such names are those of headers."""
+    """``outside`` by its tag, ``named`` so by class, id or role; ``header``: all such names are those of headers.
+
+    An article or main element is ``called`` so instead, which counts if there is anything else. ``place`` is its element of the
+    wrapper and ``places`` are those of its children.
+    """
 
-    __slots__ = ("tag", "symbol", "outside", "named", "header", "children")
+    __slots__ = ("tag", "symbol", "outside", "named", "called", "header", "children", "place", "places")
 
     def __init__(self, tag: str, symbol: str, names: list[set[str]]):
-        self.tag, self.symbol, self.children = tag, symbol, []
-        self.outside, self.named = tag in OUTSIDE, bool(names) and tag not in ("html", "body", "article", "main")
+        self.tag, self.symbol, self.children, self.place, self.places = tag, symbol, [], None, []
+        self.outside, self.called = tag in OUTSIDE, bool(names) and tag in ("article", "main")
+        self.named = bool(names) and tag not in ("html", "body", "article", "main")
         self.header = self.named and all(n <= HEADERS | PLAIN for n in names)
 
 
 def _outside_names(values: list[str]) -> list[set[str]]:
-    """Words of each whole name that marks what is outside."""
-    names = [set(re.split(r"[^a-z]+", name)) - {""} for value in values for name in value.split()]
+    """Words of each whole name that marks what is outside. Sizes such as 300x250 are no words."""
+    parts = (re.sub(r"\d+x\d+", "", name) for value in values for name in value.split())
+    names = [set(re.split(r"[^a-z]+", name)) - {""} for name in parts]
     return [n for n in names if n and n <= WORDS | PLAIN and not n <= PLAIN]
 
 
@@ -90,7 +104,12 @@ def _element(tag: str, attributes: str) -> Node:
 def parse(page: str) -> Node:
     """Tree of elements and strings. End tags that are left out are supplied; stray ones are ignored."""
     root = Node("", "", [])
-    stack = [root]
+    stack, open_ = [root], Counter()
+
+    def close(depth: int) -> None:
+        open_.subtract(node.tag for node in stack[depth:])
+        del stack[depth:]
+
     for token in TOKEN.finditer(page):
         raw, slash, tag, attributes, slash2, tag2, attributes2, text = token.groups()
         if text is not None:
@@ -101,15 +120,13 @@ def parse(page: str) -> Node:
             continue
         tag, closing = tag.lower(), slash or slash2
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
+            if open_[tag]:
+                close(next(depth for depth in range(len(stack) - 1, 0, -1) if stack[depth].tag == tag))
             continue
-        ends, fence = ENDS.get(tag, {"p"} if tag in BLOCK else frozenset()), FENCES.get(tag, {"article", "section", "div", "td", "th", "li", "body", "main"})
-        for depth in range(len(stack) - 1, 0, -1):
+        ends, fence = ENDS.get(tag, {"p"} if tag in BLOCK else frozenset()), FENCES.get(tag, HOLDERS | {"li"})
+        for depth in range(len(stack) - 1, 0, -1) if any(open_[t] for t in ends) else ():
             if stack[depth].tag in ends:
-                del stack[depth:]
+                close(depth)
                 break
             if stack[depth].tag in fence:
                 break
@@ -118,9 +135,9 @@ def parse(page: str) -> Node:
         if tag in VOID:
             continue
         node = _element(tag, attributes or attributes2 or "")
-        if len(stack) < DEPTH:
-            stack[-1].children.append(node)
-            stack.append(node)
+        stack[-1].children.append(node)
+        stack.append(node)
+        open_[tag] += 1
     return root
 
 
@@ -140,8 +157,38 @@ def _text(value: str) -> list | None:
 
 def wrapper_of(node: Node) -> list:
     """The token stream of one page, runs of equal neighbours folded to repeated groups."""
-    children = [_text(c) if isinstance(c, str) else wrapper_of(c) for c in node.children]
-    return [node.symbol, False, False, None, _folded([c for c in children if c]), 1, {}]
+    order, made = [node], {}
+    for parent in order:
+        order.extend(c for c in parent.children if isinstance(c, Node))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), LEVELS))
+    for parent in reversed(order):
+        children = [_text(c) if isinstance(c, str) else made.pop(id(c)) for c in parent.children]
+        made[id(parent)] = [parent.symbol, False, False, None, _folded([c for c in children if c]), 1, {}]
+    return made[id(node)]
+
+
+def dumped(wrapper: list) -> str:
+    """JSON of all elements in order, each with the number of its children, however deep they are."""
+    out, stack = [], [wrapper]
+    while stack:
+        one = stack.pop()
+        out.append([*one[:4], len(one[4]), *one[5:]])
+        stack.extend(reversed(one[4]))
+    return json.dumps(out, separators=(",", ":"))
+
+
+def loaded(value: str) -> list:
+    root: list = []
+    stack = [(root, 1)]
+    for one in json.loads(value):
+        while not stack[-1][1]:
+            stack.pop()
+        into, left = stack[-1]
+        stack[-1] = into, left - 1
+        children: list = []
+        into.append([*one[:4], children, *one[5:]])
+        stack.append((children, one[4]))
+    return root[0]
 
 
 def _folded(children: list[list]) -> list[list]:
@@ -166,39 +213,54 @@ def _merged(a: list, b: list, same_pages: bool = False) -> list:
     return [a[0], a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else None, align(a[4], b[4], same_pages), pages, strings]
 
 
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and each beginning of ``b``, the empty one first."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for symbol in a:
+        row[1:] = np.maximum(row[1:], row[:-1] + (b == symbol))
+        np.maximum.accumulate(row, out=row)
+    return row
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence, in the memory of one row: one half of ``a`` from each side."""
+    found: list[tuple[int, int]] = []
+    stack = [(0, len(a), 0, len(b))]
+    while stack:
+        i, k, j, m = stack.pop()
+        while i < k and j < m and a[i] == b[j]:
+            found.append((i, j))
+            i, j = i + 1, j + 1
+        while i < k and j < m and a[k - 1] == b[m - 1]:
+            k, m = k - 1, m - 1
+            found.append((k, m))
+        if k - i == 1:
+            at = np.flatnonzero(b[j:m] == a[i])
+            found += [(i, j + int(at[0]))] if len(at) else []
+        elif i < k and j < m:
+            half = (i + k) // 2
+            cut = j + int((_lengths(a[i:half], b[j:m]) + _lengths(a[half:k][::-1], b[j:m][::-1])[::-1]).argmax())
+            stack += [(i, half, j, cut), (half, k, cut, m)]
+    return sorted(found)
+
+
 def align(a: list[list], b: list[list], same_pages: bool = False) -> list[list]:
     """Longest common subsequence of two runs of elements; what is in one of them only becomes optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
         return [_merged(x, y, same_pages) for x, y in zip(a, b)]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+    number: dict[str, int] = {}
+    runs = [np.array([number.setdefault(x[0], len(number)) for x in side], np.int64) for side in (a, b)]
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i][0] == b[j][0]:
-            out.append(_merged(a[i], b[j], same_pages))
-            i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
-            out.append([a[i][0], True, *a[i][2:]])
-            i += 1
-        else:
-            out.append([b[j][0], True, *b[j][2:]])
-            j += 1
+    for k, m in [*_common(*runs), (len(a), len(b))]:
+        out += [[x[0], True, *x[2:]] for x in (*a[i:k], *b[j:m])]
+        if k < len(a):
+            out.append(_merged(a[k], b[m], same_pages))
+        i, j = k + 1, m + 1
     return _folded(out)
 
 
-def _tagged(node: Node, tag: str, named: bool) -> list[Node]:
-    """Outermost elements of that name that lie in no outside element; with ``named``, not in one that is so by its names either."""
-    if node.outside or (named and node.named):
-        return []
-    if node.tag == tag:
-        return [node]
-    return [x for c in node.children if isinstance(c, Node) for x in _tagged(c, tag, named)]
-
-
-def _placed(node: Node, pattern: list | None) -> Iterator[tuple[Node | str, list | None]]:
-    """Children with their places in the wrapper."""
+def _placed(node: Node, pattern: list | None) -> Iterator[list | None]:
+    """Places of a node's children in the wrapper."""
     at = 0
     for child in node.children:
         symbol, found = "#" if isinstance(child, str) else child.symbol, None
@@ -206,86 +268,175 @@ def _placed(node: Node, pattern: list | None) -> Iterator[tuple[Node | str, list
             place = next((k for k in (*range(at, len(pattern[4])), *range(at)) if pattern[4][k][0] == symbol), None)
             if place is not None:
                 at, found = place, pattern[4][place]
-        yield child, found
+        yield found
 
 
-def main_text(page: str, wrapper: list | None, pages: int) -> str:
-    """Blocks of the article, in page order."""
-    root = parse(page)
-    wrapper = wrapper if pages >= FRAME_PAGES else None
-    blocks: list[str] = []
-    held: list[str] = []
-
-    told: list[bool] = []
-
-    def flush() -> None:
-        """Ends a block. Inside an article, it is left out if all of its text is template text."""
-        words = " ".join("".join(held).split())
-        if words and not (tops and all(told)):
-            blocks.append(words)
-        held.clear()
-        told.clear()
-
-    # an element that is outside by its names only is looked into if there is no article or main element elsewhere
-    tops = next((found for named in (True, False) for tag in ("article", "main") if (found := _tagged(root, tag, named))), [])
-
-    def frame(value: str, found: list | None, least: int) -> bool:
-        """Is this the same on each of the pages that hold its element, and are those at least so many?"""
-        if found is None or found[5] < least or not (found[3] or found[6]):
-            return False
-        digest = _digest(value)
-        return digest is not None and (found[3] == digest or found[6].get(digest) == 1)
-
-    def all_frame(node: Node, found: list | None, least: int) -> bool:
-        return all((not c.strip() or frame(c, f, least)) if isinstance(c, str) else all_frame(c, f, least) for c, f in _placed(node, found))
-
-    def headings(node: Node, pattern: list | None, least: int) -> None:
-        for child, found in _placed(node, pattern):
-            if not isinstance(child, str) and not child.outside and (child.header or not child.named):
-                (walk if child.tag in HEADINGS else headings)(child, found, least)
-
-    def walk(node: Node, pattern: list | None, least: int, top: bool = False) -> None:
-        if (node.outside or node.named or not tops and node.tag == "header") and not top:
-            flush()
-            if tops and node.header and not node.outside:
-                headings(node, pattern, least)
-            return
-        block = node.tag in BLOCK
-        if block:
+def _lay(root: Node, wrapper: list) -> None:
+    """Gives every element its place in the wrapper."""
+    root.place = wrapper
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.places = list(_placed(node, node.place))
+        for child, found in zip(node.children, node.places):
+            if isinstance(child, Node):
+                child.place = found
+                stack.append(child)
+
+
+def _own(value: str, place: list | None) -> bool:
+    """Is this text that does not stand in its place on every page that has the place?"""
+    digest = _digest(value)
+    return digest is not None and (place is None or place[5] < 2 or not (place[3] == digest or digest in place[6]))
+
+
+class Page:
+    """One page laid over the wrapper of its host. ``names``: do class, id and role count; ``called``: may articles be called so?"""
+
+    def __init__(self, root: Node, names: bool, called: bool):
+        self.root, self.names, self.called = root, names, called
+        self.tops: list[Node] = []
+        self.beside: set[int] = set()
+
+    def skipped(self, node: Node) -> bool:
+        return node.outside or self.names and node.named or not self.called and node.called or id(node) in self.beside
+
+    def articles(self) -> list[Node]:
+        """Outermost main and article elements. In them, repeated groups of articles beside or inside a single one are set aside."""
+        found, single, grouped = [], False, []
+        stack: list[tuple[Node, Node | None, bool]] = [(self.root, None, False)]
+        while stack:
+            node, top, inside = stack.pop()
+            if self.skipped(node):
+                continue
+            article = node.tag == "article"
+            if top is None and (article or node.tag == "main"):
+                found.append(node)
+                top = node
+            if article:
+                repeated = node.place is not None and node.place[2]
+                single |= not inside and not repeated
+                if repeated:
+                    grouped.append((node, inside))
+            stack.extend((c, top, inside or article) for c in reversed(node.children) if isinstance(c, Node))
+        self.beside = {id(node) for node, inside in grouped if inside or single}
+        return [node for node in found if id(node) not in self.beside]
+
+    def located(self) -> list[Node]:
+        """Without such elements: the element around all text that differs from page to page, and what goes with it."""
+        path: list[tuple[Node, int]] | None = None
+        own: set[int] = set()
+        stack: list[list] = [[self.root, 0]]
+        least = 1  # levels that have stayed open since the last such text
+        while stack:
+            node, i = stack[-1]
+            if i == len(node.children):
+                stack.pop()
+                least = min(least, len(stack))
+                continue
+            stack[-1][1] += 1
+            child = node.children[i]
+            if isinstance(child, Node):
+                if not self.skipped(child) and child.tag != "header":
+                    stack.append([child, 0])
+            elif child.strip() and _own(child, node.places[i]):
+                path = [(n, k - 1) for n, k in stack] if path is None else path[:least]
+                least = len(stack)
+                for above, _ in reversed(stack):
+                    if id(above) in own:
+                        break
+                    own.add(id(above))
+        if path is None:
+            return [self.root]
+        paragraphs = self.paragraphs()
+        before: list[Node] = []
+        after: list[Node] = []
+        for depth, (node, i) in enumerate(path):
+            groups = {id(f) for c, f in zip(node.children, node.places) if f is not None and isinstance(c, Node) and id(c) in own}
+            keep = [isinstance(c, Node) and (id(c) in own or f is not None and f[2] and id(f) in groups) for c, f in zip(node.children, node.places)]
+            many = [isinstance(c, Node) and paragraphs.get(id(c), 0) > 1 for c in node.children]
+            text = any(isinstance(c, str) and c.strip() and _own(c, f) for c, f in zip(node.children, node.places))
+            child = node.children[i]
+            last = depth + 1 == len(path) or not isinstance(child, Node) or child.tag not in HOLDERS
+            if text or last and not any(keep):
+                return [*before, node, *after]
+            first = keep.index(True)
+            while first and (not isinstance(c := node.children[first - 1], Node) and not c.strip() or isinstance(c, Node) and c.tag in HEADINGS):
+                first -= 1
+            end = len(keep) - 1 - keep[::-1].index(True)
+            if last or sum(keep) > 1:
+                kept = [c for k, c in enumerate(node.children) if isinstance(c, Node) and (first <= k <= end or many[k])]
+                return [*before, *kept, *after]
+            before += [c for k, c in enumerate(node.children[:i]) if isinstance(c, Node) and (k >= first or many[k])]
+            after = [c for k, c in enumerate(node.children[i + 1 :], i + 1) if many[k]] + after
+        return [*before, path[-1][0], *after]
+
+    def paragraphs(self) -> dict[int, int]:
+        """Paragraphs in every element that is not skipped."""
+        order, found = [(self.root, None)], {}
+        for node, _ in order:
+            order.extend((c, node) for c in node.children if isinstance(c, Node) and not self.skipped(c))
+        for node, above in reversed(order):
+            found[id(node)] = found.get(id(node), 0) + (node.tag == "p")
+            if above is not None:
+                found[id(above)] = found.get(id(above), 0) + found[id(node)]
+        return found
+
+    def blocks(self, tops: list[Node], headers: bool) -> list[str]:
+        """Texts of the blocks in these elements. ``headers``: header elements, and the headings in what is named so, belong to them."""
+        out: list[str] = []
+        held: list[str] = []
+
+        def flush() -> None:
+            words = " ".join("".join(held).split())
+            if words:
+                out.append(words)
+            held.clear()
+
+        for top in tops:
+            stack: list[list] = [[top, 0, False]]
             flush()
-        if tops and node.tag in UNITS and not all_frame(node, pattern, least):
-            pattern = None
-        for child, found in _placed(node, pattern):
-            if not isinstance(child, str):
-                walk(child, found, least)
-            elif tops or not frame(child, found, least):
-                held.append(child)
-                if child.strip():
-                    told.append(frame(child, found, least))
-        if block:
+            while stack:
+                node, i, titles = stack[-1]
+                if i == len(node.children):
+                    stack.pop()
+                    if node.tag in BLOCK:
+                        flush()
+                    continue
+                stack[-1][1] += 1
+                child = node.children[i]
+                if isinstance(child, str):
+                    if not titles:
+                        held.append(child)
+                    continue
+                if titles and child.tag in HEADINGS and not child.outside:
+                    titles = False
+                elif self.skipped(child) or child.tag == "header" and not headers:
+                    flush()
+                    if not headers or child.outside or not child.header:
+                        continue
+                    titles = True
+                if child.tag in BLOCK:
+                    flush()
+                stack.append([child, 0, titles])
             flush()
+        return out
 
-    def articles(node: Node, pattern: list | None) -> None:
-        if any(node is top for top in tops):
-            walk(node, pattern, max(ARTICLE_PAGES, pattern[5]) if pattern else ARTICLE_PAGES, True)
-            flush()
-            return
-        for child, found in _placed(node, pattern):
-            if not isinstance(child, str):
-                articles(child, found)
 
-    if not tops:
-        walk(root, wrapper, FRAME_PAGES, True)
-        flush()
-        return "\n\n".join(blocks)
-    articles(root, wrapper)
-    if not blocks and wrapper is not None:  # copies of one article: nothing tells its text from the template
-        articles(root, None)
-    return "\n\n".join(blocks)
+def main_text(page: str, wrapper: list | None, pages: int) -> str:
+    """Blocks of the article, in page order. ``wrapper`` was inferred from ``pages`` pages; a page on its own is its own wrapper."""
+    root = parse(page)
+    _lay(root, wrapper if wrapper is not None and pages > 1 else wrapper_of(root))
+    strict = Page(root, True, False)
+    for view, located in ((strict, False), (strict, True), (Page(root, False, False), False), (Page(root, True, True), False)):
+        found = view.located() if located else view.articles()
+        if blocks := view.blocks(found, not located):
+            return "\n\n".join(blocks)
+    return ""
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One wrapper per host and task."""
+    """One wrapper per host and task, or a few if there are many hosts."""
     known: dict[str, list] = {}
     counts: dict[str, int] = {}
     for batch in slices(batches, "html"):
@@ -296,18 +447,27 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known[host] = own
             else:
                 known[host] = _merged(known[host], own)
+            if len(known) > HOSTS_HELD:
+                yield _rows(known, counts)
+    yield _rows(known, counts)
+
+
+def _rows(known: dict[str, list], counts: dict[str, int]) -> pa.RecordBatch:
+    """Takes all wrappers out."""
     hosts = sorted(known)
-    values = [json.dumps(known[h], separators=(",", ":")) for h in hosts]
-    yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(values, pa.string()), pa.array([counts[h] for h in hosts], pa.int64())], names=["host", "wrapper", "pages"])
+    values = [dumped(known.pop(h)) for h in hosts]
+    columns = [pa.array(hosts, pa.string()), pa.array(values, pa.string()), pa.array([counts.pop(h) for h in hosts], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["host", "wrapper", "pages"])
 
 
 def _join_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(list(batches)).sort_by([("wrapper", "ascending"), ("pages", "ascending")])
     merged = None
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), LEVELS))
     for value in table.column("wrapper"):
-        one = json.loads(value.as_py())
+        one = loaded(value.as_py())
         merged = one if merged is None else _merged(merged, one)
-    value = json.dumps(merged, separators=(",", ":"))
+    value = dumped(merged)
     yield pa.RecordBatch.from_arrays([table.column("host").combine_chunks()[:1], pa.array([value]), pa.array([pa.compute.sum(table.column("pages")).as_py()])], names=["host", "wrapper", "pages"])
 
 
@@ -328,7 +488,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if wrapper is not None and wrapper not in parsed:
                 if len(parsed) > 1000:
                     parsed.clear()
-                parsed[wrapper] = json.loads(wrapper)
+                parsed[wrapper] = loaded(wrapper)
             texts.append(main_text(page, parsed.get(wrapper), pages or 0))
         names = [n for n in batch.schema.names if n not in ("html", "wrapper", "pages")]
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(texts, pa.string())], names=[*names, "main_text"])
@@ -337,11 +497,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars), one row per row of ``pages``.
 
-    The article is what stands in ``article`` elements, else in ``main``, else on the page, without outside elements and
-    without template text of the host: text that stands once in its place of the wrapper and is the same on each of the pages
-    that have the place, at least FRAME_PAGES of them. Inside an article element the place has to be in every such article
-    of the host, at least ARTICLE_PAGES; only whole blocks, lists and tables go, and if nothing else is in the article, its
-    text stays. Null and empty pages have an empty text;
+    The article is what stands in ``main`` and ``article`` elements, without outside elements, articles that are called comments or
+    the like, and repeated groups of articles inside or beside a single one. Pages without such elements: the element around all
+    text that is not the same in its place on each of the host's pages that have the place. What is the same before and
+    after it is the frame and goes, but headings directly before it and elements with several paragraphs stay. Nothing is
+    taken out of the article because other pages hold it too; pages that are all alike keep all. If that leaves nothing, names of
+    classes are ignored, and then what articles are called. Nesting has no limit. Null and empty pages have an empty text;
     pages without a host share the wrapper of the empty host. Repeated rows come back as often as they came; an empty
     table gives an empty result; other columns are not needed.
     """
