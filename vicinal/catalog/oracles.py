@@ -277,6 +277,8 @@ scores AS (SELECT {names}[pos + 1] AS feature, pos, greatest(total / n + {digamm
 
 TRAIN = "train AS (SELECT * FROM vectors WHERE split = 'train')"
 put("mutual_info_knn", VECTORS, mutual_info("vectors", NAMES), "SELECT feature, round(score, 6) AS score FROM scores")
+ORACLES["mutual_info_appended"] = ORACLES["mutual_info_knn"]
+put("mutual_info_runs", DOCUMENTS, mutual_info("docs", lst(X.DOCUMENT_NAMES)), "SELECT feature, round(score, 6) AS score FROM scores")
 put("select_best_features", VECTORS, TRAIN, mutual_info("train", NAMES),
     f"SELECT feature, round(score, 6) AS score FROM scores ORDER BY scores.score DESC, feature LIMIT {Q.TOP_FEATURES}")
 put("top10_features", VECTORS, mutual_info("vectors", NAMES),
@@ -293,6 +295,7 @@ b_joint AS (SELECT *, sum(c) OVER (PARTITION BY pos, bin) AS cb, sum(c) OVER (PA
                    CAST(sum(c) OVER (PARTITION BY pos) AS DOUBLE) AS n FROM b_cells)""",
     f"SELECT {lst(X.LINE_NAMES)}[pos + 1] AS feature, round(greatest(sum(c / n * ln(c * n / (cb * cy))), 0.0), 6) AS score "
     "FROM b_joint GROUP BY pos")
+ORACLES["mutual_info_sketched"] = ORACLES["mutual_info_binned"]
 put("top_abs_features", VECTORS, LONG, """
 ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY abs(CAST(v AS FLOAT)) DESC, pos) AS r FROM long),
 kept AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY pos) - 1 AS slot FROM ranked WHERE r <= 10)""",
@@ -351,6 +354,8 @@ lists AS (
   SELECT query_id, string_agg(CAST(label AS VARCHAR), ',' ORDER BY rank) AS neighbor_labels,
          string_agg({SIGNED.format('CAST(s AS FLOAT)')}, ',' ORDER BY rank) AS neighbor_similarities
   FROM nn GROUP BY query_id)"""
+put("stream_versions", SIDES, knn(Q.K_NEAREST).replace("FROM q, i)", "FROM q, i WHERE query_id % 10 <> 0 OR sample_id % 2 = 0)"), VOTES,
+    "SELECT query_id, votes_0, votes_1, nearest_label, prediction, CASE WHEN query_id % 10 = 0 THEN 1 ELSE 2 END AS version FROM votes")
 put("neighbor_lists", SIDES, knn(5), LISTS, "SELECT * FROM lists")
 _s = SINGLE.format("s")
 _w = f"least(greatest(({_s} + 1) / 2, 0), 1)"
@@ -444,6 +449,15 @@ letters AS (SELECT doc_id, list_transform(['a','b','c','d','e','f','g','h'],
 n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM letters),
 u AS (SELECT doc_id, s, unnest(v) AS x, unnest(range(8)) AS pos FROM n)""",
     "SELECT doc_id, CAST(pos AS INT) AS pos, round(CAST(CAST(x / s AS FLOAT) AS DOUBLE), 6) AS value FROM u")
+put("embed_distinct", r"""
+lines AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(translate(x, chr(9) || chr(13), '  ')) <> '')) AS line FROM documents),
+letters AS (SELECT doc_id, line, list_transform(['a','b','c','d','e','f','g','h'],
+              lambda c: CAST(length(line) - length(replace(line, c, '')) + 1 AS DOUBLE)) AS v FROM lines),
+n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM letters),
+u AS (SELECT doc_id, CAST(CAST(unnest(v) / s AS FLOAT) AS DOUBLE) AS x, unnest(range(8)) AS pos FROM n),
+m AS (SELECT doc_id, pos, avg(x) AS m FROM u GROUP BY doc_id, pos)""",
+    "SELECT doc_id, CAST(pos AS INT) AS pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY doc_id)), 6) AS value, "
+    "(SELECT count(DISTINCT line) FROM lines) AS encoded FROM m")
 put("mean_pool", """
 m_long AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(64)) AS pos FROM embeddings),
 m_mean AS (SELECT label, pos, avg(v) AS m FROM m_long GROUP BY label, pos),
@@ -477,8 +491,12 @@ _summary = " || chr(10) || ".join(
 )
 
 
-def prompt_ctes(pairs: str) -> str:
-    """CTE ``texts``: the prompt of every query, variant and (e, f) of ``pairs``."""
+PLAIN_CHAT = ("'SYSTEM: '", "chr(10) || chr(10) || 'USER: '", "chr(10) || 'ASSISTANT:'")
+MARKED_CHAT = ("'<|system|>'", "'<|end|><|user|>'", "'<|end|><|assistant|>'")
+
+
+def prompt_ctes(pairs: str, chat: tuple[str, str, str] = PLAIN_CHAT) -> str:
+    """CTE ``texts``: the prompt of every query, variant and (e, f) of ``pairs``; ``chat`` is written around the two messages."""
     line = "'Example ' || no || ': ' || head || array_to_string(items[1:ff], ', ') || ']'"
     return f"""
 variants AS (SELECT * FROM (VALUES (0, 'normal', false, false), (1, 'reversed', true, false), (2, 'compact', false, true))
@@ -498,12 +516,12 @@ shown_lines AS (
   FROM numbered GROUP BY query_id, variant_no, e, f),
 texts AS (
   SELECT o.*, lines,
-    'SYSTEM: ' || {text(P.SYSTEM_TEXT)} || chr(10) || chr(10) || 'USER: '
+    {chat[0]} || {text(P.SYSTEM_TEXT)} || {chat[1]}
     || CASE WHEN compact THEN '' ELSE {text(P.RULES_TEXT)} END || {_summary} || chr(10) || chr(10)
     || CASE WHEN compact THEN {text(P.COMPACT_EXAMPLES_TITLE)} ELSE {text(P.EXAMPLES_TITLE)} END || chr(10)
     || lines || chr(10) || chr(10) || {text(P.QUERY_TITLE)} || chr(10) || 'displayed_features=['
     || array_to_string(query_items[1:ff], ', ') || ']' || chr(10) || chr(10) || {text(P.CLOSING_TEXT)}
-    || chr(10) || 'ASSISTANT:' AS prompt
+    || {chat[2]} AS prompt
   FROM options o JOIN shown_lines USING (query_id, variant_no, e, f)
   JOIN (SELECT query_id, query_items FROM frag WHERE rank = 1) USING (query_id)
   JOIN votes USING (query_id) JOIN evidence USING (query_id))"""
@@ -512,9 +530,9 @@ texts AS (
 TOKENS = r"len(regexp_extract_all({0}, '(\w+|[^\w\s])', 1))"
 
 
-def budget_ctes(budget: int, grid: str) -> str:
-    return prompt_ctes(grid) + f""",
-counted AS (SELECT *, CAST({TOKENS.format('prompt')} AS INT) AS tokens, CAST({TOKENS.format('lines')} AS INT) AS neighbor_tokens FROM texts),
+def budget_ctes(budget: int, grid: str, chat: tuple[str, str, str] = PLAIN_CHAT, tokens: str = TOKENS) -> str:
+    return prompt_ctes(grid, chat) + f""",
+counted AS (SELECT *, CAST({tokens.format('prompt')} AS INT) AS tokens, CAST({TOKENS.format('lines')} AS INT) AS neighbor_tokens FROM texts),
 best AS (SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY e DESC, f DESC) AS choice
   FROM counted WHERE tokens <= {budget}) WHERE choice = 1)"""
@@ -533,6 +551,12 @@ put("prompt_budget", SIDES, knn(5), EVIDENCE, DISTANCE, FRAGMENTS, budget_ctes(Q
 put("token_usage", *PROMPT_BASE, budget_ctes(CONFIG.max_prompt_tokens, GRID), f"SELECT query_id, variant, {_chosen} FROM best")
 put("answers_join", *PROMPT_BASE, budget_ctes(CONFIG.max_prompt_tokens, GRID), ANSWERS,
     "SELECT query_id, variant, raw, tokens AS prompt_tokens FROM best JOIN answers USING (query_id, variant)")
+put("prompt_hooks", *PROMPT_BASE, budget_ctes(2 * Q.TIGHT_BUDGET, GRID, MARKED_CHAT, "(length({0}) + 3) // 4"),
+    "SELECT query_id, variant, CAST(ee AS INT) AS n_examples, CAST(ff AS INT) AS n_features, tokens AS prompt_tokens, md5(prompt) AS prompt_md5 FROM best")
+put("answer_store", f"asked AS ({ORACLES['prompts']})", SIDES, knn(Q.K_NEAREST), VOTES,
+    f"SELECT query_id, variant, {NAME_OF.format('prediction')} AS raw, CAST(prediction AS INT) AS vote, "
+    "(SELECT count(DISTINCT prompt) FROM asked) AS asked, CAST(0 AS BIGINT) AS asked_again "
+    "FROM votes, (SELECT unnest(['normal', 'reversed', 'compact']) AS variant)")
 put("answer_callback", SIDES, knn(Q.K_NEAREST), VOTES,
     f"SELECT query_id, variant, {NAME_OF.format('prediction')} AS raw, CAST(prediction AS INT) AS vote "
     "FROM votes, (SELECT unnest(['normal', 'reversed', 'compact']) AS variant)")
@@ -579,8 +603,7 @@ i AS (SELECT sample_id, v, label FROM dense JOIN vectors USING (sample_id) WHERE
 put("run_vote", ORACLES["classify_vote_original"].removeprefix("WITH ").rsplit("SELECT query_id, prediction", 1)[0],
     f"SELECT query_id, {NAME_OF.format('prediction')} AS written, true_label, votes_0, votes_1 FROM votes JOIN q USING (query_id)")
 ORACLES["run_fused"] = ORACLES["classify_fused"]
-put("prompt_hooks", "SELECT query_id, variant, true AS fits FROM "
-    "(SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 5 = 0), (SELECT unnest(['normal', 'reversed', 'compact']) AS variant)")
+ORACLES["prompt_tokenizer"] = ORACLES["prompt_hooks"]
 put("dataset_roundtrip", DOCUMENTS, "SELECT sample_id, md5(text) AS text_md5, label FROM docs")
 put("text_index_search", ALL_DOCUMENTS, hashing("docs", "sample_id", "text", "hv"), """
 dense AS (SELECT id AS sample_id, list(CAST(CAST(coalesce(x, 0) AS FLOAT) AS DOUBLE) ORDER BY b) AS v

@@ -13,6 +13,7 @@ from vicinal.config import RunConfig
 from vicinal.functions import text as TX
 from vicinal.functions import vectors as V
 from vicinal.operators import answers as A
+from vicinal.operators import distinct_texts as DT
 from vicinal.operators import embed as E
 from vicinal.operators import evidence as EV
 from vicinal.operators import features as FT
@@ -22,8 +23,10 @@ from vicinal.operators import labels as L
 from vicinal.operators import metrics as M
 from vicinal.operators import mutual_info as MI
 from vicinal.operators import prompts as P
+from vicinal.operators import quantiles as QU
 from vicinal.operators import sample as S
 from vicinal.operators import validate as VD
+from vicinal.operators import token_fit as TF
 from vicinal.operators import vote as VT
 from vicinal.operators.prefixes import prefix_join
 from vicinal.operators.pruned import knn_join_pruned
@@ -38,8 +41,10 @@ from vicinal.sources import cells as CL
 from vicinal.sources import labelled as CSV
 from vicinal.sources import sinks as SK
 from vicinal.sources import store as ST
+from vicinal.sources import value_counts as VC
+from vicinal.sources.answered import answer_stored
 from vicinal.sources.dictionary import feature_descriptions, feature_dim
-from vicinal.streaming.score import score_stream
+from vicinal.streaming.score import score_stream, score_stream_versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -363,6 +368,33 @@ def q_mutual_info_binned(spark, sf):
     return scores.select("feature", r6("score", "score"))
 
 
+@query
+def q_mutual_info_runs(spark, sf):
+    """Features cut into runs that no task holds as a whole."""
+    scores = MI.mutual_info(X.documents(spark, sf), X.DOCUMENT_NAMES, run_rows=100)
+    return scores.select("feature", r6("score", "score"))
+
+
+@query
+def q_mutual_info_appended(spark, sf):
+    """Scores from stored value counts, to which two batches of rows were appended."""
+    rows, path = spread(X.vectors(spark, sf)), scratch_path(spark, "counts")
+    third = F.col("sample_id") % 3
+    VC.save_counts(rows.filter(third == 0), path, X.VECTOR_NAMES, "first-third")
+    for batch, part in (("second", 1), ("third", 2), ("second", 1)):  # a batch that is sent twice counts once
+        VC.append_counts(rows.filter(third == part), path, batch)
+    return VC.stored_scores(spark, path).select("feature", r6("score", "score"))
+
+
+SUMMARY_SIZE = 1 << 17  # so many rows have exact ranks; beyond, ranks are within a bound that tests hold
+
+
+@query
+def q_mutual_info_sketched(spark, sf):
+    scores = QU.mutual_info_sketched(spread(X.lines(spark, sf)), X.LINE_NAMES, bins=10, size=SUMMARY_SIZE)
+    return scores.select("feature", r6("score", "score"))
+
+
 @query
 def q_standardize(spark, sf):
     rows = X.documents(spark, sf, labelled=False).drop("text")
@@ -468,7 +500,7 @@ def q_neighbor_evidence(spark, sf):
 @query
 def q_mean_abs_distance(spark, sf):
     queries, index = X.vector_sides(spark, sf)
-    out = EV.with_distance(neighbors(spark, sf), queries.select("query_id", "raw"), index.select("sample_id", "raw"))
+    out = EV.with_distance_in_blocks(neighbors(spark, sf), queries.select("query_id", "raw"), index.select("sample_id", "raw"))
     return out.select("query_id", "rank", "sample_id", r6("mean_abs_distance", "mean_abs_distance"))
 
 
@@ -544,6 +576,15 @@ def q_embed_callback(spark, sf):
     return long_form(E.embed_with(spread(X.table(spark, sf, "documents")), "text", letter_encoder), "doc_id", "vec")
 
 
+@query
+def q_embed_distinct(spark, sf):
+    """Lines of documents, each different line encoded once, pooled per document."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, "\t\r", "  ")) != "")
+    rows = spread(X.table(spark, sf, "documents")).select("doc_id", lines.alias("lines")).where(F.size("lines") > 0)
+    pooled, encoded = DT.embed_distinct(rows, "lines", letter_encoder, "doc_id")
+    return long_form(pooled, "doc_id", "vec").withColumn("encoded", F.lit(encoded.texts).cast("long"))
+
+
 @query
 def q_mean_pool(spark, sf):
     return long_form(E.mean_pool(X.table(spark, sf, "embeddings"), "label", "embedding"), "label", "vec")
@@ -622,6 +663,24 @@ def q_answer_callback(spark, sf):
     return out.select("query_id", "variant", "raw", A.parse_answer(F.col("raw")).alias("vote"))
 
 
+def no_reader() -> A.Generator:
+    def generate(prompts: list[str]) -> list[str]:
+        raise RuntimeError(f"{len(prompts)} prompts were asked again")
+
+    return generate
+
+
+@query
+def q_answer_store(spark, sf):
+    """Two runs; the second finds all answers and would fail if it asked."""
+    prompts = materialize(budgeted_prompts(cases(spark, sf), CONFIG).select("query_id", "variant", "prompt"))
+    path, settings = scratch_path(spark, "answers"), dict(model="majority", max_new_tokens=CONFIG.max_new_tokens)
+    _, asked = answer_stored(prompts, majority_reader, path, **settings, wave_prompts=100)
+    out, again = answer_stored(prompts, no_reader, path, **settings)
+    counts = F.lit(asked).cast("long").alias("asked"), F.lit(again).cast("long").alias("asked_again")
+    return out.select("query_id", "variant", "raw", A.parse_answer(F.col("raw")).alias("vote"), *counts)
+
+
 @query
 def q_vote_consensus(spark, sf):
     out = A.vote_consensus(X.answers(spark, sf))
@@ -712,9 +771,22 @@ def letter_count(text: Column) -> Column:
 @query
 def q_prompt_hooks(spark, sf):
     found = budgeted_prompts(cases(spark, sf), RunConfig(k=K_NEAREST, max_prompt_tokens=2 * TIGHT_BUDGET), letter_count, chat_template)
-    shape = F.col("prompt").startswith("<|system|>") & F.col("prompt").endswith("<|end|><|assistant|>")
-    right = shape & (F.col("prompt_tokens") == letter_count(F.col("prompt"))) & (F.col("prompt_tokens") <= 2 * TIGHT_BUDGET)
-    return found.select("query_id", "variant", right.alias("fits"))
+    return found.select("query_id", "variant", "n_examples", "n_features", "prompt_tokens", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+
+def letter_counter() -> TF.TokenCounter:
+    """The same counter as a caller's tokenizer in Python."""
+    return lambda texts: [-(-len(t) // 4) for t in texts]
+
+
+def marked_chat(chat: list[dict[str, str]]) -> str:
+    return "".join(f"<|{m['role']}|>{m['content']}<|end|>" for m in chat) + "<|assistant|>"
+
+
+@query
+def q_prompt_tokenizer(spark, sf):
+    found = budgeted_prompts(cases(spark, sf), RunConfig(k=K_NEAREST, max_prompt_tokens=2 * TIGHT_BUDGET), make_counter=letter_counter, chat=marked_chat)
+    return found.select("query_id", "variant", "n_examples", "n_features", "prompt_tokens", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
 @query
@@ -765,3 +837,22 @@ def q_stream_score(spark, sf):
     sink, state = scratch_path(spark, "stream-votes"), scratch_path(spark, "stream-state")
     score_stream(arriving, index, K_NEAREST, sink, state).awaitTermination()
     return spark.read.parquet(sink).select("query_id", "votes_0", "votes_1", "nearest_label", "prediction")
+
+
+@query
+def q_stream_versions(spark, sf):
+    """A stored index that grows between two micro-batches of a stream."""
+    queries, index, path, signature = _stored_index(spark, sf)
+    half = F.col("sample_id") % 2 == 0
+    ST.save_index(index.filter(half), path, names=X.VECTOR_NAMES, config=CONFIG, signature=signature)
+    source, sink, state = (scratch_path(spark, name) for name in ("arriving", "stream-votes", "stream-state"))
+    early = F.col("query_id") % 10 == 0
+    versions = [signature]
+    for part in (early, ~early):
+        if len(versions) == 1 and part is not early:
+            versions.append(ST.append_index(index.filter(~half), path, "odd"))
+        queries.filter(part).select("query_id", "vec").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("query_id long, vec array<float>").parquet(source)
+        score_stream_versions(stream, path, K_NEAREST, sink, state, mode=CONFIG.mode).awaitTermination()
+    number = F.when(F.col("index_version") == versions[0], 1).when(F.col("index_version") == versions[1], 2)
+    return spark.read.parquet(sink).select("query_id", "votes_0", "votes_1", "nearest_label", "prediction", number.alias("version"))

@@ -83,7 +83,7 @@ def embed_hashing(df: DataFrame, text: str, keys: Sequence[str], dim: int = 64,
     return df.select(*keys, hashed(F.col(text)).alias(out))
 
 
-def _called(encoder: Encoder, texts: list[str], batch_rows: int) -> np.ndarray:
+def called(encoder: Encoder, texts: list[str], batch_rows: int) -> np.ndarray:
     """Unit vectors from a caller's model, ``batch_rows`` texts at a time; malformed answers raise."""
     parts = []
     for start in range(0, len(texts), batch_rows):
@@ -118,7 +118,7 @@ def embed_with(
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make_encoder()
         for texts in batches:
-            yield pd.Series(list(_called(encoder, texts.tolist(), batch_rows)))
+            yield pd.Series(list(called(encoder, texts.tolist(), batch_rows)))
 
     return df.withColumn(out, encode(F.col(text)))
 
@@ -153,7 +153,7 @@ def pooled(df: DataFrame, texts: str, dim: int, make_encoder: Callable[[], Encod
         for batch in batches:
             lists = batch.column(texts).to_pylist()
             flat = [t for parts in lists for t in parts]
-            vectors = _units(encoder(flat)) if make_encoder is None else _called(encoder, flat, batch_rows).astype(np.float64)
+            vectors = _units(encoder(flat)) if make_encoder is None else called(encoder, flat, batch_rows).astype(np.float64)
             ends = np.cumsum([len(parts) for parts in lists])
             means = [part.mean(axis=0) if len(part) else np.zeros(dim) for part in np.split(vectors, ends[:-1])]
             if any(not 0 < np.linalg.norm(m) < np.inf for m in means):

@@ -131,14 +131,28 @@ def mutual_info(
     run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """(feature, score) in nats, clipped at 0. Classes with a single row are left out."""
-    sizes = {y: size for y, size in class_sizes(df, label).items() if size > 1}
+    return _scores(value_counts(df, features, label), class_sizes(df, label), names, neighbors, run_rows)
+
+
+def counted_classes(counts: DataFrame) -> dict[int, int]:
+    """Rows per class. Every row has every feature, so those of the first feature tell."""
+    return {r["y"]: r["n"] for r in counts.where("pos = 0").groupBy("y").agg(F.sum("c").alias("n")).collect()}
+
+
+def mutual_info_from_counts(counts: DataFrame, names: Sequence[str], *, neighbors: int = NEIGHBORS, run_rows: int = RUN_ROWS) -> DataFrame:
+    """``mutual_info`` of the rows that ``counts`` (pos, v, y, c) was counted from, without the rows."""
+    return _scores(counts, counted_classes(counts), names, neighbors, run_rows)
+
+
+def _scores(counts: DataFrame, classes: dict[int, int], names: Sequence[str], neighbors: int, run_rows: int) -> DataFrame:
+    sizes = {y: size for y, size in classes.items() if size > 1}
     n = sum(sizes.values())
     if not n:
         raise ValueError("no class has two rows")
     runs = math.ceil(n / run_rows)
     runs = 1 if runs == 1 else runs * len(names)
     size_of = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
-    counts = value_counts(df, features, label).filter(F.col("y").isin(*sizes))
+    counts = counts.filter(F.col("y").isin(*sizes))
     counts = counts.withColumn("kk", F.least(F.lit(neighbors), F.element_at(size_of, F.col("y")) - 1))
 
     points = _with_neighbors(counts, neighbors, runs, run_rows).withColumn("r", _radius(neighbors))
@@ -192,12 +206,15 @@ def mutual_info_binned(
     run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """(feature, score) from equal-frequency bins. Equal values always share a bin."""
-    n = df.count()
+    return binned_from_counts(value_counts(df, features, label), names, df.count(), bins, run_rows=run_rows)
+
+
+def binned_from_counts(counts: DataFrame, names: Sequence[str], n: int, bins: int = 10, *, run_rows: int = RUN_ROWS) -> DataFrame:
+    """``mutual_info_binned`` of the ``n`` rows that ``counts`` (pos, v, y, c) was counted from."""
     runs = math.ceil(n / run_rows)
     runs = 1 if runs == 1 else runs * len(names)
     values = (
-        value_counts(df, features, label)
-        .groupBy("pos", "v")
+        counts.groupBy("pos", "v")
         .agg(F.sum("c").alias("c"), F.collect_list(F.struct("y", "c")).alias("classes"))  # one entry per class
     )
     ranked = running_total(values, ["pos"], ["v"], F.col("c"), "upto", runs)
@@ -207,6 +224,11 @@ def mutual_info_binned(
         .groupBy("pos", "bin", F.col("k.y").alias("y"))
         .agg(F.sum("k.c").alias("c"))
     )
+    return scores_of_bins(cells, names, n)
+
+
+def scores_of_bins(cells: DataFrame, names: Sequence[str], n: int) -> DataFrame:
+    """(feature, score) of a contingency table (pos, bin, y, c) over ``n`` rows."""
     by_bin = Window.partitionBy("pos", "bin")
     by_class = Window.partitionBy("pos", "y")
     joint = cells.withColumn("bin_n", F.sum("c").over(by_bin)).withColumn("class_n", F.sum("c").over(by_class))

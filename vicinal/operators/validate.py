@@ -44,6 +44,27 @@ def row_checks(
     return checks
 
 
+WHOLE_TABLE = (("empty_table", "rows"), ("class_0_absent", "zeros"), ("class_1_absent", "ones"))
+
+
+def check_totals(
+    n_features: int, *, id_col: str = "sample_id", features: str = "features", label: str = "label", text: str | None = None, mark: str = ""
+) -> list[Column]:
+    """Aggregates that count every violation and find the smallest offending id. Names begin with ``mark``."""
+    totals: list[Column] = []
+    for name, bad in row_checks(n_features, features, label, text).items():
+        totals += [F.count_if(bad).alias(f"{mark}n_{name}"), F.min(F.when(bad, F.col(id_col))).alias(f"{mark}s_{name}")]
+    ones, zeros = (F.count_if(F.col(label) == c).alias(f"{mark}{n}") for c, n in ((1, "ones"), (0, "zeros")))
+    return [*totals, F.count(F.lit(1)).alias(f"{mark}rows"), zeros, ones]
+
+
+def found_violations(totals: dict, mark: str = "") -> list[tuple[str, int, str | None]]:
+    """(check, n, sample) of the checks that found something, from the values of ``check_totals``."""
+    begin = f"{mark}n_"
+    found = [(k.removeprefix(begin), v, str(totals[f"{mark}s_{k.removeprefix(begin)}"])) for k, v in totals.items() if k.startswith(begin) and v]
+    return found + [(check, 1, None) for check, count in WHOLE_TABLE if not totals[f"{mark}{count}"]]
+
+
 def validation_report(
     df: DataFrame,
     n_features: int,
@@ -57,31 +78,25 @@ def validation_report(
 
     The two class checks and the emptiness check count one violation for the table as a whole.
     """
-    checks = row_checks(n_features, features, label, text)
-    aggregates: list[Column] = []
-    for name, bad in checks.items():
-        aggregates += [F.count_if(bad).alias(f"n_{name}"), F.min(F.when(bad, F.col(id_col))).alias(f"s_{name}")]
-    totals = df.agg(
-        *aggregates,
-        F.count("*").alias("rows"),
-        F.count_if(F.col(label) == 0).alias("zeros"),
-        F.count_if(F.col(label) == 1).alias("ones"),
-    )
+    totals = df.agg(*check_totals(n_features, id_col=id_col, features=features, label=label, text=text))
     entries = [
         F.struct(F.lit(name).alias("check"), F.col(f"n_{name}").alias("n"), F.col(f"s_{name}").cast("string").alias("sample"))
-        for name in checks
+        for name in row_checks(n_features, features, label, text)
     ]
-    for name, count in (("empty_table", "rows"), ("class_0_absent", "zeros"), ("class_1_absent", "ones")):
+    for name, count in WHOLE_TABLE:
         missing = F.when(F.col(count) == 0, F.lit(1)).otherwise(0).cast("bigint")
         entries.append(F.struct(F.lit(name).alias("check"), missing.alias("n"), F.lit(None).cast("string").alias("sample")))
     return totals.select(F.explode_outer(F.array(*entries)).alias("e")).select("e.*")
 
 
+def refuse(violations: list[tuple[str, int, str | None]]) -> None:
+    if violations:
+        raise ValueError("; ".join(f"{check}: {n} (first: {sample})" for check, n, sample in violations))
+
+
 def require(report: DataFrame) -> None:
     """Raise if any check found something. The report has one row per check."""
-    bad = report.filter(F.col("n") > 0).collect()
-    if bad:
-        raise ValueError("; ".join(f"{r['check']}: {r['n']} (first: {r['sample']})" for r in bad))
+    refuse([(r["check"], r["n"], r["sample"]) for r in report.filter(F.col("n") > 0).collect()])
 
 
 def require_two_classes(df: DataFrame, label: str = "label") -> None:

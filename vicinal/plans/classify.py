@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.config import RunConfig
+from vicinal.operators.distinct_texts import embed_rows_distinct
 from vicinal.operators.embed import Encoder, embed_rows
 from vicinal.operators.features import fit_scaler, select_features, selected_names, standardize
 from vicinal.operators.mutual_info import mutual_info
@@ -50,15 +51,11 @@ def with_vectors(
     columns = ["sample_id", F.col("features").cast("array<float>").alias("raw"), "label"]
     if config.mode == "original":
         return df.select(*columns).withColumn("vec", F.col("raw"))
-    vectors = embed_rows(
-        df,
-        names,
-        keep=columns,
-        dim=config.embedding_dim,
-        top_features=config.top_features_per_row,
-        per_chunk=config.features_per_chunk,
-        make_encoder=make_encoder,
-    )
+    shape = dict(keep=columns, top_features=config.top_features_per_row, per_chunk=config.features_per_chunk)
+    if make_encoder is not None:  # a model is dearer than the shuffle that spares it repeated texts
+        vectors = embed_rows_distinct(df, names, make_encoder, **shape)
+    else:
+        vectors = embed_rows(df, names, dim=config.embedding_dim, **shape)
     # text vectors are expensive, and sizing, search and reuse all read them
     return stored(vectors, "vectors")
 

@@ -6,14 +6,14 @@ import csv
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinal.operators.features import select_features
 from vicinal.operators.labels import normalise_labels
 from vicinal.operators.sample import sample_rows
-from vicinal.operators.validate import require, require_two_classes, validation_report
+from vicinal.operators.validate import check_totals, found_violations, refuse, require_two_classes
 from vicinal.session import stored
 
 LABEL_COLUMN = "label"
@@ -57,6 +57,30 @@ def pack(df: DataFrame, names: list[str], target: str, id_column: str | None) ->
     return df.select(row_id.alias("sample_id"), values.alias("features"), F.col(f"`{target}`").alias("raw_label"))
 
 
+@dataclass(frozen=True)
+class _Parsed:
+    """(sample_id, features, as_number, as_word, word): the label read both ways, and whether it is no number."""
+
+    rows: DataFrame
+    names: list[str]
+
+
+def _parse(spark: SparkSession, path: str, target: str | None, id_column: str | None) -> _Parsed:
+    header = csv_header(spark, path)
+    target = check_header(header, target, id_column)
+    names = [c for c in header if c not in (target, id_column)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    raw = spark.read.option("enforceSchema", "false").csv(path, header=True, schema=schema)
+    packed = pack(raw, names, target, id_column).withColumn("number", F.col("raw_label").try_cast("double"))
+    both = normalise_labels(normalise_labels(packed, "number", "as_number"), "raw_label", "as_word")
+    word = (F.col("raw_label").isNotNull() & F.col("number").isNull()).alias("word")
+    return _Parsed(both.select("sample_id", "features", "as_number", "as_word", word), names)
+
+
+def _labelled(parsed: DataFrame, words: bool) -> DataFrame:
+    return parsed.select("sample_id", "features", F.col("as_word" if words else "as_number").alias("label"))
+
+
 def scan_csv(
     spark: SparkSession, path: str, target: str | None = None, id_column: str | None = None
 ) -> LabelledTable:
@@ -65,17 +89,8 @@ def scan_csv(
     Every file of a folder must have the same header in the same order; another one stops the job that reads it. A label
     column of numbers only is read as numbers, any other as words.
     """
-    header = csv_header(spark, path)
-    target = check_header(header, target, id_column)
-    names = [c for c in header if c not in (target, id_column)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.option("enforceSchema", "false").csv(path, header=True, schema=schema)
-    packed = pack(raw, names, target, id_column)
-    said = raw.select(F.col(f"`{target}`").alias("y"))
-    words = said.where(F.col("y").isNotNull() & F.col("y").try_cast("double").isNull())
-    if words.isEmpty():
-        packed = packed.withColumn("raw_label", F.col("raw_label").cast("double"))
-    return LabelledTable(normalise_labels(packed, "raw_label").drop("raw_label"), names)
+    parsed = _parse(spark, path, target, id_column)
+    return LabelledTable(_labelled(parsed.rows, not parsed.rows.where("word").isEmpty()), parsed.names)
 
 
 def same_names(left: LabelledTable, right: LabelledTable) -> LabelledTable:
@@ -92,13 +107,18 @@ def load_csv(
     balanced: bool = False,
     id_column: str | None = None,
 ) -> LabelledTable:
-    """Parse once into a stored table, refuse anything missing, infinite or unlabelled in one pass, sample.
+    """Parse once into a stored table, refuse anything missing, infinite or unlabelled, sample.
 
-    Storing also fixes the generated row ids for good.
+    The job that parses and writes also counts all violations, for either way to read the label, and whether there is a label that
+    is no number; nothing is read again to be checked. Storing also fixes the generated row ids for good.
     """
-    data = scan_csv(spark, path, target, id_column)
-    parsed = stored(data.rows, "labelled")
-    require(validation_report(parsed, len(data.names)))
+    data = _parse(spark, path, target, id_column)
+    watch = Observation()
+    checks = [c for way in ("as_number", "as_word") for c in check_totals(len(data.names), label=way, mark=f"{way}_")]
+    kept = stored(data.rows.observe(watch, F.count_if("word").alias("words"), *checks), "labelled")
+    words = watch.get["words"] > 0
+    refuse(found_violations(watch.get, "as_word_" if words else "as_number_"))
+    parsed = _labelled(kept, words)
     rows = sample_rows(parsed, limit, seed, balanced)
     if rows is not parsed:
         require_two_classes(rows)
