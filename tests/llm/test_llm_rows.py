@@ -19,6 +19,7 @@ from vicinal.llm.repeats import lengths, remove_repeats
 from vicinal.llm.rows import single_rows
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
+WORDS13 = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -149,17 +150,47 @@ def test_contamination_odd(spark, odd_docs, no_docs):
 
 
 def test_contamination_large_benchmark(spark, sf_dir, monkeypatch):
-    """A benchmark beyond the limits is joined and gives the same result."""
+    """A benchmark whose bit table is full, and whose numbers are not broadcast, gives the same result."""
     from vicinal.llm import contamination as C
 
     docs, items = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark"))
     docs = docs.where("length(text) < 5000")
     want = sorted(map(str, contamination(docs, items).collect()))
-    monkeypatch.setattr(C, "SET_LIMIT", 0)
+    monkeypatch.setattr(C, "LEAST_BITS", 64)
+    monkeypatch.setattr(C, "BITS_PER_WINDOW", 0)
     monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
     assert sorted(map(str, contamination(docs, items).collect())) == want
 
 
+def test_contamination_by_many_windows(spark, sf_dir):
+    """200,000 windows: nothing but numbers is shuffled between the scan of the documents and the hits."""
+    from vicinal.llm import contamination as C
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 3000")
+    planted = docs.where("doc_id % 9 = 0").selectExpr("doc_id AS item_id", "text")
+    filler = "array_join(transform(sequence(1, 412), i -> concat('w', cast(hash(id, i) AS string))), ' ') AS text"
+    items = spark.range(500).selectExpr("id + 1000000 AS item_id", filler).unionByName(planted)
+    numbers = C.window_numbers(C.benchmark_windows(items, "item_id", "text")).checkpoint()
+    windows = numbers.count()
+    assert windows > 200_000
+    lengths = sorted(r.length for r in numbers.select("length").distinct().collect())
+    hits = C.window_hits(docs, numbers, lengths, windows, "doc_id", "text")
+    assert "gram" not in hits.columns and "text" not in hits.columns and "Exchange hashpartitioning" not in hits._jdf.queryExecution().executedPlan().toString()
+    texts = {r.doc_id: WORDS13.findall((r.text or "").translate(LOWER)) for r in docs.collect()}
+    asked = set()
+    for r in items.collect():
+        words = WORDS13.findall((r.text or "").translate(LOWER))
+        asked |= {tuple(words[i : i + 13]) for i in range(max(1, len(words) - 12))} if words else set()
+    sizes = {len(g) for g in asked}
+    want = {d: {(i + 1, n) for n in sizes for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in asked} for d, w in texts.items()}
+    got = {d: set() for d in want}
+    for r in hits.where("hit").collect():
+        got[r.id].add((r.start, r.length))
+    assert got == want and sum(map(len, want.values())) > 1000
+    passed = C.scanned_windows(docs, "doc_id", "text", lengths, *C.bit_table(numbers, windows)).where("h IS NOT NULL").count()
+    assert passed < 1.5 * sum(map(len, want.values())) + 0.1 * sum(len(w) for w in texts.values())
+
+
 def repeats_by_hand(texts, window):
     words = [SPACED.findall(t or "") for t in texts]
     seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
