@@ -156,6 +156,51 @@ def test_license_edits_and_odd_rows(spark, odd_docs, no_docs):
     assert LC.license_matches(odd_docs, {"none": "", "null": None}).collect() == []
 
 
+def test_license_places_against_all_alignments(spark):
+    """One wrong word in five, repeats that follow each other, templates of 1 to 30 words: every planted place is found, and
+    whatever is found is also found by an alignment at every shift."""
+    draw = random.Random(11)
+    rows, planted, wanted = [], [], {}
+    templates = {f"t{m}": " ".join(f"{draw.choice('abcdefgh')}{m if i % 3 else ''}" for i in range(m)) for m in (1, 2, 3, 4, 5, 6, 8, 10, 13, 17, 22, 30)}
+    for n in range(150):
+        parts = []
+        for _ in range(draw.randint(1, 4)):
+            name = draw.choice(list(templates))
+            words = templates[name].split()
+            for at in draw.sample(range(len(words)), draw.randint(0, len(words) // 5)):
+                words[at] = "yy"
+            for _ in range(draw.choice([1, 1, 2, 3])):
+                planted.append((n, name, len(parts), len(parts) + len(words), len(words) - words.count("yy")))
+                parts += words
+            parts += ["zz"] * draw.randint(0, 3)
+        rows.append((n, " ".join(parts)))
+        for name, text in templates.items():
+            own, template = (np.array([hash(w) & 0x7FFFFFFF for w in t.split()]) for t in (rows[-1][1], text))
+            width = LC.band_of(len(template))
+            wanted[n, name] = LC.places(own, template, range(-width, len(own)), width, 0.8)
+    got = {}
+    for r in LC.license_matches(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect():
+        got.setdefault((r.id, r.license), []).append((r.first_word, r.end_word, r.matched))
+    for n, name, a, b, right in planted:
+        assert any(c < b and a < d and matched >= right for c, d, matched in got[n, name])
+    for key, found in got.items():
+        assert all(any(c <= b and a < d for _, a, b in wanted[key]) for c, d, _ in found)
+    assert sum(len(v) for v in got.values()) >= len(planted)
+
+
+def test_repeated_and_edited_notices(spark):
+    mit = "Released under the MIT License."
+    rows = [(n, " ".join([mit] * n)) for n in (1, 2, 3, 10)] + [(20, "Released under a MIT License."), (21, "Released under the MIT Licence."), (22, "Released by the MIT"), (23, f"Released {mit}")]
+    got = {}
+    for r in LC.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).where("license = 'MIT'").collect():
+        got.setdefault(r.id, []).append((r.first_word, r.end_word))
+    assert {i: len(v) for i, v in got.items()} == {1: 1, 2: 2, 3: 3, 10: 10, 20: 1, 21: 1, 23: 1}
+    assert sorted(got[3]) == [(0, 5), (5, 10), (10, 15)] and got[23] == [(1, 6)]
+    short = spark.createDataFrame([(1, "mit and mit"), (2, "no mit license x mit license")], "doc_id long, text string")
+    found = LC.license_matches(short, {"one": "MIT", "two": "MIT License"}).collect()
+    assert sorted((r.id, r.license, r.first_word) for r in found) == [(1, "one", 0), (1, "one", 2), (2, "one", 1), (2, "one", 4), (2, "two", 1), (2, "two", 4)]
+
+
 def test_align_is_the_longest_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(60):
