@@ -246,6 +246,65 @@ def test_regression_on_addresses_it_has_not_seen(spark, sf_dir):
     assert not U.train(spark.createDataFrame([], "url string, label int")).any()
 
 
+def held_out(fold, folds=5):
+    """Labelled rows of hosts in and outside a fold; a host's name decides, without prefix and ending."""
+    inside, outside = [], []
+    for url, label in U.LABELLED:
+        name = re.sub(r"^https?://(www\.|m\.|blog\.|shop\.)?", "", url).split("/")[0].split("#")[0].split(".")[0]
+        (inside if int(hashlib.md5(name.encode()).hexdigest(), 16) % folds == fold else outside).append((url, label))
+    return inside, outside
+
+
+def test_regression_on_hosts_held_out(spark):
+    right = total = 0
+    for fold in range(5):
+        inside, outside = held_out(fold)
+        weights = U.train(spark.createDataFrame(outside, "url string, label int"))
+        got = U.url_verdicts(spark.createDataFrame(inside, "url string, label int"), weights, []).collect()
+        assert {r.verdict for r in got} == {"allow", "block"}
+        right += sum((r.verdict == "block") == bool(r.label) for r in got)
+        total += len(got)
+    assert total == len(U.LABELLED) and right > 0.9 * total  # a constant answer is right for half of them
+
+
+def test_regression_has_an_effect_on_the_pages(spark, sf_dir):
+    for folder in (sf_dir, sf_dir.replace("sf0.001", "sf0.1")):
+        got = QUERIES["op8_url_filter"](spark, folder).where("rule IS NULL").collect()
+        blocked = {r.host for r in got if r.verdict == "block"}
+        wanted = {r.host for r in got if re.search("casino|bets|pills|ads-|spam|adult", r.host)}
+        assert wanted <= blocked and len(blocked - wanted) <= 0.1 * len({r.host for r in got})
+        assert any(r.verdict == "allow" for r in got)
+    assert wanted  # sf0.1 has such a host without a rule
+
+
+def test_scores_against_brute_force(spark):
+    rows = [("http://a-b.test/x/é?q", 1), ("https://" + "long" * 5000 + ".test/" + "p/" * 20_000, 0), ("", 0), (None, 0), ("http://a-b.test/x/é?q", 1), ("ftp://ab", 0)]
+    weights = np.random.default_rng(1).normal(size=U.DIMENSIONS + 1)
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+        return x ^ x >> 31
+
+    def score(host, path):
+        found = set()
+        for part, text in enumerate((host, path)):
+            raw = b"^" + text.encode() + b"$"
+            for n in U.GRAMS:
+                for i in range(len(raw) - n + 1):
+                    total = 0
+                    for b in raw[i : i + n]:
+                        total = (total * ((U.W.BASE + 2 * part) | 1) + b) & mask
+                    found.add(mixed(total) % U.DIMENSIONS)
+        return 1 / (1 + np.exp(-(sum(weights[f] for f in found) / max(1, len(found)) ** 0.5 + weights[-1])))
+
+    got = U.url_verdicts(spark.createDataFrame(rows, "url string, y int"), weights, []).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.score - score(r.host, r.path)) < 1e-9 and r.verdict == ("block" if r.score >= 0.5 else "allow")
+
+
 # language
 
 

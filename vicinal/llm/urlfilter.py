@@ -19,21 +19,46 @@ DIMENSIONS = 1 << 16
 MOST_LABELLED = 100_000
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
-# Labelled addresses the production filter is trained on: (url, 1 to block).
-LABELLED = [
-    ("http://cheap-pills.test/buy/viagra", 1), ("https://www.pills-online.test/order", 1), ("http://discount-pills.test/offer/24", 1), ("http://cheap-meds.test/pills", 1),
-    ("https://casino-royal.test/play", 1), ("http://www.win-casino.test/bonus/7", 1), ("https://casino-win.test/en/3", 1), ("http://best-casino.test/slots", 1),
-    ("http://free-bets.test/today", 1), ("https://m.bets-now.test/odds/55", 1), ("http://sports-bets.test/free", 1), ("http://free-bets-daily.test/fr/9", 1),
-    ("http://spam-farm.test/links/12", 1), ("https://link-farm.test/seo", 1), ("http://www.spam-links.test/de/4", 1), ("http://content-farm.test/page/81", 1),
-    ("http://ads-track.test/click?id=3", 1), ("https://track-ads.test/pixel", 1), ("http://ads-server.test/banner/9", 1), ("http://www.click-track.test/es/2", 1),
-    ("http://payday-loans.test/apply", 1), ("https://adult-cams.test/live", 1), ("http://replica-watches.test/sale", 1), ("http://free-porn.test/xxx", 1),
-    ("https://www.river-news.test/en/2019/report", 0), ("http://blog.garden.test/post/12", 0), ("https://university.test/physics/lecture.html", 0), ("http://museum.test/fr/collection/8", 0),
-    ("https://docs.compiler.test/manual/3", 0), ("http://www.weather.test/de/berlin", 0), ("http://m.recipes.test/bread.html", 0), ("https://library.test/es/catalogue", 0),
-    ("http://www.therapy.test/en/412", 0), ("https://thonder.test/en/77/", 0), ("http://blog.thation.test/de/690.html", 0), ("https://m.thingst.test/fr/18", 0),
-    ("https://erstion.test/es/320", 0), ("http://anhanter.test/en/5#top", 0), ("https://www.oningre.test/en/901?page=2", 0), ("http://health.test/pharmacy/opening-hours", 0),
-    ("https://chess-club.test/en/tournament", 0), ("http://railway.test/timetable/44", 0), ("https://theatre.test/fr/saison", 0), ("http://farmers-market.test/en/6", 0),
-    ("https://history.test/archive/1912", 0), ("http://www.astronomy.test/es/estrellas", 0), ("https://blog.language.test/grammar/33.html", 0), ("http://city-council.test/minutes/210", 0),
-]
+# Words of hosts to block and words that go with them, words of ordinary hosts, syllables of made-up names, and what
+# stands around either kind.
+BLOCKED_WORDS = (
+    "casino bets pills viagra adult porn cams spam ads track click loans replica jackpot poker slots escorts payday warez crack keygen torrent"
+    " gambling betting meds diet"
+).split()
+BLOCKED_WITH = "win free cheap x farm online best royal now bonus daily deals discount live hot easy quick super top vip".split()
+ORDINARY_WORDS = (
+    "news garden museum library university river weather recipes school history theatre railway health science music travel council market"
+    " archive physics bakery village harbour letters kitchen winter orchard bridge chess language"
+).split()
+SYLLABLES = "th er on an in re ti es or te of ed is it al ar st to nt ng se ha as ou le nd en at sh wh ly ion ble ing".split()
+PREFIXES, ENDINGS = ("", "www.", "m.", "blog.", "shop."), (".test", ".com", ".example.org", ".net", ".example.com", ".org", ".example.net")
+PATHS = ("/en/{n}", "/de/{n}.html", "/fr/{n}/", "/es/{n}?page=2", "/", "/{n}#top", "/post/{n}", "/en/{n}?id=7", "")
+LABELLED_ROWS = 720
+
+
+def labelled_urls(rows: int = LABELLED_ROWS) -> list[tuple[str, int]]:
+    """Labelled addresses the production filter is trained on: (url, 1 to block), as many of either kind.
+
+    Only the name of the host tells the kinds apart; scheme, prefix, ending and path run through all their forms in both.
+    """
+    out = []
+    for n in range(rows):
+        turn, block = n // 2, n % 2
+        if block:
+            word, other = BLOCKED_WORDS[turn % len(BLOCKED_WORDS)], BLOCKED_WITH[turn * 7 // 3 % len(BLOCKED_WITH)]
+            name = (f"{word}-{other}", f"{other}-{word}", f"{other}{word}", f"{word}-{BLOCKED_WORDS[(turn * 5 + 3) % len(BLOCKED_WORDS)]}")[turn % 4]
+        elif turn % 3:
+            parts = [SYLLABLES[(turn * k + turn // k) % len(SYLLABLES)] for k in (3, 5, 7, 11)[: 2 + turn % 3]]
+            name = "".join(parts)
+        else:
+            word, other = ORDINARY_WORDS[turn % len(ORDINARY_WORDS)], ORDINARY_WORDS[(turn * 11 + 4) % len(ORDINARY_WORDS)]
+            name = (f"{word}-{other}", word, f"{word}{other}")[turn // 3 % 3]
+        around = PREFIXES[turn % len(PREFIXES)], ENDINGS[turn // 2 % len(ENDINGS)], PATHS[turn // 3 % len(PATHS)].format(n=turn * 37 % 9000)
+        out.append((f"{('http', 'https')[turn // 5 % 2]}://{around[0]}{name}{around[1]}{around[2]}", block))
+    return out
+
+
+LABELLED = labelled_urls()
 
 
 def address(url: Column) -> tuple[Column, Column]:
