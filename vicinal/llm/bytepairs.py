@@ -1,16 +1,14 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Texts are cut into pre-tokens. Texts of a task are gathered into blocks; a block keeps its text as numbers of its own
-words and sends each different word once. All words of all blocks meet by value, each is encoded once, and the ids go
-back to the blocks, where texts are put together by position. Decoding joins ids with the table of token bytes in the same
-way.
+Texts are cut into pre-tokens. A task takes its texts together in blocks: a text becomes the numbers of its words, by position,
+and every different word of a block is one row. Words of all blocks meet by value, each different one is encoded once, and
+the ids are joined back to the blocks, where texts are put together by position. Words that stand in very many blocks, of which
+there can only be few, are joined by broadcast. Decoding joins ids with the table of token bytes, which every task holds.
 """
 
 from __future__ import annotations
 
 import base64
-import bz2
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vicinal.llm.rows import keyed
+from vicinal.session import stored
 
 #: Bytes of text that a block holds at least before it is closed; larger blocks send fewer words, but need more memory.
-BLOCK_BYTES = 6 << 20
-#: Words whose ids a task remembers. Beyond that it starts anew, so a later copy of a word is encoded again.
-WORDS_HELD = 400_000
-#: Pre-tokens that are put together at once.
-TEXT_WORDS = 500_000
+BLOCK_BYTES = 16 << 20
+#: A word in more than one of so many block-and-word rows is joined by broadcast, so fewer than so many words are.
+HOT_SHARE = 1000
 #: White space that does not stand alone between two other characters.
 GAPS = regex.compile(r"\s\s|^\s|\s$")
 
@@ -75,48 +73,10 @@ class _Words:
         return [number.setdefault(piece, len(number)) for piece in self.cut.findall(text)]
 
 
-def _pack(numbers: np.ndarray) -> bytes:
-    """Groups of 7 bits, the lowest of all numbers first, then the next of those that have one; a set high bit says so."""
-    left, planes = numbers.astype(np.uint32), []
-    while True:
-        more = left >= 128
-        planes.append((left & np.uint32(127)).astype(np.uint8) | more.astype(np.uint8) << 7)
-        if not more.any():
-            return len(numbers).to_bytes(8, "little") + b"".join(plane.tobytes() for plane in planes)
-        left = left[more] >> np.uint32(7)
+def _explode(pattern: str, block_bytes: int):
+    """Rows of texts (id, __fp, numbers) and rows of words (number, word), each with its block.
 
-
-def _unpack(raw: bytes) -> np.ndarray:
-    data, at, shift = np.frombuffer(raw, np.uint8, offset=8), 0, 0
-    total = np.zeros(int.from_bytes(raw[:8], "little"), np.uint32)
-    left = np.arange(len(total))
-    while len(left):
-        plane = data[at : at + len(left)]
-        total[left] |= (plane & np.uint8(127)).astype(np.uint32) << np.uint32(shift)
-        at, shift, left = at + len(left), shift + 7, left[plane >= 128]
-    return total
-
-
-def _strings(values: list[bytes], words: bool = False) -> bytes:
-    """Lengths and bytes of many strings as one compressed value; words take a coder that is slower and does better on them."""
-    lengths = _pack(np.fromiter(map(len, values), np.uint32, len(values)))
-    raw = len(lengths).to_bytes(8, "little") + lengths + b"".join(values)
-    return bz2.compress(raw) if words else zlib.compress(raw, 5)
-
-
-def _split(raw: bytes) -> tuple[bytes, np.ndarray]:
-    """The joined strings and their ends."""
-    raw = bz2.decompress(raw) if raw[:3] == b"BZh" else zlib.decompress(raw)
-    at = 8 + int.from_bytes(raw[:8], "little")
-    return raw[at:], np.cumsum(_unpack(raw[8:at]).astype(np.int64))
-
-
-def _explode(pattern: str, buckets: int, block_bytes: int):
-    """A block is a row with its texts as numbers, and for each bucket a row with its words of that bucket.
-
-    A word's number in the texts is (place in its bucket) * buckets + bucket: known at the other end without being sent, and
-    small for frequent words, which come first in their bucket. A block is named by its task and its place in the task's
-    output, so a task that runs again gives its blocks the same names.
+    Frequent words have small numbers. A block is named by its task and its place in the task's output.
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,27 +85,24 @@ def _explode(pattern: str, buckets: int, block_bytes: int):
         words, rows, held = _Words(cut), [], 0
 
         def close() -> pa.RecordBatch:
-            encoded = [w.encode() for w in words.number]
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in encoded), np.int32, len(encoded))
+            n, found = len(rows), list(words.number)
             flat = np.concatenate([numbers for _, _, numbers in rows])
-            order = np.lexsort((-np.bincount(flat, minlength=len(encoded)), bucket))
-            present, begin = np.unique(bucket[order], return_index=True)
-            ends = np.append(begin[1:], len(order))
-            renamed = np.empty(len(order), np.uint32)
-            renamed[order] = (np.arange(len(order)) - np.repeat(begin, ends - begin)) * buckets + bucket[order]
-            sizes = _pack(np.fromiter((len(numbers) for _, _, numbers in rows), np.uint32, len(rows)))
-            sent = [_strings([encoded[i] for i in order[a:b]], words=True) for a, b in zip(begin, ends)]
-            docs = pa.StructArray.from_arrays([pa.concat_arrays([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())], names=["id", "__fp"])
-            n = len(sent)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name] * (n + 1), pa.int64()),
-                    pa.array([-1, *present.tolist()], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array([0, len(rows)] + [len(rows)] * n, pa.int32()), docs),
-                    pa.array([_strings([sizes, _pack(renamed[flat])]), *sent], pa.binary()),
-                ],
-                names=["block", "bucket", "docs", "data"],
-            )
+            order = np.argsort(-np.bincount(flat, minlength=len(found)), kind="stable")
+            place = np.empty(len(found), np.int32)
+            place[order] = np.arange(len(found), dtype=np.int32)
+            ends = np.concatenate(([0], np.cumsum([len(numbers) for _, _, numbers in rows])))
+            ids = pa.concat_arrays([r[0] for r in rows])
+            offsets = pa.array([*ends.tolist(), *[ends[-1]] * len(found)], pa.int32())
+            none, many = pa.nulls(len(found), ids.type), len(found)
+            columns = [
+                pa.array(np.full(n + many, name, np.int64)),
+                pa.concat_arrays([ids, none]),
+                pa.concat_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.nulls(many, pa.int64())]),
+                pa.ListArray.from_arrays(offsets, pa.array(place[flat], pa.int32())),
+                pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.arange(many, dtype=np.int32))]),
+                pa.concat_arrays([pa.nulls(n, pa.string()), pa.array([found[i] for i in order.tolist()], pa.string())]),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "id", "__fp", "numbers", "number", "word"])
 
         for batch in batches:
             ids, texts = batch.column("id"), batch.column("text")
@@ -165,32 +122,29 @@ def _explode(pattern: str, buckets: int, block_bytes: int):
 def _encode_words(ranks: dict[bytes, int], pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        known: dict[bytes, bytes] = {}
         for batch in batches:
-            answers = []
-            for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
-                if bucket < 0:
-                    answers.append(raw)
-                    continue
-                joined, ends = _split(raw)
-                begin, found = 0, []
-                for end in ends.tolist():
-                    word = joined[begin:end]
-                    ids = known.get(word)
-                    if ids is None:
-                        # a pre-token is matched whole by the pattern, so this encodes it as it would be inside a text
-                        ids = known[word] = np.array(coder.encode_ordinary(word.decode()), "<u4").tobytes()
-                    found.append(ids)
-                    begin = end
-                counts = np.fromiter(map(len, found), np.uint32, len(found)) // 4
-                answers.append(_strings([_pack(counts), _pack(np.frombuffer(b"".join(found), "<u4"))]))
-                if len(known) > WORDS_HELD:
-                    known.clear()
-            yield batch.set_column(batch.schema.get_field_index("data"), "data", pa.array(answers, pa.binary()))
+            # a pre-token is matched whole by the pattern, so this encodes it as it would be inside a text
+            ids = [coder.encode_ordinary(word) for word in batch.column("word").to_pylist()]
+            yield batch.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
 
     return encode
 
 
+def vocabulary(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(word, n, ids): every different ``word`` once, with the number of its rows."""
+    different = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return different.mapInArrow(_encode_words(ranks, pattern), "word string, n bigint, ids array<int>")
+
+
+def words_with_ids(words: DataFrame, known: DataFrame, rows: int) -> DataFrame:
+    """(block, number, ids) for ``rows`` rows of words. Words of very many rows go by broadcast, fewer than ``HOT_SHARE`` of them."""
+    hot = F.col("n") > max(1, rows // HOT_SHARE)
+    marked = words.join(F.broadcast(known.where(hot).select("word", F.col("ids").alias("__ids"))), "word", "left")
+    rest = marked.where("__ids IS NULL").drop("__ids").join(known.where(~hot).select("word", "ids"), "word")
+    done = marked.where("__ids IS NOT NULL").withColumnRenamed("__ids", "ids")
+    return done.select("block", "number", "ids").unionByName(rest.select("block", "number", "ids"))
+
+
 def _gather(values: bytes, ends: np.ndarray, order: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Strings picked by number, joined; and the size of each."""
     flat = np.frombuffer(values, f"<u{width}")
@@ -201,42 +155,30 @@ def _gather(values: bytes, ends: np.ndarray, order: np.ndarray, width: int) -> t
     return flat[at], n
 
 
-def _assemble(buckets: int):
-    """Texts of one block from the ids of its words. A block is bounded, so is its group."""
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).sort_by("bucket")
-        data, parts, first, words = table.column("data").to_pylist(), [], np.zeros(buckets, np.int64), 0
-        sizes = []
-        for bucket, raw in zip(table.column("bucket").to_pylist()[1:], data[1:]):
-            values, (middle, _) = _split(raw)
-            counts = _unpack(values[:middle]).astype(np.int64)
-            parts.append(_unpack(values[middle:]))
-            sizes.append(counts)
-            first[bucket], words = words, words + len(counts)
-        joined = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        ends = np.cumsum(np.concatenate(sizes)) * 4 if sizes else np.zeros(0, np.int64)
-        both, (middle, _) = _split(data[0])
-        counts, numbers = _unpack(both[:middle]).astype(np.int64), _unpack(both[middle:]).astype(np.int64)
-        docs = table.column("docs")[0].values
-        upto = np.concatenate(([0], np.cumsum(counts)))
-        begin = 0
-        while begin < len(counts):  # some texts at a time
-            end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + TEXT_WORDS, "right")) - 1)
-            part = numbers[upto[begin] : upto[end]]
-            ids, n = _gather(joined.tobytes(), ends, first[part % buckets] + part // buckets, 4)
-            tokens = np.concatenate(([0], np.cumsum(n)))[upto[begin : end + 1] - upto[begin]]
-            column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - begin, [None, pa.py_buffer((tokens * 4).astype(np.int64)), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    docs.field("id").slice(begin, end - begin),
-                    docs.field("__fp").slice(begin, end - begin),
-                    pa.array(np.diff(tokens)),
-                    column.cast(pa.binary()),
-                ],
-                names=["id", "__fp", "n_tokens", "ids"],
-            )
-            begin = end
+def _assemble(schema: pa.Schema):
+    """Texts of one block from the ids of its words, by position. A block is bounded, so is its group."""
+
+    def assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return schema.empty_table()
+        words = words.combine_chunks().sort_by("number")
+        lists = pa.concat_arrays(words["ids"].chunks) if words.num_rows else pa.array([], pa.list_(pa.int32()))
+        values = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        ends = lists.offsets.to_numpy().astype(np.int64)[1:] * 4 if len(lists) else np.zeros(0, np.int64)
+        ends = ends - (int(lists.offsets[0].as_py()) * 4 if len(lists) else 0)
+        parts = []
+        for chunk in texts.select(["numbers"]).column(0).chunks:
+            order = chunk.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, n = _gather(values.tobytes(), ends, order, 4)
+            offsets = chunk.offsets.to_numpy().astype(np.int64)
+            tokens = np.concatenate(([0], np.cumsum(n)))[offsets - offsets[0]]
+            parts.append((np.diff(tokens), ids, tokens))
+        counts = np.concatenate([p[0] for p in parts])
+        done = pa.chunked_array(
+            [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(c), [None, pa.py_buffer(t * 4), pa.py_buffer(i)]).cast(pa.binary()) for c, i, t in parts]
+        )
+        columns = [texts["id"], texts["__fp"], pa.array(counts.astype(np.int64)), done]
+        return pa.table(columns, names=["id", "__fp", "n_tokens", "ids"]).cast(schema)
 
     return assemble
 
@@ -247,16 +189,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     Special tokens are ordinary text. A null text is an empty text and has no ids; so has a text without a match. Rows
     that repeat an id come back as often as they came. An empty table gives an empty result. Other columns are not needed.
     """
-    spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema["id"].dataType.simpleString()
-    schema = f"block bigint, bucket int, docs array<struct<id:{id_type},__fp:bigint>>, data binary"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = rows.mapInArrow(_explode(pattern, buckets, block_bytes), schema)
-    # words meet by bucket; texts go along, spread by block, so that both are made in one pass
-    parts = parts.repartition(F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("block")))
-    whole = parts.mapInArrow(_encode_words(ranks, pattern), schema)
-    return whole.groupBy("block").applyInArrow(_assemble(buckets), f"id {id_type}, __fp bigint, n_tokens bigint, ids binary")
+    schema = f"block bigint, id {id_type}, __fp bigint, numbers array<int>, number int, word string"
+    cut = stored(rows.mapInArrow(_explode(pattern, block_bytes), schema), "pretokens", compression="zstd")
+    words = cut.where("word IS NOT NULL").select("block", "number", "word")
+    known = stored(vocabulary(words, ranks, pattern), "vocabulary", compression="zstd")
+    ids = words_with_ids(words, known, known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    texts = cut.where("word IS NULL").select(F.col("block").alias("of"), "id", "__fp", "numbers")
+    out = T.StructType([cut.schema["id"], cut.schema["__fp"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    return texts.groupBy("of").cogroup(ids.groupBy("block")).applyInArrow(_assemble(to_arrow_schema(out)), out)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
