@@ -17,7 +17,8 @@ from vicinal.llm.rows import KEY, attach, keyed, slices
 from vicinal.session import stored
 
 BLOCK_BYTES = 4096
-BUCKETS = 4096
+#: Blocks that are sorted together, about; and buckets at least. There are as many buckets as the blocks of the input ask for.
+BUCKET_BLOCKS, LEAST_BUCKETS = 50_000, 4096
 
 
 def _cut(block_bytes: int):
@@ -52,13 +53,18 @@ def _cut(block_bytes: int):
     return cut
 
 
-def _rank(order: list[Column]) -> Column:
+def bucket_count(docs: DataFrame, text_col: str, block_bytes: int) -> int:
+    blocks = F.sum(F.ceil(F.octet_length(F.col(text_col)) / block_bytes))
+    return max(LEAST_BUCKETS, -(-(docs.agg(blocks).first()[0] or 0) // BUCKET_BLOCKS))
+
+
+def _rank(order: list[Column], buckets: int) -> Column:
     """Integer name: place of the value among the sorted values of its bucket. The same in every run."""
-    bucket = F.pmod(F.xxhash64(*order), F.lit(BUCKETS))
+    bucket = F.pmod(F.xxhash64(*order), F.lit(buckets))
     return bucket * F.lit(1 << 32) + F.dense_rank().over(Window.partitionBy(bucket).orderBy(*order))
 
 
-def block_names(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def block_names(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, buckets: int = LEAST_BUCKETS) -> DataFrame:
     """(id, __fp, blocks, n, name): named blocks of every text.
 
     Blocks are compared after one shuffle; a task sends each of its different blocks once with the list of its places,
@@ -68,11 +74,11 @@ def block_names(docs: DataFrame, id_col: str, text_col: str, block_bytes: int =
     kind = dict(rows.dtypes)["id"]
     schema = f"block binary, places array<struct<id:{kind},{KEY}:bigint,blocks:int,n:int>>"
     cut = rows.mapInArrow(_cut(block_bytes), schema)
-    named = cut.select("places", _rank([F.col("block")]).alias("name"))
+    named = cut.select("places", _rank([F.col("block")], buckets).alias("name"))
     return named.select(F.explode("places").alias("p"), "name").select("p.*", "name")
 
 
-def _pairs(names: DataFrame) -> DataFrame:
+def _pairs(names: DataFrame, buckets: int) -> DataFrame:
     """The next level: neighbouring names joined and named. An odd last name is paired with -1."""
     half = F.floor(F.col("n") / 2).cast("int")
     paired = names.groupBy("id", KEY, "blocks", half.alias("half")).agg(
@@ -80,7 +86,7 @@ def _pairs(names: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("n") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"),
     )
     order = [F.col("a"), F.col("b")]
-    known = paired.select("a", "b").distinct().select("a", "b", _rank(order).alias("name"))
+    known = paired.select("a", "b").distinct().select("a", "b", _rank(order, buckets).alias("name"))
     blocks = F.ceil(F.col("blocks") / 2).cast("int").alias("blocks")
     return paired.join(known, ["a", "b"]).select("id", KEY, blocks, F.col("half").alias("n"), "name")
 
@@ -91,13 +97,14 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``repeats`` counts the rows that share both. Every level is written to the shared folder, so a lost executor costs
     one level; a level holds two integers per pair, and half as many rows as the one before.
     """
-    names = stored(block_names(docs, id_col, text_col, block_bytes), "blocks")
+    buckets = bucket_count(docs, text_col, block_bytes)
+    names = stored(block_names(docs, id_col, text_col, block_bytes, buckets), "blocks")
     repeats = names.where("n = 0").groupBy("id", KEY).agg(F.count(F.lit(1)).alias("repeats"))
     longest = names.agg(F.max("blocks")).first()[0] or 1
     level, done = 0, [names.where("blocks = 1").select("id", KEY, F.lit(0).alias("level"), "name").distinct()]
     while longest > 1:
         level, longest = level + 1, -(-longest // 2)
-        names = stored(_pairs(names.where("blocks > 1")), f"pairs{level}")
+        names = stored(_pairs(names.where("blocks > 1"), buckets), f"pairs{level}")
         done.append(names.where("blocks = 1").select("id", KEY, F.lit(level).alias("level"), "name"))
     found = done[0]
     for more in done[1:]:
@@ -116,7 +123,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named like a result is replaced.
     """
     ids = identities(docs, id_col, text_col, block_bytes)
-    groups = ids.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.sum("repeats").alias("group_size"))
+    # written before the join, which is then a plain one: adaptive execution splits a group that holds very many rows
+    groups = stored(ids.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.sum("repeats").alias("group_size")), "groups")
     decided = ids.join(groups, ["level", "name"]).select(
         "id", KEY, "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "repeats"
     )

@@ -141,7 +141,8 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, shortest: int = SHOR
         # at full length a window is its own look-up, and both numbers, 128 bits, must agree
         by = ["gram", "content"] if length == window else ["gram"]
         groups = found.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("x"), F.max("content").alias("y"))
-        groups = groups.where("n > 1").select(*by, (F.col("x") == F.col("y")).alias("same"))
+        # written before the join, which is then a plain one: adaptive execution splits the runs of a very common look-up
+        groups = stored(groups.where("n > 1").select(*by, (F.col("x") == F.col("y")).alias("same")), f"lookups{length}")
         level = stored(found.join(groups, by), f"repeats{length}")
         settled.append(level.where("same"))
         mixed = level.where(~F.col("same"))
