@@ -2,8 +2,8 @@
 
 Texts are cut into pre-tokens. A task takes its texts together in blocks: a text becomes the numbers of its words, by position,
 and every different word of a block is one row. Words of all blocks meet by value, each different one is encoded once, and
-the ids are joined back to the blocks, where texts are put together by position. Words that stand in very many blocks, of which
-there can only be few, are joined by broadcast. Decoding joins ids with the table of token bytes, which every task holds.
+the ids are joined back to the blocks, where texts are put together by position. As a block has a word once, the most
+frequent word is one row in the hundred thousand or so of a block. Decoding joins ids with the table of token bytes, which every task holds.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ from vicinal.session import stored
 
 #: Bytes of text that a block holds at least before it is closed; larger blocks send fewer words, but need more memory.
 BLOCK_BYTES = 16 << 20
-#: A word in more than one of so many block-and-word rows is joined by broadcast, so fewer than so many words are.
-HOT_SHARE = 1000
 #: White space that does not stand alone between two other characters.
 GAPS = regex.compile(r"\s\s|^\s|\s$")
 
@@ -131,18 +129,19 @@ def _encode_words(ranks: dict[bytes, int], pattern: str):
 
 
 def vocabulary(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(word, n, ids): every different ``word`` once, with the number of its rows."""
-    different = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return different.mapInArrow(_encode_words(ranks, pattern), "word string, n bigint, ids array<int>")
+    """(word, rows, last, ids): every different ``word`` once, with the number of its rows and the last of its blocks."""
+    different = words.groupBy("word").agg(F.count("number").alias("rows"), F.max("block").alias("last"))
+    return different.mapInArrow(_encode_words(ranks, pattern), "word string, rows bigint, last bigint, ids array<int>")
 
 
-def words_with_ids(words: DataFrame, known: DataFrame, rows: int) -> DataFrame:
-    """(block, number, ids) for ``rows`` rows of words. Words of very many rows go by broadcast, fewer than ``HOT_SHARE`` of them."""
-    hot = F.col("n") > max(1, rows // HOT_SHARE)
-    marked = words.join(F.broadcast(known.where(hot).select("word", F.col("ids").alias("__ids"))), "word", "left")
-    rest = marked.where("__ids IS NULL").drop("__ids").join(known.where(~hot).select("word", "ids"), "word")
-    done = marked.where("__ids IS NOT NULL").withColumnRenamed("__ids", "ids")
-    return done.select("block", "number", "ids").unionByName(rest.select("block", "number", "ids"))
+def words_with_ids(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(block, number, ids) for all rows (block, number, word).
+
+    Words are shuffled once, to be made distinct and to be joined: the vocabulary asks for the same columns, so that both
+    read one exchange.
+    """
+    dealt = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    return dealt.join(vocabulary(dealt, ranks, pattern), "word").select("block", "number", "ids")
 
 
 def _gather(values: bytes, ends: np.ndarray, order: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,9 +192,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"block bigint, id {id_type}, __fp bigint, numbers array<int>, number int, word string"
     cut = stored(rows.mapInArrow(_explode(pattern, block_bytes), schema), "pretokens", compression="zstd")
-    words = cut.where("word IS NOT NULL").select("block", "number", "word")
-    known = stored(vocabulary(words, ranks, pattern), "vocabulary", compression="zstd")
-    ids = words_with_ids(words, known, known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    ids = words_with_ids(cut.where("word IS NOT NULL").select("block", "number", "word"), ranks, pattern)
     texts = cut.where("word IS NULL").select(F.col("block").alias("of"), "id", "__fp", "numbers")
     out = T.StructType([cut.schema["id"], cut.schema["__fp"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     return texts.groupBy("of").cogroup(ids.groupBy("block")).applyInArrow(_assemble(to_arrow_schema(out)), out)
