@@ -219,3 +219,20 @@ def test_evidence_by_block_equals_the_join(spark):
     rows = [Counter((r.query_id, r["rank"], r.sample_id, round(r.mean_abs_distance, 9), tuple(r.raw)) for r in df.collect()) for df in (got, want)]
     assert rows[0] == rows[1] and sum(rows[0].values()) == 300
     assert math.isclose(got.agg(F.min("mean_abs_distance")).first()[0], 0.0)
+
+
+def test_a_scope_leaves_no_files(spark, sf_dir, tmp_path):
+    from pathlib import Path
+
+    from vicinal.catalog.queries import REGISTRY
+    from vicinal.session import scratch_scope
+
+    with scratch_scope(spark) as path:
+        REGISTRY["index_append"](spark, sf_dir).write.parquet(str(tmp_path / "kept"))
+        assert any(Path(path.removeprefix("file:")).rglob("*.parquet"))
+    assert not Path(path.removeprefix("file:")).exists() and spark.read.parquet(str(tmp_path / "kept")).count() == 300
+    with pytest.raises(RuntimeError):
+        with scratch_scope(spark) as path:
+            X.vectors(spark, sf_dir).write.parquet(f"{path}/rows")
+            raise RuntimeError
+    assert not Path(path.removeprefix("file:")).exists()

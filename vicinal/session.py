@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPE: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "vicinal") -> SparkSession:
     """Session for tests and the bench. A cluster brings its own."""
@@ -44,7 +49,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder for a table a job writes and reads back."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_SCOPE.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Tables that jobs write inside lie in one folder, which is deleted at the end, also after an error.
+
+    Results that are still needed must have been written elsewhere by then: a table that is only planned reads from there.
+    """
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    token = _SCOPE.set(path)
+    try:
+        yield path
+    finally:
+        _SCOPE.reset(token)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
