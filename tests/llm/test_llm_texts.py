@@ -6,6 +6,7 @@ import base64
 import hashlib
 import html
 import itertools
+import math
 import random
 import re
 
@@ -365,6 +366,94 @@ def test_language_of_pages(spark, sf_dir):
     assert len(got) == len(said) and np.mean([r.language == said[r.page_id] for r in got]) > 0.97
 
 
+def plain_posteriors(rows, model):
+    """(language, probability, accepted) of (text, declared, host, suffix), text by text in plain Python."""
+    n = len(L.LANGUAGES)
+    none = math.log(1 / L.BUCKETS)
+
+    def grams(text):
+        raw = [b + 32 if 65 <= b <= 90 else b for b in f" {text or ''} ".encode()]
+        raw = [b if 97 <= b <= 122 or b >= 128 else 32 for b in raw]
+        out = []
+        for i in range(len(raw) - L.GRAM + 1):
+            if any(b != 32 for b in raw[i : i + L.GRAM]):
+                code = 0
+                for b in raw[i : i + L.GRAM]:
+                    code = (code * 0x01000193 + b) & 0xFFFFFFFF
+                out.append((code ^ code >> 15) % L.BUCKETS)
+        return out
+
+    def softmax(x):
+        top = max(x)
+        e = [math.exp(v - top) for v in x]
+        return [v / sum(e) for v in e]
+
+    own, single = [], []
+    for text, declared, _, _ in rows:
+        found = grams(text)
+        sums = [sum(model[k][g] - model[:, g].mean() for g in found) for k in range(n)]
+        other = sum(none - model[:, g].mean() for g in found)
+        sums.append(max(sums) + (other - max(sums)) * min(1, L.OTHER_GRAMS / max(1, len(found))))
+        said = re.match(r"\s*([A-Za-z]+)", declared or "")
+        said = said[1].lower() if said else None
+        hint = [0.0] * (n + 1)
+        if said in L.LANGUAGES:
+            hint = [math.log(L.DECLARED if x == said else (1 - L.DECLARED) / (n - 1)) for x in L.LANGUAGES] + [math.log(L.LISTED_WRONG)]
+        elif said and len(said) == 2:
+            hint = [math.log(L.UNLISTED_WRONG)] * n + [math.log(L.UNLISTED)]
+        own.append((len(found), [a / L.DEPENDENCE + b for a, b in zip(sums, hint)]))
+        single.append(softmax(own[-1][1])[:n] if found else None)
+
+    def counted(keep):
+        return [sum(p[k] for p, r in zip(single, rows) if p and keep(r)) for k in range(n)]
+
+    def smoothed(counts, coarser, strength):
+        return [(c + strength * q) / (sum(counts) + strength) for c, q in zip(counts, coarser)]
+
+    base = smoothed(counted(lambda r: True), [1 / n] * n, 1.0)
+    out = []
+    for (size, scores), (_, _, host, suffix) in zip(own, rows):
+        prior = base if suffix is None else smoothed(counted(lambda r: r[3] == suffix), base, L.SUFFIX_STRENGTH)
+        if host is not None:
+            prior = smoothed(counted(lambda r: r[2] == host and r[3] == suffix), prior, L.HOST_STRENGTH)
+        post = softmax([s + math.log(q * (1 - L.OTHER)) for s, q in zip(scores, prior)] + [scores[-1] + math.log(L.OTHER)])
+        best = max(post[:n])
+        place = post.index(best)
+        good = size > 0 and best >= L.LEAST and best > post[-1] and scores[place] >= scores[-1] - 1e-3
+        out.append((L.LANGUAGES[place] if good else "und", best, good))
+    return out
+
+
+def test_posteriors_against_plain_python(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("length(text) < 1500").orderBy("doc_id").limit(60)
+    model = L.fit(docs)
+    rows = [(r.doc_id, r.text, (r.lang, None, "pl", "en-GB", "notalang")[r.doc_id % 5], ("a.de", "b.fr", None)[r.doc_id % 3], ("de", "fr", None)[r.doc_id % 3]) for r in docs.collect()]
+    rows += [(900, None, "en", "a.de", "de"), (901, "", None, None, None), (902, "qwx zzk vvj", None, "b.fr", "fr"), (903, rows[0][1], "fr", "a.de", "de"), (903, rows[0][1], "fr", "a.de", "de")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, said string, h string, s string")
+    got = L.identify(frame, model, declared=F.col("said"), host=F.col("h"), suffix=F.col("s")).collect()
+    want = plain_posteriors([r[1:] for r in rows], model.astype(np.float32).astype(np.float64))
+    key = lambda r: (r[0], r[1], round(r[2], 5), r[3])
+    assert sorted(map(key, ((r.id, r.language, r.probability, r.accepted) for r in got))) == sorted(map(key, ((r[0], *w) for r, w in zip(rows, want))))
+    assert {w[2] for w in want} == {True, False}
+
+
+def test_evidence_of_odd_pages(spark, sf_dir):
+    en = "The river runs past the old mill and the town where we were born. " * 3
+    rows = [(1, None, None), (2, "", ""), (3, "http://localhost/x", f"<html lang='en-GB'><p>{en}</p>"), (3, "http://localhost/x", f"<html lang='en-GB'><p>{en}</p>")]
+    rows += [(4, "no address", f"<script>var x = '<p>der die das</p>'</script><p>{en}&amp;</p>"), (None, "http://a.b.test:80/", "<p>" + "x" * 100_000 + "</p>"), (5, "http://a.test", "<html lang=")]
+    pages = spark.createDataFrame([(*r, "t", "h") for r in rows], "page_id long, url string, html string, text string, host string")
+    got = L.page_evidence(pages).collect()
+    assert len(got) == len(rows)
+    by = {r.page_id: r for r in got}
+    assert (by[1].host, by[1].suffix, by[1].declared, by[1].text) == (None, None, None, "")
+    assert (by[3].host, by[3].suffix, by[3].declared) == ("localhost", None, "en-GB") and by[4].host is None and "der" not in by[4].text
+    model = L.fit(table(spark, sf_dir, "documents"))
+    evidence = {c: F.col(c) for c in ("declared", "host", "suffix")}
+    found = L.identify(L.page_evidence(pages), model, "page_id", **evidence).collect()
+    assert len(found) == len(rows) and {r.id: r.language for r in found}[1] == "und" and [r.language for r in found if r.id == 3] == ["en", "en"]
+    assert L.identify(L.page_evidence(pages.limit(0)), model, "page_id", **evidence).count() == 0
+
+
 # pages
 
 

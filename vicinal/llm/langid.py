@@ -194,12 +194,18 @@ def identify(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_co
 
 
 def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Pages with text, declared, host and suffix, ready for ``identify``: markup taken off, ``<html lang>``, last part of the host."""
+    """Pages with text, declared, host and suffix, ready for ``identify``: markup taken off, ``<html lang>``, last part of the host.
+
+    A null or empty page has a text of nothing, which ``identify`` rejects, and declares nothing. A url without a host, also
+    null, gives null for host and suffix, a host without a dot a null suffix. All rows come back, repeated ones as often as they
+    came; an empty table gives an empty result; other columns stay, and those named like a result are replaced.
+    """
     from vicinal.llm.urlfilter import address
 
     html = F.coalesce(html_col, F.lit(""))
     plain = F.regexp_replace(html, r"(?is)<(script|style|title)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
     host, _ = address(F.col(url_col))
     said = F.nullif(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)""", 1), F.lit(""))
-    named = pages.select("*", F.nullif(host, F.lit("")).alias("host"), said.alias("declared"), plain.alias("text"))
+    others = [c for c in pages.columns if c not in ("host", "declared", "text", "suffix")]
+    named = pages.select(*others, F.nullif(host, F.lit("")).alias("host"), said.alias("declared"), plain.alias("text"))
     return named.withColumn("suffix", F.nullif(F.regexp_extract("host", r"\.([^.]+)$", 1), F.lit("")))
