@@ -108,7 +108,7 @@ def _likelihoods(model: np.ndarray, gram: int):
             ends = np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)
             fields = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
             names = [n for n in batch.schema.names if n != "text"]
-            more = [pa.array(np.bincount(owner, minlength=batch.num_rows)), pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.ravel()))]
+            more = [pa.array(np.bincount(owner, minlength=batch.num_rows)), pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.ravel().astype(np.float64)))]
             yield pa.RecordBatch.from_arrays([*fields, *more], names=[*names, "n_grams", "ll"])
 
     return score
