@@ -213,3 +213,13 @@ def test_stream_equals_batch_and_repeats_nothing(spark, sf_dir, tmp_path):
     want = sorted(majority_vote(knn_join(queries, index, 3)).collect())
     assert run() == want
     assert run() == want  # nothing new has arrived
+
+
+def test_a_stream_of_a_table_in_a_folder_or_a_file(spark, sf_dir, tmp_path):
+    whole = X.table(spark, sf_dir, "embeddings")
+    whole.repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    for number, folder in enumerate((str(tmp_path), sf_dir)):
+        sink, state = str(tmp_path / f"sink{number}"), str(tmp_path / f"state{number}")
+        stream = X.arriving(spark, folder, "embeddings").writeStream.format("parquet").option("path", sink)
+        stream.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        assert spark.read.parquet(sink).count() == whole.count()

@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, be it one file or a folder of them."""
+    path = f"{sf_dir}/{name}.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    stream = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    return stream.parquet(path) if folder else stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` as a labelled numeric table with a train/test split."""
     return table(spark, sf_dir, "embeddings").select(

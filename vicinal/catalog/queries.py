@@ -829,9 +829,7 @@ def q_sweep_prefixes(spark, sf):
 @query
 def q_stream_score(spark, sf):
     _, index = X.vector_sides(spark, sf)
-    schema = X.table(spark, sf, "embeddings").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
-    arriving = source.filter(F.col("vec_id") % 5 == 0).select(
+    arriving = X.arriving(spark, sf, "embeddings").filter(F.col("vec_id") % 5 == 0).select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")
     )
     sink, state = scratch_path(spark, "stream-votes"), scratch_path(spark, "stream-state")
