@@ -57,6 +57,38 @@ def test_answers_survive_a_broken_run(spark, tmp_path):
     assert answer_stored(prompts, breaking, path, **ASK)[1] == 0
 
 
+def test_many_waves_are_few_jobs(spark, tmp_path):
+    prompts, context = spark.range(60).selectExpr("id", "concat('q', id) AS prompt"), spark.sparkContext
+    context.setJobGroup("waves", "answers in sixty waves")
+    out, asked = answer_stored(prompts, shouting, str(tmp_path / "answers"), **ASK, wave_prompts=1)
+    jobs = len(context.statusTracker().getJobIdsForGroup("waves"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert asked == 60 and {r.raw for r in out.collect()} == {f"Q{i}" for i in range(60)}
+    assert jobs < 30
+
+
+def test_answers_stay_when_a_later_task_fails(spark, tmp_path):
+    path = str(tmp_path / "answers")
+
+    def slow_to_break():
+        def generate(prompts):
+            if "p150" in prompts:
+                import time
+
+                time.sleep(5)
+                raise RuntimeError("the model is gone")
+            return [p.upper() for p in prompts]
+
+        return generate
+
+    prompts = spark.range(200).selectExpr("id", "concat('p', id) AS prompt")
+    with pytest.raises(Exception, match="gone"):
+        answer_stored(prompts, slow_to_break, path, **ASK, wave_prompts=100, batch_rows=1)
+    kept = read_answers(spark, path).count()
+    assert kept > 100
+    assert answer_stored(prompts, shouting, path, **ASK)[1] == 200 - kept
+
+
 def test_another_model_or_limit_asks_again(spark, tmp_path):
     path = str(tmp_path / "answers")
     prompts = spark.createDataFrame([(1, "a"), (2, "b")], "id long, prompt string")

@@ -1,8 +1,9 @@
 """Answers of a model on reliable storage: asked once, kept for good, resumed where a run broke off.
 
 An answer is stored under a hash of all that decides it: the prompt, the model's name and the token limit. A run looks up what
-is there and asks for the rest, each different prompt once, in waves. A wave is one job that ends with its answers written, so
-whatever stops a run costs at most the wave it was in. A lost executor costs its own tasks of that wave.
+is there and asks for the rest, each different prompt once. The first wave is a job of its own, so a model that does not work is
+found out at its cost. All others are one job, whose tasks leave their answers in place as each of them ends: tasks are so small
+that those at work at one time hold one wave together, and whatever stops a run costs at most that. A lost executor costs its own tasks.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinal.operators.answers import Generator, answer_with
-from vicinal.session import parallelism, scratch_path, stored
+from vicinal.session import parallelism, stored
 
 SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("key", "model", "raw")])
 PROMPTS_PER_TASK = 64
 TASKS_PER_CORE = 4
+TASK_BY_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+"""the writer puts a task's files in place when the task ends, and a job that breaks off leaves them there"""
 
 
 def answer_key(prompt: Column, model: str, max_new_tokens: int) -> Column:
@@ -70,19 +73,16 @@ def answer_stored(
     asked = open_.count()
     tasks = TASKS_PER_CORE * parallelism(spark)
     waves = math.ceil(asked / (wave_prompts or tasks * PROMPTS_PER_TASK))
-    if waves > 1:  # each wave reads its own folder
-        at = F.pmod(F.xxhash64("key"), F.lit(waves)).cast("int")
-        open_ = _by_wave(open_.withColumn("wave", at))
-    for wave in range(waves):
-        part = open_.where(F.col("wave") == wave).drop("wave") if waves > 1 else open_
-        answered = answer_with(part.repartition(tasks), make_generator, batch_rows=batch_rows)
+    parts = [(open_, tasks)]
+    if waves > 1:
+        at, held = F.pmod(F.xxhash64("key"), F.lit(waves)), PROMPTS_PER_TASK
+        if wave_prompts is not None:
+            held = max(1, wave_prompts // parallelism(spark))
+        parts = [(open_.where(at == 0), tasks), (open_.where(at != 0), math.ceil(asked / held))]
+    for part, pieces in parts if asked else []:
+        answered = answer_with(part.repartition(pieces, "key"), make_generator, batch_rows=batch_rows)
         rows = answered.select("key", F.lit(model).alias("model"), F.coalesce("raw", F.lit("")).alias("raw"))
-        rows.write.mode("append").parquet(path)
+        rows.write.mode("append").options(**TASK_BY_TASK).parquet(path)
     known = read_answers(spark, path).select(F.col("key").alias("__key"), F.col("raw").alias(out))
     return keyed.drop(out).join(known, "__key", "left").drop("__key"), asked
 
-
-def _by_wave(rows: DataFrame) -> DataFrame:
-    path = scratch_path(rows.sparkSession, "waves")
-    rows.repartition("wave").write.partitionBy("wave").parquet(path)
-    return rows.sparkSession.read.parquet(path)
