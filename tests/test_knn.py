@@ -226,3 +226,28 @@ def test_one_long_row_does_not_slow_the_rest(metric):
         rows, cols, _ = best_in_block(q, far[:400], ids[:400], 3, metric)
         want = np.argsort(-exact[metric], axis=1, kind="stable")[:, :3]
         assert (cols.reshape(-1, 3) == want).all()
+
+
+@pytest.mark.parametrize("dim", [1, 2, 5, 8])
+def test_few_columns_are_searched_by_box(dim):
+    from vicinal.operators.blocks import BOX_ROWS, nearest_in_boxes
+
+    rng = np.random.default_rng(dim)
+    x = np.round(rng.normal(size=(5 * BOX_ROWS, dim)) * 50).astype(np.float32)  # full of ties
+    x[: BOX_ROWS + 9] = x[0]
+    q, ids = np.concatenate([x[::9], rng.normal(size=(90, dim)).astype(np.float32)]), rng.permutation(len(x))
+    rows, cols, scores = nearest_in_boxes(q, x, ids, 4)
+    got = sorted((int(r), int(ids[c]), round(float(s), 6) + 0.0) for r, c, s in zip(rows, cols, scores))
+    assert got == sorted((i, j, s + 0.0) for i, j, s in brute(q, x, ids, 4, "l2"))
+
+
+def test_few_columns_take_time_in_proportion():
+    """All pairs of these rows take several times as long."""
+    import time
+
+    from vicinal.operators.blocks import best_in_block
+
+    x = np.random.default_rng(1).normal(size=(100_000, 2)).astype(np.float32)
+    begin = time.monotonic()
+    assert len(best_in_block(x, x, np.arange(len(x)), 3, "l2")[0]) == 3 * len(x)
+    assert time.monotonic() - begin < 20

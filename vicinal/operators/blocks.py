@@ -8,6 +8,9 @@ import pyarrow as pa
 # One tile of scores, small enough to stay in a core's cache, and the largest slice scored exactly.
 QUERY_TILE, INDEX_TILE = 256, 4096
 EXACT_CELLS = 4_000_000
+# Rows of up to so many columns are compared box by box, in boxes of so many rows; queries are prepared so many at a time.
+BOX_DIM, BOX_ROWS = 8, 256
+QUERY_SLAB = 16_384
 
 
 def as_matrix(column: pa.Array | pa.ChunkedArray, what: str) -> np.ndarray:
@@ -120,6 +123,77 @@ def _candidates(a: np.ndarray, b: np.ndarray, k: int, room: float, last_apart: b
     return row[last], col[last]
 
 
+def boxes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, begins): rows in boxes of at most ``BOX_ROWS``, by halving along the widest column; a box ends where the next begins."""
+    order, begins, open_ = np.arange(len(points)), [], [(0, len(points))]
+    while open_:
+        low, high = open_.pop()
+        if high - low <= BOX_ROWS:
+            begins.append(low)
+            continue
+        part = points[order[low:high]]
+        column = part[:, np.argmax(part.max(axis=0) - part.min(axis=0))]
+        middle = (high - low) // 2
+        order[low:high] = order[low:high][np.argpartition(column, middle)]
+        open_ += [(low + middle, high), (low, low + middle)]  # the left half comes next, so boxes begin in order
+    return order, np.array([*begins, len(points)])
+
+
+def nearest_in_boxes(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``best_in_block`` for L2 and few columns: a query meets the boxes of index rows by their distance from the box of
+    its own neighbours, until a box is farther away than the k-th row it has. All in double precision; what could be among the
+    k best within rounding is scored by ``exact_scores``.
+    """
+    kept = surplus_copies(ids, x, k) if len(ids) > k else np.arange(len(ids))
+    k = min(k, len(kept))
+    order, at = boxes(x[kept])
+    kept = kept[order]
+    points, asked = x[kept].astype(np.float64), q.astype(np.float64)
+    low, high = (f.reduceat(points, at[:-1], axis=0) for f in (np.minimum, np.maximum))
+    q_order, q_at = boxes(asked)
+    out = []
+    for begin, end in zip(q_at, q_at[1:]):
+        own = q_order[begin:end]
+        here = asked[own]
+        gap = np.maximum(np.maximum(low - here.max(axis=0), here.min(axis=0) - high), 0.0)
+        away = np.square(gap).sum(axis=1) * (1 - 1e-9)
+        near = np.argsort(away, kind="stable")
+        top = np.full((len(own), k), np.inf)
+        active, rows, cols, values, done, step = np.arange(len(own)), [], [], [], 0, 2
+        while done < len(near):
+            active = active[top[active, -1] >= away[near[done]]]
+            if not len(active):
+                break
+            block = np.concatenate([np.arange(at[b], at[b + 1]) for b in near[done : done + step]])
+            square = np.zeros((len(active), len(block)))
+            for column in range(x.shape[1]):
+                d = np.subtract.outer(here[active, column], points[block, column])
+                square += np.multiply(d, d, out=d)
+            merged = np.concatenate([top[active], square], axis=1)
+            merged = np.partition(merged, k - 1, axis=1)[:, :k] if merged.shape[1] > k else merged
+            top[active] = np.sort(merged, axis=1)
+            r, c = np.nonzero(square <= top[active, -1][:, None] * (1 + 1e-9))
+            rows.append(active[r])
+            cols.append(block[c])
+            values.append(square[r, c])
+            done, step = done + step, min(2 * step, INDEX_TILE // BOX_ROWS)
+        row, col, value = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+        last = value <= top[row, -1] * (1 + 1e-9)
+        out.append(_ranked(own[row[last]], kept[col[last]], q, x, ids, k, "l2"))
+    rows, cols, scores = (np.concatenate(part) for part in zip(*out))
+    return rows, cols, scores
+
+
+def _ranked(rows: np.ndarray, cols: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates scored in double precision: the k best of each row."""
+    step = max(1, EXACT_CELLS // q.shape[1])
+    scores = np.concatenate([exact_scores(metric, q[rows[i : i + step]], x[cols[i : i + step]]) for i in range(0, max(1, len(rows)), step)])
+    order = np.lexsort((ids[cols], -scores, rows))
+    rows, cols, scores = rows[order], cols[order], scores[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[keep], cols[keep], scores[keep]
+
+
 def exact_scores(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Scores of matched rows in double precision. The order of additions depends on the width only, so
     equal vectors get equal scores in every block."""
@@ -141,30 +215,28 @@ def best_in_block(
     Single-precision products choose candidates. Their rounding error is bounded by the width, and every
     row that could be among the k best given that bound is scored again in double precision.
     """
+    if metric == "l2" and q.shape[1] <= BOX_DIM:
+        return in_query_order(*nearest_in_boxes(q, x, ids, k))
     kept = surplus_copies(ids, x, k) if len(ids) > k else np.arange(len(ids))
     x, ids = x[kept], ids[kept]
     k = min(k, len(ids))
-    a, b = operands(q, x, metric)
-    room = (a.shape[1] + 16) * 2.0**-23
-    exact_step = max(1, EXACT_CELLS // q.shape[1])
     out = []
-    for start in range(0, len(q), QUERY_TILE):
-        rows, cols = _candidates(a[start : start + QUERY_TILE], b, k, room, metric == "l2")
-        rows = rows + start
-        scores = np.concatenate(
-            [
-                exact_scores(metric, q[rows[i : i + exact_step]], x[cols[i : i + exact_step]])
-                for i in range(0, len(rows), exact_step)
-            ]
-        )
-        order = np.lexsort((ids[cols], -scores, rows))
-        rows, cols, scores = rows[order], cols[order], scores[order]
-        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
-        out.append((rows[keep], cols[keep], scores[keep]))
+    for begin in range(0, len(q), QUERY_SLAB):
+        slab = q[begin : begin + QUERY_SLAB]
+        a, b = operands(slab, x, metric)
+        room = (a.shape[1] + 16) * 2.0**-23
+        for start in range(0, len(slab), QUERY_TILE):
+            rows, cols = _candidates(a[start : start + QUERY_TILE], b, k, room, metric == "l2")
+            out.append(_ranked(rows + begin + start, cols, q, x, ids, k, metric))
     rows, cols, scores = (np.concatenate(part) for part in zip(*out))
     return rows, kept[cols], scores
 
 
+def in_query_order(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(rows, kind="stable")
+    return rows[order], cols[order], scores[order]
+
+
 def in_space(matrix: np.ndarray, metric: str) -> np.ndarray:
     """Rows as points whose distances bound the scores: unit vectors for cosine, else as they are."""
     points = matrix.astype(np.float64)

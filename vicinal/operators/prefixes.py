@@ -18,7 +18,18 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vicinal.functions import vectors as V
-from vicinal.operators.blocks import EXACT_CELLS, INDEX_TILE, QUERY_TILE, as_matrix, exact_scores, norms, surplus_copies
+from vicinal.operators.blocks import (
+    BOX_DIM,
+    EXACT_CELLS,
+    INDEX_TILE,
+    QUERY_TILE,
+    as_matrix,
+    exact_scores,
+    in_query_order,
+    nearest_in_boxes,
+    norms,
+    surplus_copies,
+)
 from vicinal.operators.knn import BLOCK_BYTES, FEW_BYTES, MOST_PARTITIONS, block_of, check_search, grid_shape, score_name, side_size
 from vicinal.session import parallelism
 
@@ -60,8 +71,14 @@ def best_by_prefix(
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(prefix, query rows, index rows, scores), score descending then id ascending, at most k per query row and prefix.
 
-    As ``best_in_block``: single precision chooses, and whatever could be among the k best is scored again in double.
+    As ``best_in_block``: single precision chooses, and whatever could be among the k best is scored again in double. Few columns
+    under L2 are searched box by box instead, one prefix after the other, which compares far fewer pairs.
     """
+    if metric == "l2" and prefixes[-1] <= BOX_DIM:
+        for prefix in prefixes:
+            near = nearest_in_boxes(np.ascontiguousarray(q[:, :prefix]), np.ascontiguousarray(x[:, :prefix]), ids, k)
+            yield prefix, *in_query_order(*near)
+        return
     kept = surplus_copies(ids, x, k) if len(ids) > k else np.arange(len(ids))
     x, ids = x[kept], ids[kept]
     k = min(k, len(ids))
