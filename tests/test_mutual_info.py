@@ -76,3 +76,16 @@ def test_no_class_with_two_rows(spark):
     df = spark.createDataFrame([(0, [1.0], 0), (1, [2.0], 1)], "sample_id long, features array<double>, label int")
     with pytest.raises(ValueError):
         mutual_info(df, ["a"])
+
+
+def test_short_runs_share_tasks(spark):
+    """A task per run sent the driver more the shorter the runs were."""
+    rows = spark.range(3000).selectExpr("array(double(id * 7 % 997), double(id % 50)) AS features", "int(id % 3 = 0) AS label")
+    context = spark.sparkContext
+    context.setJobGroup("runs", "features in short runs")
+    scores = {r.feature: r.score for r in mutual_info(rows, ["a", "b"], run_rows=5).collect()}
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("runs") for s in tracker.getJobInfo(j).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert scores == pytest.approx({r.feature: r.score for r in mutual_info(rows, ["a", "b"]).collect()})
+    assert max(s.numTasks for s in stages if s) <= 200  # there are 1200 runs

@@ -19,11 +19,20 @@ from pyspark.sql import functions as F
 from vicinal.functions.digamma import digamma
 from vicinal.operators.labels import class_sizes
 from vicinal.operators.validate import finite
-from vicinal.session import materialize
+from vicinal.session import materialize, parallelism
 
 NEIGHBORS = 3
 RADIUS_ROUNDING, VALUE_ROUNDING = 1e-9, 1e-15
 RUN_ROWS = 2_000_000  # rows of one feature that a single task may walk through
+TASK_ROWS = 50_000  # rows that are worth a task of their own
+
+
+def range_tasks(rows: int, runs: int, cores: int) -> int:
+    """Range partitions for ``runs`` runs over so many rows: short runs share a task, which walks through them one by one.
+
+    A task costs the driver some kilobytes and a part of the range sample, so their number follows the rows, not the runs.
+    """
+    return max(1, min(runs, max(cores, math.ceil(rows / TASK_ROWS))))
 
 
 def value_counts(df: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
@@ -150,7 +159,7 @@ def _scores(counts: DataFrame, classes: dict[int, int], names: Sequence[str], ne
     if not n:
         raise ValueError("no class has two rows")
     runs = math.ceil(n / run_rows)
-    runs = 1 if runs == 1 else runs * len(names)
+    runs = 1 if runs == 1 else max(2, range_tasks(n * len(names), runs * len(names), parallelism(counts.sparkSession)))
     size_of = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
     counts = counts.filter(F.col("y").isin(*sizes))
     counts = counts.withColumn("kk", F.least(F.lit(neighbors), F.element_at(size_of, F.col("y")) - 1))
@@ -212,7 +221,7 @@ def mutual_info_binned(
 def binned_from_counts(counts: DataFrame, names: Sequence[str], n: int, bins: int = 10, *, run_rows: int = RUN_ROWS) -> DataFrame:
     """``mutual_info_binned`` of the ``n`` rows that ``counts`` (pos, v, y, c) was counted from."""
     runs = math.ceil(n / run_rows)
-    runs = 1 if runs == 1 else runs * len(names)
+    runs = 1 if runs == 1 else max(2, range_tasks(n * len(names), runs * len(names), parallelism(counts.sparkSession)))
     values = (
         counts.groupBy("pos", "v")
         .agg(F.sum("c").alias("c"), F.collect_list(F.struct("y", "c")).alias("classes"))  # one entry per class
