@@ -75,6 +75,16 @@ def test_tree_with_few_rows(spark):
     assert TR.knn_join_tree(queries.limit(0), index, 3, cell_rows=4).count() == 0
 
 
+def test_a_search_without_structure_writes_no_row_per_fine_cell(spark, monkeypatch):
+    kept, keep = [], TR.materialize
+    monkeypatch.setattr(TR, "materialize", lambda df: kept.append(keep(df)) or kept[-1])
+    rng = np.random.default_rng(8)
+    q, x = rng.normal(size=(100, 12)).astype(np.float32), rng.normal(size=(1500, 12)).astype(np.float32)
+    got = TR.knn_join_tree(frame(spark, q, "query_id"), frame(spark, x, "sample_id"), 3, "l2", cell_rows=4)
+    assert as_rows(got, "l2") == [(i, j, s + 0.0) for i, j, s in brute(q, x, np.arange(1500), 3, "l2")]
+    assert kept and max(df.count() for df in kept) <= 100 * 3  # there are about 400 fine cells
+
+
 def test_cells_keep_their_size_when_the_index_grows(spark):
     largest = []
     for rows in (1500, 4500):

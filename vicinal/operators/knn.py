@@ -97,7 +97,7 @@ def pair_kernel(k: int, metric: str, query_id: str, index_id: str, carry: Sequen
     return run
 
 
-def _output(queries: DataFrame, index: DataFrame, query_id: str, index_id: str, carry: Sequence[str], metric: str):
+def output_schema(queries: DataFrame, index: DataFrame, query_id: str, index_id: str, carry: Sequence[str], metric: str):
     fields = [T.StructField(query_id, queries.schema[query_id].dataType)]
     fields.append(T.StructField(index_id, index.schema[index_id].dataType))
     fields += [T.StructField(c, index.schema[c].dataType) for c in carry]
@@ -123,7 +123,7 @@ def match_blocks(
     twice as many partitions as there are groups instead of sharing few: tasks then hold one group each
     and the scheduler balances them.
     """
-    schema, arrow = _output(queries, index, query_id, index_id, carry, metric)
+    schema, arrow = output_schema(queries, index, query_id, index_id, carry, metric)
     kernel = pair_kernel(k, metric, query_id, index_id, carry, arrow)
     left = queries.select(*keys, query_id, "vec")
     right = index.select(*keys, index_id, *carry, "vec")
@@ -199,7 +199,7 @@ def knn_few(
     rows, dim = side_size(queries, "vec")
     if rows * dim * 4 > FEW_BYTES:
         raise ValueError(f"{rows} queries of length {dim} are too many to be sent to every task")
-    schema, arrow = _output(queries, index, query_id, index_id, carry, metric)
+    schema, arrow = output_schema(queries, index, query_id, index_id, carry, metric)
     kernel = pair_kernel(k, metric, query_id, index_id, carry, arrow)
     sent = spark.sparkContext.broadcast(queries.toArrow())
 
