@@ -268,3 +268,16 @@ def test_a_scope_leaves_no_files(spark, sf_dir, tmp_path):
             X.vectors(spark, sf_dir).write.parquet(f"{path}/rows")
             raise RuntimeError
     assert not Path(path.removeprefix("file:")).exists()
+
+
+def test_looked_up_rows_come_in_small_blocks(spark, sf_dir, monkeypatch):
+    from vicinal.operators import evidence as EV
+
+    blocks, block_of = [], EV.block_of
+    monkeypatch.setattr(EV, "block_of", lambda column, n: blocks.append(n) or block_of(column, n))
+    monkeypatch.setattr(EV, "LOOKUP_ROWS", 50)
+    queries, index = X.vector_sides(spark, sf_dir)
+    found = knn_join(queries, index, 2)
+    got, want = (fn(found, queries, index).select("query_id", "rank", F.round("mean_abs_distance", 9)) for fn in (with_distance_in_blocks, with_distance))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert blocks and set(blocks) == {-(-index.count() // 50)}

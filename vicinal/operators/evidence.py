@@ -19,6 +19,8 @@ from vicinal.operators.knn import BLOCK_BYTES, MOST_PARTITIONS, block_of, side_s
 from vicinal.operators.labels import label_name
 from vicinal.operators.vote import vote_columns, vote_prediction
 from vicinal.session import parallelism
+LOOKUP_ROWS = 1 << 15
+"""rows of a block, and pointers at it, that a task holds at most; smaller blocks send no row more often"""
 
 
 def single_precision(similarity: Column) -> Column:
@@ -79,7 +81,7 @@ def with_distance_in_blocks(
     """
     spark = neighbors.sparkSession
     rows, dim = side_size(index, "raw")
-    per_block = max(1, block_bytes // (4 * max(1, dim)))
+    per_block = max(1, min(LOOKUP_ROWS, block_bytes // (4 * max(1, dim))))
     blocks = max(1, -(-rows // per_block))
     asked = queries.select(query_id, V.as_float(F.col("raw")).alias("query_raw"))
     pointers = neighbors.join(asked, query_id).withColumn("ib", block_of(F.col(index_id), blocks))
