@@ -660,3 +660,18 @@ def test_pipeline_stages_against_brute_force(spark, sf_dir):
     bad = {r.id for r in __import__("vicinal.llm.contamination", fromlist=["x"]).contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).where("contaminated").collect()}
     want = {i: len(CODER.encode_ordinary(rows[i])) for i in ids if i not in bad}
     assert {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf_dir).collect()} == want
+
+
+def test_ids_of_words_are_packed_by_block():
+    import numpy as np
+    import pyarrow as pa
+
+    for values in ([], [0], [5, 70_000, 3, 2**32 - 1]):
+        assert B._unpack(B._pack(np.array(values, "<u4"))).tolist() == values
+    ids = [[i] * (i % 4) for i in range(1000)]
+    rows = pa.table({"block": [i % 3 for i in range(1000)], "number": pa.array([i // 3 for i in range(1000)], pa.int32()), "ids": pa.array(ids, pa.list_(pa.int32()))})
+    (packed,) = B._by_block(iter(rows.to_batches(max_chunksize=70)))
+    assert packed.column("block").to_pylist() == [0, 1, 2]
+    for block, numbers, sizes, flat in zip(*(packed.column(c).to_pylist() for c in ("block", "numbers", "sizes", "ids"))):
+        parts = np.split(B._unpack(flat), np.cumsum(B._unpack(sizes))[:-1])
+        assert {int(n) * 3 + block: p.tolist() for n, p in zip(B._unpack(numbers), parts)} == {i: ids[i] for i in range(block, 1000, 3)}

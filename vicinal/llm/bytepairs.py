@@ -9,6 +9,7 @@ frequent word is one row in the hundred thousand or so of a block. Decoding join
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from vicinal.session import stored
 
 #: Bytes of text that a block holds at least before it is closed; larger blocks send fewer words, but need more memory.
 BLOCK_BYTES = 16 << 20
+#: Ids of words that a task packs together.
+PACK_ROWS = 1 << 20
 #: White space that does not stand alone between two other characters.
 GAPS = regex.compile(r"\s\s|^\s|\s$")
 
@@ -46,6 +49,15 @@ def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
     return table
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned numbers, compressed byte by byte of equal weight: most are small, so most of their bytes are zero."""
+    return zlib.compress(np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 class _Words:
     """Words of a block and their numbers. A text is cut at single spaces, and each different stretch by the pattern once."""
 
@@ -117,6 +129,21 @@ def _explode(pattern: str, block_bytes: int):
     return explode
 
 
+def _cut(pattern: str, block_bytes: int):
+    """As ``_explode``, with the numbers of a text packed."""
+    explode = _explode(pattern, block_bytes)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in explode(batches):
+            lists = batch.column("numbers")
+            flat, ends, texts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), batch.column("word").is_null().to_pylist()
+            packed = [_pack(flat[begin:end]) if text else None for begin, end, text in zip(ends, ends[1:], texts)]
+            at = batch.schema.get_field_index("numbers")
+            yield batch.set_column(at, "numbers", pa.array(packed, pa.binary()))
+
+    return cut
+
+
 def _encode_words(ranks: dict[bytes, int], pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -154,23 +181,48 @@ def _gather(values: bytes, ends: np.ndarray, order: np.ndarray, width: int) -> t
     return flat[at], n
 
 
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, number, ids) as one packed row per block of what a task holds at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def close() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        block, number, lists = rows["block"].to_numpy(), rows["number"].to_numpy(), rows["ids"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.cumsum(sizes)
+        order = np.argsort(block, kind="stable")
+        names, begins = np.unique(block[order], return_index=True)
+        ids, n = _gather(flat.tobytes(), ends * 4, order, 4)
+        upto = np.concatenate(([0], np.cumsum(n)))
+        columns = (number[order], begins), (n, begins), (ids, upto[begins])
+        packs = [pa.array([_pack(v) for v in np.split(values, cuts[1:])], pa.binary()) for values, cuts in columns]
+        return pa.RecordBatch.from_arrays([pa.array(names), *packs], names=["block", "numbers", "sizes", "ids"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= PACK_ROWS:
+            yield close()
+            held = []
+    if held:
+        yield close()
+
+
 def _assemble(schema: pa.Schema):
     """Texts of one block from the ids of its words, by position. A block is bounded, so is its group."""
 
     def assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return schema.empty_table()
-        words = words.combine_chunks().sort_by("number")
-        lists = pa.concat_arrays(words["ids"].chunks) if words.num_rows else pa.array([], pa.list_(pa.int32()))
-        values = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        ends = lists.offsets.to_numpy().astype(np.int64)[1:] * 4 if len(lists) else np.zeros(0, np.int64)
-        ends = ends - (int(lists.offsets[0].as_py()) * 4 if len(lists) else 0)
-        parts = []
-        for chunk in texts.select(["numbers"]).column(0).chunks:
-            order = chunk.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            ids, n = _gather(values.tobytes(), ends, order, 4)
-            offsets = chunk.offsets.to_numpy().astype(np.int64)
-            tokens = np.concatenate(([0], np.cumsum(n)))[offsets - offsets[0]]
+        columns = [[_unpack(v) for v in words[c].to_pylist()] for c in ("numbers", "sizes", "ids")]
+        number, sizes, values = (np.concatenate([np.zeros(0, "<u4"), *c]) for c in columns)
+        at, ends = np.zeros(len(number), np.int64), np.cumsum(sizes, dtype=np.int64) * 4
+        at[number] = np.arange(len(number))  # every number of a block is there once
+        parts, flat = [], values.tobytes()
+        for chunk in texts["numbers"].chunks:
+            words_of = [_unpack(v) for v in chunk.to_pylist()]
+            ids, n = _gather(flat, ends, at[np.concatenate([np.zeros(0, "<u4"), *words_of])], 4)
+            tokens = np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *map(len, words_of)])]
             parts.append((np.diff(tokens), ids, tokens))
         counts = np.concatenate([p[0] for p in parts])
         done = pa.chunked_array(
@@ -190,9 +242,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     """
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema["id"].dataType.simpleString()
-    schema = f"block bigint, id {id_type}, __fp bigint, numbers array<int>, number int, word string"
-    cut = stored(rows.mapInArrow(_explode(pattern, block_bytes), schema), "pretokens", compression="zstd")
+    schema = f"block bigint, id {id_type}, __fp bigint, numbers binary, number int, word string"
+    cut = stored(rows.mapInArrow(_cut(pattern, block_bytes), schema), "pretokens", compression="zstd")
     ids = words_with_ids(cut.where("word IS NOT NULL").select("block", "number", "word"), ranks, pattern)
+    ids = ids.mapInArrow(_by_block, "block bigint, numbers binary, sizes binary, ids binary")
     texts = cut.where("word IS NULL").select(F.col("block").alias("of"), "id", "__fp", "numbers")
     out = T.StructType([cut.schema["id"], cut.schema["__fp"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     return texts.groupBy("of").cogroup(ids.groupBy("block")).applyInArrow(_assemble(to_arrow_schema(out)), out)
