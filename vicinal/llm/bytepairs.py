@@ -27,8 +27,8 @@ from vicinal.session import stored
 
 #: Bytes of text that a block holds at least before it is closed; larger blocks send fewer words, but need more memory.
 BLOCK_BYTES = 16 << 20
-#: Ids of words that a task packs together.
-PACK_ROWS = 1 << 20
+#: Ids of words, and texts, that a task packs together.
+PACK_ROWS, PACK_TEXTS = 1 << 20, 256
 #: White space that does not stand alone between two other characters.
 GAPS = regex.compile(r"\s\s|^\s|\s$")
 
@@ -130,16 +130,27 @@ def _explode(pattern: str, block_bytes: int):
 
 
 def _cut(pattern: str, block_bytes: int):
-    """As ``_explode``, with the numbers of a text packed."""
+    """As ``_explode``, with the texts of a block in rows of ``PACK_TEXTS``: lists of ids and keys, packed sizes and numbers."""
     explode = _explode(pattern, block_bytes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in explode(batches):
-            lists = batch.column("numbers")
-            flat, ends, texts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), batch.column("word").is_null().to_pylist()
-            packed = [_pack(flat[begin:end]) if text else None for begin, end, text in zip(ends, ends[1:], texts)]
-            at = batch.schema.get_field_index("numbers")
-            yield batch.set_column(at, "numbers", pa.array(packed, pa.binary()))
+            n = batch.column("word").null_count  # texts come first
+            words, texts = batch.slice(n), batch.slice(0, n)
+            lists = texts.column("numbers")
+            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            edges = [*range(0, n, PACK_TEXTS), n]
+            many, offsets = len(words), pa.array([*edges, *[n] * len(words)], pa.int32())
+            rows = len(edges) - 1
+            columns = [
+                pa.array(np.full(rows + many, batch.column("block")[0].as_py(), np.int64)),
+                *[pa.ListArray.from_arrays(offsets, pa.concat_arrays([texts.column(c)])) for c in ("id", "__fp")],
+                pa.array([_pack(np.diff(ends[i : j + 1])) for i, j in zip(edges, edges[1:])] + [None] * many, pa.binary()),
+                pa.array([_pack(flat[ends[i] : ends[j]]) for i, j in zip(edges, edges[1:])] + [None] * many, pa.binary()),
+                pa.concat_arrays([pa.nulls(rows, pa.int32()), words.column("number")]),
+                pa.concat_arrays([pa.nulls(rows, pa.string()), words.column("word")]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "id", "__fp", "sizes", "numbers", "number", "word"])
 
     return cut
 
@@ -218,17 +229,17 @@ def _assemble(schema: pa.Schema):
         number, sizes, values = (np.concatenate([np.zeros(0, "<u4"), *c]) for c in columns)
         at, ends = np.zeros(len(number), np.int64), np.cumsum(sizes, dtype=np.int64) * 4
         at[number] = np.arange(len(number))  # every number of a block is there once
+        ids_of, keys = (pa.chunked_array([c.flatten() for c in texts[name].chunks], type=texts[name].type.value_type) for name in ("id", "__fp"))
         parts, flat = [], values.tobytes()
-        for chunk in texts["numbers"].chunks:
-            words_of = [_unpack(v) for v in chunk.to_pylist()]
-            ids, n = _gather(flat, ends, at[np.concatenate([np.zeros(0, "<u4"), *words_of])], 4)
-            tokens = np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *map(len, words_of)])]
+        for sizes_of, numbers in zip(texts["sizes"].to_pylist(), texts["numbers"].to_pylist()):
+            ids, n = _gather(flat, ends, at[_unpack(numbers)], 4)
+            tokens = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(_unpack(sizes_of), dtype=np.int64)))]
             parts.append((np.diff(tokens), ids, tokens))
         counts = np.concatenate([p[0] for p in parts])
         done = pa.chunked_array(
             [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(c), [None, pa.py_buffer(t * 4), pa.py_buffer(i)]).cast(pa.binary()) for c, i, t in parts]
         )
-        columns = [texts["id"], texts["__fp"], pa.array(counts.astype(np.int64)), done]
+        columns = [ids_of, keys, pa.array(counts.astype(np.int64)), done]
         return pa.table(columns, names=["id", "__fp", "n_tokens", "ids"]).cast(schema)
 
     return assemble
@@ -242,12 +253,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     """
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema["id"].dataType.simpleString()
-    schema = f"block bigint, id {id_type}, __fp bigint, numbers binary, number int, word string"
+    schema = f"block bigint, id array<{id_type}>, __fp array<bigint>, sizes binary, numbers binary, number int, word string"
     cut = stored(rows.mapInArrow(_cut(pattern, block_bytes), schema), "pretokens", compression="zstd")
     ids = words_with_ids(cut.where("word IS NOT NULL").select("block", "number", "word"), ranks, pattern)
     ids = ids.mapInArrow(_by_block, "block bigint, numbers binary, sizes binary, ids binary")
-    texts = cut.where("word IS NULL").select(F.col("block").alias("of"), "id", "__fp", "numbers")
-    out = T.StructType([cut.schema["id"], cut.schema["__fp"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    texts = cut.where("word IS NULL").select(F.col("block").alias("of"), "id", "__fp", "sizes", "numbers")
+    out = T.StructType([rows.schema["id"], rows.schema["__fp"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     return texts.groupBy("of").cogroup(ids.groupBy("block")).applyInArrow(_assemble(to_arrow_schema(out)), out)
 
 
