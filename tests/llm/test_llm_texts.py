@@ -9,6 +9,7 @@ import itertools
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -28,6 +29,7 @@ from vicinal.llm import urlfilter as U
 from vicinal.llm import words as W
 from vicinal.llm import wrappers as X
 from vicinal.llm.catalog import QUERIES
+from vicinal.session import shared_dir
 
 PATTERN = public_tokenizers.PATTERN
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
@@ -110,6 +112,39 @@ def test_each_word_is_encoded_once(spark, sf_dir):
     assert "ReusedExchange" in plan.split("Initial Plan")[0]
 
 
+def test_words_and_texts_share_one_shuffle(spark, sf_dir):
+    """The cut texts are shuffled once and never written: vocabulary, join and texts read one exchange."""
+    docs = table(spark, sf_dir, "documents")
+    tables = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("*"))
+    before = tables()
+    coded = B.encode(docs, RANKS, PATTERN, block_bytes=20_000)
+    assert coded.count() == docs.count()
+    assert tables() == before
+    coded.collect()
+    plan = coded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 2
+
+
+def test_words_spelt_like_blocks(spark):
+    """Names of blocks are numbers, and so may words be; texts with gaps share a block with others."""
+    texts = [(i, " ".join(str(n) for n in range(i % 7)) or None) for i in range(40)] + [(99, "0  1\n\n0 "), (99, "0  1\n\n0 ")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3, "doc_id")
+    for block in (1, 30, 1 << 20):
+        check_tokens(B.decode(B.encode(docs, RANKS, PATTERN, block_bytes=block), RANKS).collect(), texts)
+
+
+def test_blocks_do_not_depend_on_the_order_of_rows(spark):
+    """A task that is run again gives the words of a block the same numbers, also if its rows arrive in another order."""
+    rows = [(i, f"word{i % 5} and{i % 3} {i}") for i in range(60)]
+    found = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        plan = B.encode(docs, RANKS, PATTERN, block_bytes=100)
+        found.append([tuple(r) for r in plan.collect()])
+        assert "Sort [id" in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(found[0]) == sorted(found[1])
+
+
 def test_decode_null_and_unknown(spark):
     rows = spark.createDataFrame([(1, None, b"x"), (2, b"", b"y")], "id long, ids binary, decoded binary")
     assert {r.id: r.decoded for r in B.decode(rows, RANKS).collect()} == {1: None, 2: b""}

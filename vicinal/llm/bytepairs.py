@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import TaskContext
@@ -22,13 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vicinal.llm.rows import keyed
-from vicinal.session import stored
+from vicinal.llm.rows import KEY, keyed
 
 #: Bytes of text that a block holds at least before it is closed; larger blocks send fewer words, but need more memory.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: Ids of words, and texts, that a task packs together.
 PACK_ROWS, PACK_TEXTS = 1 << 20, 256
+#: Bytes of different stretches that are Python strings at a time.
+STRETCH_BYTES = 1 << 18
 #: White space that does not stand alone between two other characters.
 GAPS = regex.compile(r"\s\s|^\s|\s$")
 
@@ -58,99 +60,154 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
+def _different(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes below ``most`` in order, and the place of each code among them."""
+    seen = np.zeros(most, bool)
+    seen[codes] = True
+    return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - 1)[codes]
+
+
 class _Words:
-    """Words of a block and their numbers. A text is cut at single spaces, and each different stretch by the pattern once."""
+    """Words of a block and their numbers. Texts are cut at single spaces, and each different stretch by the pattern once.
+
+    Stretches and words are made distinct as Arrow columns; only different ones are Python strings, so many at a time.
+    """
 
     def __init__(self, cut: regex.Pattern):
         self.cut, self.number = cut, {}
-        self.stretches: dict[str, list[int]] = {}
 
     def numbers(self, text: str) -> np.ndarray:
+        _, numbers, _, words = self.block(pa.array([text], pa.string()))
+        self.number = {word: i for i, word in enumerate(words.to_pylist())}
+        return numbers
+
+    def block(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
+        """(order, numbers, ends, words): texts in the given order, the numbers of their words, where each text ends, and words by number.
+
+        Frequent words have small numbers.
+        """
         # a space before a stretch that neither begins nor ends with white space belongs to its first pre-token
-        if GAPS.search(text):
-            return np.array(self._cut(text), np.uint32)
-        first, *rest = text.split(" ")
-        found, known = self._cut(first), self.stretches
-        for stretch in rest:
-            numbers = known.get(stretch)
-            if numbers is None:
-                numbers = known[stretch] = self._cut(" " + stretch)
-            found += numbers
-        return np.array(found, np.uint32)
-
-    def _cut(self, text: str) -> list[int]:
-        number = self.number
-        return [number.setdefault(piece, len(number)) for piece in self.cut.findall(text)]
+        gaps = np.array([GAPS.search(text.as_py()) is not None for text in texts], bool)
+        plain, odd = np.flatnonzero(~gaps), np.flatnonzero(gaps)
+        sizes, coded = [np.zeros(1, np.int64)], []
+        for i in range(0, len(plain), PACK_TEXTS):
+            lists = pc.split_pattern(texts.take(pa.array(plain[i : i + PACK_TEXTS])), " ")
+            sizes.append(np.diff(lists.offsets.to_numpy()))
+            coded.append(lists.flatten().dictionary_encode())
+        coded = pa.chunked_array(coded, pa.dictionary(pa.int32(), texts.type)).unify_dictionaries()
+        names = coded.chunk(0).dictionary if coded.num_chunks else texts.slice(0, 0)
+        at = np.cumsum(np.concatenate(sizes))  # where plain texts begin and end
+        # stretches: those behind a space, those that begin a text, whole texts with gaps
+        stretch = np.concatenate([np.zeros(0, np.int32), *[c.indices.to_numpy() for c in coded.chunks], np.zeros(len(odd), np.int32)])
+        del coded
+        first, first_at = _different(stretch[at[:-1]], len(names))
+        stretch[at[:-1]] = len(names)
+        later, later_at = _different(stretch[: at[-1]], len(names) + 1)
+        later = later[later < len(names)]
+        stretch[: at[-1]] = later_at
+        stretch[at[:-1]] = len(later) + first_at
+        stretch[at[-1] :] = len(later) + len(first) + np.arange(len(odd))
+        upto = np.concatenate((at, at[-1] + 1 + np.arange(len(odd))))
+        del later_at
+        behind = ((" ", names, later), ("", names, first), ("", texts, odd))
+        counts, pieces = [np.zeros(0, np.int64)], [pa.array([], pa.string())]
+        for space, strings, which in behind:
+            strings = strings.take(pa.array(which))
+            held = np.cumsum(pc.binary_length(strings).to_numpy(zero_copy_only=False) + 8) // STRETCH_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(strings)]
+            for i, j in zip(cuts, cuts[1:]):
+                found = [self.cut.findall(space + s) for s in strings.slice(i, j - i).to_pylist()]
+                counts.append(np.array([len(f) for f in found], np.int64))
+                pieces.append(pa.array([piece for f in found for piece in f], pa.string()))
+        n = np.concatenate(counts)
+        words = pa.concat_arrays(pieces).dictionary_encode()
+        piece, ends = words.indices.to_numpy(), np.cumsum(n)
+        often = np.bincount(piece, np.repeat(np.bincount(stretch, minlength=len(n)), n), len(words.dictionary))
+        order = np.argsort(-often, kind="stable")
+        place = np.empty(len(order), "<u4")
+        place[order] = np.arange(len(order))
+        flat, tokens = place[piece].tobytes(), np.zeros(len(upto), np.int64)
+        numbers = np.empty(int(often.sum()), "<u4")
+        for i in range(0, len(upto) - 1, PACK_TEXTS):
+            cuts = upto[i : i + PACK_TEXTS + 1]
+            found, sized = _gather(flat, ends * 4, stretch[cuts[0] : cuts[-1]], 4)
+            tokens[i : i + len(cuts)] = tokens[i] + np.concatenate(([0], np.cumsum(sized)))[cuts - cuts[0]]
+            numbers[tokens[i] : tokens[i + len(cuts) - 1]] = found
+        return np.concatenate((plain, odd)), numbers, tokens, words.dictionary.take(pa.array(order))
 
 
 def _explode(pattern: str, block_bytes: int):
     """Rows of texts (id, __fp, numbers) and rows of words (number, word), each with its block.
 
-    Frequent words have small numbers. A block is named by its task and its place in the task's output.
+    A block is named by its task and its place in the task's output.
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = regex.compile(pattern)
-        name = TaskContext.get().partitionId() << 32
-        words, rows, held = _Words(cut), [], 0
+        words = _Words(regex.compile(pattern))
+        name, rows, held = TaskContext.get().partitionId() << 32, [], 0
 
         def close() -> pa.RecordBatch:
-            n, found = len(rows), list(words.number)
-            flat = np.concatenate([numbers for _, _, numbers in rows])
-            order = np.argsort(-np.bincount(flat, minlength=len(found)), kind="stable")
-            place = np.empty(len(found), np.int32)
-            place[order] = np.arange(len(found), dtype=np.int32)
-            ends = np.concatenate(([0], np.cumsum([len(numbers) for _, _, numbers in rows])))
-            ids = pa.concat_arrays([r[0] for r in rows])
-            offsets = pa.array([*ends.tolist(), *[ends[-1]] * len(found)], pa.int32())
-            none, many = pa.nulls(len(found), ids.type), len(found)
+            ids, texts, keys = (pa.concat_arrays([r.column(c) for r in rows]) for c in ("id", "text", "__fp"))
+            order, numbers, ends, found = words.block(texts)
+            n, many = len(order), len(found)
             columns = [
                 pa.array(np.full(n + many, name, np.int64)),
-                pa.concat_arrays([ids, none]),
-                pa.concat_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.nulls(many, pa.int64())]),
-                pa.ListArray.from_arrays(offsets, pa.array(place[flat], pa.int32())),
+                pa.concat_arrays([ids.take(pa.array(order)), pa.nulls(many, ids.type)]),
+                pa.concat_arrays([keys.take(pa.array(order)), pa.nulls(many, keys.type)]),
+                pa.ListArray.from_arrays(pa.array(np.concatenate((ends, np.full(many, ends[-1]))).astype(np.int32)), pa.array(numbers.view(np.int32))),
                 pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.arange(many, dtype=np.int32))]),
-                pa.concat_arrays([pa.nulls(n, pa.string()), pa.array([found[i] for i in order.tolist()], pa.string())]),
+                pa.concat_arrays([pa.nulls(n, pa.string()), found]),
             ]
             return pa.RecordBatch.from_arrays(columns, names=["block", "id", "__fp", "numbers", "number", "word"])
 
         for batch in batches:
-            ids, texts = batch.column("id"), batch.column("text")
-            for i, key in enumerate(batch.column("__fp").to_pylist()):
-                text = texts[i].as_py()
-                rows.append((ids.slice(i, 1), key, words.numbers(text)))
-                held += len(text)
+            begin = 0
+            for i, size in enumerate(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).tolist()):
+                held += size
                 if held >= block_bytes:
+                    rows.append(batch.slice(begin, i + 1 - begin))
                     yield close()
-                    name, words, rows, held = name + 1, _Words(cut), [], 0
+                    name, rows, held, begin = name + 1, [], 0, i + 1
+            if begin < batch.num_rows:
+                rows.append(batch.slice(begin))
         if rows:
             yield close()
 
     return explode
 
 
-def _cut(pattern: str, block_bytes: int):
-    """As ``_explode``, with the texts of a block in rows of ``PACK_TEXTS``: lists of ids and keys, packed sizes and numbers."""
+def _cut(pattern: str, block_bytes: int, texts_type: pa.DataType):
+    """Rows (word, block, number, texts) of ``_explode``: words, and the texts of a block in rows of ``PACK_TEXTS`` under the block's name.
+
+    ``texts`` is a list of one: ids and keys, packed sizes and numbers.
+    """
     explode = _explode(pattern, block_bytes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in explode(batches):
+            block = batch.column("block")[0].as_py()
             n = batch.column("word").null_count  # texts come first
             words, texts = batch.slice(n), batch.slice(0, n)
             lists = texts.column("numbers")
             flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             edges = [*range(0, n, PACK_TEXTS), n]
-            many, offsets = len(words), pa.array([*edges, *[n] * len(words)], pa.int32())
             rows = len(edges) - 1
             columns = [
-                pa.array(np.full(rows + many, batch.column("block")[0].as_py(), np.int64)),
-                *[pa.ListArray.from_arrays(offsets, pa.concat_arrays([texts.column(c)])) for c in ("id", "__fp")],
-                pa.array([_pack(np.diff(ends[i : j + 1])) for i, j in zip(edges, edges[1:])] + [None] * many, pa.binary()),
-                pa.array([_pack(flat[ends[i] : ends[j]]) for i, j in zip(edges, edges[1:])] + [None] * many, pa.binary()),
-                pa.concat_arrays([pa.nulls(rows, pa.int32()), words.column("number")]),
-                pa.concat_arrays([pa.nulls(rows, pa.string()), words.column("word")]),
+                *[pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.concat_arrays([texts.column(c)])) for c in ("id", "__fp")],
+                pa.array([_pack(np.diff(ends[i : j + 1])) for i, j in zip(edges, edges[1:])], pa.binary()),
+                pa.array([_pack(flat[ends[i] : ends[j]]) for i, j in zip(edges, edges[1:])], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "id", "__fp", "sizes", "numbers", "number", "word"])
+            packs = pa.StructArray.from_arrays(columns, names=["id", "__fp", "sizes", "numbers"])
+            packs = pa.ListArray.from_arrays(pa.array(range(rows + 1), pa.int32()), packs).cast(texts_type)
+            named = pa.array([str(block)] * rows, pa.string())
+            for word, number, packed in (
+                (named, pa.nulls(rows, pa.int32()), packs),
+                (words.column("word"), words.column("number"), pa.nulls(len(words), texts_type)),
+            ):
+                columns = [word, pa.array(np.full(len(word), block, np.int64)), number, packed]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "block", "number", "texts"])
+            del batch, words, texts, lists, flat, packs, columns, word, number, packed
+            pa.default_memory_pool().release_unused()  # the worker is kept for later tasks
 
     return cut
 
@@ -166,20 +223,31 @@ def _encode_words(ranks: dict[bytes, int], pattern: str):
     return encode
 
 
-def vocabulary(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(word, rows, last, ids): every different ``word`` once, with the number of its rows and the last of its blocks."""
-    different = words.groupBy("word").agg(F.count("number").alias("rows"), F.max("block").alias("last"))
-    return different.mapInArrow(_encode_words(ranks, pattern), "word string, rows bigint, last bigint, ids array<int>")
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows by ``word``: the one shuffle that makes words distinct, meets their ids and brings the texts of a block together."""
+    return rows.where("word IS NOT NULL").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
 
 
-def words_with_ids(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(block, number, ids) for all rows (block, number, word).
+def vocabulary(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(word, rows, last, ids): every different ``word`` once, with the number of its rows and the last of its blocks.
 
-    Words are shuffled once, to be made distinct and to be joined: the vocabulary asks for the same columns, so that both
-    read one exchange.
+    Rows without a number are no words. Other columns are counted.
     """
-    dealt = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
-    return dealt.join(vocabulary(dealt, ranks, pattern), "word").select("block", "number", "ids")
+    others = [c for c in words.columns if c not in ("word", "block", "number")]
+    counts = [F.count(c).alias(c) for c in others]
+    different = words.groupBy("word").agg(F.count("number").alias("rows"), F.max("block").alias("last"), *counts).where("rows > 0")
+    schema = T.StructType([*different.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return different.mapInArrow(_encode_words(ranks, pattern), schema)
+
+
+def _joined(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """``words``, which are dealt, with their ids. The vocabulary asks for the same columns, so that both read one exchange."""
+    return words.join(vocabulary(words, ranks, pattern).select("word", "ids"), "word")
+
+
+def words_with_ids(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(block, number, ids) for all rows (block, number, word)."""
+    return _joined(dealt(words), ranks, pattern).select("block", "number", "ids")
 
 
 def _gather(values: bytes, ends: np.ndarray, order: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +261,7 @@ def _gather(values: bytes, ends: np.ndarray, order: np.ndarray, width: int) -> t
 
 
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, number, ids) as one packed row per block of what a task holds at a time."""
+    """(block, number, ids) as one packed row per block of what a task holds at a time. A word may be spelt like the name of a block, whose texts are left out."""
     held: list[pa.RecordBatch] = []
 
     def close() -> pa.RecordBatch:
@@ -210,6 +278,8 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(names), *packs], names=["block", "numbers", "sizes", "ids"])
 
     for batch in batches:
+        if "is_word" in batch.schema.names:
+            batch = batch.filter(batch.column("is_word"))
         if batch.num_rows:
             held.append(batch)
         if sum(b.num_rows for b in held) >= PACK_ROWS:
@@ -229,9 +299,10 @@ def _assemble(schema: pa.Schema):
         number, sizes, values = (np.concatenate([np.zeros(0, "<u4"), *c]) for c in columns)
         at, ends = np.zeros(len(number), np.int64), np.cumsum(sizes, dtype=np.int64) * 4
         at[number] = np.arange(len(number))  # every number of a block is there once
-        ids_of, keys = (pa.chunked_array([c.flatten() for c in texts[name].chunks], type=texts[name].type.value_type) for name in ("id", "__fp"))
+        packs = {f.name: pa.chunked_array([c.field(f.name) for c in texts["pack"].chunks], type=f.type) for f in texts["pack"].type}
+        ids_of, keys = (pa.chunked_array([c.flatten() for c in packs[name].chunks], type=packs[name].type.value_type) for name in ("id", "__fp"))
         parts, flat = [], values.tobytes()
-        for sizes_of, numbers in zip(texts["sizes"].to_pylist(), texts["numbers"].to_pylist()):
+        for sizes_of, numbers in zip(packs["sizes"].to_pylist(), packs["numbers"].to_pylist()):
             ids, n = _gather(flat, ends, at[_unpack(numbers)], 4)
             tokens = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(_unpack(sizes_of), dtype=np.int64)))]
             parts.append((np.diff(tokens), ids, tokens))
@@ -251,15 +322,21 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     Special tokens are ordinary text. A null text is an empty text and has no ids; so has a text without a match. Rows
     that repeat an id come back as often as they came. An empty table gives an empty result. Other columns are not needed.
     """
-    rows = keyed(docs, id_col, text_col)
-    id_type = rows.schema["id"].dataType.simpleString()
-    schema = f"block bigint, id array<{id_type}>, __fp array<bigint>, sizes binary, numbers binary, number int, word string"
-    cut = stored(rows.mapInArrow(_cut(pattern, block_bytes), schema), "pretokens", compression="zstd")
-    ids = words_with_ids(cut.where("word IS NOT NULL").select("block", "number", "word"), ranks, pattern)
-    ids = ids.mapInArrow(_by_block, "block bigint, numbers binary, sizes binary, ids binary")
-    texts = cut.where("word IS NULL").select(F.col("block").alias("of"), "id", "__fp", "sizes", "numbers")
+    # a task that is run again must cut the same blocks, also if its rows come in another order
+    rows = keyed(docs, id_col, text_col).sortWithinPartitions("id", KEY)
+    pack = T.StructType(
+        [T.StructField("id", T.ArrayType(rows.schema["id"].dataType)), T.StructField(KEY, T.ArrayType(T.LongType()))]
+        + [T.StructField(c, T.BinaryType()) for c in ("sizes", "numbers")]
+    )
+    schema = T.StructType.fromDDL("word string, block bigint, number int").add("texts", T.ArrayType(pack))
+    cut = dealt(rows.mapInArrow(_cut(pattern, block_bytes, to_arrow_schema(schema).field("texts").type), schema))
+    found = _joined(cut, ranks, pattern).select("block", "number", "ids", F.col("texts").isNull().alias("is_word"))
+    ids = found.mapInArrow(_by_block, "block bigint, numbers binary, sizes binary, ids binary")
+    ids = ids.select(F.col("block").cast("string").alias("of"), "numbers", "sizes", "ids")
+    # explode_outer and no filter before it: with the same columns and rows the texts are read from the exchange of the words
+    texts = cut.select("word", "block", "number", F.explode_outer("texts").alias("pack")).where("pack IS NOT NULL")
     out = T.StructType([rows.schema["id"], rows.schema["__fp"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return texts.groupBy("of").cogroup(ids.groupBy("block")).applyInArrow(_assemble(to_arrow_schema(out)), out)
+    return texts.groupBy("word").cogroup(ids.groupBy("of")).applyInArrow(_assemble(to_arrow_schema(out)), out)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -271,12 +348,13 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: s
     joined, ends = b"".join(table), np.cumsum([len(t) for t in table]).astype(np.int64)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = []
-            for raw in batch.column(ids):
-                raw = raw.as_py()
-                done.append(None if raw is None else _gather(joined, ends, np.frombuffer(raw, "<u4"), 1)[0].tobytes())
-            yield batch.append_column(out, pa.array(done, pa.binary()))
+        for whole in batches:
+            for i in range(0, whole.num_rows, PACK_TEXTS):
+                batch, done = whole.slice(i, PACK_TEXTS), []
+                for raw in batch.column(ids):
+                    raw = raw.as_py()
+                    done.append(None if raw is None else _gather(joined, ends, np.frombuffer(raw, "<u4"), 1)[0].tobytes())
+                yield batch.append_column(out, pa.array(done, pa.binary()))
 
     kept = encoded.drop(out)
     return kept.mapInArrow(expand, T.StructType([*kept.schema.fields, T.StructField(out, T.BinaryType())]))
