@@ -251,3 +251,34 @@ def test_few_columns_take_time_in_proportion():
     begin = time.monotonic()
     assert len(best_in_block(x, x, np.arange(len(x)), 3, "l2")[0]) == 3 * len(x)
     assert time.monotonic() - begin < 20
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+@pytest.mark.parametrize("dim, k", [(9, 4), (64, 700)])
+def test_wide_rows_in_tiles_equal_brute_force(metric, dim, k):
+    from vicinal.operators import blocks
+
+    q, x = clustered(blocks.TILE_QUERIES + 60, dim, 7), clustered(2 * blocks.SORTED_TILES * blocks.TILE_ROWS, dim, 8)
+    q[::3] = np.round(x[100 : 100 + len(q[::3])])
+    x[500:900] = np.round(x[500:900])  # full of ties
+    x[901] = 1e4
+    ids = np.random.default_rng(9).permutation(len(x))
+    rows, cols, scores = best_in_block(q, x, ids, k, metric)
+    assert (np.bincount(rows) == k).all() and (np.diff(rows) >= 0).all()
+    some = np.arange(0, len(q), 40)
+    scored = blocks.exact_scores(metric, np.repeat(q[some], len(x), axis=0), np.tile(x, (len(some), 1))).reshape(len(some), -1)
+    for row, s in zip(some, scored):
+        want = np.lexsort((ids, -s))[:k]
+        assert (ids[cols[rows == row]] == ids[want]).all() and (scores[rows == row] == s[want]).all()
+
+
+def test_wide_rows_leave_out_tiles_that_are_too_far():
+    """All pairs of these rows take several times as long."""
+    import time
+
+    rng = np.random.default_rng(2)
+    centres = np.column_stack([rng.normal(size=(200, 4)), np.zeros((200, 60))])
+    x = (centres[rng.integers(0, 200, 60_000)] + rng.normal(size=(60_000, 64)) * 0.01).astype(np.float32)
+    begin = time.monotonic()
+    assert len(best_in_block(x, x, np.arange(len(x)), 3, "l2")[0]) == 3 * len(x)
+    assert time.monotonic() - begin < 10

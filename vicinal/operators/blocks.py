@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 
 # One tile of scores, small enough to stay in a core's cache, and the largest slice scored exactly.
 QUERY_TILE, INDEX_TILE = 256, 4096
 EXACT_CELLS = 4_000_000
-# Rows of up to so many columns are compared box by box, in boxes of so many rows; queries are prepared so many at a time.
+# Rows of up to so many columns are compared box by box, in boxes of so many rows; rows are prepared so many at a time.
 BOX_DIM, BOX_ROWS = 8, 256
-QUERY_SLAB = 16_384
+SLAB_ROWS = 16_384
+# Wider rows are multiplied in tiles of so many queries and index rows. From so many tiles on, rows of a tile are close to each other
+# along the leading directions of a sample.
+TILE_QUERIES, TILE_ROWS, SORTED_TILES = 1024, 512, 8
+LEADING, SAMPLE_ROWS = 4, 4096
 
 
 def as_matrix(column: pa.Array | pa.ChunkedArray, what: str) -> np.ndarray:
@@ -61,74 +67,219 @@ def surplus_copies(ids: np.ndarray, matrix: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-def _scaled(matrix: np.ndarray, by: np.ndarray | float) -> np.ndarray:
-    by = np.asarray(by, dtype=np.float64)
-    return (matrix / np.where(by > 0, by, 1.0).reshape(-1, 1)).astype(np.float32)
-
-
-def operands(q: np.ndarray, x: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """Two single-precision matrices with rows of length at most one, whose products order the index
-    rows of every query as the metric does.
+@dataclass(frozen=True)
+class Space:
+    """Where the rows of an index block are compared: as points whose distances bound the scores, and as single-precision rows of
+    length at most one, whose products order the index rows of every query as the metric does.
 
     Inner products keep their order when a query is scaled and when the index is scaled as a whole. For
     L2 the order is that of q.x - |x|^2 / 2: one more column, after moving the index to its mean.
     """
-    if metric == "cosine":
-        return _scaled(q, norms(q)), _scaled(x, norms(x))
-    if metric == "l2":
-        centre = x.mean(axis=0, dtype=np.float64)
-        q, x = q - centre, x - centre
-        radius = float(norms(x).max()) or 1.0
-        q = np.column_stack([q, np.full(len(q), radius)])
-        x = np.column_stack([x, -np.square(x).sum(axis=1) / (2 * radius)])
-    return _scaled(q, norms(q)), _scaled(x, norms(x).max())
 
+    metric: str
+    centre: np.ndarray
+    radius: float
 
-def _error(a: np.ndarray, b: np.ndarray, room: float, last_apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, w): the rounding error of product (i, j) is at most u_i * v_j + w_j.
+    @property
+    def largest(self) -> float:
+        """Length of the longest index row before it is scaled."""
+        return self.radius * (1.25**0.5 if self.metric == "l2" else 1.0)
 
-    The bound follows the length of each row, so one long row does not widen it for the others. The last column of L2
-    is counted apart, because it is 1 for every query and tiny for most index rows.
-    """
-    if not last_apart:
-        return norms(a) * room, norms(b), np.zeros(len(b))
-    return norms(a[:, :-1]) * room, norms(b[:, :-1]), np.abs(b[:, -1].astype(np.float64)) * room
+    def points(self, rows: np.ndarray) -> np.ndarray:
+        return rows - self.centre if self.metric == "l2" else in_space(rows, self.metric)
+
+    def queries(self, points: np.ndarray) -> np.ndarray:
+        if self.metric == "l2":
+            points = np.column_stack([points, np.full(len(points), self.radius)])
+        length = norms(points)
+        return (points / np.where(length > 0, length, 1.0)[:, None]).astype(np.float32)
+
+    def index(self, points: np.ndarray) -> np.ndarray:
+        if self.metric == "l2":
+            points = np.column_stack([points, -np.square(points).sum(axis=1) / (2 * self.radius)])
+        return (points if self.metric == "cosine" else points / self.largest).astype(np.float32)
+
+    def product_bounds(self, points: np.ndarray, squares: np.ndarray) -> np.ndarray:
+        """The products that points can reach with rows whose squared distances are at least ``squares``."""
+        if self.metric == "cosine":
+            return 1.0 - squares / 2
+        length = np.square(points).sum(axis=1)
+        return (length[:, None] - squares) / (2 * self.largest * np.sqrt(length + self.radius**2))[:, None]
 
 
-def _candidates(a: np.ndarray, b: np.ndarray, k: int, room: float, last_apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of every product that could be among the k largest of its row, given its rounding error.
+def _slabs(rows: int) -> list[slice]:
+    return [slice(at, at + SLAB_ROWS) for at in range(0, rows, SLAB_ROWS)]
 
-    Tiles of columns pass by; a row remembers the k largest values that are certainly reached so far, and later tiles
-    only yield what may reach them.
+
+def space_of(x: np.ndarray, metric: str) -> Space:
+    centre = x.mean(axis=0, dtype=np.float64) if metric == "l2" else np.zeros(x.shape[1])
+    if metric == "cosine":
+        return Space(metric, centre, 1.0)
+    return Space(metric, centre, max(float(norms(x[slab] - centre).max()) for slab in _slabs(len(x))) or 1.0)
+
+
+def _leading(points: np.ndarray) -> np.ndarray:
+    """Orthonormal directions in which the points differ most, roughly. Any would do: they only decide how much is left out."""
+    points = points - points.mean(axis=0)
+    found = np.random.default_rng(0).normal(size=(points.shape[1], min(LEADING, points.shape[1])))
+    for _ in range(8):
+        found = np.linalg.qr(points.T @ (points @ np.linalg.qr(found)[0]))[0]
+    return found
+
+
+def _places(points: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Points by their coordinates along ``axes`` and the length of the rest: no two are farther apart there than they are."""
+    along = points @ axes
+    rest = np.square(points).sum(axis=1) - np.square(along).sum(axis=1)
+    return np.column_stack([along, np.sqrt(np.maximum(rest, 0.0))])
+
+
+def _all_places(space: Space, rows: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    return np.concatenate([_places(space.points(rows[slab]), axes) for slab in _slabs(len(rows))])
+
+
+@dataclass(frozen=True)
+class Tiles:
+    """The rows of an index block in tiles; a tile ends where the next begins. ``axes`` are None if rows lie in no order."""
+
+    space: Space
+    axes: np.ndarray | None
+    rows: np.ndarray
+    begins: np.ndarray
+    low: np.ndarray | None
+    high: np.ndarray | None
+    reach: np.ndarray | None  # length of the longest point
+    products: np.ndarray
+    error: tuple[np.ndarray, np.ndarray]
+    error_most: tuple[np.ndarray, np.ndarray]
+
+    def bounds(self, points: np.ndarray) -> np.ndarray:
+        """The largest product each point could reach in each tile, with room for rounding."""
+        if self.axes is None:
+            return np.full((len(points), len(self.begins) - 1), np.inf)
+        squares = np.zeros((len(points), len(self.reach)))
+        for at, low, high in zip(_places(points, self.axes).T, self.low.T, self.high.T):
+            gap = np.maximum(low - at[:, None], at[:, None] - high)
+            squares += np.square(np.maximum(gap, 0.0, out=gap), out=gap)
+        squares -= 1e-6 * np.square(norms(points)[:, None] + self.reach)
+        return self.space.product_bounds(points, squares) + 1e-9
+
+
+def tiles_of(x: np.ndarray, metric: str, queries: int) -> Tiles:
+    """Tiles for so many queries. Few queries, a short index and inner products are not worth an order."""
+    space, axes, low, high, reach = space_of(x, metric), None, None, None, None
+    if metric != "ip" and min(queries // TILE_QUERIES, len(x) // TILE_ROWS // SORTED_TILES):
+        axes = _leading(space.points(x[:: -(-len(x) // SAMPLE_ROWS)]))
+        places = _all_places(space, x, axes)
+        order, begins = boxes(places, TILE_ROWS)
+        places = places[order]
+        low, high = (f.reduceat(places, begins[:-1], axis=0) for f in (np.minimum, np.maximum))
+        reach = np.maximum.reduceat(np.sqrt(np.square(places).sum(axis=1)), begins[:-1])
+    else:
+        order, height = np.arange(len(x)), min(max(queries, 1), TILE_QUERIES)
+        begins = np.append(np.arange(0, len(x), TILE_QUERIES * TILE_ROWS // height), len(x))
+    products = np.concatenate([space.index(space.points(x[order[slab]])) for slab in _slabs(len(x))])
+    error = _error_by_row(products, metric)
+    return Tiles(space, axes, order, begins, low, high, reach, products, error, tuple(np.maximum.reduceat(e, begins[:-1]) for e in error))
+
+
+def _room(dim: int) -> float:
+    """Bound of the rounding error of a product of two rows of length one."""
+    return (dim + 16) * 2.0**-23
+
+
+def _error_by_query(a: np.ndarray, metric: str) -> np.ndarray:
+    """u of ``_error_by_row``."""
+    return (norms(a[:, :-1] if metric == "l2" else a) * _room(a.shape[1])).astype(np.float32)
+
+
+def _error_by_row(b: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(v, w): the rounding error of product (i, j) is at most u_i * v_j + w_j.
+
+    The bound follows the length of each row, so one long row does not widen it for the others. The last column of L2
+    is counted apart, because it is 1 for every query and tiny for most index rows.
+    """
+    short = b[:, :-1] if metric == "l2" else b
+    v = np.concatenate([norms(short[slab]) for slab in _slabs(len(b))])
+    w = np.abs(b[:, -1]) * _room(b.shape[1]) if metric == "l2" else np.zeros(len(b))
+    return v.astype(np.float32), w.astype(np.float32)
+
+
+def _raise_top(top: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Put values of rows into ``top``, the k largest of every row."""
+    k = top.shape[1]
+    order = np.lexsort((-values, rows))
+    rows, values = rows[order], values[order]
+    nth = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    changed, place = np.unique(rows, return_inverse=True)
+    more = np.full((len(changed), k), -np.inf, dtype=top.dtype)
+    more[place[nth < k], nth[nth < k]] = values[nth < k]
+    top[changed] = np.partition(np.concatenate([top[changed], more], axis=1), k, axis=1)[:, k:]
+
+
+def _candidates(points: np.ndarray, tiles: Tiles, k: int, buffers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in the order of tiles) of every product that could be among the k largest of its row, given its rounding error.
+
+    Tiles pass by, the most promising first. A row remembers the k largest values that are certainly reached so far; it leaves
+    out tiles that cannot reach them, and others only yield what may reach them. Most products are met by one comparison
+    with a threshold that is low enough for the whole tile.
     """
-    u, v, w = (e.astype(np.float32) for e in _error(a, b, room, last_apart))
+    a = tiles.space.queries(points)
+    u = _error_by_query(a, tiles.space.metric)
+    bounds = tiles.bounds(points)
+    best = bounds.max(axis=0)
     top = np.full((len(a), k), -np.inf, dtype=np.float32)
+    least = np.full(len(a), -np.inf, dtype=np.float32)
     rows, cols, values = [], [], []
-    for start in range(0, len(b), INDEX_TILE):
-        s = a @ b[start : start + INDEX_TILE].T
-        error = np.multiply.outer(u, v[start : start + INDEX_TILE]) + w[start : start + INDEX_TILE]
-        high = s + error
-        hit = np.flatnonzero((high >= top.min(axis=1)[:, None]).any(axis=1))
-        if not len(hit):
+    for tile in np.argsort(-best, kind="stable"):
+        if best[tile] < least.min():
+            break
+        near = np.flatnonzero(bounds[:, tile] >= least)
+        if not len(near):
             continue
-        high = high[hit]
-        merged = np.concatenate([top[hit], s[hit] - error[hit]], axis=1)
-        top[hit] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
-        r, c = np.nonzero(high >= top[hit].min(axis=1)[:, None])
-        rows.append(hit[r])
-        cols.append(c + start)
-        values.append(high[r, c])
+        begin, end = tiles.begins[tile], tiles.begins[tile + 1]
+        v, w = (e[begin:end] for e in tiles.error)
+        shape = (len(near), end - begin)
+        s, over = (buffer[: shape[0] * shape[1]].reshape(shape) for buffer in buffers)
+        np.matmul(a if len(near) == len(a) else a[near], tiles.products[begin:end].T, out=s)
+        if least[near].min() == -np.inf:
+            error = np.multiply.outer(u[near], v) + w
+            merged = np.concatenate([top[near], s - error], axis=1)
+            top[near] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
+            least[near] = top[near].min(axis=1)
+            error += s
+            r, c = np.nonzero(error >= least[near][:, None])
+            high, r = error[r, c], near[r]
+        else:
+            v_most, w_most = (e[tile] for e in tiles.error_most)
+            np.greater_equal(s, (least[near] - u[near] * v_most - w_most)[:, None], out=over)
+            hit = np.flatnonzero(over)
+            if not len(hit):
+                continue
+            r, c = np.divmod(hit, shape[1])
+            value, r = s.ravel()[hit], near[r]
+            error = u[r] * v[c] + w[c]
+            high = value + error
+            may = np.flatnonzero(high >= least[r])
+            r, c, high, sure = r[may], c[may], high[may], (value - error)[may]
+            up = np.flatnonzero(sure > least[r])
+            if len(up):
+                _raise_top(top, r[up], sure[up])
+                least[r[up]] = top[r[up]].min(axis=1)
+        rows.append(r)
+        cols.append(c + begin)
+        values.append(high)
     row, col, value = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
-    last = value >= top.min(axis=1)[row]
+    last = value >= least[row]
     return row[last], col[last]
 
 
-def boxes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, begins): rows in boxes of at most ``BOX_ROWS``, by halving along the widest column; a box ends where the next begins."""
+def boxes(points: np.ndarray, most: int = BOX_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(order, begins): rows in boxes of at most ``most``, by halving along the widest column; a box ends where the next begins."""
     order, begins, open_ = np.arange(len(points)), [], [(0, len(points))]
     while open_:
         low, high = open_.pop()
-        if high - low <= BOX_ROWS:
+        if high - low <= most:
             begins.append(low)
             continue
         part = points[order[low:high]]
@@ -213,23 +364,25 @@ def best_in_block(
     """(query row, index row, score), score descending then id ascending, at most k per query row.
 
     Single-precision products choose candidates. Their rounding error is bounded by the width, and every
-    row that could be among the k best given that bound is scored again in double precision.
+    row that could be among the k best given that bound is scored again in double precision. Both sides are cut into
+    tiles of rows that are close to each other, and a query leaves out the tiles that are too far away.
     """
     if metric == "l2" and q.shape[1] <= BOX_DIM:
         return in_query_order(*nearest_in_boxes(q, x, ids, k))
     kept = surplus_copies(ids, x, k) if len(ids) > k else np.arange(len(ids))
-    x, ids = x[kept], ids[kept]
-    k = min(k, len(ids))
-    out = []
-    for begin in range(0, len(q), QUERY_SLAB):
-        slab = q[begin : begin + QUERY_SLAB]
-        a, b = operands(slab, x, metric)
-        room = (a.shape[1] + 16) * 2.0**-23
-        for start in range(0, len(slab), QUERY_TILE):
-            rows, cols = _candidates(a[start : start + QUERY_TILE], b, k, room, metric == "l2")
-            out.append(_ranked(rows + begin + start, cols, q, x, ids, k, metric))
-    rows, cols, scores = (np.concatenate(part) for part in zip(*out))
-    return rows, kept[cols], scores
+    tiles = tiles_of(x[kept], metric, len(q))
+    kept = kept[tiles.rows]
+    k = min(k, len(kept))
+    space, out = tiles.space, []
+    q_order, q_at = np.arange(len(q)), np.append(np.arange(0, len(q), TILE_QUERIES), len(q))
+    if tiles.axes is not None:
+        q_order, q_at = boxes(_all_places(space, q, tiles.axes), TILE_QUERIES)
+    buffers = tuple(np.empty(np.diff(q_at).max() * np.diff(tiles.begins).max(), dtype=t) for t in (np.float32, np.bool_))
+    for begin, end in zip(q_at, q_at[1:]):
+        own = q_order[begin:end]
+        rows, cols = _candidates(space.points(q[own]), tiles, k, buffers)
+        out.append(_ranked(own[rows], kept[cols], q, x, ids, k, metric))
+    return in_query_order(*(np.concatenate(part) for part in zip(*out)))
 
 
 def in_query_order(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
