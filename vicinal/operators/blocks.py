@@ -100,11 +100,11 @@ class Space:
         return (points if self.metric == "cosine" else points / self.largest).astype(np.float32)
 
     def product_bounds(self, points: np.ndarray, squares: np.ndarray) -> np.ndarray:
-        """The products that points can reach with rows whose squared distances are at least ``squares``."""
+        """The products that points can reach with rows whose squared distances are at least ``squares``, one column per point."""
         if self.metric == "cosine":
             return 1.0 - squares / 2
         length = np.square(points).sum(axis=1)
-        return (length[:, None] - squares) / (2 * self.largest * np.sqrt(length + self.radius**2))[:, None]
+        return (length - squares) / (2 * self.largest * np.sqrt(length + self.radius**2))
 
 
 def _slabs(rows: int) -> list[slice]:
@@ -154,14 +154,14 @@ class Tiles:
     error_most: tuple[np.ndarray, np.ndarray]
 
     def bounds(self, points: np.ndarray) -> np.ndarray:
-        """The largest product each point could reach in each tile, with room for rounding."""
+        """The largest product each point could reach in each tile, with room for rounding: tiles x points."""
         if self.axes is None:
-            return np.full((len(points), len(self.begins) - 1), np.inf)
-        squares = np.zeros((len(points), len(self.reach)))
+            return np.full((len(self.begins) - 1, len(points)), np.inf)
+        squares = np.zeros((len(self.reach), len(points)))
         for at, low, high in zip(_places(points, self.axes).T, self.low.T, self.high.T):
-            gap = np.maximum(low - at[:, None], at[:, None] - high)
+            gap = np.maximum(low[:, None] - at, at - high[:, None])
             squares += np.square(np.maximum(gap, 0.0, out=gap), out=gap)
-        squares -= 1e-6 * np.square(norms(points)[:, None] + self.reach)
+        squares -= 1e-6 * np.square(norms(points) + self.reach[:, None])
         return self.space.product_bounds(points, squares) + 1e-9
 
 
@@ -227,14 +227,14 @@ def _candidates(points: np.ndarray, tiles: Tiles, k: int, buffers: tuple[np.ndar
     a = tiles.space.queries(points)
     u = _error_by_query(a, tiles.space.metric)
     bounds = tiles.bounds(points)
-    best = bounds.max(axis=0)
+    best = bounds.max(axis=1)
     top = np.full((len(a), k), -np.inf, dtype=np.float32)
     least = np.full(len(a), -np.inf, dtype=np.float32)
     rows, cols, values = [], [], []
     for tile in np.argsort(-best, kind="stable"):
         if best[tile] < least.min():
             break
-        near = np.flatnonzero(bounds[:, tile] >= least)
+        near = np.flatnonzero(bounds[tile] >= least)
         if not len(near):
             continue
         begin, end = tiles.begins[tile], tiles.begins[tile + 1]
