@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from compare import compare, connect
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from vicinal.llm.catalog import QUERIES, SQL
 from vicinal.llm.components import components
 from vicinal.llm.contamination import contamination, decontaminate, remove_spans
 from vicinal.llm.exact import exact_dedup
+from vicinal.llm.langid import identify
 from vicinal.llm.neardup import near_components, near_dedup
 from vicinal.llm.repeats import lengths, remove_repeats
 from vicinal.llm.rows import single_rows
@@ -134,6 +137,44 @@ def test_near_dedup_keeps_one(odd_docs, no_docs):
     assert near_dedup(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("module, makers, most", [("neardup", ["_sign", "_sets", "_confirm"], 1 << 20), ("langid", ["_likelihoods"], 1 << 20), ("exact", ["_cut"], 4 << 20)])
+def test_workers_get_small_batches(spark, monkeypatch, module, makers, most):
+    """300 pairs of near copies of 20 KB each, in one task."""
+    long = [[f"w{i}x{k}" for k in range(2500)] for i in range(300)]
+    texts = [(i, " ".join(w), "en", "h") for i, w in enumerate([*long, *[[*w[:-1], "other"] for w in long]])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").coalesce(1)
+
+    def watched(make):
+        def made(*args):
+            inner = make(*args)
+
+            def run(batches):
+                def small():
+                    for batch in batches:
+                        assert batch.nbytes < 1.5 * most, f"a batch of {batch.nbytes} bytes"
+                        yield batch
+
+                return inner(small())
+
+            return run
+
+        return made
+
+    at = importlib.import_module(f"vicinal.llm.{module}")
+    for maker in makers:
+        monkeypatch.setattr(at, maker, watched(getattr(at, maker)))
+    name, partitions = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set(name, "60m")
+    try:
+        jobs = {"neardup": near_components, "langid": lambda d: identify(d, np.zeros((4, 64))), "exact": exact_dedup}
+        assert jobs[module](docs).count() == 600
+        assert spark.conf.get(name) == "60m"  # as it was set before
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset(name)
+
+
 def test_contamination_odd(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "Quick brown FOX"), (2, "fox"), (3, None), (4, " ... "), (5, "quick-brown fox"), (5, "zwei")], "item_id long, text string")
     got = contamination(odd_docs, items).collect()

@@ -14,16 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.llm.rows import KEY, attach, keyed, slices
-from vicinal.session import stored
+from vicinal.session import small_batches, stored
 
 BLOCK_BYTES = 4096
+#: Bytes of texts that travel to a Python worker, and are cut, at once, about. Of equal blocks among them one is sent.
+BATCH_BYTES = 4 << 20
 #: Blocks that are sorted together, about; and buckets at least. There are as many buckets as the blocks of the input ask for.
 BUCKET_BLOCKS, LEAST_BUCKETS = 50_000, 4096
 
 
 def _cut(block_bytes: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BATCH_BYTES):
             places: dict[bytes, list[dict]] = {}
             ids, keys = batch.column("id"), batch.column(KEY).to_pylist()
             for row, text in enumerate(batch.column("text").to_pylist()):
@@ -98,7 +100,8 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one level; a level holds two integers per pair, and half as many rows as the one before.
     """
     buckets = bucket_count(docs, text_col, block_bytes)
-    names = stored(block_names(docs, id_col, text_col, block_bytes, buckets), "blocks")
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        names = stored(block_names(docs, id_col, text_col, block_bytes, buckets), "blocks")
     repeats = names.where("n = 0").groupBy("id", KEY).agg(F.count(F.lit(1)).alias("repeats"))
     longest = names.agg(F.max("blocks")).first()[0] or 1
     level, done = 0, [names.where("blocks = 1").select("id", KEY, F.lit(0).alias("level"), "name").distinct()]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vicinal.functions.vectors import let
 from vicinal.llm import words as W
 from vicinal.llm.rows import KEY, slices, text_of
-from vicinal.session import stored
+from vicinal.session import small_batches, stored
 
 LANGUAGES = ("de", "en", "es", "fr")
 GRAM = 3
@@ -39,6 +39,8 @@ OTHER_GRAMS = 64
 UNLISTED, UNLISTED_WRONG, LISTED_WRONG = 0.9, 0.05, 0.0025
 #: Below this posterior no language is named.
 LEAST = 0.5
+#: Bytes of rows that travel to a Python worker at once, and of texts that are scored at once, about.
+BATCH_BYTES = 1 << 20
 
 
 def _grams(raw: np.ndarray, at: np.ndarray, gram: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +101,7 @@ def _likelihoods(model: np.ndarray, gram: int):
     table = np.hstack([table - mean, np.float32(-np.log(len(table))) - mean])  # the last column is none of the languages
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", BATCH_BYTES):
             raw, at = W.buffers(batch.column("text"))
             code, owner = _grams(raw, at, gram, len(table))
             sums = np.stack([np.bincount(owner, table[code, k], batch.num_rows) for k in range(table.shape[1])], axis=1)
@@ -159,7 +161,8 @@ def identify(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_co
     )
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, {KEY} bigint, said string, host string, suffix string, n_grams bigint, ll array<double>"
-    scored = stored(rows.mapInArrow(_likelihoods(model, gram), schema), "likelihoods")
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        scored = stored(rows.mapInArrow(_likelihoods(model, gram), schema), "likelihoods")
 
     names = F.array(*[F.lit(x) for x in languages])
     wrong = (1 - DECLARED) / max(1, n - 1)

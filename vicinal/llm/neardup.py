@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from vicinal.llm import words as W
 from vicinal.llm.components import components
 from vicinal.llm.rows import KEY, keyed, slices
-from vicinal.session import stored
+from vicinal.session import small_batches, stored
 
 SHINGLE = 5
 PERCENT = 85
@@ -27,6 +27,8 @@ PERCENT = 85
 BANDS, BAND_VALUES = 20, 4
 #: Members of a bucket that are compared within one task.
 CHUNK = 256
+#: Bytes of rows that travel to a Python worker at once, and of texts that are cut into shingles at once, about.
+BATCH_BYTES = 1 << 20
 #: Rows of (id, key, class) below which they are broadcast to the scan of the texts, about 60 MB.
 BROADCAST_ROWS = 1_000_000
 
@@ -73,7 +75,7 @@ def signatures(sets: np.ndarray, begin: np.ndarray, bands: int, values: int) ->
 
 def _sign(size: int, bands: int, values: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BATCH_BYTES):
             sets, begin = shingle_sets(batch.column("text"), size)
             n = np.diff(begin)
             full = np.flatnonzero(n)
@@ -98,7 +100,7 @@ def _sign(size: int, bands: int, values: int):
 
 def _sets(size: int):
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BATCH_BYTES):
             sets, begin = shingle_sets(batch.column("text"), size)
             packed = [sets[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(packed, pa.binary())], names=["cls", "set"])
@@ -192,7 +194,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema["id"].dataType.simpleString()
     signed = rows.mapInArrow(_sign(size, bands, values), f"id {id_type}, {KEY} bigint, n_shingles bigint, cls binary, bands array<bigint>")
-    signed = stored(signed, "signatures")
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        signed = stored(signed, "signatures")
     nodes = signed.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("id", KEY)).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = nodes.select("cls", "n", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("cls", "n")).alias("pivot")).where("count > 1")
@@ -203,10 +206,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = held.where("cls <> pivot.cls").where(near).select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b"))
     star = stored(star.distinct(), "pairs")
     wanted = held.select("cls").distinct().join(nodes.select("cls", "row.*"), "cls")
-    sets = stored(_chosen(rows, stored(wanted, "wanted")).mapInArrow(_sets(size), "cls binary, set binary"), "sets")
+    chosen = _chosen(rows, stored(wanted, "wanted")).mapInArrow(_sets(size), "cls binary, set binary")
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        sets = stored(chosen, "sets")
     with_b = star.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
     with_both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a")
-    links = stored(with_both.mapInArrow(_confirm(percent), "a binary, b binary"), "links")
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        links = stored(with_both.mapInArrow(_confirm(percent), "a binary, b binary"), "links")
     found = components(links)
 
     # buckets of three and more that still hold several components

@@ -84,6 +84,25 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most_bytes: int) -> Iterator[None]:
+    """Jobs that run inside send rows to their Python workers in batches of about ``most_bytes``; a longer row is a batch of its own.
+
+    Spark's own bound is 10,000 rows or 64 MB. A batch is held by the executor, while its buffers double, and by the worker, which
+    is kept for later tasks. For plans that are only returned this sets nothing.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most_bytes))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
